@@ -80,13 +80,18 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         i = j
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: separators where only letters and digits count (bytes of other alphabets count as letters)
+APART = np.ones(256, dtype=bool)
+APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (exclusive) of each word, and how many words lie before each text."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
     start = solid.copy()
