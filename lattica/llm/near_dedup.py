@@ -11,7 +11,8 @@ least 0.75 (``100 * intersection >= 75 * union``), and a group is a connected co
    Pairs are confirmed on full sets; union-find joins the confirmed ones.
 4. Buckets that still hold several components are compared blockwise inside tasks: only pairs
    of different components whose signatures agree enough leave a task, and these are
-   confirmed on full sets as well. So no link between components is lost.
+   confirmed on full sets as well; first each member's closest ones, which join most of a
+   large group, then all that are left. So no link between components is lost.
 
 Defined results: a null, empty or white-space text has an empty set, is linked with nothing
 and keeps its own id. A row whose id is null is linked with nothing; its component is null
@@ -23,6 +24,7 @@ component. Ties do not occur: the smallest id of a component names it. Columns b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,10 @@ from lattica.llm.shared import table
 SIZE = 5  # words of a shingle
 BANDS, ROWS = 42, 5  # misses a pair of similarity 0.75 with probability 1.2e-5
 M = BANDS * ROWS
-AGREE = 0.55  # of the registers; 0.75 lies 6.7 standard deviations above
+AGREE = 0.62  # of the registers; 0.75 lies 4.4 standard deviations above
+CLOSEST = 2  # pairs that a member of a mixed bucket tries before all others
+ID_BITS = 1 << 23  # 1 MB
 SIDE = 512  # members of one bucket that a task compares with as many others
-SET_BLOCK = 1_000_000
 
 U = np.uint64
 
@@ -109,15 +112,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, n, data, off in tb.blocks(batch.column(1)):
-            h, at = tb.shingle_sets(data, off, SIZE)
-            raw = pa.py_buffer(h.tobytes())
-            offs = pa.py_buffer((at * 8).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.Array.from_buffers(pa.binary(), n, [None, offs, raw])], names=["id", "hashes"])
-
-
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough: both sides sorted, matched by one sorted merge."""
     for batch in batches:
@@ -140,24 +134,36 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, bi, bj): pairs of different components that agree in enough registers."""
+def _across(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, bi, bj): pairs of different components that agree in enough registers.
+
+    With ``best``, each member gives its so many closest pairs; else all, each at the first band
+    that the two share.
+    """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
         cid, comp, block = (t.column(c).to_numpy() for c in ("cid", "comp", "block"))
         sig = tb.flat(t.column("sig"))[0].reshape(-1, M)
-        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        bi, bj, band = (t.column(c)[0].as_py() for c in ("bi", "bj", "band"))
         left = np.flatnonzero(block == bi)
         right = left if bi == bj else np.flatnonzero(block == bj)
-        outa, outb = [], []
+        outa, outb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p, i in enumerate(left):
-            js = right[p + 1 :] if bi == bj else right
+            js = right[p + 1 :] if bi == bj and best is None else right
             js = js[comp[js] != comp[i]]
-            js = js[(sig[js] == sig[i]).sum(axis=1) >= AGREE * M]
+            same = sig[js] == sig[i]
+            agree = same.sum(axis=1)
+            keep = agree >= AGREE * M
+            if best is None:
+                keep &= ~same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
+                js = js[keep]
+            else:
+                js, agree = js[keep], agree[keep]
+                js = js[np.lexsort((cid[js], -agree))[:best]]
             outa.append(np.minimum(cid[js], cid[i]))
             outb.append(np.maximum(cid[js], cid[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (outa, outb)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (outa, outb)], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -177,49 +183,82 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+def _id_bits(ids: DataFrame) -> np.ndarray:
+    """Bitmap of the ids modulo ``ID_BITS``: a fixed size, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    maps = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    out = np.zeros(ID_BITS // 8 + 4096, np.uint8)
+    for r in maps.collect():  # ID_BITS / 32768 rows of 4 KB at most
+        at = (r[0] - 1) * 4096
+        out[at : at + len(r[1])] |= np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def _to_sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents whose id's bit is set (column 2 is the id's place in the bitmap)."""
+    for batch in batches:
+        place = batch.column(2).to_numpy()
+        batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+        for i, n, data, off in tb.blocks(batch.column(1)):
+            h, at = tb.shingle_sets(data, off, SIZE)
+            raw = pa.py_buffer(h.tobytes())
+            offs = pa.py_buffer((at * 8).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.Array.from_buffers(pa.binary(), n, [None, offs, raw])], names=["id", "hashes"])
+
+
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that full sets confirm; reads the texts of their documents only."""
+    """Of the pairs (a, b) those that full sets confirm.
+
+    A bitmap of fixed size keeps most texts without a pair from being hashed or shuffled; the
+    joins with the pairs are exact. Of rows that share an id one set stands for all.
+    """
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(need, "id", "left_semi")
-    sets = table(texts.groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_to_sets, "id long, hashes binary"), "sets")
-    out = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    out = out.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").select("id", "text", place.alias("place"))
+    sets = texts.mapInArrow(partial(_to_sets, bits=_id_bits(need)), "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    sets = table(sets, "sets")
+    out = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
+    out = out.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
     return table(out.select("a", "b", "ha", "hb").mapInArrow(_confirm, "a long, b long"), "links")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_sign, SIGNED), "signed")
-    spark = docs.sparkSession
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     known = signed.where("k1 is not null and doc_id is not null")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
     member = table(known.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct(), "class")
     own = member.groupBy("doc_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most"))
-    reps = signed.join(member.where("doc_id = cid").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = table(reps.select(F.col("doc_id").alias("cid"), F.explode("bands").alias("key")), "bands")
+    reps = signed.join(member.where("doc_id = cid").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = table(reps.select(F.col("doc_id").alias("cid"), "sig", "bands"), "reps")
+    banded = reps.select("cid", F.posexplode("bands").alias("band", "key")).repartition("key")  # one shuffle serves both uses
     buckets = banded.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    shared = table(banded.join(buckets, "key"), "buckets")
-    sigs = reps.select(F.col("doc_id").alias("id"), "sig")
+    shared = table(banded.join(buckets.hint("merge"), "key"), "buckets")
+    sigs = reps.select(F.col("cid").alias("id"), "sig")
 
     star = shared.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    first = confirm(docs, table(star.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "star"))
+    tried = table(star.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "star")
     split = own.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))  # rows that share an id
-    first = first.unionByName(split)
-    comp = components(first)
-
-    held = shared.join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = table(held.join(mixed, "key", "left_semi").where("n > 2").select("key", "n", "cid", "comp"), "rest")
-    links = first
-    if not rest.isEmpty():
+    links = confirm(docs, tried).unionByName(split)
+    comp = components(links)
+
+    # what a star leaves apart: first each member's closest pairs, then all that are left
+    for best in (CLOSEST, None):
+        held = shared.where("n > 2").join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
+        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        rest = table(held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp"), "rest")
+        if rest.isEmpty():
+            break
         sides = F.ceil(F.col("n") / SIDE).cast("int")
         rest = rest.join(sigs.select(F.col("id").alias("cid"), "sig"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), sides).cast("int"))
-        rest = rest.select("key", "cid", "comp", "block", "sig", F.explode(F.sequence(F.lit(0), sides - 1)).alias("other"))
-        rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cid", "comp", "block", "sig")
-        width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        found = rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_across, "a long, b long").distinct()
-        links = table(first.unionByName(confirm(docs, table(found, "across"))), "alllinks")
+        rest = rest.select("key", "band", "cid", "comp", "block", "sig", F.explode(F.sequence(F.lit(0), sides - 1)).alias("other"))
+        rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig")
+        found = rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(partial(_across, best=best), "a long, b long")
+        found = table(found.distinct().join(tried, ["a", "b"], "left_anti"), "across")
+        tried = tried.unionByName(found)
+        links = links.unionByName(confirm(docs, found))
         comp = components(links)
     to = member.join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "cid")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(to, "doc_id", "left")
