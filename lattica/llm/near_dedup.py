@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import textblock as tb
 from lattica.llm.components import components
+from lattica.llm.ids import id_bits, with_bit
 from lattica.llm.shared import table
 
 SIZE = 5  # words of a shingle
@@ -40,7 +41,6 @@ BANDS, ROWS = 42, 5  # misses a pair of similarity 0.75 with probability 1.2e-5
 M = BANDS * ROWS
 AGREE = 0.62  # of the registers; 0.75 lies 4.4 standard deviations above
 CLOSEST = 2  # pairs that a member of a mixed bucket tries before all others
-ID_BITS = 1 << 23  # 1 MB
 SIDE = 512  # members of one bucket that a task compares with as many others
 
 U = np.uint64
@@ -183,22 +183,8 @@ def _across(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.
         yield pairs(held)
 
 
-def _id_bits(ids: DataFrame) -> np.ndarray:
-    """Bitmap of the ids modulo ``ID_BITS``: a fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-    maps = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
-    out = np.zeros(ID_BITS // 8 + 4096, np.uint8)
-    for r in maps.collect():  # ID_BITS / 32768 rows of 4 KB at most
-        at = (r[0] - 1) * 4096
-        out[at : at + len(r[1])] |= np.frombuffer(r[1], np.uint8)
-    return out
-
-
-def _to_sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents whose id's bit is set (column 2 is the id's place in the bitmap)."""
+def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        place = batch.column(2).to_numpy()
-        batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
         for i, n, data, off in tb.blocks(batch.column(1)):
             h, at = tb.shingle_sets(data, off, SIZE)
             raw = pa.py_buffer(h.tobytes())
@@ -213,9 +199,8 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     joins with the pairs are exact. Of rows that share an id one set stands for all.
     """
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").select("id", "text", place.alias("place"))
-    sets = texts.mapInArrow(partial(_to_sets, bits=_id_bits(need)), "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    texts = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(need))
+    sets = texts.mapInArrow(_to_sets, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
     sets = table(sets, "sets")
     out = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
     out = out.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
