@@ -11,7 +11,15 @@ from lattica.llm.shared import ship
 
 #: query name -> module with query(spark, sf_dir), and ORACLE_SQL where SQL can say it
 MODULES = {
+    "op1_quality": "quality",
+    "op3_huffman_ids": "huffman_ids",
+    "op4_decontaminate": "decontaminate",
     "op5_near_dedup": "near_dedup",
+    "op6_secrets": "secrets",
+    "op7_token_counts": "token_counts",
+    "op8_html_text": "html_text",
+    "op9_toxicity": "toxicity",
+    "op10_bpe": "bpe",
 }
 
 
