@@ -4,17 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import near_dedup
+from lattica.llm import bpe, decontaminate, near_dedup, quality, secrets
 from lattica.llm.shared import ship, table
 
 
-def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ship(spark)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     ship(spark)
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("MinHash near-dedup", _near_dedup)]
-ORACLE_SQL = None
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; all documents stay."""
+    ship(spark)
+    return secrets.redact(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the number of ids, and hashes of the ids and of the text decoded from them."""
+    ship(spark)
+    return bpe.digest(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
+ORACLE_SQL = None  # a discriminant's scores and BPE are beyond SQL; tests hold the stages against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
