@@ -9,10 +9,11 @@ least 0.75 (``100 * intersection >= 75 * union``), and a group is a connected co
    of exact copies costs one row per copy however large it is.
 3. Each bucket of a band pairs its members with its smallest member (a star, never all pairs).
    Pairs are confirmed on full sets; union-find joins the confirmed ones.
-4. Buckets that still hold several components are compared blockwise inside tasks: only pairs
-   of different components whose signatures agree enough leave a task, and these are
-   confirmed on full sets as well; first each member's closest ones, which join most of a
-   large group, then all that are left. So no link between components is lost.
+4. Buckets that still hold several components are compared blockwise inside tasks. A first
+   pass over signatures marks the members that agree enough with one of another component;
+   their full sets are then dealt to the same blocks, where pairs are confirmed, closest
+   first, and united. Only the links of that forest leave a task, so the rows are no more
+   than the members, and no link between components is lost.
 
 Defined results: a null, empty or white-space text has an empty set, is linked with nothing
 and keeps its own id. A row whose id is null is linked with nothing; its component is null
@@ -23,8 +24,7 @@ component. Ties do not occur: the smallest id of a component names it. Columns b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,7 @@ SIZE = 5  # words of a shingle
 BANDS, ROWS = 42, 5  # misses a pair of similarity 0.75 with probability 1.2e-5
 M = BANDS * ROWS
 AGREE = 0.62  # of the registers; 0.75 lies 4.4 standard deviations above
-CLOSEST = 2  # pairs that a member of a mixed bucket tries before all others
-SIDE = 512  # members of one bucket that a task compares with as many others
+SIDE = 256  # members of one bucket that a task compares with as many others
 
 U = np.uint64
 
@@ -118,12 +117,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (da, oa), (db, ob) = tb.flat(batch.column(2)), tb.flat(batch.column(3))
         ok = np.zeros(batch.num_rows, bool)
         for k in range(batch.num_rows):
-            x, y = da[oa[k] : oa[k + 1]].view(np.uint64), db[ob[k] : ob[k + 1]].view(np.uint64)
-            both = len(x) + len(y)
-            z = np.concatenate([x, y])
-            z.sort(kind="stable")
-            common = int(np.count_nonzero(z[1:] == z[:-1]))
-            ok[k] = common > 0 and 100 * common >= 75 * (both - common)
+            ok[k] = similar(da[oa[k] : oa[k + 1]].view(U), db[ob[k] : ob[k + 1]].view(U))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
@@ -134,37 +128,8 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _across(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, bi, bj): pairs of different components that agree in enough registers.
-
-    With ``best``, each member gives its so many closest pairs; else all, each at the first band
-    that the two share.
-    """
-
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        cid, comp, block = (t.column(c).to_numpy() for c in ("cid", "comp", "block"))
-        sig = tb.flat(t.column("sig"))[0].reshape(-1, M)
-        bi, bj, band = (t.column(c)[0].as_py() for c in ("bi", "bj", "band"))
-        left = np.flatnonzero(block == bi)
-        right = left if bi == bj else np.flatnonzero(block == bj)
-        outa, outb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for p, i in enumerate(left):
-            js = right[p + 1 :] if bi == bj and best is None else right
-            js = js[comp[js] != comp[i]]
-            same = sig[js] == sig[i]
-            agree = same.sum(axis=1)
-            keep = agree >= AGREE * M
-            if best is None:
-                keep &= ~same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
-                js = js[keep]
-            else:
-                js, agree = js[keep], agree[keep]
-                js = js[np.lexsort((cid[js], -agree))[:best]]
-            outa.append(np.minimum(cid[js], cid[i]))
-            outb.append(np.maximum(cid[js], cid[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (outa, outb)], names=["a", "b"])
-
+def _by_block(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Applies ``work`` to the rows of each (key, bi, bj), by which the batches are sorted."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
@@ -175,12 +140,79 @@ def _across(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.
         for lo, hi in zip(cuts, cuts[1:]):
             key = tuple(g[:, lo].tolist())
             if held and key != now:
-                yield pairs(held)
+                yield work(pa.Table.from_batches(held).combine_chunks())
                 held = []
             now = key
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pairs(held)
+        yield work(pa.Table.from_batches(held).combine_chunks())
+
+
+def _candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows of other components that agree with it in enough registers, in how many).
+
+    A pair counts in the bucket of the first band that it shares only.
+    """
+    comp, block = t.column("comp").to_numpy(), t.column("block").to_numpy()
+    sig = tb.flat(t.column("sig"))[0].reshape(-1, M)
+    bi, bj, band = (t.column(c)[0].as_py() for c in ("bi", "bj", "band"))
+    left = np.flatnonzero(block == bi)
+    right = left if bi == bj else np.flatnonzero(block == bj)
+    for p, i in enumerate(left):
+        js = right[p + 1 :] if bi == bj else right
+        js = js[comp[js] != comp[i]]
+        same = sig[js] == sig[i]
+        agree = same.sum(axis=1)
+        keep = (agree >= AGREE * M) & ~same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
+        if keep.any():
+            yield int(i), js[keep], agree[keep]
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that have a candidate in it."""
+
+    def rows(t: pa.Table) -> pa.RecordBatch:
+        hit = np.zeros(t.num_rows, bool)
+        for i, js, _ in _candidates(t):
+            hit[i] = True
+            hit[js] = True
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.filter(pa.array(hit)).columns], schema=t.schema)
+
+    return _by_block(batches, rows)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union of two sorted sets."""
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    common = int(np.count_nonzero(z[1:] == z[:-1]))
+    return common > 0 and 100 * common >= 75 * (len(z) - common)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each block, as a forest: pairs that others join already are left out."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        cid, comp = t.column("cid").to_numpy(), t.column("comp").to_numpy()
+        data, off = tb.flat(t.column("hashes"))
+        pairs = sorted((-int(n), i, int(j)) for i, js, agree in _candidates(t) for j, n in zip(js, agree))
+        parent = {int(c): int(c) for c in comp}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for _, i, j in pairs:
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b and similar(data[off[i] : off[i + 1]].view(U), data[off[j] : off[j + 1]].view(U)):
+                parent[a] = b
+                out.append((int(cid[i]), int(cid[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _by_block(batches, links)
 
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +224,19 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.Array.from_buffers(pa.binary(), n, [None, offs, raw])], names=["id", "hashes"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that full sets confirm.
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes) of the documents of ``ids`` (and a few more).
 
-    A bitmap of fixed size keeps most texts without a pair from being hashed or shuffled; the
-    joins with the pairs are exact. Of rows that share an id one set stands for all.
+    A bitmap of fixed size keeps most other texts from being hashed or shuffled; exact joins
+    follow. Of rows that share an id one set stands for all.
     """
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(need))
-    sets = texts.mapInArrow(_to_sets, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
-    sets = table(sets, "sets")
+    texts = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(ids))
+    return table(texts.mapInArrow(_to_sets, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that full sets confirm."""
+    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     out = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
     out = out.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
     return table(out.select("a", "b", "ha", "hb").mapInArrow(_confirm, "a long, b long"), "links")
@@ -224,27 +259,24 @@ def groups(docs: DataFrame) -> DataFrame:
 
     star = shared.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    tried = table(star.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "star")
+    star = table(star.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "star")
     split = own.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))  # rows that share an id
-    links = confirm(docs, tried).unionByName(split)
+    links = confirm(docs, star).unionByName(split)
     comp = components(links)
 
-    # what a star leaves apart: first each member's closest pairs, then all that are left
-    for best in (CLOSEST, None):
-        held = shared.where("n > 2").join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
-        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rest = table(held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp"), "rest")
-        if rest.isEmpty():
-            break
-        sides = F.ceil(F.col("n") / SIDE).cast("int")
-        rest = rest.join(sigs.select(F.col("id").alias("cid"), "sig"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), sides).cast("int"))
-        rest = rest.select("key", "band", "cid", "comp", "block", "sig", F.explode(F.sequence(F.lit(0), sides - 1)).alias("other"))
-        rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig")
-        found = rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(partial(_across, best=best), "a long, b long")
-        found = table(found.distinct().join(tried, ["a", "b"], "left_anti"), "across")
-        tried = tried.unionByName(found)
-        links = links.unionByName(confirm(docs, found))
-        comp = components(links)
+    # what a star leaves apart: blocks of mixed buckets, compared inside tasks
+    held = shared.where("n > 2").join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    sides = F.ceil(F.col("n") / SIDE).cast("int")
+    rest = held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp").join(sigs.select(F.col("id").alias("cid"), "sig"), "cid")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("cid"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig")
+    rest = table(rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_mark, rest.schema), "rest")
+    if not rest.isEmpty():
+        sets = sets_of(docs, rest.select(F.col("cid").alias("id")).distinct())
+        rest = rest.join(sets.select(F.col("id").alias("cid"), "hashes"), "cid").select(*rest.columns, "hashes")
+        more = rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_link, "a long, b long")
+        comp = components(links.unionByName(table(more, "more")))
     to = member.join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "cid")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(to, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
