@@ -12,6 +12,7 @@ from lattica.llm.shared import ship
 #: query name -> module with query(spark, sf_dir), and ORACLE_SQL where SQL can say it
 MODULES = {
     "op1_quality": "quality",
+    "op2_chroma": "chroma",
     "op3_huffman_ids": "huffman_ids",
     "op4_decontaminate": "decontaminate",
     "op5_near_dedup": "near_dedup",
