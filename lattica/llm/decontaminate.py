@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lowered. A first pass counts, over all documents, the
 words that occur in the benchmark. A seed is a run of ``SEED`` words of an item that chance
 would bring ``EXPECTED`` times or less per million words, as the words' shares of the corpus
-tell; so a passage that was copied very often stays a seed. Items with fewer than ``FEWEST``
-such runs take their least expected ones; an item shorter than a seed is one seed. A second
+tell (a corpus counts as a million words longer than it is, as small ones tell little); so a
+passage that was copied very often stays a seed. Items with fewer than ``FEWEST`` such runs, or
+a quarter of theirs, take their least expected ones; an item shorter than a seed is one seed. A second
 pass finds the seeds in the texts and aligns the words around them with the item (match +2,
 mismatch -1, gap -1); many alignments run at once, one numpy row per item word.
 
@@ -67,7 +68,7 @@ class Items:
     def choose(self, counts: np.ndarray, total: int) -> None:
         """Seeds from the corpus counts of ``vocabulary`` and the corpus's number of words."""
         million = 1e6
-        rate = np.log((counts + 0.5) / max(total, 1) )[np.searchsorted(self.vocabulary, self.words)] if len(self.words) else np.zeros(0)
+        rate = np.log((counts + 0.5) / (total + million))[np.searchsorted(self.vocabulary, self.words)] if len(self.words) else np.zeros(0)
         hashes, item, place = [], [], []
         for k in range(len(self.ids)):
             a, b = self.before[k], self.before[k + 1]
@@ -76,8 +77,9 @@ class Items:
                 continue
             runs = [(float(rate[p : p + n].sum()), p) for p in range(a, b - n + 1)]
             rare = [p for r, p in runs if r + np.log(million) <= np.log(EXPECTED)]
-            if len(rare) < FEWEST:
-                rare = [p for _, p in sorted(runs)[:FEWEST]]
+            fewest = max(FEWEST, len(runs) // 4)
+            if len(rare) < fewest:
+                rare = [p for _, p in sorted(runs)[:fewest]]
             for p in rare:
                 hashes.append(self._run(self.words[p : p + n]))
                 item.append(k)
