@@ -23,6 +23,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ FILE = "word_bpe_49k.json"
 END = 2
 LIMIT = 20
 BLOCK_IDS, STRIDE = 65_536, 256
-CACHE = 400_000
+CACHE = 1_200_000
 
 
 def default_path() -> str:
@@ -155,11 +157,13 @@ def unpack(data: np.ndarray, start: np.ndarray, count: np.ndarray, table_: tuple
 
 
 class _Pieces(dict):
+    """Piece -> index, the end id under None; a new one gets the next index and is listed in ``new``."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[str | None] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str | None) -> int:
         k = self[piece] = len(self)
         self.new.append(piece)
         return k
@@ -180,29 +184,41 @@ class Encoder:
 
     def _clear(self) -> None:
         self.seen = _Pieces()
-        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int32)
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """What lies between spaces; lowered where that can't change the library's ids."""
+        if text.isascii():
+            plain = "<|" not in text
+        else:
+            plain = "<|" not in text and "Σ" not in text and "İ" not in text and is_normalized("NFC", text)
+        return (text.lower() if plain else text).replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and the ids before each; ``end`` closes each text."""
         if len(self.seen) > CACHE:
             self._clear()
         look, found, counts = self.seen.__getitem__, [], []
+        last = np.full(1, look(None), np.int32) if end is not None else np.zeros(0, np.int32)
         for t in texts:
-            pieces = t.replace("\n", " ").split(" ") if t else []
-            found.append(np.fromiter(map(look, pieces), np.int64, len(pieces)))
-            counts.append(len(pieces))
+            pieces = self.pieces(t) if t else []
+            found += [np.fromiter(map(look, pieces), np.int32, len(pieces)), last]
+            counts.append(len(pieces) + len(last))
         if self.seen.new:
-            got = [e.ids for e in self.tok.encode_batch_fast(self.seen.new, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(n)])
+            got = [e.ids for e in self.tok.encode_batch_fast([p for p in self.seen.new if p is not None], add_special_tokens=False)]
+            if None in self.seen.new:
+                got.insert(self.seen.new.index(None), [end])
+            n = np.fromiter(map(len, got), np.int32, len(got))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(n, dtype=np.int32)])
             self.seen.new = []
-        index = np.concatenate(found) if found else np.zeros(0, np.int64)
-        size = self.off[index + 1] - self.off[index]
-        before = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        ids = self.flat[spread(self.off[index], size)]
-        if end is None:
-            return ids, before
-        return np.insert(ids, before[1:], np.uint32(end)), before + np.arange(len(before))
+        index = np.concatenate(found) if found else np.zeros(0, np.int32)
+        start = self.off[index]
+        size = self.off[index + 1] - start
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(start - (stop - size).astype(np.int32), size) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
+        return ids, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
