@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -28,14 +28,20 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _test(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.column(batch.num_columns - 1).to_numpy()
-        ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-        kept = batch.filter(pa.array(ok))
-        yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
+def _test(batches: Iterator[pa.RecordBatch], bits: np.ndarray, work: Callable | None) -> Iterator[pa.RecordBatch]:
+    def kept() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).to_numpy()
+            ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            part = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=batch.schema.names[:-1])
 
+    return work(kept()) if work else kept()
 
-def with_bit(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows (id, ...) whose id's bit is set; an exact join must follow. Null ids go."""
-    return rows.where("id is not null").withColumn("place", _place()).mapInArrow(partial(_test, bits=bits), rows.schema)
+
+def with_bit(rows: DataFrame, bits: np.ndarray, work: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """Rows (id, ...) whose id's bit is set; an exact join must follow. Null ids go.
+
+    ``work`` goes on with the batches in the same Python worker, and gives rows of ``schema``.
+    """
+    return rows.where("id is not null").withColumn("place", _place()).mapInArrow(partial(_test, bits=bits, work=work), schema or rows.schema)

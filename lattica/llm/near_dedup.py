@@ -40,6 +40,7 @@ SIZE = 5  # words of a shingle
 BANDS, ROWS = 42, 5  # misses a pair of similarity 0.75 with probability 1.2e-5
 M = BANDS * ROWS
 AGREE = 0.62  # of the registers; 0.75 lies 4.4 standard deviations above
+SLICE = 1 << 14  # elements that draw registers at once
 SIDE = 256  # members of one bucket that a task compares with as many others
 
 U = np.uint64
@@ -57,9 +58,9 @@ def super_min_hash(h: np.ndarray, at: np.ndarray, m: int = M) -> np.ndarray:
     sig = np.full(texts * m, full, np.uint64)
     doc = np.repeat(np.arange(texts, dtype=np.int64), np.diff(at))
     kind = np.uint8 if m <= 256 else np.uint16
-    for lo in range(0, len(h), 1 << 16):
+    for lo in range(0, len(h), SLICE):
         # one slice of elements at a time; texts are cut freely, as minima can be taken in any order
-        e, d = h[lo : lo + (1 << 16)], doc[lo : lo + (1 << 16)]
+        e, d = h[lo : lo + SLICE], doc[lo : lo + SLICE]
         perm = np.tile(np.arange(m, dtype=kind), (len(e), 1))
         row = np.arange(len(e))
         for j in range(m):
@@ -230,8 +231,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     A bitmap of fixed size keeps most other texts from being hashed or shuffled; exact joins
     follow. Of rows that share an id one set stands for all.
     """
-    texts = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(ids))
-    return table(texts.mapInArrow(_to_sets, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
+    sets = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(ids), _to_sets, "id long, hashes binary")
+    return table(sets.groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:

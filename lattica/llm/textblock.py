@@ -7,12 +7,19 @@ space and 0x09-0x0D, with A-Z lowered.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000  # bytes of text per block; a longer text is a block of its own
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back, where the default pool keeps it
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # no glibc
+    _TRIM = None
+
+BLOCK = 1_000_000  # bytes of text per block; a longer text is a block of its own
 U = np.uint64
 
 
@@ -78,6 +85,8 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         j = min(j, n)
         yield i, j - i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    if _TRIM:
+        _TRIM(0)  # workers are kept between tasks: what this batch took goes back
 
 
 #: separators where only letters and digits count (bytes of other alphabets count as letters)
