@@ -55,7 +55,7 @@ def _(t: Tables) -> DataFrame:
 
 
 SCC = """, scc as (select m.node, least(m.node, coalesce(min(b.node), m.node)) as component from modules m
-  left join reach a on a.start = m.node left join reach b on b.start = m.node and b.node = a.node and exists (select 1 from reach c where c.start = b.node and c.node = m.node) group by m.node)
+  left join (select a.start, a.node from reach a join reach c on c.start = a.node and c.node = a.start) b on b.start = m.node group by m.node)
  """
 
 
@@ -133,13 +133,13 @@ def _(t: Tables) -> DataFrame:
 
 
 PROFILE = """, both_ as (select src, dst from deps union select src, dst from calls),
- reach2 as (select src as start, dst as node from both_ union select r.start, b.dst from reach2 r join both_ b on b.src = r.node)
- select m.node,
-  (select count(*) from deps where dst = m.node) as fan_in, (select count(*) from deps where src = m.node) as fan_out,
-  (select count(*) from reach where start = m.node and node <> m.node) as forward_reach, (select count(*) from reach where node = m.node and start <> m.node) as reverse_reach,
-  (select count(*) from reach a join reach b on b.start = a.node and b.node = m.node where a.start = m.node) as scc_size,
-  (select count(*) from reach2 where node = m.node and start <> m.node) as affected, (select count(distinct src) from calls where dst = m.node) as callers
- from modules m"""
+ reach2 as (select src as start, dst as node from both_ union select r.start, b.dst from reach2 r join both_ b on b.src = r.node),
+ fi as (select dst as node, count(*) as n from deps group by dst), fo as (select src as node, count(*) as n from deps group by src),
+ fr as (select start as node, count(*) as n from reach where start <> node group by start), rr as (select node, count(*) as n from reach where start <> node group by node),
+ sc as (select a.start as node, count(*) as n from reach a join reach b on b.start = a.node and b.node = a.start group by a.start),
+ af as (select node, count(*) as n from reach2 where start <> node group by node), ca as (select dst as node, count(distinct src) as n from calls group by dst)
+ select m.node, coalesce(fi.n, 0) as fan_in, coalesce(fo.n, 0) as fan_out, coalesce(fr.n, 0) as forward_reach, coalesce(rr.n, 0) as reverse_reach, coalesce(sc.n, 0) as scc_size, coalesce(af.n, 0) as affected, coalesce(ca.n, 0) as callers
+ from modules m left join fi using (node) left join fo using (node) left join fr using (node) left join rr using (node) left join sc using (node) left join af using (node) left join ca using (node)"""
 
 
 @query("metric_profile", with_("nodes", "modules", "follows", "deps", "calls", "reach", body=PROFILE, recursive=True))
