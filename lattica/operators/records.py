@@ -71,16 +71,30 @@ def with_counts(rows: DataFrame, key: str, counts: dict[str, tuple[DataFrame, st
     return rows
 
 
+def running_total(rows: DataFrame, value: str, age: str, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each in the order of ``age``, then ``order``.
+
+    Rows are cut at quantiles of ``age``; sums of the parts (a few rows) are added up first, so
+    each part is summed alone and no task sees all rows. ``age`` is numeric.
+    """
+    cuts = sorted(set(rows.approxQuantile(age, [k / parts for k in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col(age).cast("double")))
+    rows = rows.withColumn("_part", part)
+    before = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = before.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("_part").orderBy(age, *order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(before), "_part")  # parts rows at most
+    return out.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part", "_base")
+
+
 def eviction(files: DataFrame, size: str, age: str, reserve: int, cap: int, keep: Column) -> DataFrame:
     """Files to delete, oldest first, until what is left and ``reserve`` fit in ``cap``.
 
-    Kept files are skipped and still take room. The running total goes over all files of the
-    store in one order, as eviction is one decision.
+    Kept files are skipped and still take room.
     """
-    w = Window.orderBy(F.col(age), *[F.col(c) for c in files.columns if c != age]).rowsBetween(Window.unboundedPreceding, -1)
-    total = files.agg(F.sum(size).alias("_total"))
-    out = files.where(~keep).withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).crossJoin(F.broadcast(total))
-    return out.where(F.col("_total") - F.col("_before") + reserve > cap).drop("_before", "_total")
+    total = files.agg(F.sum(size)).first()[0] or 0
+    out = running_total(files.where(~keep), size, age, [c for c in files.columns if c != age], "_before")
+    return out.where(F.lit(total) - F.col("_before") + reserve > cap).drop("_before")
 
 
 def daily_admission(events: DataFrame, at: str, user: str, order: list[str], user_limit: int, global_limit: int) -> DataFrame:

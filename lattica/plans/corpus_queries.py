@@ -152,9 +152,12 @@ def _(t: Tables) -> DataFrame:
     return t.documents.agg(F.count("*").alias("chunks"), F.round(F.avg(n), 4).alias("mean_size"), F.max(n).alias("longest"), F.max_by("doc_id", n * 1000000 + F.col("doc_id")).alias("longest_id"), F.sum(F.floor((n + 3) / 4)).cast("long").alias("tokens"))
 
 
-@query("corpus_fingerprint", "select source, sha256(string_agg(md5(text), chr(0) order by doc_id, md5(text))) as fingerprint from documents group by source")
+@query("corpus_fingerprint", """with leaves as (select source, doc_id // 1024 as part, sha256(string_agg(md5(text), chr(0) order by doc_id)) as h from documents group by source, doc_id // 1024)
+ select source, sha256(string_agg(h, chr(0) order by part)) as fingerprint from leaves group by source""")
 def _(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(ordered_fingerprint(F.md5("text"), F.col("doc_id")).alias("fingerprint"))
+    # in two levels, so that a source with a large share of all documents isn't gathered row by row
+    leaves = t.documents.groupBy("source", F.floor(F.col("doc_id") / 1024).alias("part")).agg(ordered_fingerprint(F.md5("text"), F.col("doc_id")).alias("h"))
+    return leaves.groupBy("source").agg(ordered_fingerprint(F.col("h"), F.col("part")).alias("fingerprint"))
 
 
 @query("stable_ids", "select doc_id, 'node_' || substr(sha256(source || chr(0) || coalesce(lang, '') || chr(0) || doc_id), 1, 24) as id from documents")

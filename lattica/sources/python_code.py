@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import ship
+
 ROW = "path string, module string, kind string, node_type string, qualified string, parent string, name string, line int, end_line int, is_public boolean, value string"
 CONFIG_STEMS = {"config", "settings", "configuration"}
 IGNORED = [".git", ".hg", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", "build", "dist"]
@@ -134,6 +136,7 @@ def parse(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"line": "Int32", "end_line": "Int32", "is_public": "boolean"})
 
+    ship(files.sparkSession)
     return files.select("path", "source").mapInPandas(work, ROW)
 
 

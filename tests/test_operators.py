@@ -124,3 +124,9 @@ def test_scan_reads_a_tree(spark, tmp_path):
 def test_eviction_keeps_room_for_kept_files(spark):
     f = spark.createDataFrame([(1, 40), (2, 40), (3, 40)], "at int, size int")
     assert [r.at for r in records.eviction(f, "size", "at", 10, 100, F.col("at") == 1).collect()] == [2]
+
+
+def test_running_total_over_parts(spark):
+    rows = spark.createDataFrame([(k // 3, k, k % 5) for k in range(200)], "at int, id int, size int")
+    got = {r.id: r.before for r in records.running_total(rows, "size", "at", ["id"], "before", 8).collect()}
+    assert got == {k: sum(x % 5 for x in range(k)) for k in range(200)}
