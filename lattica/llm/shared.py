@@ -1,48 +1,18 @@
-"""Folder that driver and executors share, and shipping of this package to executors."""
+"""Tables in the folder that driver and executors share, and shipping of this package to executors."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
-from pyspark import SparkFiles  # noqa: F401  (addPyFile's counterpart)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_OWN: list[str] = []
+from lattica.functions.storage import shared_dir, ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (tests), one local folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="lattica-"))
-        at = "file://" + _OWN[0]
-    return at.rstrip("/")
+__all__ = ["shared_dir", "ship", "table"]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per context, so that tasks import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lattica_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(), "lattica.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("lattica", os.path.relpath(full, top)))
-    sc.addPyFile(out)
-    sc._lattica_shipped = True
+    return df.sparkSession.read.schema(df.schema).parquet(path)
