@@ -152,21 +152,24 @@ def _by_block(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.R
 def _candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, rows of other components that agree with it in enough registers, in how many).
 
-    A pair counts in the bucket of the first band that it shares only.
+    A pair counts in the bucket of the first band that it shares only. Shared are equal keys, as
+    these make the buckets: the short registers of a band may be equal where its keys differ.
     """
     comp, block = t.column("comp").to_numpy(), t.column("block").to_numpy()
     sig = tb.flat(t.column("sig"))[0].reshape(-1, M)
+    keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     bi, bj, band = (t.column(c)[0].as_py() for c in ("bi", "bj", "band"))
     left = np.flatnonzero(block == bi)
     right = left if bi == bj else np.flatnonzero(block == bj)
     for p, i in enumerate(left):
         js = right[p + 1 :] if bi == bj else right
         js = js[comp[js] != comp[i]]
-        same = sig[js] == sig[i]
-        agree = same.sum(axis=1)
-        keep = (agree >= AGREE * M) & ~same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
-        if keep.any():
-            yield int(i), js[keep], agree[keep]
+        agree = (sig[js] == sig[i]).sum(axis=1)
+        near = agree >= AGREE * M
+        js, agree = js[near], agree[near]
+        new = ~(keys[js, :band] == keys[i, :band]).any(axis=1)
+        if new.any():
+            yield int(i), js[new], agree[new]
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +272,9 @@ def groups(docs: DataFrame) -> DataFrame:
     held = shared.where("n > 2").join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     sides = F.ceil(F.col("n") / SIDE).cast("int")
-    rest = held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp").join(sigs.select(F.col("id").alias("cid"), "sig"), "cid")
+    rest = held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp").join(reps, "cid")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("cid"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig")
+    rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig", "bands")
     rest = table(rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_mark, rest.schema), "rest")
     if not rest.isEmpty():
         sets = sets_of(docs, rest.select(F.col("cid").alias("id")).distinct())

@@ -112,6 +112,24 @@ def test_near_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_near_dedup_meets_in_the_first_band_with_equal_keys():
+    """Band 0 agrees in the stored 8 bits, not in its key: the pair meets in band 1, and only there."""
+    rng = np.random.default_rng(7)
+    low = lambda x: (textblock.mix(x) & np.uint64(255)).astype(np.uint8)
+    sig = np.tile(rng.integers(0, 2**62, near_dedup.M).astype(np.uint64), (2, 1))
+    sig[1, 0] = next(x for x in rng.integers(0, 2**62, 10_000).astype(np.uint64) if low(x) == low(sig[0, 0]))
+    bands = near_dedup.band_keys(sig, near_dedup.ROWS).view(np.int64)
+    assert (bands[0] == bands[1]).tolist() == [False] + [True] * (near_dedup.BANDS - 1)
+
+    def met(band):
+        one = {"bi": 0, "bj": 0, "band": band, "block": 0}
+        rows = [one | {"cid": k, "comp": k, "sig": low(sig[k]).tobytes(), "bands": bands[k].tolist()} for k in range(2)]
+        return [(i, js.tolist()) for i, js, _ in near_dedup._candidates(pa.Table.from_pylist(rows))]
+
+    assert met(1) == [(0, [1])]
+    assert met(2) == met(40) == []
+
+
 def test_super_min_hash_estimates_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 600).astype(np.uint64)
