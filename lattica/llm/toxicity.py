@@ -11,8 +11,9 @@
    evidence is the sum over its distinct words of their strongest feature, in the text as it
    stands and as restored, and a logistic curve fitted to training evidence and length makes the score.
 
-Training uses every labelled row outside the held-out fold; only counts reach the driver (a
-feature must occur in ``LEAST_SHARE`` of the toxic documents, which bounds their number).
+Training uses every labelled row outside the held-out fold. Features are counted, joined and
+judged on Spark, whatever their number. Those kept are dealt to blocks of about ``PART``; the
+driver and a task hold one block, and with more than one the evidence is summed block by block.
 
 Defined results: null and empty texts have no evidence and the score of that. Labels that are
 null or not 0/1 are no training rows; without both labels every score is the share of label 1.
@@ -40,7 +41,8 @@ FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 ORDER, SYMBOLS = 4, 28
 PREFIXES = (3, 4, 5, 6)
-LEAST, LEAST_SHARE = 3, 0.002  # toxic documents that a feature needs: so many, and this share
+LEAST = 3  # toxic documents that a feature needs
+PART = 1 << 20  # features of the lexicon that a task holds at once
 SURE, FLOOR = 24.0, 1.0  # likelihood ratio that a kept feature needs (about one chance in a million); least log-odds less its error
 STEP, CEILING, PENALTY = 0.25, 200.0, 0.5
 
@@ -221,8 +223,8 @@ def hashed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[tuple[np.ndar
     return out
 
 
-def _toxic_features(batches: Iterator[pa.RecordBatch], model: CharModel) -> Iterator[pa.RecordBatch]:
-    """(feature, first three bytes, documents) of this task's toxic documents."""
+def _features(batches: Iterator[pa.RecordBatch], model: CharModel) -> Iterator[pa.RecordBatch]:
+    """(feature, first three bytes, documents) of each batch."""
     for batch in batches:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, _, data, off in tb.blocks(batch.column(0)):
@@ -238,7 +240,7 @@ def _toxic_features(batches: Iterator[pa.RecordBatch], model: CharModel) -> Iter
         if held:
             h, t = (np.concatenate(x) for x in zip(*held))
             u, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t[at], pa.int32()), pa.array(n, pa.int64())], names=["feature", "three", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t[at], pa.int32()), pa.array(n, pa.int64())], names=["id", "three", "n"])
 
 
 class Lexicon:
@@ -247,7 +249,6 @@ class Lexicon:
     def __init__(self, feature: np.ndarray, three: np.ndarray, weight: np.ndarray) -> None:
         order = np.argsort(feature)
         self.feature, self.three, self.weight = feature[order], np.unique(three), weight[order]
-        self.curve, self.prior, self.usable = np.zeros(4), 0.5, len(feature) > 0
         self._mask: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -284,31 +285,16 @@ class Lexicon:
             new = np.ones(len(doc), bool)
             new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
             np.add.at(out, doc[new], w[new])
-        return np.minimum(out, CEILING)
+        return out
 
-    def score(self, evidence: np.ndarray, words: np.ndarray) -> np.ndarray:
-        if not self.usable:
-            return np.full(len(evidence), self.prior)
-        return 1.0 / (1.0 + np.exp(-np.clip(design(evidence, words) @ self.curve, -500, 500)))
 
-
-def _other_counts(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: CharModel) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(lexicon.feature), np.int64)
+def _evidence(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: CharModel, last: bool) -> Iterator[pa.RecordBatch]:
+    """Adds this block's evidence to each row; at the last block its words take the place of the text."""
     for batch in batches:
-        for _, _, data, off in tb.blocks(batch.column(0)):
-            doc, _, at = lexicon.hits(data, off, model)
-            pair = np.unique(doc * np.int64(len(total) + 1) + at)
-            total += np.bincount(pair % (len(total) + 1), minlength=len(total))[: len(total)]
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "n"])
-
-
-def _evidence_bins(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: CharModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, n, data, off in tb.blocks(batch.column(0)):
-            bins = np.round(lexicon.evidence(data, off, model) / STEP).astype(np.int32)
-            sizes = np.round(np.log1p(words_of(data, off)) / STEP).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, n).cast(pa.int32()), pa.array(bins), pa.array(sizes)], names=["toxic", "bin", "size"])
+        for i, n, data, off in tb.blocks(batch.column(1)):
+            total = batch.column(2).slice(i, n).to_numpy() + lexicon.evidence(data, off, model)
+            text = pa.array(words_of(data, off), pa.int64()) if last else batch.column(1).slice(i, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), text, pa.array(total)], names=["key", "words" if last else "text", "evidence"])
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -332,50 +318,58 @@ def logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> Lexicon:
-    train = labels.where(f"pmod(crc32(cast(doc_id as string)), {FOLDS}) <> {HELD} and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    texts = with_bit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), id_bits(train))
-    known = table(texts.join(train, "id").select("text", "toxic"), "labelled")
-    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    need = max(LEAST, math.ceil(LEAST_SHARE * toxic))
-    found = known.where("toxic = 1").select("text").mapInArrow(partial(_toxic_features, model=model), "feature long, three int, n long")
-    found = found.groupBy("feature").agg(F.min("three").alias("three"), F.sum("n").alias("n")).where(F.col("n") >= need).toPandas()
-    lexicon = Lexicon(found.feature.to_numpy(np.int64).view(np.uint64), found.three.to_numpy(np.int64), found.n.to_numpy(float))
-    counts = known.where("toxic = 0").select("text").mapInArrow(partial(_other_counts, lexicon=lexicon, model=model), "place int, n long").groupBy("place").agg(F.sum("n"))
-    n = np.zeros(len(lexicon.feature))
-    for r in counts.collect():  # one row per candidate feature at most
-        n[r[0]] = r[1]
-    t = lexicon.weight
-    odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((n + 0.5) / (np.maximum(other - n, 0) + 0.5))
-    low = odds - np.sqrt(1 / (t + 0.5) + 1 / (n + 0.5))
-    share = (t + n) * toxic / max(toxic + other, 1)  # expected among the toxic ones by chance
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (t * np.log(t / share) + np.where(n > 0, n * np.log(n / (t + n - share)), 0.0))
-    three = dict(zip(found.feature.to_numpy(np.int64).view(np.uint64).tolist(), found.three.tolist()))
-    keep = (low >= FLOOR) & (g >= SURE)
-    kept = lexicon.feature[keep]
-    out = Lexicon(kept, np.array([three[f] for f in kept.tolist()], np.int64), low[keep])
-    out.prior = toxic / (toxic + other) if toxic + other else 0.5
-    out.usable = toxic > 0 and other > 0
-    if out.usable:
-        bins = known.mapInArrow(partial(_evidence_bins, lexicon=out, model=model), "toxic int, bin int, size int").groupBy("bin", "size").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()
-        x, size, n0, n1 = (np.array(v, float) for v in zip(*bins))  # some thousand rows at most: both are clipped or logarithms
-        out.curve = logistic(design(x * STEP, np.expm1(size * STEP)), n0, n1)
-    return out
-
-
-def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: CharModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, n, data, off in tb.blocks(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(lexicon.score(lexicon.evidence(data, off, model), words_of(data, off)))], names=["doc_id", "score"])
+def judged(known: DataFrame, model: CharModel, toxic: int, other: int) -> DataFrame:
+    """(feature, three, weight) of the features that are surely more frequent in toxic rows of ``known``."""
+    schema = "id long, three int, n long"
+    found = known.where("toxic = 1").select("text").mapInArrow(partial(_features, model=model), schema)
+    found = table(found.groupBy("id").agg(F.min("three").alias("three"), F.sum("n").cast("double").alias("t")).where(F.col("t") >= LEAST), "toxic_features")
+    counts = known.where("toxic = 0").select("text").mapInArrow(partial(_features, model=model), schema).select("n", "id")
+    counts = with_bit(counts, id_bits(found), schema="n long, id long").groupBy("id").agg(F.sum("n").cast("double").alias("n"))
+    both = found.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    t, n, rest = F.col("t"), F.col("n"), F.greatest(F.lit(float(other)) - F.col("n"), F.lit(0.0))
+    odds = F.ln((t + 0.5) / (toxic - t + 0.5)) - F.ln((n + 0.5) / (rest + 0.5))
+    low = odds - F.sqrt(1 / (t + 0.5) + 1 / (n + 0.5))
+    share = (t + n) * (toxic / max(toxic + other, 1))  # expected among the toxic ones by chance
+    g = 2 * (t * F.ln(t / share) + F.when(n > 0, n * F.ln(n / (t + n - share))).otherwise(0.0))
+    return both.select(F.col("id").alias("feature"), "three", low.alias("weight"), g.alias("g")).where((F.col("weight") >= FLOOR) & (F.col("g") >= SURE)).drop("g")
+
+
+def evidence(rows: DataFrame, kept: DataFrame, model: CharModel, part: int = PART) -> DataFrame:
+    """(key, words, evidence) of the rows (key, text).
+
+    All features of a word begin with the same three bytes, so blocks by these never part them.
+    """
+    blocks = max(1, math.ceil(kept.count() / part))
+    kind = rows.schema[0].dataType.simpleString()
+    out = rows.toDF("key", "text").withColumn("evidence", F.lit(0.0))
+    for k in range(blocks):
+        block = kept.where(F.pmod(F.xxhash64("three"), F.lit(blocks)) == k).toPandas()
+        lexicon = Lexicon(block.feature.to_numpy(np.int64).view(np.uint64), block.three.to_numpy(np.int64), block.weight.to_numpy(float))
+        last = k == blocks - 1
+        out = out.mapInArrow(partial(_evidence, lexicon=lexicon, model=model, last=last), f"key {kind}, {'words long' if last else 'text string'}, evidence double")
+        out = out if last else table(out, "evidence")
+    return out.withColumn("evidence", F.least("evidence", F.lit(CEILING)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = language_model(docs)
-    lexicon = fit(docs, labels, model)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_scored, lexicon=lexicon, model=model), "doc_id long, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    train = labels.where(f"pmod(crc32(cast(doc_id as string)), {FOLDS}) <> {HELD} and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    known = table(with_bit(texts, id_bits(train)).join(train, "id").select("toxic", "text"), "labelled")
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    if toxic and other:
+        model = language_model(docs)
+        kept = table(judged(known, model, toxic, other), "lexicon")
+        bin_, size = (F.rint(x / STEP).cast("int") for x in (F.col("evidence"), F.log1p("words")))
+        bins = evidence(known, kept, model).groupBy(bin_.alias("bin"), size.alias("size")).agg(F.sum(1 - F.col("key")), F.sum("key")).collect()
+        x, n_words, n0, n1 = (np.array(v, float) for v in zip(*bins))  # some thousand rows at most: both are clipped or logarithms
+        curve = logistic(design(x * STEP, np.expm1(n_words * STEP)), n0, n1).tolist()
+        e, w = F.col("evidence"), F.log1p("words") - 5.0
+        z = e * curve[0] + w * curve[1] + e * w * curve[2] + curve[3]
+        out = evidence(texts, kept, model).select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
+    else:
+        out = texts.select(F.col("id").alias("doc_id"), F.lit(toxic / (toxic + other) if toxic + other else 0.5).alias("score"))
     held = F.expr(f"pmod(crc32(cast(doc_id as string)), {FOLDS}) = {HELD}")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

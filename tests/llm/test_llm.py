@@ -363,6 +363,30 @@ def test_toxicity_odd_rows(odd, none, labels):
     assert {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxic_words_of_few_documents_among_many(spark):
+    """A word of 29 of 20,000 toxic rows and no other; a share of 0.002 would ask for 40."""
+    rows = [(k, "plain words of all" + (" grobnik" if k % 1000 < 1 or k < 10 else ""), 1) for k in range(20_000)] + [(k, "plain words of all", 0) for k in range(20_000, 60_000)]
+    known = spark.createDataFrame(rows, "id long, text string, toxic int").repartition(4)
+    model = toxicity.language_model(known.limit(10))
+    kept = toxicity.judged(known, model, 20_000, 40_000)
+    data, off = textblock.flat(pa.array(["grobnik"]))
+    whole = textblock.word_hashes(data, *(np.array([x]) for x in (0, 7))).view(np.int64)[0]
+    assert whole in {r.feature for r in kept.collect()}
+
+
+def test_evidence_by_blocks_is_the_same(spark):
+    words = [f"{a}{b}{c}word" for a in "abcdef" for b in "ghi" for c in "klm"]
+    rows = [(k, " ".join(words[k % 7 :: 5])) for k in range(40)] + [(None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    model = toxicity.language_model(docs)
+    data, off = textblock.flat(pa.array([" ".join(words)]))
+    s, e, _ = textblock.word_bounds(data, off)
+    feature = [(int(h), int(x), 1.0 + k / 64) for k, (h, x) in enumerate(zip(textblock.word_hashes(data, s, e).view(np.int64), toxicity.first_three(data, s, e)))]
+    kept = spark.createDataFrame(feature, "feature long, three int, weight double")
+    got = [sorted(map(repr, toxicity.evidence(docs, kept, model, part).collect())) for part in (1 << 20, 20)]
+    assert got[0] == got[1] and any("evidence=0.0" not in x for x in got[0])
+
+
 def test_deobfuscation():
     words = "idiot moron stupid loser trash worthless pathetic other words that are plain".split()
     data, off = textblock.flat(pa.array([" ".join(words * 50)]))
