@@ -2,7 +2,7 @@
 
 1. Character language model: counts of 4-grams over the letters of the words of all documents
    (28 symbols: a-z, any other letter, word border), as a fixed table of 28**4 counts.
-2. Deobfuscation: a token with leetspeak, letters set apart by spaces or marks, or a letter
+2. Deobfuscation: a token with a sign next to a letter, letters and signs set apart by spaces or marks, or a letter
    three times or more in a row becomes a lattice: each sign offers the letters that it may
    stand for, separators may be skipped, repeats dropped, each at a cost of the channel. Viterbi
    decoding over the last three letters finds the word that model and channel like best.
@@ -51,10 +51,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 APART = ".-_~* "
 SIGN_COST, SKIP_COST, REPEAT_COST, WILD_COST = 0.4, 0.2, 0.3, 1.0
 
-#: letters set apart: i d i o t, i.d.i.o.t
-SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ ._*~-][^\W\d_]){2,}(?!\S)")
-#: inside a token: a sign between letters or before two, or a letter thrice
-SIGNED = re.compile(r"[^\W\d_][0-9@$!|+(€£*#]+[^\W\d_]|[0-9@$|€£]+[^\W\d_]{2}|([^\W\d_])\1\1")
+_LETTER, _SIGN = r"[^\W\d_]", r"[0-9@$!|+(€£*#]"
+_UNIT = r"(?:[^\W\d_]|[0-9@$!|+(€£#])"  # without what may also set letters apart
+_OPEN, _CLOSE = "\"'([{<", r"[.,;:?!\"')\]}>]*"
+
+#: letters and signs set apart: i d i o t, i.d.1.0.t, with quotes before and punctuation after
+SPACED = re.compile(rf"(?<![^\s{re.escape(_OPEN)}])({_UNIT}(?:[ ._*~-]+{_UNIT}){{2,}}){_CLOSE}(?!\S)")
+#: inside a token: a sign next to a letter, marks between letters or signs, or a letter thrice
+SIGNED = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_LETTER}[._*~-]+(?:{_LETTER}|{_SIGN})|{_SIGN}[._*~-]+{_LETTER}|({_LETTER})\1\1")
 
 _CODE = np.zeros(256, np.int64)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
@@ -124,7 +128,8 @@ class CharModel:
         log = self.log
         beam = {(0, 0, 0): (0.0, "")}
         token = re.sub(r"(.)\1{2,}", "\\1\\1\0", token)  # a long run: once, perhaps twice
-        for c, after in zip(token, token[1:] + " "):
+        end = len(token.rstrip("!\0"))  # from here on a ! may close a sentence
+        for k, (c, after) in enumerate(zip(token, token[1:] + " ")):
             options: list[tuple[str, float]] = []
             if c == "\0":
                 continue
@@ -133,14 +138,15 @@ class CharModel:
                 if after == "\0":
                     options.append(("", REPEAT_COST))
             else:
+                closing = c == "!" and k >= end
                 options += [(x, WILD_COST if c == "*" else SIGN_COST) for x in LEET.get(c, "")]
-                options.append(("", SKIP_COST if c in APART else 2.5 if c in LEET else 1.0))
+                options.append(("", SKIP_COST if c in APART or closing else 2.5 if c in LEET else 1.0))
             new: dict[tuple[int, int, int], tuple[float, str]] = {}
             for (x, y, z), (score, word) in beam.items():
                 for letter, cost in options:
                     if letter:
-                        k = self.code(letter)
-                        state, value = (y, z, k), score - cost + log[(x * SYMBOLS + y) * SYMBOLS + z, k]
+                        to = self.code(letter)
+                        state, value = (y, z, to), score - cost + log[(x * SYMBOLS + y) * SYMBOLS + z, to]
                     else:
                         state, value = (x, y, z), score - cost
                     if state not in new or value > new[state][0]:
@@ -157,31 +163,65 @@ def language_model(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
-_MAYBE = np.zeros(256, bool)
+_MAYBE, _APART = np.zeros(256, bool), np.zeros(256, bool)
 _MAYBE[list(b"0123456789@$!|+(*#._~-")] = True
+_APART[list(APART.encode())] = True
+_APART |= tb.SPACE
+_AFTER = _MAYBE.copy()  # signs that count after a letter; marks do only before one
+_AFTER[list(b"._~-")] = False
+
+
+def _runs(run: str) -> list[str]:
+    """A run of letters set apart, and the parts that wider gaps make of it: i d i o t  y o u."""
+    least = min(len(g) for g in re.findall(r"[ ._*~-]+", run))
+    parts = re.split(rf"[ ._*~-]{{{least + 1},}}", run)
+    return [run, *(p for p in parts if len(parts) > 1 and len(re.findall(_UNIT, p)) > 2)]
 
 
 def restored(model: CharModel, text: str) -> list[str]:
     """Words that the text hides."""
-    found = [m[0] for m in SPACED.finditer(text)] + [t for t in text.split() if SIGNED.search(t)]
-    return [w for t in found if (w := model.decode(t.strip(".,;:?")))]
+    found, rest, at = [], [], 0
+    for m in SPACED.finditer(text):
+        if re.search(_LETTER, m[1]):
+            found += _runs(m[1])
+            rest.append(text[at : m.start()])
+            at = m.end()
+    found += [t.strip(".,;:?\"'[]{}<>)") for part in (*rest, text[at:]) for t in part.split() if SIGNED.search(t)]
+    return [w for t in found if (w := model.decode(t))]
 
 
 def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts that may hide words: a sign next to letters, a letter thrice, or letters alone."""
-    if len(data) < 3:
+    """Texts that may hide words: a sign next to letters, a letter thrice, or letters and signs alone."""
+    if len(data) < 2:
         return np.zeros(0, np.int64)
     letter = _CODE[data] > 0
     letter |= _SKIP[data]
     space = tb.SPACE[data]
     hit = np.zeros(len(data), bool)
     hit[1:] |= _MAYBE[data[:-1]] & letter[1:] & ~space[1:]
+    hit[1:] |= _AFTER[data[1:]] & letter[:-1]
+    hit[1:] |= (data[:-1] == 0xC2) & (data[1:] == 0xA3)  # the pound sign, and the euro
+    hit[2:] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
+    # a letter, marks, and a sign: i.1
+    hit[2:] |= letter[:-2] & _APART[data[1:-1]] & ~space[1:-1] & ~space[2:] & ~letter[2:]
     low = tb.LOWER[data]
     hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    one = letter.copy()
-    one[1:] &= ~letter[:-1]
-    one[:-1] &= ~letter[1:]
-    hit[4:] |= one[4:] & one[2:-2] & one[:-4]
+    for w in (2, 3, 4):  # a letter of several bytes thrice: two of its bytes are compared
+        if len(data) >= 3 * w:
+            same = (data[: -2 * w] == data[w:-w]) & (data[w:-w] == data[2 * w :])
+            hit[: -2 * w - 1] |= same[:-1] & same[1:] & (data[: -2 * w - 1] >= 0xC2)
+    # three characters in a row that each begin after a gap, however wide; longer ones are told apart later
+    first = np.zeros(len(data) + 1, bool)
+    first[off] = True
+    at = np.flatnonzero(~_APART[data] & ~_SKIP[data])
+    if len(at) > 2:
+        gap = np.cumsum(_APART[data] | first[:-1])
+        lone = np.ones(len(at), bool)
+        lone[1:] = gap[at[1:]] > gap[at[:-1]]
+        lone |= first[at]
+        before = np.zeros(len(at), bool)  # quotes and brackets may open the run
+        before[1:] = np.isin(data[at[:-1]], list(_OPEN.encode()))
+        hit[at[2:]] |= (lone[:-2] | before[:-2]) & lone[1:-1] & lone[2:]
     return np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1)
 
 

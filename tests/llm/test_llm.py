@@ -395,6 +395,23 @@ def test_deobfuscation():
         assert toxicity.restored(m, f"so {hidden} it is") == [want]
 
 
+def test_deobfuscation_of_signs_at_the_end_and_of_wide_gaps():
+    words = "idiot moron stupid loser trash ass bullshit shit pathetic other words that are plain you".split()
+    data, off = textblock.flat(pa.array([" ".join(words * 50)]))
+    m = toxicity.CharModel(toxicity.gram_counts(data, off))
+    forms = {"ass": ["a$$", "a$$!"], "bullshit": ["bullsh!7"], "shit": ["5h17", "(5h17)"], "trash": ["tr4$#"], "stupid": ["s t u p i d!", "st-u-pid", "\"s t u p i d\"", "s  t  u  p  i  d"]}
+    forms["idiot"] = ["id10+", "1d!0+", "i.d.1.0.t", "i d 1 o t", "i d i o t,", "i  d  i  o  t", "i_d_i_o_t.", "i..d.i...o.t", "i - d - i - o - t", "idiot!", "1.d.1.0.t"]
+    for want, hidden in forms.items():
+        for x in hidden:
+            for text in (f"so {x}", f"so {x} you are"):
+                assert want in toxicity.restored(m, text), text
+                data, off = textblock.flat(pa.array(["plain text", text]))
+                assert 1 in toxicity._flagged(data, off), text
+    assert toxicity.restored(m, "so f*** it")[0][0] == "f"
+    assert {"idiot", "you"} <= set(toxicity.restored(m, "i d i o t  y o u"))
+    assert toxicity.restored(m, "plain words, that are 12 and 1 2 3.") == []
+
+
 def test_char_counts_against_plain():
     texts = ["Ab c", "", "bé a1b"]
     data, off = textblock.flat(pa.array(texts))
