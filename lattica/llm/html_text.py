@@ -1,26 +1,34 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 Html is cut into flat blocks at the borders of block elements. A block has its words, the share
-of them inside links, and the same of the blocks before and after; further whether an open
-element (by tag, role, class or id) marks it as menu, header, footer, sidebar, notice, advert,
-form or reader comments, and whether an article or main element is open, or anywhere in the
-page. A decision tree (Gini splits) is grown from ``EXAMPLES``, a small labelled table of
+of them inside links, and the same of the blocks before and after; further what the elements
+around it say (``mark``, see below), and its ``place``: 2 in an article or main element, 0
+beside one, 1 on a page without any. A decision tree (Gini splits) is grown from ``EXAMPLES``, a small labelled table of
 blocks, and decides each block; scripts, styles, comments of the markup and other unseen
 elements never make a block.
 
+``mark`` is 2 where an open element is a menu, footer, sidebar, form or the like by its tag or
+role, or where a class or id as a whole names one (``sidebar``, ``cookie-banner``, ``comments``),
+also of an article inside another one. It is 1 where such a name is only a part of a longer one
+(``legal-note``, ``side-by-side``): there words and links of the block and its neighbours tell.
+They also tell on unmarked blocks of an article: short blocks of links beside others like them
+are a menu, a lone link or a long block of links is text.
+
 Texts have character references decoded, runs of white space inside a block made one space,
 and are trimmed; a page's blocks stand in page order with one newline between them.
 
 Defined results: null or empty html, or a page without article text, gives an empty text and
 0 characters. Unclosed and crossing tags are tolerated: an end tag closes the nearest open
-element of its name; end tags without one are ignored. Repeated rows give repeated results;
-other columns than page_id, url and html are ignored, null ids and urls are passed through.
+element of its name; end tags without one are ignored. A quote belongs to an attribute's value
+only right after its equals sign, as browsers read it. Depth and length cost time in proportion.
+Repeated rows give repeated results; other columns than page_id, url and html are ignored, null
+ids and urls are passed through.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -31,63 +39,130 @@ from pyspark.sql import functions as F
 
 from lattica.llm import textblock as tb
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "marked", "in_article", "page_has_article", "heading")
+#: of EXAMPLES; the tree also sees ``links_beside``, the larger of the two neighbours' shares
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "place", "heading")
 
 #: labelled blocks: FEATURES, then 1 where the block is main text
 EXAMPLES = [
     # in an article, with usual neighbours
-    (40, 0.0, 35, 0.0, 50, 0.0, 0, 1, 1, 0, 1),
-    (3, 0.0, 60, 0.0, 40, 0.0, 0, 1, 1, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1),
-    (9, 0.0, 12, 0.0, 80, 0.0, 0, 1, 1, 1, 1),
-    (6, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 1, 1),
-    (80, 0.1, 9, 0.0, 6, 0.0, 0, 1, 1, 0, 1),
-    (12, 0.6, 40, 0.0, 40, 0.1, 0, 1, 1, 0, 1),
-    (2, 1.0, 40, 0.0, 20, 0.0, 0, 1, 1, 0, 1),
-    (200, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1, 0, 1),
-    (25, 0.0, 8, 0.0, 12, 0.2, 0, 1, 1, 0, 1),
-    # marked by an open element, wherever it stands
-    (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0),
-    (40, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0),
-    (60, 0.0, 30, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (15, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0, 0),
-    (35, 0.0, 40, 0.0, 12, 0.0, 1, 1, 1, 0, 0),
-    (90, 0.0, 10, 0.0, 50, 0.0, 1, 0, 0, 0, 0),
-    (4, 0.0, 20, 0.0, 20, 0.0, 1, 0, 0, 1, 0),
-    (5, 0.2, 3, 0.0, 2, 1.0, 1, 1, 1, 1, 0),
-    (120, 0.0, 90, 0.0, 80, 0.0, 1, 1, 1, 0, 0),
+    (3, 0.0, 40, 0.0, 4, 1.0, 0, 2, 0, 1),
+    (2, 0.0, 60, 0.0, 2, 1.0, 0, 2, 1, 1),
+    (4, 0.0, 1, 1.0, 3, 1.0, 0, 2, 0, 1),
+    (6, 0.0, 30, 0.0, 2, 1.0, 0, 2, 0, 1),
+    (7, 0.1, 3, 1.0, 5, 0.9, 0, 2, 1, 1),
+    (1, 0.0, 2, 1.0, 2, 1.0, 0, 2, 0, 1),
+    (2, 0.0, 0, 0.0, 5, 1.0, 0, 2, 0, 1),
+    (40, 0.0, 35, 0.0, 50, 0.0, 0, 2, 0, 1),
+    (3, 0.0, 60, 0.0, 40, 0.0, 0, 2, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 2, 0, 1),
+    (9, 0.0, 12, 0.0, 80, 0.0, 0, 2, 1, 1),
+    (6, 0.0, 1, 1.0, 30, 0.0, 0, 2, 1, 1),
+    (80, 0.1, 9, 0.0, 6, 0.0, 0, 2, 0, 1),
+    (12, 0.6, 40, 0.0, 40, 0.1, 0, 2, 0, 1),
+    (200, 0.0, 0, 0.0, 3, 0.0, 0, 2, 0, 1),
+    (25, 0.0, 8, 0.0, 12, 0.2, 0, 2, 0, 1),
+    (30, 0.0, 3, 1.0, 2, 1.0, 0, 2, 0, 1),
+    (5, 0.2, 2, 1.0, 3, 1.0, 0, 2, 0, 1),
+    (4, 0.3, 60, 0.0, 30, 0.0, 0, 2, 0, 1),
+    (6, 0.5, 5, 0.4, 7, 0.5, 0, 2, 0, 1),
+    # links in an article: alone, or long, they are text
+    (2, 1.0, 40, 0.0, 20, 0.0, 0, 2, 0, 1),
+    (5, 1.0, 9, 0.0, 40, 0.0, 0, 2, 0, 1),
+    (3, 0.9, 12, 0.5, 40, 0.4, 0, 2, 0, 1),
+    (4, 1.0, 0, 0.0, 60, 0.0, 0, 2, 1, 1),
+    (7, 1.0, 30, 0.2, 0, 0.0, 0, 2, 0, 1),
+    (25, 1.0, 30, 0.0, 2, 1.0, 0, 2, 0, 1),
+    (18, 0.9, 20, 1.0, 19, 1.0, 0, 2, 0, 1),
+    (30, 0.9, 4, 1.0, 25, 0.1, 0, 2, 0, 1),
+    (2, 1.0, 1, 0.0, 1, 0.0, 0, 2, 0, 1),
+    (1, 1.0, 0, 0.0, 0, 0.0, 0, 2, 0, 1),
+    (3, 1.0, 2, 0.0, 60, 0.0, 0, 2, 0, 1),
+    (6, 1.0, 60, 0.0, 3, 0.0, 0, 2, 0, 1),
+    (5, 0.8, 0, 0.0, 2, 0.3, 0, 2, 0, 1),
+    (2, 1.0, 6, 0.2, 1, 0.5, 0, 2, 0, 1),
+    (12, 1.0, 3, 1.0, 4, 1.0, 0, 2, 0, 1),
+    (15, 1.0, 0, 0.0, 3, 1.0, 0, 2, 0, 1),
+    (11, 0.8, 14, 0.9, 2, 0.0, 0, 2, 0, 1),
+    # short links beside short links are a menu, in an article too
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, 2, 0, 0),
+    (3, 1.0, 40, 0.0, 4, 1.0, 0, 2, 0, 0),
+    (4, 1.0, 3, 1.0, 60, 0.0, 0, 2, 0, 0),
+    (1, 1.0, 1, 1.0, 0, 0.0, 0, 2, 0, 0),
+    (5, 0.8, 4, 0.9, 6, 1.0, 0, 2, 0, 0),
+    (6, 1.0, 7, 0.9, 30, 0.1, 0, 2, 0, 0),
+    (7, 0.9, 25, 0.0, 5, 0.9, 0, 2, 0, 0),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 2, 0, 0),
+    (3, 1.0, 2, 1.0, 1, 0.0, 0, 2, 0, 0),
+    (7, 1.0, 1, 0.0, 8, 1.0, 0, 2, 0, 0),
+    (2, 0.9, 80, 0.0, 3, 0.9, 0, 2, 0, 0),
+    (8, 1.0, 6, 1.0, 7, 1.0, 0, 2, 0, 0),
+    (4, 1.0, 20, 1.0, 90, 0.0, 0, 2, 0, 0),
+    # named by an open element, wherever it stands
+    (2, 1.0, 2, 1.0, 2, 1.0, 2, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 2, 1, 0, 0),
+    (40, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0),
+    (60, 0.0, 30, 0.0, 0, 0.0, 2, 0, 0, 0),
+    (15, 0.0, 50, 0.0, 40, 0.0, 2, 2, 0, 0),
+    (35, 0.0, 40, 0.0, 12, 0.0, 2, 2, 0, 0),
+    (90, 0.0, 10, 0.0, 50, 0.0, 2, 1, 0, 0),
+    (4, 0.0, 20, 0.0, 20, 0.0, 2, 1, 1, 0),
+    (5, 0.2, 3, 0.0, 2, 1.0, 2, 2, 1, 0),
+    (120, 0.0, 90, 0.0, 80, 0.0, 2, 2, 0, 0),
+    (9, 0.0, 60, 0.0, 50, 0.0, 2, 2, 0, 0),
+    # a name that only holds such a word, in an article: prose stays, short or linked blocks go
+    (30, 0.0, 40, 0.0, 50, 0.0, 1, 2, 0, 1),
+    (14, 0.1, 60, 0.0, 20, 0.0, 1, 2, 0, 1),
+    (55, 0.0, 20, 0.0, 0, 0.0, 1, 2, 0, 1),
+    (18, 0.0, 8, 0.0, 35, 0.1, 1, 2, 0, 1),
+    (100, 0.2, 60, 0.0, 40, 0.0, 1, 2, 0, 1),
+    (3, 0.0, 40, 0.0, 2, 1.0, 1, 2, 0, 0),
+    (2, 1.0, 40, 0.0, 30, 0.0, 1, 2, 0, 0),
+    (6, 0.0, 50, 0.0, 60, 0.0, 1, 2, 0, 0),
+    (4, 0.5, 30, 0.0, 0, 0.0, 1, 2, 1, 0),
+    (20, 0.7, 50, 0.0, 40, 0.0, 1, 2, 0, 0),
+    (15, 0.9, 2, 1.0, 12, 0.8, 1, 2, 0, 0),
     # beside the article
-    (30, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0),
-    (70, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (4, 0.5, 60, 0.0, 4, 1.0, 0, 0, 1, 0, 0),
-    (8, 0.0, 5, 0.0, 90, 0.0, 0, 0, 1, 1, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (50, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 0, 0),
-    (40, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
-    (100, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (12, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
-    (45, 0.1, 4, 0.5, 3, 0.3, 0, 0, 1, 0, 0),
+    (5, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (25, 0.0, 20, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (7, 0.1, 30, 0.0, 12, 0.2, 0, 0, 1, 0),
+    (18, 0.3, 3, 1.0, 20, 0.2, 0, 0, 0, 0),
+    (150, 0.0, 90, 0.0, 120, 0.0, 0, 0, 0, 0),
+    (30, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0),
+    (70, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (4, 0.5, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
+    (8, 0.0, 5, 0.0, 90, 0.0, 0, 0, 1, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
+    (50, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (40, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0),
+    (100, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (12, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0),
+    (45, 0.1, 4, 0.5, 3, 0.3, 1, 0, 0, 0),
+    (3, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0),
     # pages without an article element: words and links of the block and its neighbours tell
-    (40, 0.0, 35, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (60, 0.05, 8, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
-    (30, 0.2, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (5, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (11, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
-    (50, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.1, 4, 0.5, 3, 0.3, 0, 0, 0, 0, 1),
-    (100, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (6, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (20, 0.9, 15, 0.9, 18, 0.9, 0, 0, 0, 0, 0),
-    (12, 0.7, 4, 1.0, 3, 0.5, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 0),
-    (8, 0.4, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (1, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
+    (40, 0.0, 35, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (60, 0.05, 8, 0.0, 4, 0.0, 0, 1, 0, 1),
+    (30, 0.2, 60, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (7, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 1),
+    (5, 0.0, 45, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (11, 0.0, 60, 0.0, 3, 0.0, 0, 1, 0, 1),
+    (50, 0.0, 0, 0.0, 30, 0.0, 0, 1, 0, 1),
+    (45, 0.1, 4, 0.5, 3, 0.3, 0, 1, 0, 1),
+    (100, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 1),
+    (18, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (12, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1),
+    (60, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 1),
+    (6, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
+    (20, 0.9, 15, 0.9, 18, 0.9, 0, 1, 0, 0),
+    (12, 0.7, 4, 1.0, 3, 0.5, 0, 1, 0, 0),
+    (3, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
+    (4, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 0),
+    (8, 0.4, 50, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (1, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0, 0),
+    (7, 0.0, 40, 0.0, 12, 0.5, 1, 1, 0, 0),
 ]
 
 #: elements that are never seen, those that end a block, those without end tag (fixed values)
@@ -98,65 +173,111 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKED = {"nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|cookies?|consent|notice|notification|alert|popup|modal|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|disqus|discussion|widget|toolbar|pagination|pager|skip|copyright|legal|gdpr|form|search)(?:$|[\s_-])",
-    re.I,
-)
-TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: words of class and id names that say what an element is (fixed values)
+WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice notification alert popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond reply replies disqus discussion widget toolbar pagination pager skip copyright legal gdpr form search".split())
+#: what may stand beside such a word without changing what it says (fixed values)
+AROUND = set("site page post article main top bottom left right global primary secondary mobile desktop bar box block section area container wrapper wrap inner outer content list item items group links link buttons button icons icon panel row col slot unit banner bar message text body header footer footer title heading form field input widget tag media network networks posts stories reader user thread tree cookie cookies consent".split())
+#: of these, what an article element can be by its own class: replies, adverts, teasers
+OF_ARTICLES = set("comment comments reply replies respond ad ads advert advertisement sponsored promo related recommended widget".split())
+PARTS = re.compile(r"[a-z]+|[0-9]+")
+#: attributes as browsers cut them: a quote opens a value right after an equals sign only
+ATTRIBUTES = r"(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?+)*+"
+TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?)?+")
 #: what ends an open element of the same kind without its end tag
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, set()), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 WHITE = re.compile(r"\s+")
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never seen, and whether it marks what is in it as no main text."""
-    unseen, marked = tag in UNSEEN, tag in MARKED or tag == "header" and not in_article
+def _named(value: str, tag: str, in_article: bool) -> int:
+    """What a class or id says: 2 where a name as a whole is one of WORDS, 1 where it holds one, else 0."""
+    most = 0
+    for name in value.lower().split():
+        parts = PARTS.findall(name)
+        words = [p for p in parts if p in WORDS and not (in_article and p == "header")]
+        if tag in ("article", "main"):
+            most = max(most, 2 * (tag == "article" and any(p in OF_ARTICLES for p in words)))
+        elif words:
+            whole = all(p in WORDS or p in AROUND or p.isdigit() for p in parts)
+            most = max(most, 2 if whole else 1)
+    return most
+
+
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is never seen, and its mark."""
+    unseen, mark = tag in UNSEEN, 2 * (tag in MARKED or tag == "header" and not in_article)
     if attributes.strip(" /"):
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 unseen = True
-            elif name == "role":
-                marked |= value.strip().lower() in ROLES
-            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                marked |= any(not in_article or m[0].strip(" _-\t\n").lower() != "header" for m in NAMES.finditer(value))
-    return unseen, marked
-
-
-def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, marked, in article, heading) of each flat block."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, unseen, marked
-    count = {"unseen": 0, "marked": 0, "a": 0, "article": 0, "heading": 0}
-    text: list[str] = []
-    links: list[str] = []
+            elif name == "role" and value.strip().lower() in ROLES:
+                mark = 2
+            elif name in ("class", "id") and tag not in ("html", "body"):
+                mark = max(mark, _named(value, tag, in_article))
+    return unseen, mark
 
-    def change(entry: tuple[str, bool, bool], by: int) -> None:
-        tag, unseen, marked = entry
-        count["unseen"] += by * unseen
-        count["marked"] += by * marked
-        count["a"] += by * (tag == "a")
-        count["article"] += by * (tag in ("article", "main"))
-        count["heading"] += by * (tag in HEADINGS)
 
-    def close(k: int) -> None:
-        while len(stack) > k:
-            change(stack.pop(), -1)
+class _Open:
+    """Open elements, with the places of each tag and of all block elements in the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []  # tag, unseen, mark
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.unseen = self.weak = self.strong = self.headings = 0
+
+    def any(self, *tags: str) -> bool:
+        return any(self.places.get(t) for t in tags)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _change(self, entry: tuple[str, bool, int], by: int) -> None:
+        tag, unseen, mark = entry
+        self.unseen += by * unseen
+        self.weak += by * (mark == 1)
+        self.strong += by * (mark == 2)
+        self.headings += by * (tag in HEADINGS)
+
+    def push(self, tag: str, unseen: bool, mark: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, unseen, mark))
+        self._change(self.stack[-1], 1)
+
+    def close(self, k: int) -> None:
+        while len(self.stack) > k:
+            entry = self.stack.pop()
+            self.places[entry[0]].pop()
+            if entry[0] in BLOCKS:
+                self.blocks.pop()
+            self._change(entry, -1)
+
+    def mark(self) -> int:
+        return 2 if self.strong else int(self.weak > 0)
+
+
+def blocks_of(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
+    """(text, words, words in links, mark, in article, heading) of each flat block."""
+    out: list[tuple[str, int, int, int, bool, bool]] = []
+    open_ = _Open()
+    text: list[str] = []
+    links: list[str] = []
 
     def end() -> None:
         nonlocal text, links
         if text:
             whole = WHITE.sub(" ", unescape("".join(text))).strip()
             if whole:
-                out.append((whole, len(whole.split(" ")), len(unescape(" ".join(links)).split()), count["marked"] > 0, count["article"] > 0, count["heading"] > 0))
+                out.append((whole, len(whole.split(" ")), len(unescape(" ".join(links)).split()), open_.mark(), open_.any("article", "main"), open_.headings > 0))
             text, links = [], []
 
     def add(part: str) -> None:
-        if part and not count["unseen"]:
+        if part and not open_.unseen:
             text.append(part)
-            if count["a"]:
+            if open_.any("a"):
                 links.append(part)
 
     at, raw = 0, None
@@ -165,7 +286,7 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             m = re.compile(rf"</{raw}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             if raw == "textarea":
                 add(html[at : m.start() if m else len(html)])
-            close(next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == raw), len(stack)))
+            open_.close(open_.last((raw,)))
             raw = None
             if not m:
                 break
@@ -180,61 +301,58 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCKS:
-                end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            continue
         if tag in BLOCKS:
             end()
-        if tag == "br" or tag in VOID:
+        if m[1]:
+            if open_.any(tag):
+                open_.close(open_.last((tag,)))
+            continue
+        if tag in VOID:
             continue
         if tag in CLOSES or tag in BLOCKS:
             ended, stop = CLOSES.get(tag, ({"p"}, set()))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended:
-                    close(k)
-                    break
-                if stack[k][0] in stop or stack[k][0] in BLOCKS and tag not in ("tr", "td", "th"):
-                    break
+            k = open_.last(ended)
+            # what lies between must not hold it: a list around an item, a table around a cell, any block around a paragraph
+            border = open_.last(stop) if tag in ("tr", "td", "th") else max(open_.last(stop), next((b for b in reversed(open_.blocks) if open_.stack[b][0] not in ended), -1))
+            if k > border:
+                open_.close(k if tag not in ("tr", "td", "th") else next(i for i in range(border + 1, len(open_.stack)) if open_.stack[i][0] in ended))
         if m[3].rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
             continue
-        entry = (tag, *_marks(tag, m[3], count["article"] > 0))
-        stack.append(entry)
-        change(entry, 1)
+        unseen, mark = _marks(tag, m[3], open_.any("article"))
+        open_.push(tag, unseen or tag == "title", mark)
         if tag in RAW:
             raw = tag
-            if tag == "title":
-                count["unseen"] += 1
-                stack[-1] = (tag, True, entry[2])
     end()
     return out
 
 
-def features(blocks: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
-    n = len(blocks)
+def _beside(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x[:, FEATURES.index("links_before")], x[:, FEATURES.index("links_after")])
+
+
+def features(blocks: list[tuple[str, int, int, int, bool, bool]]) -> np.ndarray:
     words = np.array([b[1] for b in blocks], float)
     links = np.array([min(b[2], b[1]) / b[1] for b in blocks])
     before, after = np.roll(np.stack([words, links]), 1, axis=1), np.roll(np.stack([words, links]), -1, axis=1)
     before[:, 0] = after[:, -1] = 0
     own = np.array([b[3:] for b in blocks], float)
-    return np.column_stack([words, links, before.T, after.T, own[:, 0], own[:, 1], np.full(n, own[:, 1].max()), own[:, 2]])
+    place = np.where(own[:, 1] > 0, 2, 0 if own[:, 1].any() else 1)
+    x = np.column_stack([words, links, before.T, after.T, own[:, 0], place, own[:, 2]])
+    return np.column_stack([_beside(x), x])
 
 
 @lru_cache(1)
 def tree() -> tuple:
     """(feature, cut, left, right) or a label, grown from the examples until leaves are pure."""
-    table = np.array(EXAMPLES, float)
+    rows = np.array(EXAMPLES, float)
+    table = np.column_stack([_beside(rows), rows])
 
     def grow(rows: np.ndarray) -> tuple | int:
         y = rows[:, -1]
         if y.min() == y.max() or len(rows) < 2:
             return int(round(y.mean()))
         best = None
-        for f in range(len(FEATURES)):
+        for f in range(len(FEATURES) + 1):
             values = np.unique(rows[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 low = rows[:, f] < cut
