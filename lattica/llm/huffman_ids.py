@@ -8,8 +8,11 @@ documents start on byte borders, and bit offsets of every ``STRIDE``-th id of ea
 (checkpoints) let a reader start there. ``read`` decodes with one table of ``2 ** bits`` entries,
 all stretches between checkpoints at once, one numpy step per id of a stretch.
 
-A pre-token never crosses a space or a newline, so texts are cut there and the library encodes
-each distinct piece once per worker (cache of ``CACHE`` pieces).
+Pre-tokens of ``word_bpe_49k.json`` never cross white space, nor the border of an ASCII letter, an
+ASCII digit and ASCII punctuation other than the apostrophe. Texts are cut there in numpy, pieces
+are known by 64-bit hashes, and the library encodes each distinct piece once per worker (a hash
+table of ``CACHE`` pieces). Whether a file cuts like that is read from it; of any other tokenizer
+file the library encodes whole texts.
 
 Defined results: a null text counts as empty and gives the end id alone. Null doc_ids come
 first, repeated doc_ids lie side by side in order of their bits. An empty table gives empty
@@ -18,13 +21,12 @@ files. Columns beyond ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,11 @@ FILE = "word_bpe_49k.json"
 END = 2
 LIMIT = 20
 BLOCK_IDS, STRIDE = 65_536, 256
-CACHE = 1_200_000
+CACHE = 1 << 21
+JOINED = 200  # pieces handed to the library as one string
+#: the normalizer and the pre-token pattern that the cuts below are right for (fixed values)
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_path() -> str:
@@ -156,21 +162,80 @@ def unpack(data: np.ndarray, start: np.ndarray, count: np.ndarray, table_: tuple
 # -- ids of texts
 
 
-class _Pieces(dict):
-    """Piece -> index, the end id under None; a new one gets the next index and is listed in ``new``."""
+#: kind of each byte: 0 white space, 1 letter, 2 digit, 3 punctuation, 4 what nothing is cut beside
+KIND = np.full(256, 4, np.uint8)
+KIND[[32, *range(9, 14)]] = 0
+KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[39] = 4
+BORDER = np.zeros((5, 5), bool)
+BORDER[[1, 1, 2, 2, 3, 3], [2, 3, 1, 3, 1, 2]] = True
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each piece, and how many pieces lie before each text."""
+    n = len(data)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(off), np.int64)
+    kind = KIND[data]
+    solid = kind != 0
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    edge[1:-1] |= BORDER.ravel()[kind[:-1] * np.uint8(5) + kind[1:]]
+    start, end = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | edge[1:n]
+    end[:-1] &= ~solid[1:] | edge[1:n]
+    s = np.flatnonzero(start)
+    return s, np.flatnonzero(end) + 1, np.searchsorted(s, off)
+
+
+class _Table:
+    """Open-addressing hash table from 64-bit hashes to 0, 1, 2, ... in order of arrival."""
+
+    def __init__(self, most: int) -> None:
+        self.slots = 1 << (2 * most - 1).bit_length()
+        self.key = np.zeros(self.slots, np.uint64)
+        self.value = np.full(self.slots, -1, np.int32)
+        self.count = 0
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is new."""
+        mask = np.uint64(self.slots - 1)
+        at = (h & mask).astype(np.int64)
+        out = self.value[at]
+        wrong = np.flatnonzero((out >= 0) & (self.key[at] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (self.slots - 1)
+            out[wrong] = self.value[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.key[at[wrong]] != h[wrong])]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers distinct new hashes."""
+        number = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        self.count += len(h)
+        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.value[at[left]] < 0]
+            self.value[at[free]] = number[free]  # of several for one slot the last one stays
+            self.key[at[free]] = h[free]
+            left = left[self.value[at[left]] != number[left]]
+            at[left] = (at[left] + 1) & (self.slots - 1)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str | None] = []
 
-    def __missing__(self, piece: str | None) -> int:
-        k = self[piece] = len(self)
-        self.new.append(piece)
-        return k
+def _cut_by_words(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|") for t in spec["added_tokens"])
+    return spec.get("normalizer") == NORMALIZER and first.get("pattern") == {"Regex": PRETOKENS} and plain and len(spec["added_tokens"]) > 0
 
 
 class Encoder:
-    """The library's ids of texts, with each distinct piece between spaces encoded once."""
+    """The library's ids of texts, with each distinct piece encoded once where the file allows that."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -180,45 +245,86 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self._clear()
+        self.by_piece = _cut_by_words(path)
+        if self.by_piece:
+            self.mark_id, token = max((i, t.content) for i, t in self.tok.get_added_tokens_decoder().items())
+            self.mark = np.frombuffer(token.encode(), np.uint8)
+            self._clear()
 
     def _clear(self) -> None:
-        self.seen = _Pieces()
-        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int32)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """What lies between spaces; lowered where that can't change the library's ids."""
-        if text.isascii():
-            plain = "<|" not in text
-        else:
-            plain = "<|" not in text and "Σ" not in text and "İ" not in text and is_normalized("NFC", text)
-        return (text.lower() if plain else text).replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+        self.known = _Table(CACHE)
+        self.flat, self.off = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, h: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Encodes new pieces: many in one string, with an added token after each to tell them apart."""
+        size, extra = e - s, len(self.mark)
+        to = np.concatenate([[0], np.cumsum(size + extra)])
+        joined = np.empty(int(to[-1]), np.uint8)
+        joined[spread(to[:-1], size)] = data[spread(s, size)]
+        joined[(to[1:, None] - extra + np.arange(extra)).ravel()] = np.tile(self.mark, len(s))
+        ids = self._library([joined[to[k] : to[min(k + JOINED, len(s))]].tobytes().decode() for k in range(0, len(s), JOINED)])
+        flat = np.concatenate([np.array(x, np.uint32) for x in ids])
+        ends = np.flatnonzero(flat == self.mark_id)
+        n = np.diff(np.concatenate([[-1], ends])) - 1
+        self.known.add(h)
+        top = int(self.off[-1])
+        while top + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[top : top + len(flat) - len(ends)] = np.delete(flat, ends)
+        self.off = np.concatenate([self.off, top + np.cumsum(n)])
+
+    def encode(self, texts: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the ids before each; ``end`` closes each text."""
-        if len(self.seen) > CACHE:
-            self._clear()
-        look, found, counts = self.seen.__getitem__, [], []
-        last = np.full(1, look(None), np.int32) if end is not None else np.zeros(0, np.int32)
-        for t in texts:
-            pieces = self.pieces(t) if t else []
-            found += [np.fromiter(map(look, pieces), np.int32, len(pieces)), last]
-            counts.append(len(pieces) + len(last))
-        if self.seen.new:
-            got = [e.ids for e in self.tok.encode_batch_fast([p for p in self.seen.new if p is not None], add_special_tokens=False)]
-            if None in self.seen.new:
-                got.insert(self.seen.new.index(None), [end])
-            n = np.fromiter(map(len, got), np.int32, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(n, dtype=np.int32)])
-            self.seen.new = []
-        index = np.concatenate(found) if found else np.zeros(0, np.int32)
-        start = self.off[index]
-        size = self.off[index + 1] - start
-        stop = np.cumsum(size)
-        ids = self.flat[np.repeat(start - (stop - size).astype(np.int32), size) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
-        return ids, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        if not self.by_piece:
+            return self._whole([t or "" for t in texts.to_pylist()], end)
+        data, off = tb.flat(texts)
+        # texts with what may be an added token are encoded as a whole
+        odd = np.unique(np.searchsorted(off, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1)
+        s, e, before = cuts(data, off)
+        h = tb.word_hashes(data, s, e)
+        high = np.concatenate([[0], np.cumsum(data > 127)])
+        capital = np.flatnonzero((data > 64) & (data < 91))
+        if high[-1] and len(capital):  # beyond ASCII, capitals count: composed letters may differ in them
+            piece = np.searchsorted(s, capital, "right") - 1
+            some = (high[e] > high[s])[piece]
+            piece, capital = piece[some], capital[some]
+            np.add.at(h, piece, tb.mix((capital - s[piece] + 7).astype(np.uint64)))
+        number = self.known.get(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            distinct, first = np.unique(h[new], return_index=True)
+            if self.known.count + len(distinct) > CACHE:
+                self._clear()
+                distinct, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+                if len(distinct) > CACHE:  # a text of its own that fills the table
+                    return self._whole([t or "" for t in texts.to_pylist()], end)
+            at = new[first]
+            self._learn(distinct, data, s[at], e[at])
+            number[new] = self.known.get(h[new])
+        start = self.off[number]
+        size = self.off[number + 1] - start
+        stop = np.cumsum(np.concatenate([[0], size]))
+        own = stop[before]  # ids before each text, without ends
+        ids = self.flat[spread(start, size)]
+        if len(odd):
+            ids, own = self._patched(ids, own, odd, texts)
+        if end is None:
+            return ids, own
+        return np.insert(ids, own[1:], np.uint32(end)), own + np.arange(len(own))
+
+    def _whole(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(x + ([] if end is None else [end]), np.uint32) for x in self._library(texts)]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+
+    def _patched(self, ids: np.ndarray, own: np.ndarray, odd: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = [ids[own[k] : own[k + 1]] for k in range(len(own) - 1)]
+        for k, x in zip(odd.tolist(), self._library([texts[int(k)].as_py() for k in odd])):
+            parts[k] = np.array(x, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -239,7 +345,7 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterator[pa
     for batch in batches:
         texts = batch.column(1)
         for i, n, _, _ in tb.blocks(texts):
-            ids, at = e.encode(texts.slice(i, n).to_pylist())
+            ids, at = e.encode(texts.slice(i, n))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), _binary(ids.astype(kind).view(np.uint8), at * width)], names=["doc_id", "ids"])
 
 
