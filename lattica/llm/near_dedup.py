@@ -8,8 +8,10 @@ least 0.75 (``100 * intersection >= 75 * union``), and a group is a connected co
 2. Documents with equal sets form a class at once; only its smallest id goes on, so a group
    of exact copies costs one row per copy however large it is.
 3. Each bucket of a band pairs its members with its smallest member (a star, never all pairs).
-   Pairs are confirmed on full sets; union-find joins the confirmed ones.
-4. Buckets that still hold several components are compared blockwise inside tasks. A first
+   Pairs are confirmed on full sets; union-find joins the confirmed ones. Keys that many rows
+   hold are salted in every join (``skew``), and counted before they are shuffled.
+4. Buckets that still hold several components are compared blockwise inside tasks: members of
+   the bucket's largest component with those outside it, and these with each other. A first
    pass over signatures marks the members that agree enough with one of another component;
    their full sets are then dealt to the same blocks, where pairs are confirmed, closest
    first, and united. Only the links of that forest leave a task, so the rows are no more
@@ -35,13 +37,14 @@ from lattica.llm import textblock as tb
 from lattica.llm.components import components
 from lattica.llm.ids import id_bits, with_bit
 from lattica.llm.shared import table
+from lattica.llm.skew import hot_keys, spread_join
 
 SIZE = 5  # words of a shingle
 BANDS, ROWS = 42, 5  # misses a pair of similarity 0.75 with probability 1.2e-5
 M = BANDS * ROWS
 AGREE = 0.62  # of the registers; 0.75 lies 4.4 standard deviations above
 SLICE = 1 << 14  # elements that draw registers at once
-SIDE = 256  # members of one bucket that a task compares with as many others
+SIDE = 512  # members of one bucket that a task compares with as many others
 
 U = np.uint64
 
@@ -242,7 +245,8 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that full sets confirm."""
     sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     out = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
-    out = out.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
+    hot, _ = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"])
+    out = spread_join(out, sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), ["a"], "b", hot)
     return table(out.select("a", "b", "ha", "hb").mapInArrow(_confirm, "a long, b long"), "links")
 
 
@@ -251,18 +255,23 @@ def groups(docs: DataFrame) -> DataFrame:
     signed = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_sign, SIGNED), "signed")
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     known = signed.where("k1 is not null and doc_id is not null")
-    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
-    member = table(known.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct(), "class")
+    classes = table(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n")), "classes")
+    hot, _ = hot_keys(classes, ["k1", "k2"])
+    member = spread_join(known.select("doc_id", "k1", "k2"), classes.drop("n"), ["k1", "k2"], "doc_id", hot)
+    member = table(member.select("doc_id", "cid").distinct(), "class")
     own = member.groupBy("doc_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most"))
     reps = signed.join(member.where("doc_id = cid").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = table(reps.select(F.col("doc_id").alias("cid"), "sig", "bands"), "reps")
-    banded = reps.select("cid", F.posexplode("bands").alias("band", "key")).repartition("key")  # one shuffle serves both uses
-    buckets = banded.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    shared = table(banded.join(buckets.hint("merge"), "key"), "buckets")
+    banded = reps.select("cid", F.posexplode("bands").alias("band", "key"))
+    buckets = table(banded.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("n")).where("n > 1"), "counts")
+    hot, _ = hot_keys(buckets, ["key"])
+    shared = table(spread_join(banded, buckets.hint("merge"), ["key"], "cid", hot), "buckets")
     sigs = reps.select(F.col("cid").alias("id"), "sig")
 
-    star = shared.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+    star = table(shared.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    of_a, _ = hot_keys(star.groupBy("a").agg(F.count("*").alias("n")), ["a"])
+    star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    star = spread_join(star, sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), ["a"], "b", of_a)
     star = table(star.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "star")
     split = own.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))  # rows that share an id
     links = confirm(docs, star).unionByName(split)
@@ -270,10 +279,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # what a star leaves apart: blocks of mixed buckets, compared inside tasks
     held = shared.where("n > 2").join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    sides = F.ceil(F.col("n") / SIDE).cast("int")
-    rest = held.join(mixed, "key", "left_semi").select("key", "band", "n", "cid", "comp").join(reps, "cid")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("cid"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    counted = held.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
+    mixed = counted.agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / SIDE).cast("int")
+    mixed = mixed.select("key", F.col("top.comp").alias("largest"), blocks(F.col("all") - F.col("top.m")).alias("few"), blocks(F.col("top.m")).alias("many"))
+    rest = spread_join(held.select("key", "band", "cid", "comp"), mixed, ["key"], "cid", hot).join(reps, "cid")
+    in_it = F.col("comp") == F.col("largest")
+    # blocks 0 to few - 1 are those outside the largest component, the others follow
+    rest = rest.withColumn("block", F.when(in_it, F.col("few") + F.pmod(F.xxhash64("cid"), "many")).otherwise(F.pmod(F.xxhash64("cid"), "few")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(in_it, 0).otherwise(F.col("many")))))
     rest = rest.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "cid", "comp", "block", "sig", "bands")
     rest = table(rest.repartition(width, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_mark, rest.schema), "rest")
     if not rest.isEmpty():

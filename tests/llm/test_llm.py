@@ -472,3 +472,36 @@ def test_pipeline_stage_by_stage(spark):
     assert set(last) == left and all(last[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items())
     ran = corpus_pipeline.run(spark, SMALL).collect()
     assert {(r.doc_id, r.ids_sha256) for r in ran} == {(i, r.ids_sha256) for i, r in last.items()}
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    from lattica.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 20)
+    left = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(300)] + [(None, 5)], "k long, v long")
+    right = spark.createDataFrame([(k, -k) for k in range(300)], "k long, w long")
+    hot, step = skew.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"])
+    assert [tuple(r) for r in hot] == [(1, 10)] and step == 20
+    got = skew.spread_join(left, right, ["k"], "v", hot)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert skew.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")).limit(0), ["k"])[0] == []
+
+
+def test_near_dedup_with_hot_keys(spark, monkeypatch):
+    """Exact copies, near copies and a shared passage, all salted and in small blocks: same groups."""
+    from lattica.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 4)
+    monkeypatch.setattr(near_dedup, "SIDE", 4)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = [" ".join(base)] * 40
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    rows += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
