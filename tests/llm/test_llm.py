@@ -435,13 +435,53 @@ def test_recordings(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(base)]
     rows += [(100 + k, (v + 0.02 * rng.normal(size=64)).tolist()) for k, v in enumerate(base)] + [(200, base[0].tolist()), (300, None), (301, []), (None, base[1].tolist())]
     v = spark.createDataFrame(rows, "id long, embedding array<double>")
-    got = chroma.matches(chroma.fingerprints(chroma.sonify(v)), F.col("id") < 30).collect()
-    own = {r.id: r.class_id for r in got if r.partner is None}
-    assert own[200] == 0 and own[300] == 300 and len(own) == len(rows)
-    pairs = {(r.id, r.partner) for r in got if r.partner is not None and r.offset == 0}
-    assert sum((k, 100 + k) in pairs for k in range(30)) >= 27
-    assert all(a % 100 == b % 100 for a, b in pairs)
-    assert chroma.matches(chroma.fingerprints(chroma.sonify(v.limit(0))), F.col("id") < 30).count() == 0
+    prints = chroma.fingerprints(chroma.sonify(v).withColumn("words", F.lit(1)).withColumn("class_id", F.lit(7)))
+    got = {r.id: r for r in chroma.matches(prints).collect()}
+    assert len(got) == len(rows) and got[200].class_id == got[200].partner == 0 and got[200].bit_error == 0 and got[300].class_id == 300 and got[None].class_id is None
+    assert sum(got[100 + k].class_id == k and got[100 + k].offset == 0 for k in range(30)) >= 27
+    assert all(r.class_id % 100 == i % 100 for i, r in got.items() if i is not None and i != 200)
+    assert chroma.matches(prints.limit(0)).count() == 0
+
+
+def test_recall_of_alignment_against_all_offsets(spark, monkeypatch):
+    """Cut and noisy copies, one large group of them: brute force over all pairs and offsets."""
+    rng = np.random.default_rng(2)
+
+    def sound(v):
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([v.tolist()])], names=["id", "e"])
+        return np.frombuffer(next(chroma._sound(iter([batch]))).column(1)[0].as_py(), "<i2")
+
+    media = []
+    for k in range(40):
+        v = rng.normal(size=64)
+        for c in range(60 if k == 0 else 1 + k % 5):
+            pcm = sound(v + rng.uniform(0, 0.12) * rng.normal(size=64))
+            media.append(pcm[chroma.HOP * int(rng.integers(0, 12)) : len(pcm) - chroma.HOP * int(rng.integers(0, 12))])
+    media += [np.zeros(3000, np.int16), np.tile(sound(rng.normal(size=64)), 40), np.zeros(10, np.int16)]  # silence, long, too short
+    prints = chroma.fingerprints(spark.createDataFrame([(k, m.tobytes()) for k, m in enumerate(media)], "id long, audio binary"))
+    words_ = {r.id: np.array(r.words or [], np.int64) for r in prints.collect()}
+    monkeypatch.setattr(chroma, "HELD", 16)
+    got = {r.id: r.class_id for r in chroma.matches(prints).collect()}
+    root = {i: i for i in words_}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    found = links = 0
+    for i, x in words_.items():
+        for j in range(i):
+            y, least = words_[j], chroma.LEAST_OVERLAP * min(len(x), len(words_[j]))
+            if len(x) > 100 or len(y) > 100 or not len(x) or not len(y) or not x.any() or not y.any():
+                continue
+            errors = [np.bitwise_count(x[max(0, -o) :][:n] ^ y[max(0, o) :][:n]).sum() / (32 * n) for o in range(-len(x), len(y)) if (n := min(len(x) - max(0, -o), len(y) - max(0, o))) >= least and n > 0]
+            if min(errors) <= chroma.MOST_ERROR:
+                links += 1
+                found += got[i] == got[j]
+                root[find(i)] = find(j)
+    assert links > 500 and found >= 0.9 * links
+    assert all(find(i) == find(c) for i, c in got.items())
 
 
 # -- the pipeline
