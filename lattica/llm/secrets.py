@@ -8,10 +8,12 @@ Base kinds (leftmost non-overlapping matches per kind, those too short dropped):
 * ``hex``: lower-case hexadecimal digits, 24+.
 
 The method adds kind ``entropy``: candidate strings are maximal runs of ``[A-Za-z0-9+/_=-]``
-of at least the window's length. A window slides over each; counts of its characters change
-by one in and one out, and so does the entropy. Windows at or above the threshold of the
-string's character class are joined to spans. Suppressed: spans that touch a base span, and
-strings on the allow-list (see ``ALLOWED``), which prose, names, addresses and ids match.
+of at least the window's length. Each belongs to the narrowest character class that holds all its
+characters (``CLASSES``: hexadecimal digits, small letters and digits, capitals and digits, both
+letters, letters and digits, base 64), which sets the entropy that a window needs. The window
+slides over it; counts of its characters change by one in and one out, and so does the entropy.
+Windows that reach the threshold are joined to spans. Suppressed: spans that touch a base span,
+and strings on the allow-list (see ``ALLOWED``), which prose, names, addresses and ids match.
 
 Defined results: null and empty texts have no spans (zero counts, the hash of nothing, "").
 Repeated rows give repeated results; a null doc_id is passed through. Spans that start at the
@@ -37,11 +39,20 @@ from lattica.llm import textblock as tb
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 VALUE, ACCESS, HEX = 6, 20, 24  # least lengths
-#: class of a candidate -> window, bits of entropy that a window needs
-CLASSES = {"hex": (20, 3.0), "mixed": (20, 3.6)}
+WINDOW = 20
+#: character classes from narrow to wide: their characters, and the bits of entropy that a window of
+#: them needs (random strings of the class have some 0.3 more; 20 different characters have 4.32)
+CLASSES = (
+    ("hex", re.compile(rb"[0-9a-f]+|[0-9A-F]+"), 3.0),
+    ("small", re.compile(rb"[a-z0-9]+"), 3.5),
+    ("capital", re.compile(rb"[A-Z0-9]+"), 3.5),
+    ("letters", re.compile(rb"[A-Za-z]+"), 3.7),
+    ("mixed", re.compile(rb"[A-Za-z0-9]+"), 3.7),
+    ("base64", re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.7),
+)
 ALLOWED = (
-    re.compile(rb"[^0-9]*"),  # no digit: words, names, paths
-    re.compile(rb"[0-9+/_=-]*"),  # no letter: numbers, dates, rulers
+    re.compile(rb"[0-9+/_=-]*"),  # numbers, dates, rules
+    re.compile(rb"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z](?![a-z]))?|[a-z](?![A-Za-z])|[A-Z]+(?![a-z])|[+/_=-]+)*"),  # no digit: words, names joined by capitals, paths
     re.compile(rb"[A-Za-z]+[0-9]{1,6}(?:[/_=-][A-Za-z]+[0-9]{0,6})*"),  # numbered words
     re.compile(rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(rb".*(?:example|placeholder|changeme|xxxxxx|000000|123456789).*", re.I | re.S),
@@ -52,7 +63,6 @@ _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 _LOWHEX = np.zeros(256, bool)
 _LOWHEX[list(b"0123456789abcdef")] = True
-_HEX = re.compile(rb"[0-9a-fA-F]+")
 
 
 def runs(mask: np.ndarray, off: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -71,9 +81,10 @@ def runs(mask: np.ndarray, off: np.ndarray, least: int) -> list[tuple[int, int]]
 
 def entropy_spans(s: bytes) -> list[tuple[int, int]]:
     """Unions of the windows of a candidate whose entropy reaches its class's threshold."""
-    window, bits = CLASSES["hex" if _HEX.fullmatch(s) else "mixed"]
+    window = WINDOW
     if len(s) < window or any(a.fullmatch(s) for a in ALLOWED):
         return []
+    bits = next(bits for _, kind, bits in CLASSES if kind.fullmatch(s))
     weight = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts, total, out = [0] * 256, 0.0, []
     for i, c in enumerate(s):
@@ -118,7 +129,7 @@ def find(data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, in
         place = raw.find(b"AKIA", max(m.end() if m else 0, place + 1))
     for s, e in runs(_LOWHEX[data], off, HEX):
         add(s, 2, e)
-    for s, e in runs(_RUN[data], off, min(w for w, _ in CLASSES.values())):
+    for s, e in runs(_RUN[data], off, WINDOW):
         for lo, hi in entropy_spans(raw[s:e]):
             k = text(s)
             base = int(off[k])

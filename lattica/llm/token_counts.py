@@ -1,11 +1,11 @@
 """Token counts under a unigram model, with forward scores shared along a trie.
 
 Distinct pre-tokens (words between white space, with the word mark in front) are inserted in a
-trie. The forward score of a node is the best sum of piece scores over all ways to cut the
-prefix that it stands for, so it is computed once for all words that share the prefix; a word's
-terminal node stores the number of pieces of its best cut. Sorted words visit the trie in depth
-first order, so only one path of it is held at a time. Counts are kept per worker in a cache of
-at most ``CACHE`` words; nothing is shuffled.
+trie that a worker keeps. The forward score of a node is the best sum of piece scores over all
+ways to cut the prefix that it stands for; it is computed when the node is made, from the nodes
+above it, so once for all words that share the prefix. A word's last node is its terminal and
+stores the number of pieces of its best cut. A trie of more than ``NODES`` nodes, and the words
+found in it, are given up and begun anew; nothing is shuffled.
 
 Pieces and scores are those of the tokenizer file. A letter that no piece covers costs
 ``UNKNOWN`` and counts as its bytes. Of cuts with equal scores the one with fewer pieces wins.
@@ -16,6 +16,7 @@ Repeated rows give repeated results, a null doc_id is passed through. Other colu
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,7 +30,7 @@ from lattica.llm import textblock as tb
 FILE = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -1e6
-CACHE = 600_000
+NODES = 1_000_000
 
 
 def default_path() -> str:
@@ -38,6 +39,18 @@ def default_path() -> str:
     return public_tokenizers.path(FILE)
 
 
+class Trie:
+    """Nodes by number, the root 0: children by (node, letter), forward scores and pieces, terminals."""
+
+    def __init__(self) -> None:
+        self.children: dict[int, int] = {}  # node << 21 | letter -> node
+        self.best, self.pieces = array("d", [0.0]), array("q", [0])
+        self.terminal: dict[int, int] = {}  # node of a whole word -> its tokens
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+
 class Unigram:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -45,7 +58,6 @@ class Unigram:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
         self.score = {model.id_to_piece(i): float(model.get_score(i)) for i in plain}
-        self.longest = max(map(len, self.score), default=1)
         #: for a piece's last letter the lengths of pieces that end so
         self.lengths: dict[str, list[int]] = {}
         for piece in self.score:
@@ -54,39 +66,47 @@ class Unigram:
                 self.lengths[piece[-1]].append(len(piece))
         for sizes in self.lengths.values():
             sizes.sort()
-        self.words: dict[str, int] = {}
+        self.trie, self.words = Trie(), {}
 
     def count_all(self, words: list[str]) -> dict[str, int]:
-        """Terminal counts of words; one walk over their trie."""
-        out: dict[str, int] = {}
-        best, pieces, last = [0.0], [0], ""  # forward scores along the open path
-        get, lengths = self.score.get, self.lengths
-        for word in sorted(MARK + w for w in words):
-            shared, limit = 0, min(len(word), len(last))
-            while shared < limit and word[shared] == last[shared]:
-                shared += 1
-            del best[shared + 1 :], pieces[shared + 1 :]
-            for d in range(shared + 1, len(word) + 1):
+        """Inserts words and returns the tokens stored at their terminals."""
+        trie, get, lengths, out = self.trie, self.score.get, self.lengths, {}
+        children, best, pieces = trie.children, trie.best, trie.pieces
+        path, last = [0], ""
+        for plain in sorted(words):  # neighbours share a prefix, whose nodes are still in ``path``
+            word, same = MARK + plain, 0
+            for x, y in zip(word, last):
+                if x != y:
+                    break
+                same += 1
+            del path[same + 1 :]
+            node, last = path[-1], word
+            for d in range(same + 1, len(word) + 1):
                 letter = word[d - 1]
-                top, n = best[d - 1] + UNKNOWN, pieces[d - 1] + len(letter.encode())
-                for size in lengths.get(letter, ()):
-                    if size > d:
-                        break
-                    s = get(word[d - size : d])
-                    if s is not None:
-                        value, k = best[d - size] + s, pieces[d - size] + 1
-                        if value > top or value == top and k < n:
-                            top, n = value, k
-                best.append(top)
-                pieces.append(n)
-            out[word[1:]] = pieces[-1]
-            last = word
+                key = node << 21 | ord(letter)
+                above, node = node, children.get(key, 0)
+                if not node:
+                    top, n = best[above] + UNKNOWN, pieces[above] + len(letter.encode())
+                    for size in lengths.get(letter, ()):
+                        if size > d:
+                            break
+                        s = get(word[d - size : d])
+                        if s is not None:
+                            at = path[d - size]
+                            value, k = best[at] + s, pieces[at] + 1
+                            if value > top or value == top and k < n:
+                                top, n = value, k
+                    node = children[key] = len(best)
+                    best.append(top)
+                    pieces.append(n)
+                path.append(node)
+            out[plain] = trie.terminal[node] = pieces[node]
         return out
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each text."""
-        if len(self.words) > CACHE:
-            self.words.clear()
+        if len(self.trie) > NODES:
+            self.trie, self.words = Trie(), {}
         split = [t.split() if t else [] for t in texts]
         new: set[str] = set()
         for words in split:

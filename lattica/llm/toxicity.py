@@ -44,7 +44,8 @@ PREFIXES = (3, 4, 5, 6)
 LEAST = 3  # toxic documents that a feature needs
 PART = 1 << 20  # features of the lexicon that a task holds at once
 SURE, FLOOR = 24.0, 1.0  # likelihood ratio that a kept feature needs (about one chance in a million); least log-odds less its error
-STEP, CEILING, PENALTY = 0.25, 200.0, 0.5
+STEP, PENALTY = 0.25, 0.5
+CEILING = 200.0  # evidence of the last bin that the curve is fitted to; scores use all evidence
 
 #: letters that signs may stand for (fixed values)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -388,7 +389,7 @@ def evidence(rows: DataFrame, kept: DataFrame, model: CharModel, part: int = PAR
         last = k == blocks - 1
         out = out.mapInArrow(partial(_evidence, lexicon=lexicon, model=model, last=last), f"key {kind}, {'words long' if last else 'text string'}, evidence double")
         out = out if last else table(out, "evidence")
-    return out.withColumn("evidence", F.least("evidence", F.lit(CEILING)))
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,7 +402,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if toxic and other:
         model = language_model(docs)
         kept = table(judged(known, model, toxic, other), "lexicon")
-        bin_, size = (F.rint(x / STEP).cast("int") for x in (F.col("evidence"), F.log1p("words")))
+        bin_, size = (F.rint(x / STEP).cast("int") for x in (F.least("evidence", F.lit(CEILING)), F.log1p("words")))
         bins = evidence(known, kept, model).groupBy(bin_.alias("bin"), size.alias("size")).agg(F.sum(1 - F.col("key")), F.sum("key")).collect()
         x, n_words, n0, n1 = (np.array(v, float) for v in zip(*bins))  # some thousand rows at most: both are clipped or logarithms
         curve = logistic(design(x * STEP, np.expm1(n_words * STEP)), n0, n1).tolist()

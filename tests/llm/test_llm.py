@@ -235,6 +235,14 @@ def test_token_counts_against_every_cut(odd, none):
     words = sorted({w for t in fuzz() if t for w in t.split()})
     got = u.count_all(words)
     assert all(got[w] == plain(w) for w in words)
+    def letters(node):
+        return "".join(way[node]) if node else ""
+
+    way = {}
+    for key, node in u.trie.children.items():
+        way[node] = (*way.get(key >> 21, ()), chr(key & 0x1FFFFF))
+    assert {letters(node)[1:]: n for node, n in u.trie.terminal.items()} == got
+    assert len(set(way.values())) == len(way) == len(u.trie) - 1  # one node for each prefix
     rows = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count(odd).collect()}
     assert rows[1] == rows[2] == rows[3] == (0, 0) and rows[6] == (2, plain("short") + plain("text"))
     assert token_counts.count(none).count() == 0
@@ -264,7 +272,9 @@ def test_entropy_windows_against_counting_anew():
     rng = random.Random(1)
     for _ in range(200):
         s = "".join(rng.choice("ab1" if rng.random() < 0.3 else "abcdefghijklmnopqrstuvwxyzABCDEFGHJKLM0123456789") for _ in range(rng.randrange(18, 60))).encode()
-        size, bits = secrets.CLASSES["hex" if re.fullmatch(rb"[0-9a-fA-F]+", s) else "mixed"]
+        size = secrets.WINDOW
+        plain = (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), ("abcdefghijklmnopqrstuvwxyz0123456789", 3.5), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5))
+        bits = next((b for kind, b in plain if set(s.decode()) <= set(kind)), 3.7)
         inside = set()
         if not any(a.fullmatch(s) for a in secrets.ALLOWED):
             for k in range(len(s) - size + 1):
@@ -272,7 +282,20 @@ def test_entropy_windows_against_counting_anew():
                 if -sum(c / size * math.log2(c / size) for c in n.values()) >= bits - 1e-9:
                     inside |= set(range(k, k + size))
         assert {i for a, b in secrets.entropy_spans(s) for i in range(a, b)} == inside
-    assert secrets.entropy_spans(b"thequickbrownfoxjumpsoverthelazydog") == []
+    assert secrets.entropy_spans(b"thequickbrownfoxjumpsoverthelazydog") == secrets.entropy_spans(b"ThisIsCamelCaseIdentifierForAll") == []
+    assert secrets.entropy_spans(b"AbCdEfGhIjKlMnOpQrStUvWx") == [(0, 24)]
+
+
+def test_entropy_spans_in_the_result(spark):
+    """Keys of each character class come back as spans of the query, prose beside them does not."""
+    keys = ["9f8e7d6c5b4a3f2e1d0c", "9F8E7D6C5B4A3F2E1D0C", "q8w7e6r5t4y3u2i1o0pz", "Q8W7E6R5T4Y3U2I1O0PZ", "aGkLmQpzXrTbWnVcYdHe", "a8GkL2mQpzX5rTbWn9Vc", "a8GkL2+QpzX5/TbWn9Vc="]
+    texts = [f"Größe of the-whole/path: {k}, and well-known words" for k in keys] + ["-".join(["prose"] * 9), "-" * 40, "2024-01-01/2024-12-31-00", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    start = texts[0].index(keys[0])
+    assert [got[k].spans for k in range(len(keys))] == [f"entropy:{start}:{start + len(k)}" for k in keys]
+    assert all(got[k].spans == "" and got[k].n_entropy == 0 for k in range(len(keys), len(texts)))
+    assert {r.text for r in secrets.redact(docs.where(f"doc_id < {len(keys)}")).collect()} == {"Größe of the-whole/path: [SECRET], and well-known words"}
 
 
 def test_main_text():
@@ -413,6 +436,82 @@ def test_deobfuscation_of_signs_at_the_end_and_of_wide_gaps():
     assert toxicity.restored(m, "plain words, that are 12 and 1 2 3.") == []
 
 
+def test_decoder_against_every_reading():
+    """Viterbi finds the best of all ways to read a token."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 30, toxicity.SYMBOLS**toxicity.ORDER) * (rng.random(toxicity.SYMBOLS**toxicity.ORDER) < 0.3)
+    model = toxicity.CharModel(counts)
+
+    def value(word, cost):
+        x = y = z = 0
+        for c in (*map(model.code, word), 0):
+            cost -= model.log[(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z, c]
+            x, y, z = y, z, c
+        return -cost
+
+    def plain(token):
+        readings = []
+        for c in token:
+            if c.isalpha():
+                readings.append([(c, 0.0)])
+                continue
+            of = [(x, toxicity.WILD_COST if c == "*" else toxicity.SIGN_COST) for x in toxicity.LEET.get(c, "")]
+            readings.append([*of, ("", toxicity.SKIP_COST if c in toxicity.APART else 2.5 if c in toxicity.LEET else 1.0)])
+        return max(value("".join(x for x, _ in way), sum(k for _, k in way)) for way in itertools.product(*readings))
+
+    pick = random.Random(2)
+    for _ in range(300):
+        token = "".join(pick.choice("abcst1036|*.-@$") for _ in range(pick.randint(1, 7))) + "x"
+        if re.search(r"(.)\1\1", token):  # long runs are shortened first
+            continue
+        word = model.decode(token)
+        costs = [sum(k for _, k in way) for way in itertools.product(*[[(c, 0.0)] if c.isalpha() else [*((x, toxicity.WILD_COST if c == "*" else toxicity.SIGN_COST) for x in toxicity.LEET.get(c, "")), ("", toxicity.SKIP_COST if c in toxicity.APART else 2.5 if c in toxicity.LEET else 1.0)] for c in token]) if "".join(x for x, _ in way) == word]
+        assert costs and abs(value(word, min(costs)) - plain(token)) < 1e-9
+
+
+def test_disguised_words_score_only_when_restored(spark, monkeypatch):
+    """Insults in disguise: found with the decoder, missed without it."""
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice(["ba", "ne", "ti", "lo", "ru", "mas", "den"]) for _ in range(3))
+    bad = ["idiot", "stupid", "moron", "loser"]
+    rows, marks = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        words_ = [word() for _ in range(20)] + ([pick.choice(bad), pick.choice(bad)] if toxic else [])
+        pick.shuffle(words_)
+        rows.append((k, " ".join(words_)))
+        marks.append((k, 1, int(toxic)))
+    hidden = ["1d10t", "i.d.i.o.t", "5tup1d", "m0r0n", "l0s3r", "s t u p i d", "stuuuupid"]
+    rows += [(1000 + k, " ".join([word() for _ in range(18)] + [h, hidden[(k + 3) % 7]])) for k, h in enumerate(hidden)]
+    rows += [(2000 + k, " ".join(word() for _ in range(20))) for k in range(20)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, LABELS)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()}
+    assert sum(got[1000 + k] for k in range(7)) >= 6 and not any(got[2000 + k] for k in range(20))
+    known, model = docs.join(labels.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).select("toxic", "text"), toxicity.language_model(docs)
+    kept = toxicity.judged(known, model, 200, 400).toPandas()
+    lexicon = toxicity.Lexicon(kept.feature.to_numpy(np.int64).view(np.uint64), kept.three.to_numpy(np.int64), kept.weight.to_numpy(float))
+    data = np.frombuffer("\n".join(t for _, t in rows[600:607]).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) + 1 for _, t in rows[600:607]])])
+    off[-1] -= 1
+
+    def plain(text):
+        words_ = {w.lower() for part in [text, *toxicity.restored(model, text)] for w in re.findall(r"[^\W_]+", part)}
+        weight = dict(zip(lexicon.feature.tolist(), lexicon.weight.tolist()))
+        total = 0.0
+        for w in words_:
+            d = np.frombuffer(w.encode(), np.uint8)
+            found = [weight[int(h[0])] for which, h in toxicity.hashed(d, np.array([0]), np.array([len(d)])) if len(which) and int(h[0]) in weight]
+            total += max(found, default=0.0)
+        return total
+
+    with_ = lexicon.evidence(data, off, model)
+    assert np.allclose(with_, [plain(t) for _, t in rows[600:607]]) and (with_ > 0).sum() >= 6
+    monkeypatch.setattr(toxicity, "restored", lambda model, text: [])
+    assert (lexicon.evidence(data, off, model) == 0).all()
+
+
 def test_char_counts_against_plain():
     texts = ["Ab c", "", "bé a1b"]
     data, off = textblock.flat(pa.array(texts))
