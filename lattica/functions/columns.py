@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 NUL = "\0"
 #: words that ranking leaves out (fixed values)
-STOPWORDS = "a an and are as at be but by for from has have if in into is it its no not of on or such that the their then there these they this to was will with".split()
+STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the their them there they this to was were what when where which who will with".split()
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -42,9 +42,23 @@ def under(path: Column, prefix: Column) -> Column:
     return (path == prefix) | F.startswith(path, F.concat(prefix, F.lit("/")))
 
 
+def unit_vector(v: Column) -> Column:
+    """A vector over its length, in double; null where it has none."""
+    v = v.cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
+    return F.when(norm > 0, F.transform(v, lambda a: a / norm))
+
+
+def dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(x: Column, y: Column) -> Column:
     """Cosine similarity of two vectors, in double; null where one has no length."""
-    x, y = (v.cast("array<double>") for v in (x, y))
-    dot = F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
-    return F.try_divide(dot, norm(x) * norm(y))
+    return F.aggregate(F.zip_with(unit_vector(x), unit_vector(y), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def merged_maps(old: Column, new: Column) -> Column:
+    """The entries of both maps, those of ``new`` where both have a key; null maps count as empty."""
+    o, n = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))
+    return F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k)), n)

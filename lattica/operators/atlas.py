@@ -57,6 +57,30 @@ def details(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.where(F.col("node") == node).crossJoin(F.broadcast(n)).select("node", "node_type", "name", "parent", "edges")
 
 
+def known(nodes: DataFrame, node: str) -> str:
+    """The id, or an error where there is no such node."""
+    if nodes.where(F.col("node") == node).isEmpty():
+        raise KeyError(node)
+    return node
+
+
+def subsystem(nodes: DataFrame, contains: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """Per node type of what a node holds, itself included: how many, and the edges inside and out of it."""
+    start = nodes.sparkSession.createDataFrame([(known(nodes, node),)], "start string")
+    inside = table(graph.reachable(contains, start).select("node").unionByName(start.select(F.col("start").alias("node"))), "inside")
+    a, b = (inside.select(F.col("node").alias(x), F.lit(True).alias(f"{x}_in")) for x in ("src", "dst"))
+    n = edges.join(a, "src").join(b, "dst", "left").agg(F.count("dst_in").alias("edges_inside"), F.count_if(F.col("dst_in").isNull()).alias("edges_out"))
+    return nodes.join(inside, "node", "left_semi").groupBy("node_type").agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(n))
+
+
+def full_details(nodes: DataFrame, edges: DataFrame, tests: DataFrame, node: str) -> DataFrame:
+    """A node with its fan-in and -out, and the tests of it in order."""
+    near = edges.where((F.col("src") == known(nodes, node)) | (F.col("dst") == node))
+    n = near.agg(F.count_if(F.col("dst") == node).alias("fan_in"), F.count_if(F.col("src") == node).alias("fan_out"))
+    names = tests.where((F.col("edge_type") == "TESTS") & (F.col("dst") == node)).agg(F.nullif(F.array_join(F.array_sort(F.collect_set("src")), ","), F.lit("")).alias("tests"))
+    return nodes.where(F.col("node") == node).select("node", "node_type", "name", "parent").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(names))  # one row each
+
+
 def signals(rows: DataFrame, code: str, codes: list[str]) -> DataFrame:
     """Rows of the codes, case ignored; an empty list means all."""
     return rows.where(F.lower(code).isin([c.lower() for c in codes])) if codes else rows
@@ -87,35 +111,29 @@ def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame) -> Dat
     def count(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.groupBy(F.col(key).alias("node")).agg(F.count("*").alias(name))
 
-    reach = table(graph.closure(deps).select("start", "node"), "reach")
-    mutual = reach.join(graph_swap(reach), ["start", "node"])
-    cyclic = mutual.groupBy(F.col("start").alias("node")).agg((F.count("*") + 1).alias("scc_size"))
-    impact = graph.closure(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))))
+    reach = table(graph.reach_counts(deps), "reach")
+    impact = graph.reach_counts(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))))
     out = modules
     for part in (
         count(deps, "dst", "fan_in"),
         count(deps, "src", "fan_out"),
-        count(reach, "start", "forward_reach"),
-        count(reach, "node", "reverse_reach"),
-        cyclic,
-        count(impact, "start", "affected"),
+        reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size"),
+        impact.select("node", F.col("forward").alias("affected")),
         calls.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers")),
     ):
         out = out.join(part, "node", "left")
     return out.fillna(0)
 
 
-def graph_swap(reach: DataFrame) -> DataFrame:
-    return reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
-
-
 def review_context(edges: DataFrame, anchors: list[str], limit: int) -> DataFrame:
-    """(anchor, node, edge_id): neighbours of at most 80 anchors in edge order, ``limit`` new ones each.
+    """(anchor, node, edge_id): neighbours of the anchors in edge order, ``limit`` new ones each.
 
     Greedy over anchors in their order: a neighbour that is an anchor, or that an earlier anchor
     has admitted, costs nothing. So a bounded loop over anchors, each round a join.
     """
-    order = list(dict.fromkeys(anchors))[:80]
+    order = list(dict.fromkeys(anchors))
+    if len(order) > 80:
+        raise ValueError(f"{len(order)} anchors; a context takes 80 at most")
     spark = edges.sparkSession
     near = edges.select(F.col("src").alias("anchor"), F.col("dst").alias("node"), "edge_id").unionByName(edges.select(F.col("dst").alias("anchor"), F.col("src").alias("node"), "edge_id"))
     near = near.where(F.col("anchor").isin(order)).groupBy("anchor", "node").agg(F.min("edge_id").alias("edge_id"))

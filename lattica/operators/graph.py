@@ -32,30 +32,68 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
     return seen.where("node <> start")
 
 
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, component, size) of the strongly connected components, and the (start, node) reach among these.
+
+    The reach is that of an acyclic graph, one row per pair of components; one with a cycle reaches itself.
+    """
+    edges = table(edges.select("src", "dst").distinct(), "edges")
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    member = components(edges, ends)
+    member = table(member.join(member.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size"), "members")
+    a, b = (member.select(F.col("node").alias(end), F.col("component").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    between = table(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "between")
+    reach = reachable(between, between.select(F.col("src").alias("start")).distinct()).select("start", "node")
+    own = member.where("size > 1").select(F.col("component").alias("start"), F.col("component").alias("node")).distinct()
+    return member, table(reach.unionByName(own), "reach")
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(start, node, depth) for every node with an edge out; who is on a cycle isn't in its own result."""
-    return reachable(edges, edges.select(F.col("src").alias("start")).distinct())
+    """(start, node) for every node with an edge out; who is on a cycle isn't in its own result."""
+    member, reach = condensed(edges)
+    starts = member.select(F.col("node").alias("start"), F.col("component").alias("a"))
+    to = reach.select(F.col("start").alias("a"), F.col("node").alias("component")).join(member.select("node", "component"), "component")
+    return starts.join(to, "a").where("start <> node").select("start", "node")
+
 
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node, forward, reverse, scc_size): how many nodes each reaches and is reached by; sums over components."""
+    member, reach = condensed(edges)
+    size = member.select(F.col("component").alias("c"), "size").distinct()
+    forward = reach.join(size, F.col("node") == F.col("c")).groupBy(F.col("start").alias("component")).agg(F.sum("size").alias("forward"))
+    backward = reach.join(size, F.col("start") == F.col("c")).groupBy(F.col("node").alias("component")).agg(F.sum("size").alias("reverse"))
+    out = member.join(forward, "component", "left").join(backward, "component", "left")
+    own = F.when(F.col("size") > 1, 1).otherwise(0)  # a node on a cycle isn't in its own reach
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)) - own
+    return out.select("node", n("forward").alias("forward"), n("reverse").alias("reverse"), F.when(F.col("size") > 1, F.col("size")).otherwise(0).alias("scc_size"))
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(start, node, path): of the shortest paths the smallest in the order of its nodes."""
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, target: str | None = None) -> DataFrame:
+    """(start, node, path): of the shortest paths the smallest in the order of its nodes.
+
+    Rounds end at ``max_depth``, when ``target`` is met, or when nothing new is.
+    """
     edges = edges.select("src", "dst").distinct()
     seen = table(starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0).alias("depth")).distinct(), "paths")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.select("start", F.col("node").alias("src"), "path").join(edges, "src")
         step = step.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         frontier = table(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "paths")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
+            break
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     """One row (position, node) per node of the path from source to target; none if there is none."""
     spark = edges.sparkSession
-    paths = shortest_paths(edges, spark.createDataFrame([(source,)], "start string"), max_depth).where(F.col("node") == target)
+    paths = shortest_paths(edges, spark.createDataFrame([(source,)], "start string"), max_depth, target).where(F.col("node") == target)
     return paths.select(F.posexplode("path").alias("position", "node"))
 
 
@@ -74,11 +112,46 @@ def representative_paths(edges: DataFrame, starts: DataFrame, nodes: int = 20) -
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their smallest member."""
-    reach = table(closure(edges).select("start", "node"), "closure")
-    mutual = reach.join(reach.select(F.col("node").alias("start"), F.col("start").alias("node")), ["start", "node"])
-    least = mutual.groupBy(F.col("start").alias("node")).agg(F.min("node").alias("least"))
-    return nodes.select("node").distinct().join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+    """(node, component): strongly connected components, named by their smallest member.
+
+    Rounds of colouring: every open node takes the smallest name that reaches it; from a node that
+    keeps its own name, the nodes of its colour that reach it back are its component. Nodes without
+    an edge in or out are their own. Each step passes over the open edges once.
+    """
+    done = nodes.select("node").distinct().select("node", F.col("node").alias("component"))
+    found = None
+    open_ = table(edges.select("src", "dst").where("src <> dst").distinct(), "open")
+    while True:
+        while True:  # nothing enters or leaves these: trimmed until none is left
+            inner = open_.join(open_.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(open_.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            before, inner = open_.count(), table(inner.select("src", "dst"), "open")
+            open_ = inner
+            if (after := inner.count()) in (0, before):
+                break
+        if not after:
+            break
+        colour = table(open_.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")), "colour")
+        while True:
+            near = open_.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            new = table(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("old")), "colour")
+            colour = new.select("node", "colour")
+            if new.where("colour <> old").isEmpty():
+                break
+        ends = [colour.select(F.col("node").alias(end), F.col("colour").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+        same = table(open_.join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst"), "same")
+        back = table(colour.where("node = colour"), "back")
+        seen = back
+        while not back.isEmpty():
+            step = same.join(back.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            back = table(step.join(seen.select("node"), "node", "left_anti"), "back")
+            seen = seen.unionByName(back)
+        seen = table(seen, "component")
+        found = seen if found is None else found.unionByName(seen)
+        gone = seen.select("node")
+        open_ = table(open_.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "open")
+    if found is None:
+        return done
+    return done.join(found.select("node", F.col("colour").alias("found")), "node", "left").select("node", F.coalesce("found", "component").alias("component"))
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,17 +188,28 @@ def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): fixpoint of level(child) = level(parent) + 1 at least, on an acyclic graph; bounded by its nodes."""
-    up = depths(reverse(edges), nodes)
-    return up.select("node", F.col("depth").alias("level"))
-
-
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, distance) along parent pointers, at most ``most`` steps; a cycle ends a chase."""
+    """(node, level): fixpoint of level(child) = level(parent) + 1 at least; an error on a graph with a cycle."""
+    edges = table(edges.select("src", "dst").distinct(), "edges")
+    level = table(nodes.select("node").distinct().withColumn("level", F.lit(0)), "level")
+    left = level.count()
+    while True:
+        down = edges.join(level.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("down"))
+        new = table(level.join(down, "node", "left").select("node", F.greatest("level", F.coalesce("down", F.lit(0))).alias("level"), F.col("level").alias("old")), "level")
+        level = new.select("node", "level")
+        if new.where("level <> old").isEmpty():
+            return level
+        left -= 1
+        if left < 0:
+            raise ValueError("levels of a graph with a cycle")
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) along parent pointers; a cycle ends a chase."""
     parent = nodes.select("node", "parent").where("parent is not null")
     hop = table(parent.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("node", "parent").alias("path")), "hop")
-    out = hop
-    for k in range(2, most + 1):
+    out, k = hop, 1
+    while True:
+        k += 1
         hop = hop.join(parent.select(F.col("node").alias("ancestor"), "parent"), "ancestor").where(~F.array_contains("path", F.col("parent")))
         hop = table(hop.select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("distance"), F.concat("path", F.array("parent")).alias("path")), "hop")
         if hop.isEmpty():
@@ -136,7 +220,7 @@ def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
 
 def descendants(contains: DataFrame, start: str, limit: int) -> DataFrame:
     """(node, depth, path) under start in breadth-first order; cut after the whole walk."""
-    paths = shortest_paths(contains, contains.sparkSession.createDataFrame([(start,)], "start string"), 64).where("depth > 0")
+    paths = shortest_paths(contains, contains.sparkSession.createDataFrame([(start,)], "start string")).where("depth > 0")
     return paths.orderBy("depth", "path").limit(limit).select("node", "depth")
 
 

@@ -12,9 +12,9 @@ from lattica.plans.registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-QUERY_IDS = (0, 100, 200, 300)
+EVERY = 20  # the queries of a search: ids that it divides
 DENSE = """chunks as (select label as document, vec_id as chunk, cast(embedding as double[]) as v from embeddings),
- asked as (select vec_id as query, cast(embedding as double[]) as q from embeddings where vec_id in (0, 100, 200, 300)),
+ asked as (select vec_id as query, cast(embedding as double[]) as q from embeddings where vec_id % 20 = 0),
  best as (select query, document, max(round(list_cosine_similarity(v, q), 6)) as score from chunks cross join asked group by query, document),
  dense as (select query, document, score, row_number() over (partition by query order by score desc, document) as rank from best)"""
 
@@ -24,7 +24,7 @@ def _chunks(t: Tables) -> DataFrame:
 
 
 def _asked(t: Tables) -> DataFrame:
-    return t.embeddings.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return t.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
 @query("dense_topk", with_(DENSE, body="select query, document, score, rank from dense where rank <= 5"))
@@ -48,11 +48,11 @@ def _(t: Tables) -> DataFrame:
     return t.policies().select("document", rule.alias("applies"), (rule & F.expr("scope <> 'general' or strength = 'required'")).alias("mandatory"))
 
 
-@query("mandatory_merge", with_("policies", DENSE, f"fit as (select * from policies where {RULE})", "must as (select document from fit where scope <> 'general' or strength = 'required')", body="""select document, score, reason, row_number() over (order by reason, score desc nulls last, document) as rank from (
- select document, cast(null as double) as score, 'mandatory' as reason from must union all
- select document, score, 'retrieved' from dense where query = 0 and rank <= 5 and document in (select document from fit) and document not in (select document from must))"""))
+@query("mandatory_merge", with_("policies", DENSE, f"fit as (select * from policies where {RULE})", "must as (select document from fit where scope <> 'general' or strength = 'required')", body="""select query, document, score, reason, row_number() over (partition by query order by reason, score desc nulls last, document) as rank from (
+ select query, document, cast(null as double) as score, 'mandatory' as reason from must cross join (select distinct query from dense) union all
+ select query, document, score, 'retrieved' from dense where rank <= 5 and document in (select document from fit) and document not in (select document from must))"""))
 def _(t: Tables) -> DataFrame:
-    dense = retrieval.dense_search(_chunks(t), _asked(t).where("query = 0"), 5).select("document", "score")
+    dense = retrieval.dense_search(_chunks(t), _asked(t), 5).select("query", "document", "score")
     return retrieval.scoped_merge(t.policies(), dense, retrieval.applies("ada", "acme", "shop"))
 
 
@@ -182,10 +182,10 @@ def _(t: Tables) -> DataFrame:
     return plan.agg(F.count(F.when(F.col("action") == "add", 1)).alias("missing"), F.count(F.when(F.col("action") == "drop", 1)).alias("extra"), F.count(F.when(F.col("action").isin("keep", "replace"), 1)).alias("covered"))
 
 
-@query("query_text", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as text from conversations where turn < 3 group by conv_id")
+@query("query_text", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as text from conversations group by conv_id")
 def _(t: Tables) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
-    return t.conversations.where("turn < 3").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
 @query("random_baseline", "select item_id as query, document, row_number() over (partition by item_id order by sha256('seed' || chr(0) || item_id || chr(0) || document)) as rank from benchmark cross join (select distinct label as document from embeddings)")

@@ -56,10 +56,22 @@ class Tables:
         return d.select("document", scope.alias("scope"), F.when(k == 1, "required").otherwise("advised").alias("strength"), to.alias("applies_to"))
 
     def bearing(self) -> DataFrame:
-        """(query, document, grade): documents that hold a benchmark item; the benchmark is a stated set of queries."""
-        b = self.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("item"))
+        """(query, document, grade): documents that hold a benchmark item.
+
+        An item's words between its first and last stand in such a document as they are, so three
+        of them in a row are a seed that both are joined on; only items of fewer words are compared
+        with every document.
+        """
+        b = self.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("item")).withColumn("words", F.split("item", " "))
         d = self.documents.select(F.col("doc_id").alias("document"), "text", "lang")
-        return d.join(F.broadcast(b), F.contains("text", "item")).select("query", "document", F.when(F.col("lang") == "en", 3).otherwise(2).alias("grade"))
+        seeds = b.where("size(words) >= 5").select("query", "item", F.array_join(F.slice("words", 2, 3), " ").alias("seed"))
+        words = F.split("text", " ")
+        grams = F.expr("transform(sequence(1, size(words) - 2), i -> array_join(slice(words, i, 3), ' '))")
+        at = d.withColumn("words", words).where("size(words) >= 3").select("document", F.explode(F.array_distinct(grams)).alias("seed"))
+        near = at.join(seeds, "seed").select("query", "item", "document").distinct().join(d, "document").where(F.contains("text", "item"))
+        short = d.join(b.where("size(words) < 5").select("query", "item"), F.contains("text", "item"))
+        rows = near.select("query", "document", "lang").unionByName(short.select("query", "document", "lang"))
+        return rows.select("query", "document", F.when(F.col("lang") == "en", 3).otherwise(2).alias("grade"))
 
 
 #: DuckDB views of the same, as common table expressions

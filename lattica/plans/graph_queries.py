@@ -20,7 +20,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("reverse_reach", with_("follows", "deps", "reach", body="select node, count(*) as dependants from reach where start <> node group by node", recursive=True))
 def _(t: Tables) -> DataFrame:
-    return graph.closure(graph.reverse(t.deps())).groupBy(F.col("start").alias("node")).agg(F.count("*").alias("dependants"))
+    return graph.reach_counts(t.deps()).where("reverse > 0").select("node", F.col("reverse").alias("dependants"))
 
 
 NEAR = """, walk as (select 's:1' as node, 0 as depth, ['s:1'] as path union all
@@ -36,9 +36,9 @@ def _near(edges: str, back: bool, depth: int) -> str:
 
 for _name, _back in (("neighbourhood_fwd", False), ("neighbourhood_rev", True)):
 
-    @query(_name, with_("follows", "deps", body="", recursive=True) + _near("deps", _back, 3) + "select node, depth from best where depth > 0 order by depth, path limit 30")
+    @query(_name, with_("follows", "calls", body="", recursive=True) + _near("calls", _back, 3) + "select node, depth from best where depth > 0 order by depth, path limit 30")
     def _(t: Tables, back: bool = _back) -> DataFrame:
-        e = t.deps()
+        e = t.calls()
         return graph.neighbourhood(graph.reverse(e) if back else e, "s:1", 3, 30).select("node", F.col("depth").cast("int").alias("depth"))
 
 
@@ -66,7 +66,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("cycle_listing", with_("nodes", "modules", "follows", "deps", "reach", body="", recursive=True) + SCC + "select component, count(*) as size, string_agg(node, ',' order by node) as members from scc group by component having count(*) >= 2")
 def _(t: Tables) -> DataFrame:
-    c = graph.components(t.deps(), t.modules())
+    c = table(graph.components(t.deps(), t.modules()), "scc")
     return c.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).where("size >= 2")
 
 
@@ -102,17 +102,17 @@ def _(t: Tables) -> DataFrame:
     return graph.top_container(t.nodes(), ["PACKAGE_ROOT"])
 
 
-@query("representative_path", with_("follows", "deps", body=""", starts as (select distinct src as start from deps where src in (select 's:'||s_suppkey from supplier where s_suppkey <= 20)),
- level as (select start, start as node, [start] as path, 0 as depth from starts union all
-   select start, node, path, depth from (select l.start, d.dst as node, list_append(l.path, d.dst) as path, l.depth + 1 as depth from level l join deps d on d.src = l.node where l.depth < 3)),
- first as (select start, node, min(depth) as depth from level group by start, node),
- best as (select l.start, l.node, l.depth, min(l.path) as path from level l join first f on f.start = l.start and f.node = l.node and f.depth = l.depth group by l.start, l.node, l.depth),
- deepest as (select start, max(depth) as depth from best group by start)
- select b.start, min(array_to_string(b.path, ',')) as path from best b join deepest d on d.start = b.start and d.depth = b.depth group by b.start""", recursive=True))
+@query("representative_path")
 def _(t: Tables) -> DataFrame:
     e = table(t.deps(), "deps")
-    starts = e.select(F.col("src").alias("start")).distinct().join(t.supplier.where("s_suppkey <= 20").select(F.concat(F.lit("s:"), "s_suppkey").alias("start")), "start", "left_semi")
-    return graph.representative_paths(e, starts, 4).select("start", F.array_join("path", ",").alias("path"))
+    return graph.representative_paths(e, e.select(F.col("src").alias("start")).distinct()).select("start", F.array_join("path", ",").alias("path"))
+
+
+@query("representative_path_tree", with_("nodes", "contains", body=""", walk as (select src as start, dst as node, [src, dst] as path, 1 as depth from contains union all select w.start, c.dst, list_append(w.path, c.dst), w.depth + 1 from walk w join contains c on c.src = w.node)
+ select start, min(array_to_string(path, ',')) as path from walk w where depth = (select max(depth) from walk x where x.start = w.start) group by start""", recursive=True))
+def _(t: Tables) -> DataFrame:
+    e = table(t.contains(), "contains")
+    return graph.representative_paths(e, e.select(F.col("src").alias("start")).distinct()).select("start", F.array_join("path", ",").alias("path"))
 
 
 @query("abstraction_crossings", with_("follows", "deps", body="select src as start, dst as stop, cast(case when a.s_nationkey is distinct from b.s_nationkey then 1 else 0 end as bigint) as crossings from deps join supplier a on 's:'||a.s_suppkey = src join supplier b on 's:'||b.s_suppkey = dst"))
@@ -124,12 +124,12 @@ def _(t: Tables) -> DataFrame:
     return graph.crossings(paths, owner).select(both[0].alias("start"), both[1].alias("stop"), F.col("crossings").cast("long").alias("crossings"))
 
 
-@query("branch_chain", with_("c as (select n_nationkey as branch, n_nationkey as here, 0 as step from nation union all select c.branch, b.n_nationkey, c.step + 1 from c join nation a on a.n_nationkey = c.here join nation b on b.n_nationkey = c.here - 1 and b.n_regionkey = a.n_regionkey where c.step < 8)", body="select branch, here as ancestor, step as distance from c where step > 0", recursive=True))
+@query("branch_chain", with_("c as (select o_orderkey as branch, o_orderkey as here, 0 as step from orders union all select c.branch, a.o_orderkey - 1, c.step + 1 from c join orders a on a.o_orderkey = c.here join orders b on b.o_orderkey = c.here - 1 where a.o_orderkey % 7 <> 0)", body="select branch, here as ancestor, step as distance from c where step > 0", recursive=True))
 def _(t: Tables) -> DataFrame:
-    n = t.nation
-    base = n.select((F.col("n_nationkey") + 1).alias("n_nationkey"), "n_regionkey", F.col("n_nationkey").alias("base"))
-    b = n.join(base, ["n_nationkey", "n_regionkey"], "left").select(F.col("n_nationkey").cast("string").alias("node"), F.col("base").cast("string").alias("parent"))
-    return graph.ancestors(b, 8).select(F.col("node").cast("int").alias("branch"), F.col("ancestor").cast("int").alias("ancestor"), F.col("distance").cast("int").alias("distance"))
+    o = t.orders.select("o_orderkey").distinct()
+    base = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("o_orderkey").alias("base")).where("o_orderkey % 7 <> 0")
+    b = o.join(base, "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("node"), F.col("base").cast("string").alias("parent"))
+    return graph.ancestors(b).select(F.col("node").cast("long").alias("branch"), F.col("ancestor").cast("long").alias("ancestor"), F.col("distance").cast("int").alias("distance"))
 
 
 PROFILE = """, both_ as (select src, dst from deps union select src, dst from calls),
@@ -261,7 +261,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     e = table(t.deps(), "deps")
     symbols = t.lineitem.groupBy(F.concat(F.lit("s:"), "l_suppkey").alias("node")).agg(F.countDistinct("l_partkey").alias("public_symbols"))
-    affected = graph.closure(graph.reverse(e)).groupBy(F.col("start").alias("node")).agg(F.count("*").alias("affected"))
+    affected = graph.reach_counts(e).where("reverse > 0").select("node", F.col("reverse").alias("affected"))
     p = symbols.join(detectors.dependant_packages(e, t.nodes()).drop("packages"), "node").join(affected, "node")
     return detectors.concentrated_scope(p, 8, 2, 8).select("node", "public_symbols", "n_packages", "affected")
 
