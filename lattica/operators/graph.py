@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.storage import table
+from lattica.functions.storage import ship, table
+
+LOCAL = 500_000  # edges whose cycles one task contracts
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -111,47 +116,130 @@ def representative_paths(edges: DataFrame, starts: DataFrame, nodes: int = 20) -
     return paths.join(deepest, ["start", "depth"]).groupBy("start").agg(F.min("path").alias("path"))
 
 
+def least_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, name): the least node that reaches each along edges, itself included.
+
+    A round takes two steps along edges and then the name of the name, which reaches the node as
+    well, so long paths need few rounds.
+    """
+    names = table(nodes.select("node", F.col("node").alias("name")), "names")
+    while True:
+        now = names
+        for _ in range(2):
+            near = edges.join(now.select(F.col("node").alias("src"), "name"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("name").alias("near"))
+            now = now.join(near, "node", "left").select("node", F.least("name", F.coalesce("near", "name")).alias("name"))
+        over = names.select(F.col("node").alias("name"), F.col("name").alias("over"))  # of the round before: known for every node
+        new = now.join(over, "name", "left").select("node", F.least("name", F.coalesce("over", "name")).alias("name"))
+        new = table(new.join(names.select("node", F.col("name").alias("old")), "node"), "names")
+        names = new.select("node", "name")
+        if new.where("name <> old").isEmpty():
+            return names
+
+
+def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, name) of the nodes on a cycle of this partition's edges, named by the least of their component."""
+    near: dict[str, list[str]] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            near.setdefault(a, []).append(b)
+    order: dict[str, int] = {}
+    path: list[str] = []  # open nodes
+    heads: list[int] = []  # places in the path where an open component begins
+    done: set[str] = set()
+    out: list[tuple[str, str]] = []
+    for root in near:
+        if root in order:
+            continue
+        todo = [(root, iter(near[root]))]
+        order[root] = len(path)
+        heads.append(len(path))
+        path.append(root)
+        while todo:
+            node, rest = todo[-1]
+            for to in rest:
+                if to not in order:
+                    order[to] = len(path)
+                    heads.append(len(path))
+                    path.append(to)
+                    todo.append((to, iter(near.get(to, ()))))
+                    break
+                if to not in done:
+                    while heads[-1] > order[to]:
+                        heads.pop()
+            else:
+                todo.pop()
+                if heads[-1] == order[node]:
+                    heads.pop()
+                    members, path = path[order[node] :], path[: order[node]]
+                    done.update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        out += [(m, least) for m in members]
+    for k in range(0, len(out), 50_000):
+        part = out[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], pa.string()) for c in (0, 1)], names=["node", "name"])
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest member.
 
-    Rounds of colouring: every open node takes the smallest name that reaches it; from a node that
-    keeps its own name, the nodes of its colour that reach it back are its component. Nodes without
-    an edge in or out are their own. Each step passes over the open edges once.
+    Cycles inside the edges of a task are contracted first (``LOCAL`` edges a task, dealt by the
+    start's name, so what lies near by name meets). Where more than one task was needed, rounds of
+    colouring follow on what is left.
     """
     done = nodes.select("node").distinct().select("node", F.col("node").alias("component"))
-    found = None
     open_ = table(edges.select("src", "dst").where("src <> dst").distinct(), "open")
+    parts = -(-open_.count() // LOCAL)
+    if not parts:
+        return done
+    ship(edges.sparkSession)
+    dealt = open_.coalesce(1) if parts == 1 else open_.repartitionByRange(parts, "src")
+    local = table(dealt.mapInArrow(_cycles, "node string, name string"), "local")
+    names = local
+    if parts > 1:
+        a, b = (local.select(F.col("node").alias(x), F.col("name").alias(f"{x}_name")) for x in ("src", "dst"))
+        left = open_.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_name", "src").alias("src"), F.coalesce("dst_name", "dst").alias("dst"))
+        over = _coloured(left.where("src <> dst").distinct())
+        if over is not None:
+            over = table(over.select("node", F.col("name").alias("over")), "over")
+            names = local.join(over.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("over", "name").alias("name"))
+            names = names.unionByName(over.join(local, "node", "left_anti").select("node", F.col("over").alias("name")))
+    return done.join(names.select("node", F.col("name").alias("found")), "node", "left").select("node", F.coalesce("found", "component").alias("component"))
+
+
+def _coloured(edges: DataFrame) -> DataFrame | None:
+    """(node, name) of strongly connected components with an edge, named by their least node.
+
+    Rounds of colouring: every open node takes the smallest name that reaches it. The least node of
+    a colour reaches all of it, so those that reach this one back are its component. Nodes without
+    an edge in or out are their own. Each step passes over the open edges once.
+    """
+    found = None
+    open_ = table(edges, "open")
+    before = open_.count()
     while True:
         while True:  # nothing enters or leaves these: trimmed until none is left
-            inner = open_.join(open_.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(open_.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            before, inner = open_.count(), table(inner.select("src", "dst"), "open")
-            open_ = inner
-            if (after := inner.count()) in (0, before):
+            inner = open_
+            for _ in range(2):
+                inner = inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            open_ = table(inner, "open")
+            before, was = open_.count(), before
+            if before in (0, was):
                 break
-        if not after:
+        if not before:
             break
-        colour = table(open_.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")), "colour")
-        while True:
-            near = open_.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
-            new = table(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("old")), "colour")
-            colour = new.select("node", "colour")
-            if new.where("colour <> old").isEmpty():
-                break
-        ends = [colour.select(F.col("node").alias(end), F.col("colour").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+        colour = table(least_names(open_, open_.select(F.col("src").alias("node")).distinct()), "colour")
+        ends = [colour.select(F.col("node").alias(end), F.col("name").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
         same = table(open_.join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst"), "same")
-        back = table(colour.where("node = colour"), "back")
-        seen = back
-        while not back.isEmpty():
-            step = same.join(back.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            back = table(step.join(seen.select("node"), "node", "left_anti"), "back")
-            seen = seen.unionByName(back)
-        seen = table(seen, "component")
+        back = least_names(reverse(same), colour.select("node"))
+        seen = table(colour.join(back.select("node", F.col("name").alias("back")), "node").where("name = back").select("node", "name"), "component")
         found = seen if found is None else found.unionByName(seen)
         gone = seen.select("node")
         open_ = table(open_.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "open")
-    if found is None:
-        return done
-    return done.join(found.select("node", F.col("colour").alias("found")), "node", "left").select("node", F.coalesce("found", "component").alias("component"))
+        before = open_.count()
+        if not before:
+            break
+    return found
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -54,9 +54,9 @@ def _(t: Tables) -> DataFrame:
     return structure.conformance(_wanted(t), _offered(t), _known(t))
 
 
-@query("conformance_questions", with_("wanted as (select 'b' || p_brand as interface, p_size as operation from part where p_retailprice > 1800)", "offered as (select 's' || l_suppkey as class, p_size as operation from lineitem join part on p_partkey = l_partkey where l_discount > 0.09)", "known as (select 's' || s_suppkey as class, 'bBrand#11' as interface from supplier)", body="select distinct interface, class from wanted join offered using (operation) where not exists (select 1 from known k where k.class = offered.class and k.interface = wanted.interface)"))
+@query("conformance_questions", with_("wanted as (select 'b' || p_brand as interface, p_size as operation from part where p_partkey % 20 = 0)", "offered as (select 's' || l_suppkey as class, p_size as operation from lineitem join part on p_partkey = l_partkey where l_discount > 0.09)", "known as (select 's' || s_suppkey as class, 'bBrand#11' as interface from supplier)", body="select distinct interface, class from wanted join offered using (operation) where not exists (select 1 from known k where k.class = offered.class and k.interface = wanted.interface)"))
 def _(t: Tables) -> DataFrame:
-    wanted = t.part.where("p_retailprice > 1800").select(F.concat(F.lit("b"), "p_brand").alias("interface"), F.col("p_size").alias("operation"))
+    wanted = t.part.where("p_partkey % 20 = 0").select(F.concat(F.lit("b"), "p_brand").alias("interface"), F.col("p_size").alias("operation"))
     offered = t.lineitem.where("l_discount > 0.09").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), "l_suppkey").alias("class"), F.col("p_size").alias("operation"))
     return structure.conformance_questions(wanted, offered, t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("class"), F.lit("bBrand#11").alias("interface")))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import name_tokens, slug, stable_id
@@ -130,3 +131,71 @@ def test_running_total_over_parts(spark):
     rows = spark.createDataFrame([(k // 3, k, k % 5) for k in range(200)], "at int, id int, size int")
     got = {r.id: r.before for r in records.running_total(rows, "size", "at", ["id"], "before", 8).collect()}
     assert got == {k: sum(x % 5 for x in range(k)) for k in range(200)}
+
+
+def test_components_in_many_tasks(spark, monkeypatch):
+    """Cycles across tasks and cycles of cycles, against plain reachability."""
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL", 12)
+    rng = random.Random(6)
+    pairs = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(52)} | {(f"m{k:02}", f"m{(k + 1) % 15:02}") for k in range(15)}
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    reach = {x: set() for x in names}
+    for x in names:
+        todo = [b for a, b in pairs if a == x]
+        while todo:
+            if (y := todo.pop()) not in reach[x]:
+                reach[x].add(y)
+                todo += [b for a, b in pairs if a == y]
+    want = {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in names}
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    assert {r.node: r.component for r in graph.components(e, nodes).collect()} == want
+    got = {r.node: (r.forward, r.reverse) for r in graph.reach_counts(e).collect()}
+    assert all(got[x] == (len(reach[x] - {x}), sum(x in reach[y] for y in names if y != x)) for x in got) and len(got) == len(names) - 1
+
+
+def test_representative_paths_against_search(spark):
+    import collections
+
+    pairs = [(f"v{k:02}", f"v{k + 1:02}") for k in range(30)] + [("v03", "w1"), ("w1", "v10"), ("v00", "v05")]
+    near = collections.defaultdict(list)
+    for a, b in pairs:
+        near[a].append(b)
+    want = {}
+    for start in list(near):
+        seen, front = {start: (start,)}, [(start,)]
+        while front and len(front[0]) < 20:
+            step = {}
+            for p in front:
+                for b in near.get(p[-1], ()):
+                    if b not in seen and (b not in step or p + (b,) < step[b]):
+                        step[b] = p + (b,)
+            seen |= step
+            front = list(step.values())
+        far = max(map(len, seen.values()))
+        want[start] = min(p for p in seen.values() if len(p) == far)
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    got = graph.representative_paths(e, e.selectExpr("src as start").distinct())
+    assert {r.start: tuple(r.path) for r in got.collect()} == want
+    assert len(graph.shortest_path(e, "v00", "v30").collect()) == 26
+
+
+def test_centre_clusters_and_store(spark, tmp_path):
+    from lattica.operators import structure
+    from lattica.sources import atlas_store
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdexyz"], "node string")
+    got = {r.node: (r.seed, r.distance) for r in structure.centre_clusters(e, nodes).collect()}  # two seeds of eight nodes, halves go to even
+    assert got["b"] == ("b", 0) and got["a"] == ("b", 1) and {got[n][1] for n in "yz"} <= {0, 1, 1000} and got["e"] == ("b", 3)
+    at = f"file://{tmp_path}/atlas"
+    with pytest.raises(KeyError):
+        atlas_store.load(spark, at, "v", "nodes")
+    with pytest.raises(ValueError):
+        atlas_store.save(at, "v", {"nodes": nodes}, most_nodes=3)
+    assert atlas_store.save(at, "v", {"nodes": nodes}, most_nodes=8) and not atlas_store.save(at, "v", {"nodes": nodes})
+    assert [r.node for r in atlas_store.load(spark, at, "v", "nodes", "node").collect()] == list("abcdexyz")
+    with pytest.raises(ValueError):
+        atlas_store.refuse_large(spark.createDataFrame([(5,), (6,)], "size long"), "size", 10)
