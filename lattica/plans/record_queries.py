@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import delta, records
+from lattica.functions.storage import table
+from lattica.operators import delta, records, structure
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 from lattica.sources import python_code
@@ -264,3 +265,61 @@ def _(t: Tables) -> DataFrame:
     edges = python_code.import_edges(rows).select(F.lit("IMPORTS").alias("kind"), name("src").alias("source"), name("dst").alias("target"))
     held = rows.where("kind = 'symbol'").select(F.lit("CONTAINS").alias("kind"), name("parent").alias("source"), name("qualified").alias("target"))
     return edges.unionByName(held)
+
+
+def _sources(t: Tables) -> DataFrame:
+    """A module, a test, settings, a port and an adapter for every supplier, as Python text."""
+    k = F.col("s_suppkey").cast("string")
+
+    def file(path: str, body: str) -> F.Column:
+        return F.struct(F.replace(F.lit(path), F.lit("@"), k).alias("path"), F.replace(F.lit(body), F.lit("@"), k).alias("source"))
+
+    files = [
+        file("pkg/mod@.py", 'LIMIT = @\n\ndef run@(x, *, y=1):\n    """mod@ words"""\n    def inner(z):\n        return help@(z)\n    if x:\n        for z in x:\n            inner(z)\n    return LIMIT\n\ndef help@(z):\n    return z\n'),
+        file("tests/test_mod@.py", "from pkg.mod@ import run@\n\ndef test_run():\n    assert run@([]) == @\n"),
+        file("conf@/settings.py", "import pkg.mod@.missing\n"),
+        file("pkg/port@.py", "from typing import Protocol\n\nclass Port@(Protocol):\n    def put(self, key: str, n: int) -> bool: ...\n    def _hidden(self): ...\n"),
+        file("pkg/disk@.py", "class Disk@:\n    def put(self, key: str, n: int) -> bool:\n        return mod@_known(key)\n\nclass Wrong@:\n    def put(self, key: bytes, n: int) -> bool:\n        return False\n\nclass Short@:\n    def put(self, key: str) -> bool:\n        return True\n"),
+    ]
+    return t.supplier.select(F.explode(F.array(*files)).alias("f")).select("f.path", "f.source")
+
+
+@query("derived_edges", "with k as (select cast(s_suppkey as varchar) as k from supplier) select 'tests.test_mod'||k as src, 'pkg.mod'||k as dst, 'TESTS' as edge_type from k union all select 'tests.test_mod'||k||'.test_run', 'pkg.mod'||k||'.run'||k, 'TESTS' from k union all select 'conf'||k||'.settings', 'pkg.mod'||k, 'CONFIGURES' from k")
+def _(t: Tables) -> DataFrame:
+    return python_code.derived_edges(table(python_code.parse(_sources(t)), "rows"))
+
+
+@query("reference_edges", "with k as (select cast(s_suppkey as varchar) as k from supplier) select 'pkg.mod'||k||'.run'||k||'.inner' as src, 'pkg.mod'||k||'.help'||k as dst, 'CALLS' as edge_type from k union all select 'tests.test_mod'||k||'.test_run', 'pkg.mod'||k||'.run'||k, 'CALLS' from k")
+def _(t: Tables) -> DataFrame:
+    rows = table(python_code.parse(_sources(t)), "rows")
+    calls = python_code.call_edges(rows).select("src", "dst", F.lit("CALLS").alias("edge_type"))
+    return calls.where("dst not like '%inner'").unionByName(python_code.reference_edges(rows).select("src", "dst", F.lit("REFERENCES").alias("edge_type")))
+
+
+@query("parsed_conformance", "select 'pkg.disk'||s_suppkey||'.Disk'||s_suppkey as class, 'pkg.port'||p||'.Port'||p as interface, cast(1 as bigint) as operations, cast(3 as bigint) as agreements from supplier, (select s_suppkey as p from supplier) ")
+def _(t: Tables) -> DataFrame:
+    rows = table(python_code.parse(_sources(t)), "rows")
+    wanted = python_code.operations(rows, "INTERFACE").withColumnRenamed("class", "interface")
+    known = python_code.inherit_edges(rows).where("edge_type = 'IMPLEMENTS'").select(F.col("src").alias("class"), F.col("dst").alias("interface"))
+    return structure.conformance(wanted, python_code.operations(rows, "CLASS"), known)
+
+
+@query("symbol_metrics", """select 'pkg.mod'||s_suppkey||'.run'||s_suppkey as symbol, m as metric, v as value from supplier, (select unnest(['statements', 'branches', 'nesting', 'parameters', 'public_symbols', 'imports', 'lines']) as m, unnest([7, 2, 2, 2, 1, 0, 8]) as v)
+ union all select 'tests.test_mod'||s_suppkey, m, v from supplier, (select unnest(['statements', 'branches', 'nesting', 'parameters', 'public_symbols', 'imports', 'lines']) as m, unnest([3, 0, 0, 0, 1, 1, 5]) as v)""")
+def _(t: Tables) -> DataFrame:
+    rows = python_code.parse(_sources(t)).where("kind = 'metric' and (qualified rlike '[.]run[0-9]+$' or qualified rlike '^tests[.]test_mod[0-9]+$')")
+    return rows.select(F.col("qualified").alias("symbol"), F.col("name").alias("metric"), F.col("value").cast("int").alias("value"))
+
+
+@query("owned_mentions", "select 'pkg/user'||s_suppkey||'.py' as path, 'shipping' as stem, '3,4,6' as lines from supplier")
+def _(t: Tables) -> DataFrame:
+    body = '"""About shipping"""\n\nfrom pkg import shipping\nname = "SHIPPING costs"\n\ndef shippingRate():\n    """shipping"""\n    return shippings\n'
+    users = t.supplier.select(F.concat(F.lit("pkg/user"), "s_suppkey", F.lit(".py")).alias("path"), F.lit(body).alias("source"))
+    owner = t.region.where("r_regionkey = 0").select(F.lit("pkg/shipping.py").alias("path"), F.lit("shipping = 1\n").alias("source"))
+    m = python_code.mentions(table(python_code.parse(users.unionByName(owner)), "rows"))
+    return m.select("path", "stem", F.array_join("lines", ",").alias("lines"))
+
+
+@query("package_nodes", "select 'pkg' as package, cast(null as varchar) as parent union all select 'tests', null union all select 'conf'||s_suppkey, null from supplier")
+def _(t: Tables) -> DataFrame:
+    return python_code.packages(_sources(t))

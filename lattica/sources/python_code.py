@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,12 +20,18 @@ from lattica.functions.storage import ship
 
 ROW = "path string, module string, kind string, node_type string, qualified string, parent string, name string, line int, end_line int, is_public boolean, value string"
 CONFIG_STEMS = {"config", "settings", "configuration"}
-IGNORED = [".git", ".hg", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", "build", "dist"]
+#: folders that hold no source, and endings of configuration files (fixed values)
+IGNORED = [".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages"]
+CONFIG_SUFFIXES = (".yaml", ".yml", ".toml", ".json", ".ini", ".cfg", ".env")
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] = (), max_bytes: int | None = None) -> DataFrame:
-    """(path, source) of the Python files under root; bytes that are no UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
+def scan(spark: SparkSession, root: str, exclude: list[str] = (), max_bytes: int | None = None, max_files: int | None = None, config: bool = False) -> DataFrame:
+    """(path, source) of the Python files under root, or of its configuration files; bytes that are no UTF-8 are replaced.
+
+    ``max_files`` takes the first ones in path order, after all that is left out.
+    """
+    ends = "{" + ",".join(f"*{x}" for x in CONFIG_SUFFIXES) + "}" if config else "*.py"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ends).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     rel = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
     files = files.select(rel.alias("path"), "content", "length").where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in IGNORED])))
@@ -31,6 +39,8 @@ def scan(spark: SparkSession, root: str, exclude: list[str] = (), max_bytes: int
         files = files.where(~((F.col("path") == p) | F.col("path").startswith(p.rstrip("/") + "/")))
     if max_bytes:
         files = files.where(F.col("length") <= max_bytes)
+    if max_files is not None:
+        files = files.join(files.select("path").orderBy("path").limit(max_files), "path", "left_semi")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -49,6 +59,58 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+def _own(node: ast.AST) -> Iterator[ast.AST]:
+    """What a body holds itself: definitions in it are given, their bodies are not entered."""
+    todo = list(ast.iter_child_nodes(node))
+    while todo:
+        n = todo.pop(0)
+        yield n
+        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            todo = [*ast.iter_child_nodes(n), *todo]
+
+
+def _nesting(node: ast.AST) -> int:
+    """How deep branches and loops lie in each other."""
+    deepest, todo = 0, [(node, 0)]
+    while todo:
+        n, depth = todo.pop()
+        for child in ast.iter_child_nodes(n):
+            d = depth + isinstance(child, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match))
+            deepest = max(deepest, d)
+            todo.append((child, d))
+    return deepest
+
+
+def _measures(node: ast.AST) -> dict[str, int]:
+    """Syntactic measures of a module, class or function."""
+    inside = [n for n in ast.walk(node) if n is not node]
+    arguments = getattr(node, "args", None)
+    imports = {a.name for n in inside if isinstance(n, ast.Import) for a in n.names} | {"." * n.level + (n.module or "") for n in inside if isinstance(n, ast.ImportFrom)}
+    return {
+        "statements": sum(isinstance(n, ast.stmt) for n in inside),
+        "branches": sum(isinstance(n, (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.BoolOp, ast.IfExp, ast.comprehension)) for n in inside),
+        "nesting": _nesting(node),
+        "parameters": sum(len(x) for x in (arguments.posonlyargs, arguments.args, arguments.kwonlyargs)) + bool(arguments.vararg) + bool(arguments.kwarg) if arguments else 0,
+        "public_symbols": sum(isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and not n.name.startswith("_") for n in ast.iter_child_nodes(node)),
+        "imports": len(imports),
+    }
+
+
+def _spelled(annotation: ast.AST | None) -> str:
+    return "" if annotation is None else ast.unparse(annotation)
+
+
+def _tokens(tree: ast.AST) -> list[tuple[str, int]]:
+    """(token, line) of identifiers, imported names and strings, cut at humps, digits and signs, lowered; docstrings are left out."""
+    docs = {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and ast.get_docstring(n, clean=False) is not None}
+    found: set[tuple[str, int]] = set()
+    for n in ast.walk(tree):
+        text = n.id if isinstance(n, ast.Name) else n.attr if isinstance(n, ast.Attribute) else f"{n.name} {n.asname or ''}" if isinstance(n, ast.alias) else n.name if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) else n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) and id(n) not in docs else None
+        if text:
+            found |= {(t.lower(), n.lineno) for t in re.findall(r"[A-Z]*[a-z]+|[A-Z]+|[0-9]+", text)}
+    return sorted(found)
+
+
 def rows_of(path: str, source: str) -> list[tuple]:
     """Tagged rows of one file; a file that doesn't parse gives its module and a signal."""
     module = path.removesuffix(".py").replace("/", ".").removesuffix(".__init__")
@@ -95,16 +157,17 @@ def rows_of(path: str, source: str) -> list[tuple]:
                     if d := _dotted(b.value if isinstance(b, ast.Subscript) else b):
                         add("base", s, None, name, parent, resolved(d))
                 visit(s.body, name, True)
+                measured(s, name)
             elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 name = f"{parent}.{s.name}"
                 node_type = "TEST_FUNCTION" if s.name.startswith("test") and test else "METHOD" if in_class else "FUNCTION"
                 add("symbol", s, node_type, name, parent, s.name, None if ast.get_docstring(s) is None else "documented", not s.name.startswith("_"))
-                for c in ast.walk(s):
-                    if isinstance(c, ast.Call) and (d := _dotted(c.func)):
-                        owner = parent if in_class and d.startswith("self.") else None
-                        add("call", c, None, name, parent, f"{owner}.{d[5:]}" if owner else resolved(d))
-                nested = [x for x in s.body if isinstance(x, ast.ClassDef)]
-                visit(nested, name, False)
+                if in_class:
+                    own = [*s.args.posonlyargs, *s.args.args][1:]
+                    add("operation", s, None, name, parent, s.name, json.dumps({"async": isinstance(s, ast.AsyncFunctionDef), "arity": len(own) + len(s.args.kwonlyargs), "annotations": [*(_spelled(x.annotation) for x in [*own, *s.args.kwonlyargs]), _spelled(s.returns)]}), not s.name.startswith("_"))
+                used(s, name, parent if in_class else None)
+                measured(s, name)
+                visit([x for x in _own(s) if isinstance(x, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))], name, False)
             elif not in_class and isinstance(s, (ast.Assign, ast.AnnAssign)) and parent == module:
                 targets = s.targets if isinstance(s, ast.Assign) else [s.target]
                 for t in targets:
@@ -115,14 +178,31 @@ def rows_of(path: str, source: str) -> list[tuple]:
                             mark = ""
                         add("constant", s, None, None, module, t.id, mark)
 
+    def used(node: ast.AST, name: str, owner: str | None) -> None:
+        """Calls and loaded names of a body, without those of definitions inside it."""
+        called = set()
+        for c in _own(node):
+            if isinstance(c, ast.Call) and (d := _dotted(c.func)):
+                called.add(id(c.func))
+                add("call", c, None, name, owner, f"{owner}.{d[5:]}" if owner and d.startswith("self.") else resolved(d))
+        inner = {id(c.value) for c in _own(node) if isinstance(c, ast.Attribute)}
+        for c in _own(node):
+            if isinstance(c, (ast.Name, ast.Attribute)) and isinstance(c.ctx, ast.Load) and id(c) not in inner | called and (d := _dotted(c)) and not d.startswith("self."):
+                add("reference", c, None, name, owner, resolved(d))
+
+    def measured(node: ast.AST, name: str) -> None:
+        for k, v in (_measures(node) | {"lines": node.end_lineno - node.lineno + 1}).items():
+            add("metric", node, None, name, None, k, str(v))
+
     def resolved(dotted: str) -> str:
         head, _, tail = dotted.partition(".")
         full = aliases.get(head, head)
         return f"{full}.{tail}" if tail else full
 
     visit(tree.body, module, False)
-    counts = {"statements": sum(isinstance(n, ast.stmt) for n in ast.walk(tree)), "branches": sum(isinstance(n, (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.BoolOp, ast.IfExp, ast.comprehension)) for n in ast.walk(tree)), "lines": lines}
-    out += [(path, module, "metric", None, module, None, k, 1, lines, None, str(v)) for k, v in counts.items()]
+    used(tree, module, None)
+    out += [(path, module, "metric", None, module, None, k, 1, lines, None, str(v)) for k, v in (_measures(tree) | {"lines": lines}).items()]
+    out += [(path, module, "token", None, module, None, t, line, line, None, None) for t, line in _tokens(tree)]
     return out
 
 
@@ -141,13 +221,35 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def import_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst) of modules: the imported name as a module, or its module, in that order."""
-    mods = rows.where("kind = 'module'").select("module")
-    i = rows.where("kind = 'import'").select(F.col("module").alias("src"), "name", F.concat_ws(".", "name", "value").alias("full"))
-    full = mods.select(F.col("module").alias("full"), F.col("module").alias("m1"))
-    exact = mods.select(F.col("module").alias("name"), F.col("module").alias("m2"))
-    got = i.join(full, "full", "left").join(exact, "name", "left").select("src", F.coalesce("m1", "m2").alias("dst"))
-    return got.where("dst is not null and src <> dst").distinct()
+    """(src, dst) of modules: the imported name as a module, or else the longest part from its front that is one."""
+    mods = rows.where("kind = 'module'").select(F.col("module").alias("dst"), F.col("module").alias("part"))
+    i = rows.where("kind = 'import'").select(F.col("module").alias("src"), F.split(F.concat_ws(".", "name", "value"), "[.]").alias("p"), "line").distinct()
+    parts = i.select("src", "line", F.array_join("p", ".").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", 1, k), "."))).alias("part"))
+    got = parts.join(mods, "part").groupBy("src", "line", "full").agg(F.max_by("dst", F.length("part")).alias("dst"))
+    return got.where("src <> dst").select("src", "dst").distinct()
+
+
+def reference_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst, confidence) of loaded names that are symbols of the repository."""
+    return call_edges(rows.where("kind <> 'call'").withColumn("kind", F.when(F.col("kind") == "reference", "call").otherwise(F.col("kind"))))
+
+
+def derived_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst, edge_type): imports and calls of tests are TESTS as well, imports of configuration are CONFIGURES."""
+    kind = rows.where("kind in ('module', 'symbol')").select(F.col("qualified").alias("src"), "node_type").distinct()
+    from_ = lambda e: e.select("src", "dst").join(kind, "src")
+    imports, calls = from_(import_edges(rows)), from_(call_edges(rows))
+    tests = imports.where("node_type = 'TEST'").unionByName(calls.where("node_type in ('TEST', 'TEST_FUNCTION')"))
+    out = tests.select("src", "dst", F.lit("TESTS").alias("edge_type"))
+    return out.unionByName(imports.where("node_type = 'CONFIGURATION'").select("src", "dst", F.lit("CONFIGURES").alias("edge_type"))).distinct()
+
+
+def operations(rows: DataFrame, node_type: str) -> DataFrame:
+    """(class, operation, is_async, arity, annotations) of the classes or interfaces; only public ones of an interface, no classes of tests."""
+    owner = rows.where(F.col("node_type") == node_type).select(F.col("qualified").alias("class"), F.col("path").alias("at"))
+    o = rows.where("kind = 'operation'").select(F.col("parent").alias("class"), F.col("name").alias("operation"), "is_public", F.from_json("value", "`async` boolean, arity int, annotations array<string>").alias("v")).join(owner, "class")
+    o = o.where("is_public") if node_type == "INTERFACE" else o.where(~F.col("at").startswith("tests/"))
+    return o.select("class", "operation", F.col("v.async").alias("is_async"), "v.arity", "v.annotations")
 
 
 def call_edges(rows: DataFrame) -> DataFrame:
@@ -182,11 +284,11 @@ def packages(files: DataFrame) -> DataFrame:
     return rows.select(F.expr("array_join(slice(p, 1, k), '.')").alias("package"), F.expr("nullif(array_join(slice(p, 1, k - 1), '.'), '')").alias("parent")).distinct()
 
 
-def mentions(files: DataFrame, stems: DataFrame) -> DataFrame:
-    """(path, stem, lines): lines of a file with a token that is another module's stem."""
-    tokens = files.select("path", F.posexplode(F.split("source", "\n")).alias("k", "text"))
-    cut = F.regexp_replace("text", r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+", " ")
-    tokens = tokens.select("path", (F.col("k") + 1).alias("line"), F.explode(F.split(F.lower(cut), " +")).alias("stem")).join(stems.select("stem").distinct(), "stem", "left_semi")
+def mentions(rows: DataFrame) -> DataFrame:
+    """(path, stem, lines): lines of a file whose identifiers or strings hold another module's stem, ascending."""
+    stems = rows.where("kind = 'module'").select(F.lower("name").alias("stem")).distinct()
+    own = rows.where("kind = 'module'").select("path", F.lower("name").alias("stem"))
+    tokens = rows.where("kind = 'token'").select("path", F.col("name").alias("stem"), "line").join(stems, "stem", "left_semi").join(own, ["path", "stem"], "left_anti")
     return tokens.groupBy("path", "stem").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 

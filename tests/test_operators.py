@@ -116,8 +116,8 @@ def test_parse_and_resolve(spark):
 def test_scan_reads_a_tree(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.py").write_bytes(b"A = 1 # \xff\n")
-    (tmp_path / "venv").mkdir()
-    (tmp_path / "venv" / "y.py").write_text("B = 1")
+    (tmp_path / ".venv").mkdir()
+    (tmp_path / ".venv" / "y.py").write_text("B = 1")
     got = code.scan(spark, str(tmp_path)).collect()
     assert [(r.path, r.source) for r in got] == [("a/x.py", "A = 1 # �\n")]
 
@@ -199,3 +199,20 @@ def test_centre_clusters_and_store(spark, tmp_path):
     assert [r.node for r in atlas_store.load(spark, at, "v", "nodes", "node").collect()] == list("abcdexyz")
     with pytest.raises(ValueError):
         atlas_store.refuse_large(spark.createDataFrame([(5,), (6,)], "size long"), "size", 10)
+
+
+def test_nested_bodies_scan_and_config(spark, tmp_path):
+    source = "class A:\n    def m(self, a: int, *b, c=1) -> str:\n        def inner():\n            return helper(a)\n        return inner()\n\ndef helper(x):\n    return x\n\nuse = helper\n"
+    rows = code.parse(spark.createDataFrame([("p/one.py", source)], "path string, source string"))
+    assert {(r.src, r.dst) for r in code.call_edges(rows).collect()} == {("p.one.A.m.inner", "p.one.helper"), ("p.one.A.m", "p.one.A.m.inner")}
+    assert ("p.one", "p.one.helper") in {(r.src, r.dst) for r in code.reference_edges(rows).collect()}
+    o = code.operations(rows, "CLASS").first()
+    assert (o["class"], o.operation, o.is_async, o.arity, o.annotations) == ("p.one.A", "m", False, 2, ["int", "", "str"])
+    assert {r.name: r.value for r in rows.where("kind = 'metric' and qualified = 'p.one.A.m'").collect()} == {"statements": "3", "branches": "0", "nesting": "0", "parameters": "4", "public_symbols": "1", "imports": "0", "lines": "4"}
+    for k in "cab":
+        (tmp_path / f"{k}.py").write_text(f"{k} = 1")
+    (tmp_path / "venv").mkdir()
+    (tmp_path / "venv" / "x.yaml").write_text("k: v")
+    assert sorted(r.path for r in code.scan(spark, str(tmp_path), max_files=2).collect()) == ["a.py", "b.py"]
+    assert [r.path for r in code.scan(spark, str(tmp_path), config=True).collect()] == ["venv/x.yaml"]
+    assert sorted(r.path for r in code.scan(spark, str(tmp_path), exclude=["a.py"], max_bytes=5).collect()) == ["b.py", "c.py"]
