@@ -57,11 +57,12 @@ def concentrated_scope(profile: DataFrame, symbols: int, packages: int, affected
     return profile.where((F.col("public_symbols") >= symbols) & (F.col("n_packages") >= packages) & (F.col("affected") >= affected))
 
 
-def parallel_pairs(features: DataFrame, least: int = 4, overlap: float = 0.6, most: int | None = None) -> DataFrame:
+def parallel_pairs(features: DataFrame, least: int = 4, overlap: float = 0.6) -> DataFrame:
     """Pairs of items (item, feature) of which the smaller shares so many features and that share of its own.
 
     Joined on the feature; features are distinct per item. Counts of what is shared are summed
-    per pair before any other column is looked at.
+    per pair before any other column is looked at. ``structure.parallel_preparation`` is the one
+    for methods of an operation.
     """
     f = features.select("item", "feature").distinct()
     size = f.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
