@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import textblock as tb
 from lattica.llm.bpe import spread
-from lattica.llm.shared import shared_dir, table
+from lattica.llm.shared import session_dir, table
 
 FILE = "word_bpe_49k.json"
 END = 2
@@ -476,6 +476,6 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/lattica-token-files-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return digest(spark, path)

@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from lattica.functions.storage import shared_dir, ship
+from lattica.functions.storage import session_dir, ship
 
-__all__ = ["shared_dir", "ship", "table"]
+__all__ = ["session_dir", "ship", "table"]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lattica-{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -644,3 +644,56 @@ def test_near_dedup_with_hot_keys(spark, monkeypatch):
     rows = list(enumerate(rows))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_groups(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns in every stage; empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    ids = lambda df: collections.Counter(r.doc_id for r in df.select("doc_id").collect())
+    every = collections.Counter(r[0] for r in ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stage(spark, odd, SMALL), stage(spark, none, SMALL)
+        assert empty.count() == 0, name
+        if stage is not corpus_pipeline.bpe_stage:
+            assert got.columns == odd.columns and ids(got) <= every, name
+        else:
+            assert ids(got) == every and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert ids(corpus_pipeline.secrets_stage(spark, odd, SMALL)) == ids(corpus_pipeline.decontamination_stage(spark, odd, SMALL)) == every
+    assert ids(corpus_pipeline.near_dedup_stage(spark, odd, SMALL)) == every - collections.Counter([5, 7])
+
+
+def test_leaks_against_every_alignment(spark):
+    """Recall of the seeds: whole, edited and cut copies against exhaustive alignment of all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
+    items = [[word() for _ in range(rng.randint(6, 30))] for _ in range(12)]
+    docs = []
+    for k in range(160):
+        text = [word() for _ in range(rng.randint(5, 60))]
+        if k % 2:
+            part = list(rng.choice(items))
+            if k % 4 == 3:
+                part = part[rng.randrange(len(part) // 3) :]
+            for _ in range(rng.randrange(len(part) // 3 + 1)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice([[], [word()], [part[at], word()]])
+            at = rng.randrange(len(text))
+            text[at:at] = part
+        docs.append(text)
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if plain_alignment(x, t) >= decontaminate.CUT * decontaminate.MATCH * len(x)}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
+    assert got <= want and len(want) > 60 and len(got) >= 0.95 * len(want)
+
+
+def test_quality_statistics_against_plain_counts():
+    """Statistics of a text don't depend on the block it stands in."""
+    texts = ["Hello there, this is a text. It has two sentences.", "", "x" * 5000, "a b a b a b\na b a b a b", "ÄÖÜ ß 日本語 12 34"]
+    whole = pa.array(texts)
+    data, off = textblock.flat(whole)
+    together = quality.statistics(data, off)
+    for k in range(len(texts)):
+        one, at = textblock.flat(whole.slice(k, 1))
+        assert np.allclose(quality.statistics(one, at)[0], together[k])
