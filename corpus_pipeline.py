@@ -1,4 +1,9 @@
-"""Cleaning of a training corpus in stages; each reads what the one before it wrote."""
+"""Cleaning of a training corpus in stages; each reads what the one before it wrote.
+
+Defined results, of all stages: rows whose doc_id is null, texts that are null, empty or very
+long, rows that repeat and an empty table are allowed; other columns, whatever their names, are
+carried through by all stages but the last, which returns digests.
+"""
 
 from __future__ import annotations
 
@@ -9,31 +14,31 @@ from lattica.llm.shared import ship, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; empty texts are judged like others, equal rows alike."""
     ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays: the least doc_id, with all rows that share it; empty texts and null ids all stay."""
     ship(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, every row of them; empty texts and null ids stay."""
     ship(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; all documents stay."""
+    """Secrets in texts are masked, and n_chars set anew where there is one; all rows stay, null texts as they are."""
     ship(spark)
     return secrets.redact(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document the number of ids, and hashes of the ids and of the text decoded from them."""
+    """Per row the number of ids, and hashes of the ids and of the text decoded from them; a null text counts as empty."""
     ship(spark)
     return bpe.digest(docs)
 
