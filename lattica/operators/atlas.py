@@ -105,24 +105,43 @@ def resolve_metric(name: str, groups: dict[str, list[str]]) -> str:
     raise KeyError(name)
 
 
-def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame) -> DataFrame:
-    """Per module fan-in and -out, reach both ways, size of its cycle, affected modules, callers; 0 where none."""
+def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, targets: DataFrame, links: DataFrame) -> DataFrame:
+    """Measures per module (node, is_test); 0 where none.
+
+    ``deps`` and ``calls`` are edges between different modules, ``targets`` (node, target) the public
+    symbols of a module that some module calls, ``links`` edges (src, dst, edge_type) of the kinds
+    IMPLEMENTS, TESTS and CONFIGURES. Affected is who reaches a module by either kind of edge. A
+    caller of an affected module is affected too, so the symbols that calls among the affected
+    cross are all called ones that these own: a sum over components, as are affected tests.
+    """
 
     def count(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.groupBy(F.col(key).alias("node")).agg(F.count("*").alias(name))
 
-    reach = table(graph.reach_counts(deps), "reach")
-    impact = graph.reach_counts(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))))
-    out = modules
+    def sources(kind: str, name: str) -> DataFrame:
+        return links.where(F.col("edge_type") == kind).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias(name))
+
+    test = F.coalesce(F.col("is_test"), F.lit(False)).cast("int")
+    owned = modules.join(count(targets.select("node", "target").distinct(), "node", "crossed_interfaces"), "node", "left")
+    owned = owned.select("node", F.lit(1).alias("affected"), test.alias("affected_tests"), "crossed_interfaces")
+    impact = graph.reach_sums(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))), owned)
+    reach = graph.reach_counts(deps)
+    out = modules.withColumn("_test", test).drop("is_test")
     for part in (
         count(deps, "dst", "fan_in"),
         count(deps, "src", "fan_out"),
         reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size"),
-        impact.select("node", F.col("forward").alias("affected")),
+        graph.depths(deps, modules.select("node")).select("node", F.col("depth").cast("long").alias("depth")),
+        impact,
         calls.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers")),
+        sources("IMPLEMENTS", "implementors"),
+        sources("TESTS", "tests"),
+        sources("CONFIGURES", "configurations"),
     ):
         out = out.join(part, "node", "left")
-    return out.fillna(0)
+    out = out.fillna(0).withColumn("affected", F.col("affected") - 1).withColumn("affected_tests", F.col("affected_tests") - F.col("_test"))
+    both = F.greatest(F.col("scc_size") - 1, F.lit(0))  # who is reached and reaches back: the rest of the cycle
+    return out.withColumn("neighbourhood", F.col("forward_reach") + F.col("reverse_reach") - both).drop("_test")
 
 
 def review_context(edges: DataFrame, anchors: list[str], limit: int) -> DataFrame:

@@ -73,6 +73,22 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     return out.select("node", n("forward").alias("forward"), n("reverse").alias("reverse"), F.when(F.col("size") > 1, F.col("size")).otherwise(0).alias("scc_size"))
 
 
+def reach_sums(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, ...): the other columns of ``values`` (node, ...) summed over each node and all that it reaches.
+
+    Sums are of components, so a node that several ways reach counts once. Nulls count as 0; a node
+    without an edge has its own values.
+    """
+    member, reach = condensed(edges)
+    names = [c for c in values.columns if c != "node"]
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]
+    named = values.join(member.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = table(named.groupBy("component").agg(*sums), "values")
+    beyond = reach.where("start <> node").join(own.withColumnRenamed("component", "node"), "node").groupBy(F.col("start").alias("component")).agg(*sums)
+    total = own.unionByName(beyond).groupBy("component").agg(*sums)
+    return named.select("node", "component").join(total, "component").select("node", *names)
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, target: str | None = None) -> DataFrame:
     """(start, node, path): of the shortest paths the smallest in the order of its nodes.
 

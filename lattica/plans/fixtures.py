@@ -38,6 +38,22 @@ class Tables:
     def calls(self) -> DataFrame:
         return self._follows(45)
 
+    def targets(self) -> DataFrame:
+        """(node, target): parts of a supplier whose line follows another, as the symbols that calls meet."""
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+        l = self.lineitem.select(*(F.lead(c).over(w).alias(f"next_{c[2:]}") for c in ("l_suppkey", "l_partkey", "l_quantity")), "l_quantity").where("l_quantity >= 45 and next_quantity >= 45")
+        node = F.concat(F.lit("s:"), "next_suppkey")
+        return l.select(node.alias("node"), F.concat_ws("/", node, "next_partkey").alias("target")).distinct()
+
+    def links(self) -> DataFrame:
+        """(src, dst, edge_type): calls of every fifth supplier are tests, edges of every third implement, of every seventh configure."""
+        k = F.substring("src", 3, 20).cast("long")
+        kinds = ((self.calls(), 5, "TESTS"), (self.deps(), 3, "IMPLEMENTS"), (self.deps(), 7, "CONFIGURES"))
+        first, *rest = (e.where(k % n == 0).withColumn("edge_type", F.lit(kind)) for e, n, kind in kinds)
+        for e in rest:
+            first = first.unionByName(e)
+        return first
+
     def impl(self) -> DataFrame:
         l = self.lineitem.where("l_quantity >= 49")
         return l.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst")).distinct()
@@ -82,10 +98,13 @@ SQL = {
   union all select 'c:'||c_custkey, 'CLASS', c_name, 'n:'||c_nationkey, case when c_acctbal < 0 then false when c_acctbal > 5000 then true end from customer
   union all select 's:'||s_suppkey, 'MODULE', s_name, 'n:'||s_nationkey, true from supplier)""",
     "contains": "contains as (select parent as src, node as dst from nodes where parent is not null)",
-    "follows": """follows as (select l_suppkey, l_quantity, lead(l_suppkey) over w as next_supp, lead(l_quantity) over w as next_qty from lineitem
+    "follows": """follows as (select l_suppkey, l_quantity, lead(l_suppkey) over w as next_supp, lead(l_quantity) over w as next_qty, lead(l_partkey) over w as next_part from lineitem
   window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate))""",
     "deps": "deps as (select distinct 's:'||l_suppkey as src, 's:'||next_supp as dst from follows where l_quantity >= 48 and next_qty >= 48 and l_suppkey <> next_supp)",
     "calls": "calls as (select distinct 's:'||l_suppkey as src, 's:'||next_supp as dst from follows where l_quantity >= 45 and next_qty >= 45 and l_suppkey <> next_supp)",
+    "targets": "targets as (select distinct 's:'||next_supp as node, 's:'||next_supp||'/'||next_part as target from follows where l_quantity >= 45 and next_qty >= 45)",
+    "links": """links as (select src, dst, 'TESTS' as edge_type from calls where cast(substr(src, 3) as bigint) % 5 = 0
+  union all select src, dst, 'IMPLEMENTS' from deps where cast(substr(src, 3) as bigint) % 3 = 0 union all select src, dst, 'CONFIGURES' from deps where cast(substr(src, 3) as bigint) % 7 = 0)""",
     "impl": "impl as (select distinct 's:'||l_suppkey as src, 'p:'||l_partkey as dst from lineitem where l_quantity >= 49)",
     "modules": "modules as (select node from nodes where node_type = 'MODULE')",
     "constants": "constants as (select source as module, string_split(text, chr(10))[1] as name, md5(text) as fingerprint from documents)",

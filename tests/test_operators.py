@@ -154,6 +154,27 @@ def test_components_in_many_tasks(spark, monkeypatch):
     assert {r.node: r.component for r in graph.components(e, nodes).collect()} == want
     got = {r.node: (r.forward, r.reverse) for r in graph.reach_counts(e).collect()}
     assert all(got[x] == (len(reach[x] - {x}), sum(x in reach[y] for y in names if y != x)) for x in got) and len(got) == len(names) - 1
+    value = {x: k * k % 17 if k % 5 else None for k, x in enumerate(names)}
+    sums = graph.reach_sums(e, spark.createDataFrame([(x, value[x], 1) for x in names], "node string, v long, one int"))
+    assert {r.node: (r.v, r.one) for r in sums.collect()} == {x: (sum(value[y] or 0 for y in reach[x] | {x}), len(reach[x] | {x})) for x in names}
+
+
+def test_metric_profile_of_small_graph(spark):
+    """a and b on a cycle, c imports a, the test t calls c; d has no edge, its test mark is unknown."""
+    modules = spark.createDataFrame([("a", False), ("b", False), ("c", False), ("t", True), ("d", None)], "node string, is_test boolean")
+    deps = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
+    calls = spark.createDataFrame([("t", "c")], "src string, dst string")
+    targets = spark.createDataFrame([("c", "c.f"), ("c", "c.f"), ("c", "c.g"), ("d", "d.f")], "node string, target string")
+    links = spark.createDataFrame([("t", "c", "TESTS"), ("t", "c", "TESTS"), ("c", "a", "IMPLEMENTS"), ("d", "a", "CONFIGURES")], "src string, dst string, edge_type string")
+    names = "fan_in fan_out forward_reach reverse_reach neighbourhood scc_size depth affected affected_tests crossed_interfaces callers implementors tests configurations".split()
+    got = {r.node: dict(zip(names, (r[c] for c in names))) for r in atlas.metric_profile(modules, deps, calls, targets, links).collect()}
+    a = dict(zip(names, (2, 1, 1, 2, 2, 2, 5, 3, 1, 2, 0, 1, 0, 1)))
+    assert got["a"] == a
+    assert got["c"] == dict(zip(names, (0, 1, 2, 0, 2, 0, 5, 1, 1, 2, 1, 0, 1, 0)))
+    assert got["t"] == dict.fromkeys(names, 0)
+    assert got["d"] == dict.fromkeys(names, 0) | {"crossed_interfaces": 1}
+    none = atlas.metric_profile(modules.limit(0), deps.limit(0), calls.limit(0), targets.limit(0), links.limit(0))
+    assert none.columns == ["node", *(c for c in none.columns if c in names)] and none.count() == 0
 
 
 def test_representative_paths_against_search(spark):
