@@ -21,6 +21,9 @@ MODULES = {
     "op8_html_text": "html_text",
     "op9_toxicity": "toxicity",
     "op10_bpe": "bpe",
+    "op11_shards": "shards",
+    "op12_lexical": "lexical",
+    "op13_resample": "resample",
 }
 
 
