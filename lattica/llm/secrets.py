@@ -17,8 +17,9 @@ and strings on the allow-list (see ``ALLOWED``), which prose, names, addresses a
 
 Defined results: null and empty texts have no spans (zero counts, the hash of nothing, "").
 Repeated rows give repeated results; a null doc_id is passed through. Spans that start at the
-same place are listed in the order of ``KINDS``. ``scan`` ignores other columns; ``redact``
-carries them through and sets ``text`` (and ``n_chars``, where there is one).
+same place are listed in the order of ``KINDS``. A very long text is scanned whole, in time linear in
+its length, a very long candidate too. An empty table gives an empty table. ``scan`` ignores other
+columns; ``redact`` carries them through and sets ``text`` (and ``n_chars``, where there is one).
 """
 
 from __future__ import annotations
@@ -50,14 +51,18 @@ CLASSES = (
     ("mixed", re.compile(rb"[A-Za-z0-9]+"), 3.7),
     ("base64", re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.7),
 )
+#: linear patterns: what a part has taken it doesn't give back, so no string makes them slow
 ALLOWED = (
-    re.compile(rb"[0-9+/_=-]*"),  # numbers, dates, rules
-    re.compile(rb"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z](?![a-z]))?|[a-z](?![A-Za-z])|[A-Z]+(?![a-z])|[+/_=-]+)*"),  # no digit: words, names joined by capitals, paths
-    re.compile(rb"[A-Za-z]+[0-9]{1,6}(?:[/_=-][A-Za-z]+[0-9]{0,6})*"),  # numbered words
+    re.compile(rb"[0-9+/_=-]*+"),  # numbers, dates, rules
+    re.compile(rb"(?:[A-Z]*+[a-z]{2,}+(?:[A-Z][a-z](?![a-z]))?+|[a-z](?![A-Za-z])|[A-Z]++(?![a-z])|[+/_=-]++)*+"),  # no digit: words, names joined by capitals, paths
+    re.compile(rb"[A-Za-z]++[0-9]{1,6}+(?:[/_=-][A-Za-z]++[0-9]{0,6}+)*+"),  # numbered words
     re.compile(rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(rb".*(?:example|placeholder|changeme|xxxxxx|000000|123456789).*", re.I | re.S),
 )
+NAMES = 1  # of these, the one for names; there words must have ``LETTERS`` letters on average
+LETTERS = 3.6
+ALLOWED_PARTS = re.compile(rb"example|placeholder|changeme|xxxxxx|000000|123456789", re.I)
 MASK = "[SECRET]"
+_HUMP = re.compile(rb"[a-z](?=[A-Z])|[A-Z](?=[A-Z][a-z])|[A-Za-z](?![A-Za-z])")  # a word's last letter
 
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -79,21 +84,30 @@ def runs(mask: np.ndarray, off: np.ndarray, least: int) -> list[tuple[int, int]]
     return list(zip(s[keep].tolist(), e[keep].tolist()))
 
 
+def allowed(s: bytes) -> bool:
+    """Whether the allow-list has a string, in time linear in its length."""
+    kind = next((k for k, a in enumerate(ALLOWED) if a.fullmatch(s)), None)
+    if kind == NAMES:
+        words = len(_HUMP.findall(s))
+        return words < 2 or len(s.translate(None, b"+/_=-")) >= LETTERS * words or s.islower() or s.isupper()
+    return kind is not None or bool(ALLOWED_PARTS.search(s))
+
+
 def entropy_spans(s: bytes) -> list[tuple[int, int]]:
     """Unions of the windows of a candidate whose entropy reaches its class's threshold."""
     window = WINDOW
-    if len(s) < window or any(a.fullmatch(s) for a in ALLOWED):
+    if len(s) < window or allowed(s):
         return []
     bits = next(bits for _, kind, bits in CLASSES if kind.fullmatch(s))
     weight = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts, total, out = [0] * 256, 0.0, []
     for i, c in enumerate(s):
-        total += weight[counts[c] + 1] - weight[counts[c]]
-        counts[c] += 1
-        if i >= window:
+        if i >= window:  # out first: a window of one character has no count beyond its length
             d = s[i - window]
             total += weight[counts[d] - 1] - weight[counts[d]]
             counts[d] -= 1
+        total += weight[counts[c] + 1] - weight[counts[c]]
+        counts[c] += 1
         if i >= window - 1 and math.log2(window) - total / window >= bits - 1e-9:
             lo = i - window + 1
             if out and lo <= out[-1][1]:

@@ -276,7 +276,7 @@ def test_entropy_windows_against_counting_anew():
         plain = (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), ("abcdefghijklmnopqrstuvwxyz0123456789", 3.5), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5))
         bits = next((b for kind, b in plain if set(s.decode()) <= set(kind)), 3.7)
         inside = set()
-        if not any(a.fullmatch(s) for a in secrets.ALLOWED):
+        if not secrets.allowed(s):
             for k in range(len(s) - size + 1):
                 n = collections.Counter(s[k : k + size])
                 if -sum(c / size * math.log2(c / size) for c in n.values()) >= bits - 1e-9:
@@ -286,6 +286,47 @@ def test_entropy_windows_against_counting_anew():
     assert secrets.entropy_spans(b"AbCdEfGhIjKlMnOpQrStUvWx") == [(0, 24)]
 
 
+def test_allow_list_is_linear():
+    """Runs of 10,000 characters of each class, and mixes of them, which once went back and forth for ever."""
+    import time
+
+    parts = ["a", "A", "1", "=", "-", "/", "aB", "Aa", "a1", "=a", "-A", "abC-", "aaB", "AAa", "A1", "1=", "xy1-", "exampl"]
+    for part in parts:
+        for end in ("", "1", "a", "A", "=", "x1x", "aB"):
+            s = (part * 10_000)[:10_000].encode() + end.encode()
+            began = time.process_time()
+            secrets.entropy_spans(s)
+            for a in secrets.ALLOWED:
+                a.fullmatch(s)
+            assert time.process_time() - began < 0.5, (part, end)
+    for s in (b"abcdefghijklmnopqrstuvwxyzabcdefghijklm1", b"A" * 30 + b"1", b"THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG7", b"=" * 30 + b"x1x", b"-" * 60 + b"a1b2", b"/" * 40 + b"x1"):
+        secrets.entropy_spans(s)
+
+
+def test_names_are_allowed_as_their_grammar_says():
+    """The possessive pattern takes what a plain parse of words, humps and capitals takes."""
+    plain = re.compile(r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z](?![a-z]))?|[a-z](?![A-Za-z])|[A-Z]+(?![a-z])|[+/_=-]+)*")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        s = "".join(rng.choice("abABC-") for _ in range(rng.randrange(1, 10)))
+        assert bool(plain.fullmatch(s)) == bool(secrets.ALLOWED[secrets.NAMES].fullmatch(s.encode())), s
+
+
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_random_keys_are_found(letters):
+    rng = random.Random(5)
+    for size in (20, 23, 32):
+        found = sum(bool(secrets.entropy_spans("".join(rng.choice(letters) for _ in range(size)).encode())) for _ in range(1500))
+        assert found >= 0.9 * 1500, size
+
+
+def test_secrets_of_hard_strings(spark):
+    """Whole texts of runs end, in the scan and in the masked texts."""
+    texts = ["A" * 200_000 + "1", "aB" * 100_000 + "1", "// " + "/" * 40 + "x1", "=a" * 50_000, "-" * 100_000 + "a1b2", "Aa" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.scan(docs).count() == secrets.redact(docs).count() == len(texts)
+
+
 def test_entropy_spans_in_the_result(spark):
     """Keys of each character class come back as spans of the query, prose beside them does not."""
     keys = ["9f8e7d6c5b4a3f2e1d0c", "9F8E7D6C5B4A3F2E1D0C", "q8w7e6r5t4y3u2i1o0pz", "Q8W7E6R5T4Y3U2I1O0PZ", "aGkLmQpzXrTbWnVcYdHe", "a8GkL2mQpzX5rTbWn9Vc", "a8GkL2+QpzX5/TbWn9Vc="]
