@@ -93,11 +93,19 @@ def _index(batches: Iterator[pa.RecordBatch], documents: int, terms: int) -> Ite
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=["doc_ids", "lengths", "terms", "starts", "docs", "impacts", "tfs"])
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    documents = terms = 0
+    for batch in batches:
+        for _, _, data, off in tb.blocks(batch.column(0)):
+            many = np.diff(tb.word_bounds(data, off, tb.APART)[2])
+            documents, terms = documents + int(np.count_nonzero(many)), terms + int(many.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], names=["documents", "terms"])
+
+
 def build(docs: DataFrame) -> Index:
     """Counts documents and terms, then writes the index in the shared folder."""
-    n = F.regexp_count("text", F.lit(TERM))
-    size = docs.agg(F.count_if(n > 0), F.sum(n.cast("long"))).first()
-    documents, terms = size[0], size[1] or 0
+    size = docs.select("text").mapInArrow(_totals, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
+    documents, terms = size[0] or 0, size[1] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return Index(table(rows.mapInArrow(partial(_index, documents=documents, terms=terms), INDEX), "index"), documents, terms)
 
