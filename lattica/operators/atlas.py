@@ -125,13 +125,14 @@ def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, target
     owned = modules.join(count(targets.select("node", "target").distinct(), "node", "crossed_interfaces"), "node", "left")
     owned = owned.select("node", F.lit(1).alias("affected"), test.alias("affected_tests"), "crossed_interfaces")
     impact = graph.reach_sums(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))), owned)
-    reach = graph.reach_counts(deps)
+    parts = graph.condense(deps)
+    reach = graph.reach_counts(deps, parts)
     out = modules.withColumn("_test", test).drop("is_test")
     for part in (
         count(deps, "dst", "fan_in"),
         count(deps, "src", "fan_out"),
         reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size"),
-        graph.depths(deps, modules.select("node")).select("node", F.col("depth").cast("long").alias("depth")),
+        graph.depths(deps, modules.select("node"), parts).select("node", F.col("depth").cast("long").alias("depth")),
         impact,
         calls.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers")),
         sources("IMPLEMENTS", "implementors"),

@@ -1,16 +1,24 @@
-"""Graph operators on edge tables (src, dst): loops of joins, each round a table."""
+"""Graph operators on edge tables (src, dst): loops of joins, each round a table.
+
+Reach is propagated in bits: 64 starts share one long, so a round joins and ors words instead of
+pairs, counts are numbers of bits, and where only membership is asked one bit stands for all starts.
+A round takes ``HOPS`` steps along edges before it is written. Chains of parents are followed by
+doubling: a table of 1, 2, 4... hops.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import ship, table
 
-LOCAL = 500_000  # edges whose cycles one task contracts
+LOCAL = 500_000  # edges whose cycles one task contracts, at most about
+HOPS = 3  # steps of a round
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -37,56 +45,105 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
     return seen.where("node <> start")
 
 
-def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (node, component, size) of the strongly connected components, and the (start, node) reach among these.
+class Condensed(NamedTuple):
+    """Members (node, component, size) of strongly connected components, and the acyclic edges (src, dst) among these."""
 
-    The reach is that of an acyclic graph, one row per pair of components; one with a cycle reaches itself.
-    """
+    member: DataFrame
+    between: DataFrame
+
+
+def condense(edges: DataFrame) -> Condensed:
+    """Components of all nodes of an edge; to be made once and passed on to what needs it."""
     edges = table(edges.select("src", "dst").distinct(), "edges")
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     member = components(edges, ends)
     member = table(member.join(member.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size"), "members")
     a, b = (member.select(F.col("node").alias(end), F.col("component").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
-    between = table(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "between")
-    reach = reachable(between, between.select(F.col("src").alias("start")).distinct()).select("start", "node")
-    own = member.where("size > 1").select(F.col("component").alias("start"), F.col("component").alias("node")).distinct()
-    return member, table(reach.unionByName(own), "reach")
+    between = edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return Condensed(member, table(between, "between"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _placed(keys: DataFrame) -> DataFrame:
+    """``keys`` with a block and a place in it: 64 rows share a block, but for the last of each partition."""
+    rows = table(keys.withColumn("_at", F.monotonically_increasing_id()), "places")
+    return rows.select(*keys.columns, F.shiftright("_at", 6).alias("block"), F.col("_at").bitwiseAND(F.lit(63)).alias("place"))
+
+
+def spread_bits(edges: DataFrame, bits: DataFrame) -> DataFrame:
+    """(node, block, bits): each node's own bits and those of all that reach it; rounds until nothing is new.
+
+    ``bits`` has columns node, block and bits. Only bits that are new at a node go on from it.
+    """
+    near = edges.select(F.col("src").alias("node"), "dst")
+    seen = table(bits.select("node", "block", "bits"), "bits")
+    front = seen
+    none = F.lit(0).cast("long")
+    while True:
+        wave, rows = front, seen.select("node", "block", F.col("bits").alias("known"), none.alias("last"))
+        for k in range(HOPS):
+            wave = wave.join(near, "node").groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+            known, last = (none, F.col("bits")) if k + 1 == HOPS else (F.col("bits"), none)
+            rows = rows.unionByName(wave.select("node", "block", known.alias("known"), last.alias("last")))
+        rows = rows.groupBy("node", "block").agg(F.bit_or("known").alias("known"), F.bit_or("last").alias("last"))
+        fresh = F.col("last").bitwiseAND(F.bitwise_not("known"))  # bits that came sooner have gone on already
+        rows = table(rows.select("node", "block", F.col("known").bitwiseOR(F.col("last")).alias("bits"), fresh.alias("fresh")), "bits")
+        seen, front = rows.select("node", "block", "bits"), rows.where("fresh <> 0").select("node", "block", F.col("fresh").alias("bits"))
+        if front.isEmpty():
+            return seen
+
+
+def _words(rows: DataFrame, by: str) -> DataFrame:
+    """(node, block, bits) from rows (by, block, place)."""
+    return rows.groupBy(F.col(by).alias("node"), "block").agg(F.bit_or(_bit(F.col("place"))).alias("bits"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(start, node) for every node with an edge out; who is on a cycle isn't in its own result."""
-    member, reach = condensed(edges)
+    member, between = condense(edges)
+    place = _placed(member.select("component").distinct())
+    reach = spread_bits(between, _words(place, "component"))
+    each = reach.select("node", "block", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("place")).where(F.col("bits").bitwiseAND(_bit(F.col("place"))) != 0)
+    pairs = each.join(place, ["block", "place"]).select(F.col("component").alias("a"), F.col("node").alias("component"))
     starts = member.select(F.col("node").alias("start"), F.col("component").alias("a"))
-    to = reach.select(F.col("start").alias("a"), F.col("node").alias("component")).join(member.select("node", "component"), "component")
-    return starts.join(to, "a").where("start <> node").select("start", "node")
+    return starts.join(pairs, "a").join(member.select("node", "component"), "component").where("start <> node").select("start", "node")
 
 
-def reach_counts(edges: DataFrame) -> DataFrame:
-    """(node, forward, reverse, scc_size): how many nodes each reaches and is reached by; sums over components."""
-    member, reach = condensed(edges)
-    size = member.select(F.col("component").alias("c"), "size").distinct()
-    forward = reach.join(size, F.col("node") == F.col("c")).groupBy(F.col("start").alias("component")).agg(F.sum("size").alias("forward"))
-    backward = reach.join(size, F.col("start") == F.col("c")).groupBy(F.col("node").alias("component")).agg(F.sum("size").alias("reverse"))
-    out = member.join(forward, "component", "left").join(backward, "component", "left")
-    own = F.when(F.col("size") > 1, 1).otherwise(0)  # a node on a cycle isn't in its own reach
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)) - own
-    return out.select("node", n("forward").alias("forward"), n("reverse").alias("reverse"), F.when(F.col("size") > 1, F.col("size")).otherwise(0).alias("scc_size"))
+def reach_counts(edges: DataFrame, parts: Condensed | None = None) -> DataFrame:
+    """(node, forward, reverse, scc_size): how many nodes each reaches and is reached by, itself left out."""
+    member, between = parts or condense(edges)
+    words = table(_words(_placed(member.select("node", "component")), "component"), "words")
+    sides = (("reverse", between), ("forward", reverse(between)))
+    out = member
+    for name, along in sides:
+        n = spread_bits(along, words).groupBy(F.col("node").alias("component")).agg((F.sum(F.bit_count("bits")) - 1).alias(name))
+        out = out.join(n, "component")
+    return out.select("node", "forward", "reverse", F.when(F.col("size") > 1, F.col("size")).otherwise(0).alias("scc_size"))
 
 
-def reach_sums(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """(node, ...): the other columns of ``values`` (node, ...) summed over each node and all that it reaches.
+def reach_sums(edges: DataFrame, values: DataFrame, parts: Condensed | None = None) -> DataFrame:
+    """(node, ...): the other columns of ``values`` (node, ...; whole numbers from 0) summed over each node and all that it reaches.
 
-    Sums are of components, so a node that several ways reach counts once. Nulls count as 0; a node
-    without an edge has its own values.
+    A node that several ways reach counts once: sums are counts of bits, digit by binary digit of the
+    values. Nulls count as 0; a node without an edge has its own values.
     """
-    member, reach = condensed(edges)
+    member, between = parts or condense(edges)
     names = [c for c in values.columns if c != "node"]
-    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]
-    named = values.join(member.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = table(named.groupBy("component").agg(*sums), "values")
-    beyond = reach.where("start <> node").join(own.withColumnRenamed("component", "node"), "node").groupBy(F.col("start").alias("component")).agg(*sums)
-    total = own.unionByName(beyond).groupBy("component").agg(*sums)
-    return named.select("node", "component").join(total, "component").select("node", *names)
+    values = table(values.select("node", *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in names]), "values")
+    most = values.agg(*[F.max(c) for c in names]).first()
+    place = _placed(member.select("node", "component"))
+    reach = spread_bits(reverse(between), _words(place, "component"))
+    digits = [(c, k) for c, m in zip(names, most) for k in range((m or 0).bit_length())]
+    planes = [F.bit_or(F.when(F.col(c).bitwiseAND(F.lit(1 << k)) != 0, _bit(F.col("place"))).otherwise(F.lit(0).cast("long"))).alias(f"{c}_{k}") for c, k in digits]
+    masks = place.join(values, "node").groupBy("block").agg(F.count("*").alias("_rows"), *planes)
+    sums = [sum((F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col(f"{c}_{k}")))).cast("long") * F.lit(1 << k) for x, k in digits if x == c), F.lit(0).cast("long")).alias(c) for c in names]
+    total = reach.join(masks, "block").groupBy(F.col("node").alias("component")).agg(*sums)
+    linked = member.join(total, "component", "left").select("node", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    alone = values.join(member, "node", "left_anti")
+    return linked.join(values.select("node"), "node", "left_semi").unionByName(alone)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, target: str | None = None) -> DataFrame:
@@ -132,26 +189,6 @@ def representative_paths(edges: DataFrame, starts: DataFrame, nodes: int = 20) -
     return paths.join(deepest, ["start", "depth"]).groupBy("start").agg(F.min("path").alias("path"))
 
 
-def least_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, name): the least node that reaches each along edges, itself included.
-
-    A round takes two steps along edges and then the name of the name, which reaches the node as
-    well, so long paths need few rounds.
-    """
-    names = table(nodes.select("node", F.col("node").alias("name")), "names")
-    while True:
-        now = names
-        for _ in range(2):
-            near = edges.join(now.select(F.col("node").alias("src"), "name"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("name").alias("near"))
-            now = now.join(near, "node", "left").select("node", F.least("name", F.coalesce("near", "name")).alias("name"))
-        over = names.select(F.col("node").alias("name"), F.col("name").alias("over"))  # of the round before: known for every node
-        new = now.join(over, "name", "left").select("node", F.least("name", F.coalesce("over", "name")).alias("name"))
-        new = table(new.join(names.select("node", F.col("name").alias("old")), "node"), "names")
-        names = new.select("node", "name")
-        if new.where("name <> old").isEmpty():
-            return names
-
-
 def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, name) of the nodes on a cycle of this partition's edges, named by the least of their component."""
     near: dict[str, list[str]] = {}
@@ -199,63 +236,104 @@ def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest member.
 
-    Cycles inside the edges of a task are contracted first (``LOCAL`` edges a task, dealt by the
-    start's name, so what lies near by name meets). Where more than one task was needed, rounds of
-    colouring follow on what is left.
+    Cycles inside the edges of a task are contracted first: edges are dealt by ranges of the
+    start's name, so what lies near by name meets, to as many tasks as the session runs at once, or
+    more where each would hold more than ``LOCAL``. Rounds of ``_labelled`` find the cycles
+    that cross tasks.
     """
     done = nodes.select("node").distinct().select("node", F.col("node").alias("component"))
+    spark = edges.sparkSession
     open_ = table(edges.select("src", "dst").where("src <> dst").distinct(), "open")
-    parts = -(-open_.count() // LOCAL)
-    if not parts:
+    count = open_.count()
+    if not count:
         return done
-    ship(edges.sparkSession)
-    dealt = open_.coalesce(1) if parts == 1 else open_.repartitionByRange(parts, "src")
+    ship(spark)
+    dealt = open_.repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-count // LOCAL)), "src")
     local = table(dealt.mapInArrow(_cycles, "node string, name string"), "local")
+    a, b = (local.select(F.col("node").alias(x), F.col("name").alias(f"{x}_name")) for x in ("src", "dst"))
+    left = open_.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_name", "src").alias("src"), F.coalesce("dst_name", "dst").alias("dst"))
+    over = _labelled(left.where("src <> dst").distinct())
     names = local
-    if parts > 1:
-        a, b = (local.select(F.col("node").alias(x), F.col("name").alias(f"{x}_name")) for x in ("src", "dst"))
-        left = open_.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_name", "src").alias("src"), F.coalesce("dst_name", "dst").alias("dst"))
-        over = _coloured(left.where("src <> dst").distinct())
-        if over is not None:
-            over = table(over.select("node", F.col("name").alias("over")), "over")
-            names = local.join(over.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("over", "name").alias("name"))
-            names = names.unionByName(over.join(local, "node", "left_anti").select("node", F.col("over").alias("name")))
+    if over is not None:
+        over = table(over.select("node", F.col("name").alias("over")), "over")
+        names = local.join(over.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("over", "name").alias("name"))
+        names = names.unionByName(over.join(local, "node", "left_anti").select("node", F.col("over").alias("name")))
     return done.join(names.select("node", F.col("name").alias("found")), "node", "left").select("node", F.coalesce("found", "component").alias("component"))
 
 
-def _coloured(edges: DataFrame) -> DataFrame | None:
+DEGREE = 12  # bits of a label for the product of degrees, before those of a row's number
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has one out; others are on no cycle."""
+    inner = edges
+    for _ in range(2):
+        ins, outs = inner.select(F.col("dst").alias("src")).distinct(), inner.select(F.col("src").alias("dst")).distinct()
+        inner = inner.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+    return inner
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label): distinct longs, least for nodes with many edges in and out, which large cycles run through."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    most = (1 << DEGREE) - 1
+    near = ends.groupBy("node").agg((F.lit(most) - F.least(F.sum("o") * F.sum("i"), F.lit(most))).alias("far"))
+    rows = table(near.withColumn("at", F.monotonically_increasing_id()), "labels")
+    return rows.select("node", (F.call_function("shiftleft", F.col("far"), F.lit(62 - DEGREE)).bitwiseOR(F.col("at"))).alias("label"))
+
+
+def _least(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way, node, name): the least node that reaches each along the edges (way, src, dst), itself included.
+
+    A round takes ``HOPS`` steps and then the name of the name, which reaches the node as well, so
+    long paths need few rounds.
+    """
+    names = table(nodes.select("way", "node", F.col("node").alias("name")), "names")
+    near = edges.select("way", F.col("src").alias("node"), "dst")
+    none = F.lit(None).cast("long")
+    while True:
+        rows, wave = names.select("way", "node", "name", F.col("name").alias("old")), names
+        for _ in range(HOPS):
+            wave = wave.join(near, ["way", "node"]).groupBy("way", F.col("dst").alias("node")).agg(F.min("name").alias("name"))
+            rows = rows.unionByName(wave.select("way", "node", "name", none.alias("old")))
+        rows = rows.groupBy("way", "node").agg(F.min("name").alias("name"), F.max("old").alias("old"))
+        over = names.select("way", F.col("node").alias("name"), F.col("name").alias("over"))  # of the round before: known for every node
+        rows = table(rows.join(over, ["way", "name"], "left").select("way", "node", F.least("name", F.coalesce("over", "name")).alias("name"), "old"), "names")
+        names = rows.select("way", "node", "name")
+        if rows.where("name <> old").isEmpty():
+            return names
+
+
+def _labelled(edges: DataFrame) -> DataFrame | None:
     """(node, name) of strongly connected components with an edge, named by their least node.
 
-    Rounds of colouring: every open node takes the smallest name that reaches it. The least node of
-    a colour reaches all of it, so those that reach this one back are its component. Nodes without
-    an edge in or out are their own. Each step passes over the open edges once.
+    Every open node learns the least label that reaches it and the least that it reaches, both
+    in the same rounds. Where the two are one, that node's component is found. All nodes of a
+    component agree in both, so edges between nodes that don't go; rounds end when none is left.
     """
+    open_ = table(_trimmed(edges), "open")
+    if open_.isEmpty():
+        return None
+    label = table(_labels(open_), "label")
+    a, b = (label.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("src", "dst"))
+    open_ = table(open_.join(a, "src").join(b, "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")), "open")
     found = None
-    open_ = table(edges, "open")
-    before = open_.count()
     while True:
-        while True:  # nothing enters or leaves these: trimmed until none is left
-            inner = open_
-            for _ in range(2):
-                inner = inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            open_ = table(inner, "open")
-            before, was = open_.count(), before
-            if before in (0, was):
-                break
-        if not before:
-            break
-        colour = table(least_names(open_, open_.select(F.col("src").alias("node")).distinct()), "colour")
-        ends = [colour.select(F.col("node").alias(end), F.col("name").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
-        same = table(open_.join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst"), "same")
-        back = least_names(reverse(same), colour.select("node"))
-        seen = table(colour.join(back.select("node", F.col("name").alias("back")), "node").where("name = back").select("node", "name"), "component")
+        both = open_.select(F.lit(0).alias("way"), "src", "dst").unionByName(open_.select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+        nodes = both.select("way", F.col("src").alias("node")).unionByName(both.select("way", F.col("dst").alias("node"))).distinct()
+        names = _least(both, nodes)
+        side = table(names.groupBy("node").agg(F.min(F.when(F.col("way") == 0, F.col("name"))).alias("into"), F.min(F.when(F.col("way") == 1, F.col("name"))).alias("out")), "sides")
+        seen = side.where("into = out").select("node", F.col("into").alias("root"))
         found = seen if found is None else found.unionByName(seen)
-        gone = seen.select("node")
-        open_ = table(open_.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "open")
-        before = open_.count()
-        if not before:
+        left = side.where("into <> out")
+        a, b = (left.select(F.col("node").alias(x), F.col("into").alias(f"{x}_into"), F.col("out").alias(f"{x}_out")) for x in ("src", "dst"))
+        same = open_.join(a, "src").join(b, "dst").where("src_into = dst_into and src_out = dst_out").select("src", "dst")
+        open_ = table(_trimmed(same), "open")
+        if open_.isEmpty():
             break
-    return found
+    named = found.join(label.select(F.col("label").alias("node"), F.col("node").alias("who")), "node").select("who", "root")
+    least = named.groupBy("root").agg(F.min("who").alias("name"))
+    return named.join(least, "root").select(F.col("who").alias("node"), "name")
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -272,54 +350,125 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, depth): the longest walk out of a node; the number of nodes where a cycle is reached."""
-    n = nodes.select("node").distinct().count()
-    comp = table(components(edges, nodes), "scc")
-    cyclic = comp.groupBy("component").count().where("count > 1").join(comp, "component").select("node")
-    back = reachable(reverse(edges), cyclic.select(F.col("node").alias("start")).distinct()).select("node").distinct()
-    endless = table(cyclic.unionByName(back).distinct(), "endless")
-    calm = table(nodes.select("node").distinct().join(endless, "node", "left_anti"), "calm")
-    inner = table(edges.select("src", "dst").distinct().join(calm.select(F.col("node").alias("src")), "src", "left_semi"), "inner")
-    level = table(calm.withColumn("depth", F.lit(0)), "level")
+def _longest(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
+    """(node, name): greatest over a node and all that reach it of their seed (node, name) and the steps between.
+
+    Of an acyclic graph. Only what rose in a round's last step goes on.
+    """
+    near = edges.select(F.col("src").alias("node"), "dst")
+    known = table(seeds.select("node", F.col(name).cast("int").alias(name)), "longest")
+    front = known
+    none = F.lit(None).cast("int")
     while True:
-        up = inner.join(level.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("depth") + 1).alias("up"))
-        new = table(level.join(up, "node", "left").select("node", F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth"), F.col("depth").alias("old")), "level")
-        level = new.select("node", "depth")
-        if new.where("depth <> old").isEmpty():
-            break
-    return level.unionByName(endless.withColumn("depth", F.lit(n)))
+        wave, rows = front, known.select("node", F.col(name).alias("known"), none.alias("last"))
+        for k in range(HOPS):
+            wave = wave.join(near, "node").groupBy(F.col("dst").alias("node")).agg((F.max(name) + 1).alias(name))
+            sides = (none, F.col(name)) if k + 1 == HOPS else (F.col(name), none)
+            rows = rows.unionByName(wave.select("node", sides[0].alias("known"), sides[1].alias("last")))
+        rows = table(rows.groupBy("node").agg(F.max("known").alias("known"), F.max("last").alias("last")), "longest")
+        known = rows.select("node", F.greatest("known", "last").alias(name))
+        front = rows.where("last > coalesce(known, -1)").select("node", F.col("last").alias(name))
+        if front.isEmpty():
+            return known
+
+
+def depths(edges: DataFrame, nodes: DataFrame, parts: Condensed | None = None) -> DataFrame:
+    """(node, depth): the longest walk out of a node; the number of nodes where a cycle is reached."""
+    all_ = nodes.select("node").distinct()
+    n = all_.count()
+    member, between = parts or condense(edges)
+    back = reverse(between)
+    cyclic = member.where("size > 1").select(F.col("component").alias("node"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("bits")).distinct()
+    endless = table(spread_bits(back, cyclic).select("node"), "endless")
+    calm = back.join(endless.withColumnRenamed("node", "dst"), "dst", "left_anti")  # who reaches an endless one is endless
+    starts = calm.select(F.col("src").alias("node")).unionByName(calm.select(F.col("dst").alias("node"))).distinct().withColumn("depth", F.lit(0))
+    level = _longest(calm, starts, "depth").unionByName(endless.withColumn("depth", F.lit(n))).withColumnRenamed("node", "component")
+    return all_.join(member, "node", "left").join(level, "component", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): fixpoint of level(child) = level(parent) + 1 at least; an error on a graph with a cycle."""
+    """(node, level): level(child) = level(parent) + 1 at least, from a column ``seed`` or 0; an error on a graph with a cycle."""
     edges = table(edges.select("src", "dst").distinct(), "edges")
-    level = table(nodes.select("node").distinct().withColumn("level", F.lit(0)), "level")
-    left = level.count()
-    while True:
-        down = edges.join(level.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("down"))
-        new = table(level.join(down, "node", "left").select("node", F.greatest("level", F.coalesce("down", F.lit(0))).alias("level"), F.col("level").alias("old")), "level")
-        level = new.select("node", "level")
-        if new.where("level <> old").isEmpty():
-            return level
-        left -= 1
-        if left < 0:
-            raise ValueError("levels of a graph with a cycle")
-
-
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) along parent pointers; a cycle ends a chase."""
-    parent = nodes.select("node", "parent").where("parent is not null")
-    hop = table(parent.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("node", "parent").alias("path")), "hop")
-    out, k = hop, 1
+    if not condense(edges).member.where("size > 1").isEmpty() or not edges.where("src = dst").isEmpty():
+        raise ValueError("levels of a graph with a cycle")
+    seed = F.col("seed") if "seed" in nodes.columns else F.lit(0)
+    return _longest(edges, nodes.groupBy("node").agg(F.max(seed).alias("level")), "level")
+
+
+class Chains(NamedTuple):
+    """(node, end, hops, best) of chains along pointers, and the nodes that lie on a cycle."""
+
+    ends: DataFrame
+    cyclic: DataFrame | None
+
+
+def _follow(pointers: DataFrame) -> Chains:
+    """Follows pointers (node, parent, seed) to their end, by doubling: as many rounds as the longest chain has binary digits.
+
+    ``best`` is the greatest of seed + hops over the node and what lies above it; without a pointer
+    a node is its own end. A chain into a cycle ends at the first node of the cycle that it meets.
+    """
+    rows = table(pointers.select("node", "parent", F.col("seed").cast("long").alias("seed")), "pointers")
+    n, cyclic = rows.count(), None
     while True:
-        k += 1
-        hop = hop.join(parent.select(F.col("node").alias("ancestor"), "parent"), "ancestor").where(~F.array_contains("path", F.col("parent")))
-        hop = table(hop.select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("distance"), F.concat("path", F.array("parent")).alias("path")), "hop")
-        if hop.isEmpty():
+        up = F.col("parent") if cyclic is None else F.when(F.col("ring").isNull(), F.col("parent"))
+        here = rows if cyclic is None else rows.join(cyclic.select("node", F.lit(True).alias("ring")), "node", "left")
+        state = table(here.select("node", up.alias("to"), F.col("seed").alias("best"), F.lit(1).cast("long").alias("span")), "chain")
+        span = 1
+        while True:
+            above = state.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("best").alias("above"), F.col("span").alias("more"))
+            step = state.join(above, "to", "left")
+            rise = F.when(F.col("above").isNotNull(), F.greatest("best", F.col("above") + F.col("span"))).otherwise(F.col("best"))
+            goes = F.col("next").isNotNull()
+            state = table(step.select("node", F.coalesce("next", "to").alias("to"), rise.alias("best"), F.when(goes, F.col("span") + F.col("more")).otherwise(F.col("span")).alias("span"), goes.alias("goes")), "chain")
+            span *= 2
+            open_ = state.where("goes")
+            if open_.isEmpty():
+                ends = state.select("node", F.coalesce("to", "node").alias("end"), F.when(F.col("to").isNull(), 0).otherwise(F.col("span")).alias("hops"), "best")
+                return Chains(ends, cyclic)
+            if span > 2 * n:  # longer than any chain: these are all on cycles or lead into one
+                cyclic = table(open_.select(F.col("to").alias("node")).distinct(), "cyclic")
+                break
+            state = state.drop("goes")
+
+
+def _pointers(nodes: DataFrame) -> DataFrame:
+    """One row (node, parent) per node; of several parents the least, of parents that are no node none."""
+    own = nodes.groupBy("node").agg(F.min("parent").alias("parent"))
+    there = own.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+    return own.join(there, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"))
+
+
+def tree_levels(nodes: DataFrame) -> DataFrame:
+    """(node, level) of a tree of parents (node, parent, and a column ``seed`` or 0): level(child) = level(parent) + 1 at least.
+
+    An error where parents form a cycle.
+    """
+    seed = nodes.groupBy("node").agg(F.max("seed" if "seed" in nodes.columns else F.lit(0)).alias("seed"))
+    rows = _pointers(nodes).join(seed, "node", "left").select("node", "parent", F.coalesce("seed", F.lit(0)).alias("seed"))
+    ends, cyclic = _follow(rows)
+    if cyclic is not None:
+        raise ValueError("levels of a graph with a cycle")
+    return nodes.select("node").distinct().join(ends, "node").select("node", F.col("best").alias("level"))
+
+
+def ancestors(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) along parent pointers, the nearest ``limit`` or all; a cycle ends a chase before the node itself.
+
+    Doubling: a node's ancestors of up to 2k hops are its own of k and those of its k-th.
+    """
+    jump = table(nodes.select("node", F.col("parent").alias("to")).where("to is not null and to <> node").distinct(), "jump")
+    out, k = jump.select("node", F.col("to").alias("ancestor"), F.lit(1).alias("distance")), 1
+    while limit is None or k < limit:
+        far = jump.join(out.select(F.col("node").alias("to"), "ancestor", "distance"), "to").where("node <> ancestor")
+        far = far.groupBy("node", "ancestor").agg((F.min("distance") + k).alias("distance")).join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        far = table(far, "ancestors")
+        if far.isEmpty():
             break
-        out = out.unionByName(hop)
-    return out.select("node", "ancestor", "distance")
+        out = out.unionByName(far)
+        jump = table(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")), "jump")
+        k *= 2
+    return out if limit is None else out.where(F.col("distance") <= limit)
 
 
 def descendants(contains: DataFrame, start: str, limit: int) -> DataFrame:
@@ -329,11 +478,13 @@ def descendants(contains: DataFrame, start: str, limit: int) -> DataFrame:
 
 
 def top_container(nodes: DataFrame, root_types: list[str]) -> DataFrame:
-    """(node, cluster): the topmost ancestor that is no root, or the node itself."""
-    chain = ancestors(nodes)
-    kind = nodes.select(F.col("node").alias("ancestor"), "node_type")
-    top = chain.join(kind, "ancestor").where(~F.col("node_type").isin(root_types)).groupBy("node").agg(F.max_by("ancestor", "distance").alias("cluster"))
-    return nodes.select("node").join(top, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+    """(node, cluster): the topmost container below a root, or the node itself; on a cycle of containers the first that is met again."""
+    kind = nodes.groupBy("node").agg(F.max(F.coalesce(F.col("node_type").isin(root_types), F.lit(False))).alias("root"))
+    own = _pointers(nodes).join(kind, "node", "left")
+    above = kind.select(F.col("node").alias("parent"), F.col("root").alias("above"))
+    below = F.coalesce("root", F.lit(False)) | F.coalesce("above", F.lit(False))
+    rows = own.join(above, "parent", "left").select("node", F.when(~below, F.col("parent")).alias("parent"), F.lit(0).alias("seed"))
+    return nodes.select("node").join(_follow(rows).ends, "node").select("node", F.col("end").alias("cluster"))
 
 
 def crossings(paths: DataFrame, owner: DataFrame) -> DataFrame:

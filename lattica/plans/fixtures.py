@@ -26,22 +26,30 @@ class Tables:
     def contains(self) -> DataFrame:
         return self.nodes().where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
 
-    def _follows(self, least: int) -> DataFrame:
+    def _strongest(self, pairs: DataFrame, by: str, share: float) -> DataFrame:
+        """Of all pairs (src, dst, quantity) the sums, those of at least ``share`` of the largest of the same ``by``."""
+        total = pairs.groupBy("src", "dst").agg(F.sum("quantity").alias("total"))
+        most = total.groupBy(by).agg((F.max("total") * share).alias("least"))
+        return total.join(most, by).where("total >= least").select("src", "dst")
+
+    def _follows(self, share: float) -> DataFrame:
+        """Edges to the suppliers whose lines follow a supplier's own in orders, by the quantity of both lines:
+        the strongest, and those of at least ``share`` of it. All lines count."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
         l = self.lineitem.withColumn("next_supp", F.lead("l_suppkey").over(w)).withColumn("next_qty", F.lead("l_quantity").over(w))
-        l = l.where((F.col("l_quantity") >= least) & (F.col("next_qty") >= least) & (F.col("l_suppkey") != F.col("next_supp")))
-        return l.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("s:"), "next_supp").alias("dst")).distinct()
+        l = l.where(F.col("l_suppkey") != F.col("next_supp"))
+        return self._strongest(l.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("s:"), "next_supp").alias("dst"), (F.col("l_quantity") + F.col("next_qty")).alias("quantity")), "src", share)
 
     def deps(self) -> DataFrame:
-        return self._follows(48)
+        return self._follows(0.95)
 
     def calls(self) -> DataFrame:
-        return self._follows(45)
+        return self._follows(0.8)
 
     def targets(self) -> DataFrame:
         """(node, target): parts of a supplier whose line follows another, as the symbols that calls meet."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-        l = self.lineitem.select(*(F.lead(c).over(w).alias(f"next_{c[2:]}") for c in ("l_suppkey", "l_partkey", "l_quantity")), "l_quantity").where("l_quantity >= 45 and next_quantity >= 45")
+        l = self.lineitem.select(*(F.lead(c).over(w).alias(f"next_{c[2:]}") for c in ("l_suppkey", "l_partkey"))).where("next_suppkey is not null")
         node = F.concat(F.lit("s:"), "next_suppkey")
         return l.select(node.alias("node"), F.concat_ws("/", node, "next_partkey").alias("target")).distinct()
 
@@ -55,8 +63,9 @@ class Tables:
         return first
 
     def impl(self) -> DataFrame:
-        l = self.lineitem.where("l_quantity >= 49")
-        return l.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst")).distinct()
+        """Suppliers implement the parts of which they sell the most, or 0.95 of that."""
+        l = self.lineitem.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"), F.col("l_quantity").alias("quantity"))
+        return self._strongest(l, "dst", 0.95)
 
     def modules(self) -> DataFrame:
         return self.nodes().where("node_type = 'MODULE'").select("node")
@@ -99,13 +108,15 @@ SQL = {
   union all select 's:'||s_suppkey, 'MODULE', s_name, 'n:'||s_nationkey, true from supplier)""",
     "contains": "contains as (select parent as src, node as dst from nodes where parent is not null)",
     "follows": """follows as (select l_suppkey, l_quantity, lead(l_suppkey) over w as next_supp, lead(l_quantity) over w as next_qty, lead(l_partkey) over w as next_part from lineitem
-  window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate))""",
-    "deps": "deps as (select distinct 's:'||l_suppkey as src, 's:'||next_supp as dst from follows where l_quantity >= 48 and next_qty >= 48 and l_suppkey <> next_supp)",
-    "calls": "calls as (select distinct 's:'||l_suppkey as src, 's:'||next_supp as dst from follows where l_quantity >= 45 and next_qty >= 45 and l_suppkey <> next_supp)",
-    "targets": "targets as (select distinct 's:'||next_supp as node, 's:'||next_supp||'/'||next_part as target from follows where l_quantity >= 45 and next_qty >= 45)",
+  window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate)),
+ strength as (select 's:'||l_suppkey as src, 's:'||next_supp as dst, sum(l_quantity + next_qty) as total from follows where l_suppkey <> next_supp group by 1, 2)""",
+    "deps": "deps as (select src, dst from strength qualify total >= 0.95 * max(total) over (partition by src))",
+    "calls": "calls as (select src, dst from strength qualify total >= 0.8 * max(total) over (partition by src))",
+    "targets": "targets as (select distinct 's:'||next_supp as node, 's:'||next_supp||'/'||next_part as target from follows where next_supp is not null)",
     "links": """links as (select src, dst, 'TESTS' as edge_type from calls where cast(substr(src, 3) as bigint) % 5 = 0
   union all select src, dst, 'IMPLEMENTS' from deps where cast(substr(src, 3) as bigint) % 3 = 0 union all select src, dst, 'CONFIGURES' from deps where cast(substr(src, 3) as bigint) % 7 = 0)""",
-    "impl": "impl as (select distinct 's:'||l_suppkey as src, 'p:'||l_partkey as dst from lineitem where l_quantity >= 49)",
+    "impl": """impl as (select src, dst from (select 's:'||l_suppkey as src, 'p:'||l_partkey as dst, sum(l_quantity) as total from lineitem group by 1, 2)
+  qualify total >= 0.95 * max(total) over (partition by dst))""",
     "modules": "modules as (select node from nodes where node_type = 'MODULE')",
     "constants": "constants as (select source as module, string_split(text, chr(10))[1] as name, md5(text) as fingerprint from documents)",
     "policies": """policies as (select document,

@@ -90,7 +90,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("levels", with_("nodes", body="select node, case node_type when 'PACKAGE_ROOT' then 0 when 'PACKAGE' then 1 else 2 end as level from nodes"))
 def _(t: Tables) -> DataFrame:
-    return graph.levels(t.contains(), t.nodes().select("node")).select("node", F.col("level").cast("int").alias("level"))
+    seed = F.when(F.col("node_type") == "CLASS", 2).otherwise(0)
+    return graph.tree_levels(t.nodes().withColumn("seed", seed)).select("node", F.col("level").cast("int").alias("level"))
 
 
 @query("connected_components", with_("nodes", "modules", "follows", "deps", body=""", both_ as (select src, dst from deps union select dst, src from deps),
@@ -229,10 +230,10 @@ def _(t: Tables) -> DataFrame:
     return detectors.visible(t.nodes(), t.contains(), ["CLASS", "PACKAGE"], False, ["s:1"])[0].select("node")
 
 
-@query("sole_implementation", with_("impl", body="select dst as node, min(src) as implementation, (select count(*) from lineitem where 'p:'||l_partkey = dst and l_quantity < 10) as dependants from impl group by dst having count(*) = 1"))
+@query("sole_implementation", with_("impl", body="select dst as node, min(src) as implementation, (select count(*) from lineitem where 'p:'||l_partkey = dst) as dependants from impl group by dst having count(*) = 1"))
 def _(t: Tables) -> DataFrame:
     nodes = t.part.select(F.concat(F.lit("p:"), "p_partkey").alias("node"), F.lit("INTERFACE").alias("node_type")).unionByName(t.modules().withColumn("node_type", F.lit("MODULE")))
-    calls = t.lineitem.where("l_quantity < 10").select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"))
+    calls = t.lineitem.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"))
     return detectors.sole_implementation(nodes, t.impl().withColumn("edge_type", F.lit("IMPLEMENTS")).unionByName(calls))
 
 
