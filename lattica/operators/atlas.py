@@ -10,10 +10,10 @@ from lattica.operators import graph
 
 #: kind -> edge types, and whether the node is the target
 RELATIONS = {
-    "direct_dependencies": (("IMPORTS",), False),
-    "direct_dependants": (("IMPORTS",), True),
+    "direct_dependencies": (("IMPORTS", "CALLS"), False),
+    "direct_dependants": (("IMPORTS", "CALLS"), True),
     "known_callers": (("CALLS",), True),
-    "implementations": (("IMPLEMENTS", "INHERITS"), True),
+    "implementations": (("IMPLEMENTS",), True),
     "related_tests": (("TESTS",), True),
 }
 #: group and field of an unqualified metric: the first group that has it (fixed order)

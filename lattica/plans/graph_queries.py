@@ -175,18 +175,18 @@ def _(t: Tables) -> DataFrame:
 
 
 for _kind, _sql in (
-    ("direct_dependencies", "select distinct dst as node from deps where src = 's:2' order by 1 limit 30"),
-    ("direct_dependants", "select distinct src as node from deps where dst = 's:2' order by 1 limit 30"),
+    ("direct_dependencies", "select dst as node from deps where src = 's:2' union select dst from calls where src = 's:2' order by 1 limit 30"),
+    ("direct_dependants", "select src as node from deps where dst = 's:2' union select src from calls where dst = 's:2' order by 1 limit 30"),
     ("known_callers", "select distinct src as node from calls where dst = 's:2' order by 1 limit 30"),
     ("implementations", "select distinct src as node from impl where dst = 'p:2' order by 1 limit 30"),
-    ("related_tests", "select distinct src as node from calls where dst = 's:2' and cast(substr(src, 3) as int) % 5 = 0 order by 1 limit 30"),
+    ("related_tests", "select distinct src as node from calls where dst = 's:4' and cast(substr(src, 3) as int) % 5 = 0 order by 1 limit 30"),
 ):
 
     @query("relation_" + _kind, with_("follows", "deps", "calls", "impl", body=_sql))
     def _(t: Tables, kind: str = _kind) -> DataFrame:
         typed = t.deps().withColumn("edge_type", F.lit("IMPORTS")).unionByName(t.calls().withColumn("edge_type", F.lit("CALLS"))).unionByName(t.impl().withColumn("edge_type", F.lit("IMPLEMENTS")))
         tests = t.calls().where("cast(substr(src, 3) as int) % 5 = 0").withColumn("edge_type", F.lit("TESTS"))
-        return atlas.relation(typed.unionByName(tests), kind, "p:2" if kind == "implementations" else "s:2", 30)
+        return atlas.relation(typed.unionByName(tests), kind, {"implementations": "p:2", "related_tests": "s:4"}.get(kind, "s:2"), 30)
 
 
 @query("search_nodes", with_("nodes", body="select node, name from nodes where contains(lower(name || ' ' || node), 'supplier') and contains(lower(name || ' ' || node), '1') order by name, node limit 20"))
