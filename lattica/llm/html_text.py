@@ -2,17 +2,19 @@
 
 Html is cut into flat blocks at the borders of block elements. A block has its words, the share
 of them inside links, and the same of the blocks before and after; further what the elements
-around it say (``mark``, see below), and its ``place``: 2 in an article or main element, 0
-beside one, 1 on a page without any. A decision tree (Gini splits) is grown from ``EXAMPLES``, a small labelled table of
+around it say (``mark``, see below), and its ``place``: 2 in an article (on a page without one, in
+a main element), 0 beside it, 1 on a page without either. A decision tree (Gini splits) is grown from ``EXAMPLES``, a small labelled table of
 blocks, and decides each block; scripts, styles, comments of the markup and other unseen
 elements never make a block.
 
 ``mark`` is 2 where an open element is a menu, footer, sidebar, form or the like by its tag or
 role, or where a class or id as a whole names one (``sidebar``, ``cookie-banner``, ``comments``),
 also of an article inside another one. It is 1 where such a name is only a part of a longer one
-(``legal-note``, ``side-by-side``): there words and links of the block and its neighbours tell.
-They also tell on unmarked blocks of an article: short blocks of links beside others like them
-are a menu, a lone link or a long block of links is text.
+(``legal-note``, ``side-by-side``), can mean other things (``discussion``, ``widget``), or is the id
+of a section, which is often made of its title: there words and links of the block and its
+neighbours tell. Ids of headings say nothing. Words and links also tell on unmarked blocks of an
+article: links of a word or two beside others like them are a menu; a list of longer links, a lone
+link or a long block of links is text.
 
 Texts have character references decoded, runs of white space inside a block made one space,
 and are trimmed; a page's blocks stand in page order with one newline between them.
@@ -22,7 +24,9 @@ Defined results: null or empty html, or a page without article text, gives an em
 element of its name; end tags without one are ignored. A quote belongs to an attribute's value
 only right after its equals sign, as browsers read it. Depth and length cost time in proportion.
 Repeated rows give repeated results; other columns than page_id, url and html are ignored, null
-ids and urls are passed through.
+ids and urls are passed through. An empty table gives an empty table. A comment ends as the HTML
+standard says (``-->``, ``--!>``, or at once in ``<!-->``); other declarations and, outside of svg
+and math, CDATA sections end at the next ``>``.
 """
 
 from __future__ import annotations
@@ -39,7 +43,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm import textblock as tb
 
-#: of EXAMPLES; the tree also sees ``links_beside``, the larger of the two neighbours' shares
+#: of EXAMPLES; the tree also sees ``links_beside``, the larger of the two neighbours' shares, and
+#: ``longest_link``, the most words of the block and of those neighbours that are links
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "place", "heading")
 
 #: labelled blocks: FEATURES, then 1 where the block is main text
@@ -83,20 +88,30 @@ EXAMPLES = [
     (12, 1.0, 3, 1.0, 4, 1.0, 0, 2, 0, 1),
     (15, 1.0, 0, 0.0, 3, 1.0, 0, 2, 0, 1),
     (11, 0.8, 14, 0.9, 2, 0.0, 0, 2, 0, 1),
-    # short links beside short links are a menu, in an article too
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 2, 0, 0),
-    (3, 1.0, 40, 0.0, 4, 1.0, 0, 2, 0, 0),
-    (4, 1.0, 3, 1.0, 60, 0.0, 0, 2, 0, 0),
+    # links of a word or two beside others like them are a menu, in an article too
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 2, 0, 0),
+    (1, 1.0, 40, 0.0, 2, 1.0, 0, 2, 0, 0),
+    (2, 1.0, 2, 1.0, 60, 0.0, 0, 2, 0, 0),
     (1, 1.0, 1, 1.0, 0, 0.0, 0, 2, 0, 0),
-    (5, 0.8, 4, 0.9, 6, 1.0, 0, 2, 0, 0),
-    (6, 1.0, 7, 0.9, 30, 0.1, 0, 2, 0, 0),
-    (7, 0.9, 25, 0.0, 5, 0.9, 0, 2, 0, 0),
+    (2, 0.8, 1, 0.9, 2, 1.0, 0, 2, 0, 0),
+    (1, 1.0, 2, 0.9, 30, 0.1, 0, 2, 0, 0),
+    (2, 0.9, 25, 0.0, 1, 0.9, 0, 2, 0, 0),
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 2, 0, 0),
-    (3, 1.0, 2, 1.0, 1, 0.0, 0, 2, 0, 0),
-    (7, 1.0, 1, 0.0, 8, 1.0, 0, 2, 0, 0),
-    (2, 0.9, 80, 0.0, 3, 0.9, 0, 2, 0, 0),
-    (8, 1.0, 6, 1.0, 7, 1.0, 0, 2, 0, 0),
-    (4, 1.0, 20, 1.0, 90, 0.0, 0, 2, 0, 0),
+    (1, 1.0, 2, 1.0, 1, 0.0, 0, 2, 0, 0),
+    (2, 1.0, 1, 0.0, 2, 1.0, 0, 2, 0, 0),
+    (2, 0.9, 80, 0.0, 2, 0.9, 0, 2, 0, 0),
+    # a list of longer links, such as titles, is text, a short one among them too
+    (5, 1.0, 40, 0.0, 6, 1.0, 0, 2, 0, 1),
+    (6, 1.0, 5, 1.0, 4, 1.0, 0, 2, 0, 1),
+    (4, 1.0, 6, 1.0, 60, 0.0, 0, 2, 0, 1),
+    (3, 1.0, 4, 1.0, 3, 1.0, 0, 2, 0, 1),
+    (3, 1.0, 3, 1.0, 0, 0.0, 0, 2, 0, 1),
+    (2, 1.0, 6, 1.0, 5, 1.0, 0, 2, 0, 1),
+    (2, 1.0, 40, 0.0, 7, 1.0, 0, 2, 0, 1),
+    (1, 1.0, 8, 0.9, 30, 0.0, 0, 2, 0, 1),
+    (8, 1.0, 6, 1.0, 7, 1.0, 0, 2, 0, 1),
+    (4, 1.0, 20, 1.0, 90, 0.0, 0, 2, 0, 1),
+    (7, 0.9, 25, 0.0, 5, 0.9, 0, 2, 0, 1),
     # named by an open element, wherever it stands
     (2, 1.0, 2, 1.0, 2, 1.0, 2, 0, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 2, 1, 0, 0),
@@ -154,6 +169,14 @@ EXAMPLES = [
     (18, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
     (12, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1),
     (60, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (1, 1.0, 50, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (3, 1.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (2, 0.8, 20, 0.0, 30, 0.0, 0, 1, 0, 0),
     (6, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
     (20, 0.9, 15, 0.9, 18, 0.9, 0, 1, 0, 0),
@@ -174,7 +197,12 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKED = {"nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: words of class and id names that say what an element is (fixed values)
-WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice notification alert popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond reply replies disqus discussion widget toolbar pagination pager skip copyright legal gdpr form search".split())
+WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice notification alert popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond reply replies disqus skip toolbar pagination pager copyright gdpr form search".split())
+#: words that may say so or name a part of the text; beside a word of READERS they mean comments (fixed values)
+PERHAPS = set("side discussion discussions widget widgets feedback legal responses".split())
+READERS = set("reader readers user users visitor visitors guest".split())
+#: what an id of a section says for certain; others may be made of the section's title (fixed values)
+CERTAIN = set("nav navbar sidebar footer masthead breadcrumbs comments commentlist comment respond disqus ad ads advert".split())
 #: what may stand beside such a word without changing what it says (fixed values)
 AROUND = set("site page post article main top bottom left right global primary secondary mobile desktop bar box block section area container wrapper wrap inner outer content list item items group links link buttons button icons icon panel row col slot unit banner bar message text body header footer footer title heading form field input widget tag media network networks posts stories reader user thread tree cookie cookies consent".split())
 #: of these, what an article element can be by its own class: replies, adverts, teasers
@@ -182,24 +210,33 @@ OF_ARTICLES = set("comment comments reply replies respond ad ads advert advertis
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 #: attributes as browsers cut them: a quote opens a value right after an equals sign only
 ATTRIBUTES = r"(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?+)*+"
-TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z]|\Z)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?)?+")
 #: what ends an open element of the same kind without its end tag
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, set()), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 WHITE = re.compile(r"\s+")
 
 
-def _named(value: str, tag: str, in_article: bool) -> int:
-    """What a class or id says: 2 where a name as a whole is one of WORDS, 1 where it holds one, else 0."""
+def _named(value: str, tag: str, in_article: bool, is_id: bool = False) -> int:
+    """What a class or id says: 2 where a name as a whole is one of WORDS, 1 where it holds one or one of PERHAPS, else 0."""
+    if is_id and tag in HEADINGS:  # ids of headings are made of their text
+        return 0
     most = 0
     for name in value.lower().split():
         parts = PARTS.findall(name)
         words = [p for p in parts if p in WORDS and not (in_article and p == "header")]
+        perhaps = [p for p in parts if p in PERHAPS]
         if tag in ("article", "main"):
             most = max(most, 2 * (tag == "article" and any(p in OF_ARTICLES for p in words)))
+        elif perhaps and any(p in READERS for p in parts):
+            most = 2
         elif words:
-            whole = all(p in WORDS or p in AROUND or p.isdigit() for p in parts)
+            whole = all(p in WORDS or p in PERHAPS or p in AROUND or p.isdigit() for p in parts)
+            if is_id and tag == "section" and not any(p in CERTAIN for p in words):
+                whole = False
             most = max(most, 2 if whole else 1)
+        elif perhaps:
+            most = max(most, 1)
     return most
 
 
@@ -214,7 +251,7 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
             elif name == "role" and value.strip().lower() in ROLES:
                 mark = 2
             elif name in ("class", "id") and tag not in ("html", "body"):
-                mark = max(mark, _named(value, tag, in_article))
+                mark = max(mark, _named(value, tag, in_article, name == "id"))
     return unseen, mark
 
 
@@ -259,9 +296,9 @@ class _Open:
         return 2 if self.strong else int(self.weak > 0)
 
 
-def blocks_of(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
-    """(text, words, words in links, mark, in article, heading) of each flat block."""
-    out: list[tuple[str, int, int, int, bool, bool]] = []
+def blocks_of(html: str) -> list[tuple[str, int, int, int, int, bool]]:
+    """(text, words, words in links, mark, 2 in an article and 1 in a main element, heading) of each flat block."""
+    out: list[tuple[str, int, int, int, int, bool]] = []
     open_ = _Open()
     text: list[str] = []
     links: list[str] = []
@@ -271,7 +308,7 @@ def blocks_of(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
         if text:
             whole = WHITE.sub(" ", unescape("".join(text))).strip()
             if whole:
-                out.append((whole, len(whole.split(" ")), len(unescape(" ".join(links)).split()), open_.mark(), open_.any("article", "main"), open_.headings > 0))
+                out.append((whole, len(whole.split(" ")), len(unescape(" ".join(links)).split()), open_.mark(), 2 if open_.any("article") else int(open_.any("main")), open_.headings > 0))
             text, links = [], []
 
     def add(part: str) -> None:
@@ -299,6 +336,9 @@ def blocks_of(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
         add(html[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<![CDATA[") and open_.any("svg", "math"):
+                k = html.find("]]>", m.start())
+                at = len(html) if k < 0 else k + 3
             continue
         tag = m[2].lower()
         if tag in BLOCKS:
@@ -327,16 +367,20 @@ def blocks_of(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
 
 
 def _beside(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x[:, FEATURES.index("links_before")], x[:, FEATURES.index("links_after")])
+    """links_beside and longest_link of rows of FEATURES."""
+    words, before, links_before, after, links_after = (x[:, FEATURES.index(f)] for f in ("words", "words_before", "links_before", "words_after", "links_after"))
+    longest = np.maximum.reduce([words, np.where(links_before >= 0.5, before, 0), np.where(links_after >= 0.5, after, 0)])
+    return np.column_stack([np.maximum(links_before, links_after), longest])
 
 
-def features(blocks: list[tuple[str, int, int, int, bool, bool]]) -> np.ndarray:
+def features(blocks: list[tuple[str, int, int, int, int, bool]]) -> np.ndarray:
     words = np.array([b[1] for b in blocks], float)
     links = np.array([min(b[2], b[1]) / b[1] for b in blocks])
     before, after = np.roll(np.stack([words, links]), 1, axis=1), np.roll(np.stack([words, links]), -1, axis=1)
     before[:, 0] = after[:, -1] = 0
     own = np.array([b[3:] for b in blocks], float)
-    place = np.where(own[:, 1] > 0, 2, 0 if own[:, 1].any() else 1)
+    inside = max(own[:, 1].max(), 1)  # the article; on a page without one, the main element
+    place = np.where(own[:, 1] == inside, 2, 0 if own[:, 1].any() else 1)
     x = np.column_stack([words, links, before.T, after.T, own[:, 0], place, own[:, 2]])
     return np.column_stack([_beside(x), x])
 
@@ -352,7 +396,7 @@ def tree() -> tuple:
         if y.min() == y.max() or len(rows) < 2:
             return int(round(y.mean()))
         best = None
-        for f in range(len(FEATURES) + 1):
+        for f in range(rows.shape[1] - 1):
             values = np.unique(rows[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 low = rows[:, f] < cut
