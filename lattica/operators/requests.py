@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import ship
 from lattica.operators import atlas as ops
 from lattica.operators import graph
 
@@ -388,6 +389,7 @@ def _context(atlas: Atlas, q: Context) -> Answer:
     anchors together can bring in matter: that bounds the rows of the one task that goes through them.
     """
     spark = atlas.nodes.sparkSession
+    ship(spark)
     by_id = spark.createDataFrame([(n, k) for k, n in enumerate(q.nodes)] or [], "node string, first int")
     by_name = spark.createDataFrame([(n, len(q.nodes) + k) for k, n in enumerate(q.names)] or [], "qualified_name string, first int")
     asked = by_id.withColumn("asked", F.col("node")).unionByName(atlas.nodes.select("node", "qualified_name").join(F.broadcast(by_name), "qualified_name").select("node", "first", F.col("node").alias("asked")))
