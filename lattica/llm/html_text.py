@@ -117,6 +117,10 @@ EXAMPLES = [
     (1, 1.0, 0, 0.0, 1, 1.0, 2, 1, 0, 0),
     (40, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0),
     (60, 0.0, 30, 0.0, 0, 0.0, 2, 0, 0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 2, 1, 0, 0),
+    (4, 0.0, 0, 0.0, 0, 0.0, 2, 1, 0, 0),
+    (40, 0.0, 0, 0.0, 0, 0.0, 2, 1, 0, 0),
+    (9, 0.0, 0, 0.0, 0, 0.0, 2, 2, 0, 0),
     (15, 0.0, 50, 0.0, 40, 0.0, 2, 2, 0, 0),
     (35, 0.0, 40, 0.0, 12, 0.0, 2, 2, 0, 0),
     (90, 0.0, 10, 0.0, 50, 0.0, 2, 1, 0, 0),
@@ -130,6 +134,9 @@ EXAMPLES = [
     (55, 0.0, 20, 0.0, 0, 0.0, 1, 2, 0, 1),
     (18, 0.0, 8, 0.0, 35, 0.1, 1, 2, 0, 1),
     (100, 0.2, 60, 0.0, 40, 0.0, 1, 2, 0, 1),
+    (12, 0.0, 14, 0.0, 13, 0.0, 1, 2, 0, 1),
+    (10, 0.0, 60, 0.0, 30, 0.0, 1, 2, 0, 1),
+    (11, 0.1, 9, 0.0, 10, 0.0, 1, 2, 0, 1),
     (3, 0.0, 40, 0.0, 2, 1.0, 1, 2, 0, 0),
     (2, 1.0, 40, 0.0, 30, 0.0, 1, 2, 0, 0),
     (6, 0.0, 50, 0.0, 60, 0.0, 1, 2, 0, 0),
@@ -396,7 +403,7 @@ def tree() -> tuple:
         if y.min() == y.max() or len(rows) < 2:
             return int(round(y.mean()))
         best = None
-        for f in range(rows.shape[1] - 1):
+        for f in (*range(2, rows.shape[1] - 1), 0, 1):  # of equal splits, those by the block's own features
             values = np.unique(rows[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 low = rows[:, f] < cut
