@@ -7,7 +7,8 @@ without a known pair leave the array. A word of more than ``LONG`` symbols is me
 heap instead, as its rounds would be many. Encoded pre-tokens are kept per worker in a cache
 of at most ``CACHE`` entries; nothing is shuffled.
 
-Defined results: a null text counts as empty (no ids, hashes of nothing). Repeated rows give
+Defined results: a null text counts as empty (no ids, hashes of nothing). A very long text is
+encoded whole; an empty table gives an empty table. Repeated rows give
 repeated results; a null doc_id is passed through. Added tokens of the file are found in the
 text as the tokenizers library finds them. Columns beyond ``doc_id`` and ``text`` are ignored
 by ``encode``/``digest``; ``encode_column`` adds ``token_ids`` and refuses a clashing column

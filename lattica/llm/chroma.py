@@ -25,7 +25,8 @@ The box has no recordings, so the query sounds each vector of ``embeddings`` as
 Defined results: null, empty or too short audio has no words; such recordings form no class with
 others (their class is their own id) and match nothing. Recordings of at most ``2 * GAP`` windows
 have no keys and match only those with the same words. A null id is passed through as its own row
-in no class. Repeated ids are one recording. Other columns are ignored.
+in no class. Repeated ids are one recording. A very long recording has more words and keys, in
+proportion. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ rows); a block is the only thing sent to every task.
 Defined results: null or empty texts and items match nothing; an item without words matches
 nothing; repeated items match each for itself (rows with the same item_id and text once);
 repeated documents give repeated decisions, once per doc_id, with the best score. A null
-doc_id is in no result of ``leaks`` and stays in ``keep_clean``. Other columns are ignored by
-``leaks`` and carried through by ``keep_clean``.
+doc_id is in no result of ``leaks`` and stays in ``keep_clean``. Of a very long text all words are
+looked at, and only the windows around seeds are aligned. Without documents or items there are no
+leaks. Other columns are ignored by ``leaks`` and carried through by ``keep_clean``.
 """
 
 from __future__ import annotations

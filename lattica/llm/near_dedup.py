@@ -21,7 +21,8 @@ Defined results: a null, empty or white-space text has an empty set, is linked w
 and keeps its own id. A row whose id is null is linked with nothing; its component is null
 and it is kept. Rows that share an id are one document: each row is returned, with the same
 component. Ties do not occur: the smallest id of a component names it. Columns beyond
-``doc_id`` and ``text`` are ignored by ``groups`` and carried through by ``keep_one``.
+``doc_id`` and ``text`` are ignored by ``groups`` and carried through by ``keep_one``. A very long
+text is one block of bytes with a larger set. An empty table gives an empty table.
 """
 
 from __future__ import annotations

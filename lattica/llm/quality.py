@@ -12,7 +12,8 @@ Defined results: null and empty texts have the statistics of no words and are sc
 text. Labels that are null, or not 0/1, are no training rows; where a document has several
 labels, all count; where there is no training row of a class, every score is the share of
 label 1 (0.5 without rows). A null doc_id gets a score; held_out is then null. Repeated rows
-are scored alike. Other columns are ignored by ``score`` and carried through by ``keep_good``.
+are scored alike. A very long text is one block of bytes, handled like others. An empty table gives
+an empty table. Other columns are ignored by ``score`` and carried through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from lattica.llm.shared import table
 
 FEATURES = ("words", "word_length", "upper", "symbol", "digit", "distinct", "top_word", "repeats", "lines", "short_line", "pipe", "stop_marks")
 SHRINK, POOL, RIDGE = 0.05, 0.05, 1e-3  # towards the diagonal, towards the pooled covariance, added to the diagonal
-LIMIT, STEP, PENALTY = 60.0, 0.25, 1.0  # margins are clipped and binned so for calibration
+LIMIT, STEP, PENALTY = 60.0, 0.25, 1.0  # margins are clipped and binned so for calibration, and only there
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 
@@ -136,7 +137,7 @@ class Discriminant:
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-density of class 1 less that of class 0, the classes' log-odds included."""
         g = {c: const - 0.5 * (((x - mean) @ inv.T) ** 2).sum(axis=1) for c, (mean, inv, const) in self.parts.items()}
-        return np.clip(g[1] - g[0], -LIMIT, LIMIT)
+        return g[1] - g[0]
 
     def calibrate(self, bins: list[tuple[float, float, float]]) -> None:
         """Logistic regression on (margin, rows of label 0, rows of label 1), lightly regularised."""
@@ -156,7 +157,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.parts:
             return np.full(len(x), self.prior)
-        return 1.0 / (1.0 + np.exp(-(self.scale * self.margin(x) + self.shift)))
+        return 1.0 / (1.0 + np.exp(np.clip(-(self.scale * self.margin(x) + self.shift), -700.0, 700.0)))  # beyond, a double has no other score
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
@@ -183,7 +184,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
 def _margins(batches: Iterator[pa.RecordBatch], model: Discriminant) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(FEATURES))], axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(np.round(model.margin(x) / STEP).astype(np.int32))], names=["quality", "bin"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(np.round(np.clip(model.margin(x), -LIMIT, LIMIT) / STEP).astype(np.int32))], names=["quality", "bin"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Discriminant) -> Iterator[pa.RecordBatch]:

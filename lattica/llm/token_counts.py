@@ -11,7 +11,9 @@ Pieces and scores are those of the tokenizer file. A letter that no piece covers
 ``UNKNOWN`` and counts as its bytes. Of cuts with equal scores the one with fewer pieces wins.
 
 Defined results: null and empty texts, and texts of white space, have 0 words and 0 tokens.
-Repeated rows give repeated results, a null doc_id is passed through. Other columns are ignored.
+Repeated rows give repeated results, a null doc_id is passed through. A very long text is one block
+of bytes; its distinct pre-tokens enter the trie like others. An empty table gives an empty table.
+Other columns are ignored.
 """
 
 from __future__ import annotations

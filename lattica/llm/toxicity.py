@@ -17,8 +17,9 @@ driver and a task hold one block, and with more than one the evidence is summed
 
 Defined results: null and empty texts have no evidence and the score of that. Labels that are
 null or not 0/1 are no training rows; without both labels every score is the share of label 1.
-A null doc_id gets a score, and null for held_out. Repeated rows are scored alike. Other
-columns are ignored.
+A null doc_id gets a score, and null for held_out. Repeated rows are scored alike. A very long text
+is one block of bytes, and counts each of its distinct words once, whatever its length. An empty
+table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -413,6 +414,116 @@ def test_discriminant_against_densities():
     assert (m.score(x[1]) > 0.5).mean() > 0.95
 
 
+def test_far_documents_do_not_tie():
+    """Margins are clipped in the histogram that calibrates, not in scores."""
+    m = quality.Discriminant({c: (50.0, np.full(len(quality.FEATURES), 50.0 * c), np.eye(len(quality.FEATURES)) * 50.0 + 50.0 * c) for c in (0, 1)})
+    far = np.stack([np.full(len(quality.FEATURES), v) for v in (40.0, 80.0, 160.0)])
+    assert len(set(np.abs(m.margin(far)).tolist())) == 3 and np.abs(m.margin(far)).min() > quality.LIMIT
+
+
+def test_calibration_is_the_best_curve():
+    """No small step of scale or shift lowers the regularised loss, and a plain descent ends at the same curve."""
+    rng = np.random.default_rng(4)
+    g = np.arange(-12, 12, 0.5)
+    bins = [(x, float(rng.integers(0, 30)), float(rng.integers(0, 30) + (8 if x > 1 else 0))) for x in g]
+    m = quality.Discriminant({})
+    m.calibrate(bins)
+
+    def loss(a, b):
+        z = np.array([a * x + b for x, _, _ in bins])
+        return sum(n0 * np.logaddexp(0, t) + n1 * np.logaddexp(0, -t) for t, (_, n0, n1) in zip(z, bins)) + quality.PENALTY * ((a - 1) ** 2 + 0.01 * b**2) / 2
+
+    here = loss(m.scale, m.shift)
+    for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (1e-3, -1e-3)):
+        assert loss(m.scale + da, m.shift + db) >= here - 1e-9
+    a, b = 1.0, 0.0
+    for _ in range(4000):
+        da, db = ((loss(a + 1e-6, b) - loss(a - 1e-6, b)) / 2e-6, (loss(a, b + 1e-6) - loss(a, b - 1e-6)) / 2e-6)
+        a, b = a - 2e-5 * da, b - 2e-4 * db
+    assert abs(a - m.scale) < 0.02 and abs(b - m.shift) < 0.05
+
+
+def plain_toxicity(docs, labels):
+    """Evidence and kept features as the docstring says, one document and word at a time."""
+    import math
+
+    train = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD}
+    named = {}
+
+    def features_of(text):
+        out = set()
+        for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text or ""):
+            b = w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()
+            out.add((b, (b, *(b[:k] + b"\0" + bytes([k]) for k in toxicity.PREFIXES if len(b) > k))))
+        return out
+
+    for i, t in docs:
+        named[i] = features_of(t)
+    toxic, other = sum(train.get(i) == 1 for i, _ in docs), sum(train.get(i) == 0 for i, _ in docs)
+    count = {y: collections.Counter(f for i, _ in docs if train.get(i) == y for f in {f for _, fs in named[i] for f in fs}) for y in (0, 1)}
+    kept = {}
+    for f, t in count[1].items():
+        n = count[0][f]
+        odds = math.log((t + 0.5) / (toxic - t + 0.5)) - math.log((n + 0.5) / (max(other - n, 0) + 0.5))
+        weight = odds - math.sqrt(1 / (t + 0.5) + 1 / (n + 0.5))
+        share = (t + n) * toxic / (toxic + other)
+        g = 2 * (t * math.log(t / share) + (n * math.log(n / (t + n - share)) if n else 0))
+        if t >= toxicity.LEAST and weight >= toxicity.FLOOR and g >= toxicity.SURE:
+            kept[f] = weight
+    evidence = {i: sum(max((kept[f] for f in fs if f in kept), default=0.0) for _, fs in named[i]) for i, _ in docs}
+    return kept, evidence
+
+
+def test_toxic_features_and_scores_against_plain_counts(spark):
+    """Kept features, their weights and every document's evidence, then the curve through them."""
+    rng = random.Random(8)
+    plain_words = ["table", "window", "garden", "letter", "morning", "river", "stone", "paper"]
+    bad = ["vilewort", "Nastikus", "vilegrim"]
+    docs, labels = [], []
+    for i in range(400):
+        y = int(i % 3 == 0)
+        words = [rng.choice(plain_words) for _ in range(rng.randrange(3, 30))] + [rng.choice(bad) for _ in range(rng.randrange(1, 3) if y and rng.random() < 0.9 else 0)]
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        if rng.random() < 0.8:
+            labels.append((i, y))
+    kept, evidence = plain_toxicity(docs, labels)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, 0, y) for i, y in labels], "doc_id long, quality int, toxic int")
+    model = toxicity.language_model(df)
+    train = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    known = spark.createDataFrame([(y, dict(docs)[i]) for i, y in train.items()], "toxic int, text string")
+    rows = toxicity.judged(known, model, sum(train.values()), len(train) - sum(train.values()))
+    got = sorted(round(r.weight, 9) for r in rows.collect())
+    assert got and got == sorted(round(w, 9) for w in kept.values())
+    found = {r.key: (r.words, r.evidence) for r in toxicity.evidence(df, rows, model).collect()}
+    assert all(abs(found[i][1] - evidence[i]) < 1e-9 and found[i][0] == len(t.split()) for i, t in docs)
+    bins = collections.Counter()
+    for i, y in train.items():
+        bins[round(min(evidence[i], toxicity.CEILING) / toxicity.STEP), round(math.log1p(found[i][0]) / toxicity.STEP), y] += 1
+    cells = sorted({b[:2] for b in bins})
+    x = toxicity.design(np.array([c[0] for c in cells]) * toxicity.STEP, np.expm1(np.array([c[1] for c in cells]) * toxicity.STEP))
+    w = toxicity.logistic(x, np.array([bins[*c, 0] for c in cells], float), np.array([bins[*c, 1] for c in cells], float))
+    for r in toxicity.score(df, lab).collect():
+        z = float(toxicity.design(np.array([evidence[r.doc_id]]), np.array([float(found[r.doc_id][0])]))[0] @ w)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.7)
+
+
+def test_toxicity_curve_is_the_best():
+    rng = np.random.default_rng(2)
+    x = toxicity.design(rng.uniform(0, 20, 60), rng.uniform(5, 900, 60))
+    n0, n1 = rng.integers(0, 20, 60).astype(float), rng.integers(0, 20, 60).astype(float)
+    w = toxicity.logistic(x, n0, n1)
+    pull = toxicity.PENALTY * np.array([1.0, 1.0, 1.0, 0.01])
+
+    def loss(v):
+        z = x @ v
+        return (n0 * np.logaddexp(0, z) + n1 * np.logaddexp(0, -z)).sum() + (pull * v**2).sum() / 2
+
+    for k in range(4):
+        for d in (1e-4, -1e-4):
+            assert loss(w + d * np.eye(4)[k]) >= loss(w) - 1e-9
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_classifiers_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
