@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import ordered_fingerprint
+from lattica.operators.overlap import overlap_pairs
+from lattica.operators.structure import foreign_owners
 
 
 def dependants(edges: DataFrame) -> DataFrame:
@@ -45,6 +47,25 @@ def scattered_concept(owners: DataFrame, mentions: DataFrame, least: int) -> Dat
     return outside.groupBy("owner", "stem").agg(F.countDistinct("path").alias("modules")).where(F.col("modules") >= least)
 
 
+def scattered_concepts(owners: DataFrame, words: DataFrame, mentions: DataFrame, least: int) -> DataFrame:
+    """(owner, stem, abstraction, modules): owners of a foreign abstraction whose stem many modules outside their package mention.
+
+    owners: owner, package, stem, abstraction; words: abstraction, word; mentions: path, stem. Foreign
+    means that no word of the abstraction begins like the stem. Modules are counted per stem and
+    package once, not per owner: outside of a package are all but those in it.
+    """
+    own = owners.select("owner", "stem", "abstraction", "package")
+    foreign = own.join(foreign_owners(owners, words).select("owner"), "owner", "left_semi")
+    m = mentions.select("path", "stem").distinct().join(foreign.select("stem").distinct(), "stem", "left_semi")
+    all_ = m.groupBy("stem").agg(F.count("*").alias("all_modules"))
+    asked = foreign.select("stem", "package").distinct()
+    inside = m.join(asked, "stem").where((F.col("path") == F.col("package")) | F.startswith("path", F.concat("package", F.lit("/"))))
+    inside = inside.groupBy("stem", "package").agg(F.count("*").alias("inside"))
+    out = foreign.join(all_, "stem").join(inside, ["stem", "package"], "left")
+    modules = F.col("all_modules") - F.coalesce("inside", F.lit(0))
+    return out.select("owner", "stem", "abstraction", modules.alias("modules")).where(F.col("modules") >= least)
+
+
 def dependant_packages(edges: DataFrame, parent: DataFrame) -> DataFrame:
     """(node, packages, n): distinct packages of direct dependants other than the node's own."""
     d = edges.select("src", "dst").distinct().join(parent.select(F.col("node").alias("src"), F.col("parent").alias("package")), "src")
@@ -58,19 +79,8 @@ def concentrated_scope(profile: DataFrame, symbols: int, packages: int, affected
 
 
 def parallel_pairs(features: DataFrame, least: int = 4, overlap: float = 0.6) -> DataFrame:
-    """Pairs of items (item, feature) of which the smaller shares so many features and that share of its own.
-
-    Joined on the feature; features are distinct per item. Counts of what is shared are summed
-    per pair before any other column is looked at. ``structure.parallel_preparation`` is the one
-    for methods of an operation.
-    """
-    f = features.select("item", "feature").distinct()
-    size = f.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    f = f.join(size, "item", "left_semi")
-    pairs = f.select(F.col("item").alias("a"), "feature").join(f.select(F.col("item").alias("b"), "feature"), "feature").where("a < b")
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    shared = shared.join(size.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
-    return shared.where(F.col("shared") >= overlap * F.least("na", "nb")).select("a", "b", "shared")
+    """(a, b, shared): pairs of items (item, feature) of which the smaller shares so many features and that share of its own."""
+    return overlap_pairs(features, least, overlap).select("a", "b", F.size("shared").cast("long").alias("shared"))
 
 
 def folder_rollup(files: DataFrame, path: str, size: str, levels: int = 2) -> DataFrame:

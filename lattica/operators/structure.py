@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.storage import table
 from lattica.operators import graph
+from lattica.operators.overlap import overlap_pairs
 
 #: annotations whose spelling is comparable (fixed values)
 BUILTINS = ["bool", "bytes", "complex", "dict", "float", "frozenset", "int", "list", "None", "set", "str", "tuple"]
@@ -47,17 +48,15 @@ def parallel_preparation(methods: DataFrame, features: DataFrame, least: int = 4
 
     methods: port, operation, method. features: method, kind (path or key), feature. Of a pair the
     smaller has ``least`` features, as many are shared, and that share of its own; three shared
-    are paths, or one is and three are keys. Methods meet on features inside their operation.
+    are paths, or one is and three are keys. Methods meet inside their operation, on their
+    rarest features (see ``overlap``).
     """
-    f = features.select("method", "kind", "feature").distinct()
-    size = f.groupBy("method").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = methods.select("port", "operation", "method").distinct().join(f, "method").join(size, "method")
-    a, b = (rows.select("port", "operation", "kind", "feature", F.col("method").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    met = a.join(b, ["port", "operation", "kind", "feature"]).where("a < b")
-    n = met.groupBy("port", "operation", "a", "b", "na", "nb").agg(F.count_if(F.col("kind") == "path").alias("paths"), F.count_if(F.col("kind") == "key").alias("keys"))
-    shared = F.col("paths") + F.col("keys")
-    n = n.where((shared >= least) & (shared >= overlap * F.least("na", "nb")) & ((F.col("paths") >= 3) | (F.col("paths") >= 1) & (F.col("keys") >= 3)))
-    return n.select("a", "b", "paths", "keys").distinct()
+    named = features.select("method", F.struct("kind", "feature").alias("feature"))
+    rows = methods.select("port", "operation", "method").join(named, "method").withColumnRenamed("method", "item")
+    met = overlap_pairs(rows, least, overlap, ["port", "operation"])
+    of = lambda kind: F.size(F.filter("shared", lambda f: f["kind"] == kind)).cast("long")
+    met = met.select("a", "b", of("path").alias("paths"), of("key").alias("keys"))
+    return met.where("paths >= 3 or paths >= 1 and keys >= 3").distinct()
 
 
 def broad_inputs(fields: DataFrame) -> DataFrame:

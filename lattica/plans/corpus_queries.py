@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import STOPWORDS, ordered_fingerprint, stable_id
+from lattica.functions.storage import table
 from lattica.operators import records, retrieval
+from lattica.operators.quantiles import quantiles
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 
@@ -71,14 +73,24 @@ BM25 = f"""t as (select doc_id as document, {TOKENS} as terms from documents),
  ranking as (select query, document, score, row_number() over (partition by query order by score desc, document) as rank from bm where score > 0)"""
 
 
-def _bm25(t: Tables) -> DataFrame:
+def _index(t: Tables) -> retrieval.Postings:
     docs = t.documents.select(F.col("doc_id").alias("chunk"), F.col("doc_id").alias("document"), "text")
-    return retrieval.ranked(retrieval.bm25(docs, t.benchmark.select(F.col("item_id").alias("query"), "text")), "query", None, F.col("score").desc(), F.col("document"))
+    return retrieval.bm25_index(docs, t.benchmark.select(F.col("item_id").alias("query"), "text"))
+
+
+def _judged(t: Tables, bearing: DataFrame | None = None) -> DataFrame:
+    """(query, document, score, rank) of the bearing documents that are found."""
+    return retrieval.bm25_ranks(_index(t), (t.bearing() if bearing is None else bearing).select("query", "document"))
 
 
 @query("bm25_topk", with_(BM25, body="select query, document, round(score, 4) as score from ranking where rank <= 5"))
 def _(t: Tables) -> DataFrame:
-    return _bm25(t).where("rank <= 5").select("query", "document", F.round("score", 4).alias("score"))
+    return retrieval.bm25(_index(t), 5).select("query", "document", F.round("score", 4).alias("score"))
+
+
+@query("bm25_ranks", with_("bearing", BM25, body="select query, document, round(score, 4) as score, rank from ranking join (select distinct query, document from bearing) using (query, document)"))
+def _(t: Tables) -> DataFrame:
+    return _judged(t).select("query", "document", F.round("score", 4).alias("score"), "rank")
 
 
 MEASURES = """rel as (select query, count(*) as relevant from bearing where grade = 3 group by query),
@@ -91,7 +103,8 @@ MEASURES = """rel as (select query, count(*) as relevant from bearing where grad
 
 
 def _measures(t: Tables) -> DataFrame:
-    return retrieval.measures(_bm25(t), t.bearing(), 10)
+    index, bearing = _index(t), table(t.bearing(), "bearing")
+    return retrieval.measures(retrieval.bm25_ranks(index, bearing), bearing, 10, index.asked.select("query").distinct())
 
 
 @query("ir_metrics", with_("bearing", BM25, MEASURES, body="select query, cast(recall as double) as recall, cast(precision as double) as precision, complete, cast(reciprocal_rank as double) as reciprocal_rank, cast(average_precision as double) as average_precision, cast(ndcg as double) as ndcg from measures"))
@@ -99,17 +112,19 @@ def _(t: Tables) -> DataFrame:
     return _measures(t)
 
 
-@query("ir_summary", with_("bearing", BM25, MEASURES, body="select case when query % 2 = 0 then 'even' else 'odd' end as kind, count(*) as queries, round(avg(recall), 4) as recall, round(avg(reciprocal_rank), 4) as mrr, round(avg(average_precision), 4) as map, round(avg(ndcg), 4) as ndcg from measures group by 1"))
+@query("ir_summary", with_("bearing", BM25, MEASURES, "labels as (select item_id as query, case when length(text) > 200 then 'long' else 'short' end as pattern, case when item_id % 2 = 0 then 'even' else 'odd' end as kind from benchmark)", body="""select case grouping(pattern, kind) when 3 then 'overall' when 1 then 'pattern' else 'kind' end as level, pattern, kind, count(*) as queries, round(avg(recall), 4) as recall, round(avg(reciprocal_rank), 4) as reciprocal_rank, round(avg(average_precision), 4) as average_precision, round(avg(ndcg), 4) as ndcg
+ from measures left join labels using (query) group by grouping sets ((), (pattern), (kind))"""))
 def _(t: Tables) -> DataFrame:
-    kind = F.when(F.col("query") % 2 == 0, "even").otherwise("odd").alias("kind")
-    return _measures(t).groupBy(kind).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.round(F.avg("average_precision"), 4).alias("map"), F.round(F.avg("ndcg"), 4).alias("ndcg"))
+    labels = t.benchmark.select(F.col("item_id").alias("query"), F.when(F.length("text") > 200, "long").otherwise("short").alias("pattern"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    return retrieval.summary(_measures(t), labels)
 
 
 @query("release_gate", with_("bearing", BM25, "ks as (select unnest([8, 12, 16, 20]) as k)", """per as (select k, b.query, count(*) as relevant, count(r.rank) as found from ks cross join (select * from bearing where grade = 3) b left join ranking r on r.query = b.query and r.document = b.document and r.rank <= k group by k, b.query)""", body="select k, round(avg(found / relevant), 6) as recall, round(avg(case when found = relevant then 1.0 else 0.0 end), 6) as complete, avg(found / relevant) >= 0.95 and avg(case when found = relevant then 1.0 else 0.0 end) >= 0.75 as passes from per group by k"))
 def _(t: Tables) -> DataFrame:
     spark = t.spark
     ks = spark.createDataFrame([(8,), (12,), (16,), (20,)], "k int")
-    b = t.bearing().where("grade = 3").join(_bm25(t).select("query", "document", "rank"), ["query", "document"], "left")
+    bearing = table(t.bearing().where("grade = 3"), "bearing")
+    b = bearing.join(_judged(t, bearing).select("query", "document", "rank"), ["query", "document"], "left")
     per = b.crossJoin(F.broadcast(ks)).groupBy("k", "query").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("rank") <= F.col("k"), 1)).alias("found"))
     recall, complete = F.avg(F.col("found") / F.col("relevant")), F.avg((F.col("found") == F.col("relevant")).cast("double"))
     return per.groupBy("k").agg(F.round(recall, 6).alias("recall"), F.round(complete, 6).alias("complete"), ((recall >= 0.95) & (complete >= 0.75)).alias("passes"))
@@ -117,15 +132,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("miss_table", with_("bearing", BM25, body="select b.document, count(*) as misses, median(r.rank) as median_rank from bearing b left join ranking r using (query, document) where coalesce(r.rank, 1000000) > 1 group by b.document"))
 def _(t: Tables) -> DataFrame:
-    b = t.bearing().join(_bm25(t).select("query", "document", "rank"), ["query", "document"], "left").where("coalesce(rank, 1000000) > 1")
-    return b.groupBy("document").agg(F.count("*").alias("misses"), F.expr("percentile(rank, 0.5)").alias("median_rank"))
+    bearing = table(t.bearing(), "bearing")
+    b = table(bearing.join(_judged(t, bearing).select("query", "document", "rank"), ["query", "document"], "left").where("coalesce(rank, 1000000) > 1"), "misses")
+    misses = b.groupBy("document").agg(F.count("*").alias("misses"))
+    return misses.join(quantiles(b, ["document"], "rank", {"median_rank": 0.5}).drop("n"), "document", "left")
 
 
 @query("cumulative_share", with_("bearing", BM25, "hits as (select rank, count(*) as n from bearing join ranking using (query, document) group by rank)", body="select rank, round(sum(n) over (order by rank) / (select count(*) from bearing), 6) as share from hits"))
 def _(t: Tables) -> DataFrame:
-    total = t.bearing().agg(F.count("*").alias("total"))
-    n = t.bearing().join(_bm25(t), ["query", "document"]).groupBy("rank").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
-    return n.select("rank", F.round(F.sum("n").over(Window.orderBy("rank")) / F.col("total"), 6).alias("share"))
+    bearing = table(t.bearing(), "bearing")
+    n = table(bearing.join(_judged(t, bearing), ["query", "document"]).groupBy("rank").agg(F.count("*").alias("n")), "ranks")
+    upto = records.running_total(n, "n", "rank", [], "before")
+    return upto.select("rank", F.round((F.col("before") + F.col("n")) / F.lit(bearing.count()), 6).alias("share"))
 
 
 @query("coverage_pivot", with_("bearing", body="select b.query, bool_and(d.lang = 'en') as en, bool_and(d.lang = 'de') as de from bearing b join documents d on d.doc_id = b.document group by b.query"))

@@ -278,12 +278,12 @@ def _(t: Tables) -> DataFrame:
     return detectors.concentrated_scope(p, 8, 2, 8).select("node", "public_symbols", "n_packages", "affected")
 
 
-@query("parallel_pairs", """with f as (select distinct s_nationkey as item, l_partkey % 97 as feature from lineitem join supplier on s_suppkey = l_suppkey where l_quantity >= 49),
+@query("parallel_pairs", """with f as (select distinct l_orderkey as item, p_brand || l_returnflag as feature from lineitem join part on p_partkey = l_partkey),
  n as (select item, count(*) as n from f group by item having count(*) >= 4),
  p as (select a.item as a, b.item as b, count(*) as shared from f a join f b on a.feature = b.feature and a.item < b.item group by 1, 2 having count(*) >= 4)
  select p.a, p.b, p.shared from p join n x on x.item = p.a join n y on y.item = p.b where p.shared >= 0.6 * least(x.n, y.n)""")
 def _(t: Tables) -> DataFrame:
-    f = t.lineitem.where("l_quantity >= 49").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("item"), (F.col("l_partkey") % 97).alias("feature"))
+    f = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("item"), F.concat("p_brand", "l_returnflag").alias("feature"))
     return detectors.parallel_pairs(f)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.storage import table
 from lattica.operators import delta, records, structure
+from lattica.operators.quantiles import quantiles
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 from lattica.sources import python_code
@@ -136,7 +137,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("latency_quantiles", "select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95 from events group by event_type")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"))
+    q = quantiles(t.events, ["event_type"], "value", {"median": 0.5, "p95": 0.95})
+    return q.select("event_type", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 ATTENTION = """j as (select doc_id, case when quality = 0 then 'material' when toxic = 1 then 'held' else 'cleared' end as verdict, d.decided from labels left join
@@ -278,8 +280,8 @@ def _sources(t: Tables) -> DataFrame:
         file("pkg/mod@.py", 'LIMIT = @\n\ndef run@(x, *, y=1):\n    """mod@ words"""\n    def inner(z):\n        return help@(z)\n    if x:\n        for z in x:\n            inner(z)\n    return LIMIT\n\ndef help@(z):\n    return z\n'),
         file("tests/test_mod@.py", "from pkg.mod@ import run@\n\ndef test_run():\n    assert run@([]) == @\n"),
         file("conf@/settings.py", "import pkg.mod@.missing\n"),
-        file("pkg/port@.py", "from typing import Protocol\n\nclass Port@(Protocol):\n    def put(self, key: str, n: int) -> bool: ...\n    def _hidden(self): ...\n"),
-        file("pkg/disk@.py", "class Disk@:\n    def put(self, key: str, n: int) -> bool:\n        return mod@_known(key)\n\nclass Wrong@:\n    def put(self, key: bytes, n: int) -> bool:\n        return False\n\nclass Short@:\n    def put(self, key: str) -> bool:\n        return True\n"),
+        file("pkg/port@.py", "from typing import Protocol\n\nclass Port@(Protocol):\n    def put@(self, key: str, n: int) -> bool: ...\n    def _hidden(self): ...\n"),
+        file("pkg/disk@.py", "class Disk@:\n    def put@(self, key: str, n: int) -> bool:\n        return mod@_known(key)\n\nclass Wrong@:\n    def put@(self, key: bytes, n: int) -> bool:\n        return False\n\nclass Short@:\n    def put@(self, key: str) -> bool:\n        return True\n"),
     ]
     return t.supplier.select(F.explode(F.array(*files)).alias("f")).select("f.path", "f.source")
 
@@ -296,7 +298,7 @@ def _(t: Tables) -> DataFrame:
     return calls.where("dst not like '%inner'").unionByName(python_code.reference_edges(rows).select("src", "dst", F.lit("REFERENCES").alias("edge_type")))
 
 
-@query("parsed_conformance", "select 'pkg.disk'||s_suppkey||'.Disk'||s_suppkey as class, 'pkg.port'||p||'.Port'||p as interface, cast(1 as bigint) as operations, cast(3 as bigint) as agreements from supplier, (select s_suppkey as p from supplier) ")
+@query("parsed_conformance", "select 'pkg.disk'||s_suppkey||'.Disk'||s_suppkey as class, 'pkg.port'||s_suppkey||'.Port'||s_suppkey as interface, cast(1 as bigint) as operations, cast(3 as bigint) as agreements from supplier")
 def _(t: Tables) -> DataFrame:
     rows = table(python_code.parse(_sources(t)), "rows")
     wanted = python_code.operations(rows, "INTERFACE").withColumnRenamed("class", "interface")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import shared_dir, table
-from lattica.operators import atlas, graph, policies, report, structure
+from lattica.operators import detectors, atlas, graph, policies, report, structure
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 from lattica.sources import atlas_store
@@ -54,23 +54,24 @@ def _(t: Tables) -> DataFrame:
     return structure.conformance(_wanted(t), _offered(t), _known(t))
 
 
-@query("conformance_questions", with_("wanted as (select 'b' || p_brand as interface, p_size as operation from part where p_partkey % 20 = 0)", "offered as (select 's' || l_suppkey as class, p_size as operation from lineitem join part on p_partkey = l_partkey where l_discount > 0.09)", "known as (select 's' || s_suppkey as class, 'bBrand#11' as interface from supplier)", body="select distinct interface, class from wanted join offered using (operation) where not exists (select 1 from known k where k.class = offered.class and k.interface = wanted.interface)"))
+@query("conformance_questions", with_("wanted as (select 'b' || p_brand as interface, p_size as operation from part)", "offered as (select 's' || l_suppkey as class, p_size as operation from lineitem join part on p_partkey = l_partkey)", "known as (select 's' || s_suppkey as class, 'bBrand#11' as interface from supplier)", body="select distinct interface, class from wanted join offered using (operation) where not exists (select 1 from known k where k.class = offered.class and k.interface = wanted.interface)"))
 def _(t: Tables) -> DataFrame:
-    wanted = t.part.where("p_partkey % 20 = 0").select(F.concat(F.lit("b"), "p_brand").alias("interface"), F.col("p_size").alias("operation"))
-    offered = t.lineitem.where("l_discount > 0.09").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), "l_suppkey").alias("class"), F.col("p_size").alias("operation"))
+    wanted = t.part.select(F.concat(F.lit("b"), "p_brand").alias("interface"), F.col("p_size").alias("operation"))
+    offered = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), "l_suppkey").alias("class"), F.col("p_size").alias("operation"))
     return structure.conformance_questions(wanted, offered, t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("class"), F.lit("bBrand#11").alias("interface")))
 
 
-@query("parallel_preparation", with_("methods as (select r_regionkey as port, n_nationkey % 2 as operation, s_suppkey as method from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey)",
-    "features as (select distinct l_suppkey as method, case when l_returnflag = 'R' then 'path' else 'key' end as kind, l_partkey % 53 as feature from lineitem where l_discount > 0.08)",
+@query("parallel_preparation", with_("methods as (select o_orderpriority as port, o_orderstatus as operation, o_orderkey as method from orders)",
+    "features as (select distinct l_orderkey as method, case when l_linestatus = 'O' then 'path' else 'key' end as kind, p_brand || l_returnflag as feature from lineitem join part on p_partkey = l_partkey)",
     "n as (select method, count(*) as n from features group by method having count(*) >= 4)",
-    "rows_ as (select * from methods join features using (method) join n using (method))",
+    "rows_ as (select distinct * from methods join features using (method) join n using (method))",
     body="""select distinct a.method as a, b.method as b, count(*) filter (a.kind = 'path') as paths, count(*) filter (a.kind = 'key') as keys
  from rows_ a join rows_ b on a.port = b.port and a.operation = b.operation and a.kind = b.kind and a.feature = b.feature and a.method < b.method
  group by a.port, a.operation, a.method, b.method, a.n, b.n having count(*) >= 4 and count(*) >= 0.6 * least(a.n, b.n) and (count(*) filter (a.kind = 'path') >= 3 or (count(*) filter (a.kind = 'path') >= 1 and count(*) filter (a.kind = 'key') >= 3))"""))
 def _(t: Tables) -> DataFrame:
-    m = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("port"), (F.col("n_nationkey") % 2).alias("operation"), F.col("s_suppkey").alias("method"))
-    f = t.lineitem.where("l_discount > 0.08").select(F.col("l_suppkey").alias("method"), F.when(F.col("l_returnflag") == "R", "path").otherwise("key").alias("kind"), (F.col("l_partkey") % 53).alias("feature"))
+    m = t.orders.select(F.col("o_orderpriority").alias("port"), F.col("o_orderstatus").alias("operation"), F.col("o_orderkey").alias("method"))
+    f = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    f = f.select(F.col("l_orderkey").alias("method"), F.when(F.col("l_linestatus") == "O", "path").otherwise("key").alias("kind"), F.concat("p_brand", "l_returnflag").alias("feature"))
     return structure.parallel_preparation(m, f)
 
 
@@ -99,11 +100,30 @@ def _(t: Tables) -> DataFrame:
     return structure.owners_of_edges(t.calls(), owner)
 
 
-@query("foreign_owners", with_("o as (select p_partkey as owner, string_split(p_name, ' ')[1] as stem, p_brand as abstraction from part)", "w as (select distinct p_brand as abstraction, unnest(string_split(p_name, ' ')) as word from part where p_partkey % 50 = 0)", body="select owner, stem, abstraction from o where not exists (select 1 from w where w.abstraction = o.abstraction and length(w.word) >= 4 and lower(left(w.word, 4)) = lower(left(o.stem, 4)))"))
+#: an abstraction is a brand, named like its cheapest part
+OWNERS = """o as (select p_partkey as owner, string_split(p_name, ' ')[1] as stem, p_brand as abstraction from part),
+ w as (select p_brand as abstraction, unnest(string_split(arg_min(p_name, (p_retailprice, p_partkey)), ' ')) as word from part group by p_brand)"""
+FOREIGN = "not exists (select 1 from w where w.abstraction = o.abstraction and length(w.word) >= 4 and lower(left(w.word, 4)) = lower(left(o.stem, 4)))"
+
+
+def _owners(t: Tables) -> tuple[DataFrame, DataFrame]:
+    owners = t.part.select(F.col("p_partkey").alias("owner"), F.split("p_name", " ")[0].alias("stem"), F.col("p_brand").alias("abstraction"))
+    names = t.part.groupBy(F.col("p_brand").alias("abstraction")).agg(F.min_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("name"))
+    return owners, names.select("abstraction", F.explode(F.split("name", " ")).alias("word"))
+
+
+@query("foreign_owners", with_(OWNERS, body=f"select owner, stem, abstraction from o where {FOREIGN}"))
+def _(t: Tables) -> DataFrame:
+    return structure.foreign_owners(*_owners(t))
+
+
+@query("scattered_concepts", with_(OWNERS, """said as (select distinct p_brand || '/' || o_orderkey as path, string_split(p_name, ' ')[1] as stem from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey)""",
+    body=f"select owner, o.stem, o.abstraction, count(distinct path) as modules from o join said on said.stem = o.stem where {FOREIGN} and not starts_with(path, o.abstraction || '/') group by owner, o.stem, o.abstraction having count(distinct path) >= 3"))
 def _(t: Tables) -> DataFrame:
-    words = F.split("p_name", " ")
-    owners = t.part.select(F.col("p_partkey").alias("owner"), words[0].alias("stem"), F.col("p_brand").alias("abstraction"))
-    return structure.foreign_owners(owners, t.part.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("abstraction"), F.explode(words).alias("word")))
+    owners, words = _owners(t)
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    mentions = lines.select(F.concat("p_brand", F.lit("/"), "l_orderkey").alias("path"), F.split("p_name", " ")[0].alias("stem"))
+    return detectors.scattered_concepts(owners.withColumn("package", F.col("abstraction")), words, mentions, 3)
 
 
 @query("centre_clusters")
