@@ -62,6 +62,8 @@ SPACED = re.compile(rf"(?<![^\s{re.escape(_OPEN)}])({_UNIT}(?:[ ._*~-]+{_UNIT}){
 #: inside a token: a sign next to a letter, marks between letters or signs, or a letter thrice
 SIGNED = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_LETTER}[._*~-]+(?:{_LETTER}|{_SIGN})|{_SIGN}[._*~-]+{_LETTER}|({_LETTER})\1\1")
 
+ENDS = ".,;:?\"'[]{}<>)"
+
 _CODE = np.zeros(256, np.int64)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
 _CODE[0xC3:0xF5] = 27
@@ -188,14 +190,15 @@ def restored(model: CharModel, text: str) -> list[str]:
             found += _runs(m[1])
             rest.append(text[at : m.start()])
             at = m.end()
-    found += [t.strip(".,;:?\"'[]{}<>)") for part in (*rest, text[at:]) for t in part.split() if SIGNED.search(t)]
+    found += [t.strip(ENDS) for part in (*rest, text[at:]) for t in part.split() if SIGNED.search(t)]
     return [w for t in found if (w := model.decode(t))]
 
 
-def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts that may hide words: a sign next to letters, a letter thrice, or letters and signs alone."""
+def _hits(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in tokens that may hide a word (a sign next to letters, a letter thrice), and the texts where letters and signs stand alone."""
+    none = np.zeros(0, np.int64)
     if len(data) < 2:
-        return np.zeros(0, np.int64)
+        return none, none
     letter = _CODE[data] > 0
     letter |= _SKIP[data]
     space = tb.SPACE[data]
@@ -215,7 +218,7 @@ def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     # three characters in a row that each begin after a gap, however wide; longer ones are told apart later
     first = np.zeros(len(data) + 1, bool)
     first[off] = True
-    at = np.flatnonzero(~_APART[data] & ~_SKIP[data])
+    at, alone = np.flatnonzero(~_APART[data] & ~_SKIP[data]), none
     if len(at) > 2:
         gap = np.cumsum(_APART[data] | first[:-1])
         lone = np.ones(len(at), bool)
@@ -223,23 +226,51 @@ def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         lone |= first[at]
         before = np.zeros(len(at), bool)  # quotes and brackets may open the run
         before[1:] = np.isin(data[at[:-1]], list(_OPEN.encode()))
-        hit[at[2:]] |= (lone[:-2] | before[:-2]) & lone[1:-1] & lone[2:]
-    return np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1)
+        alone = at[2:][(lone[:-2] | before[:-2]) & lone[1:-1] & lone[2:]]
+    return np.flatnonzero(hit), np.unique(np.searchsorted(off, alone, "right") - 1)
+
+
+def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts that may hide words."""
+    places, alone = _hits(data, off)
+    return np.union1d(np.searchsorted(off, places, "right") - 1, alone)
+
+
+def hidden_words(data: np.ndarray, off: np.ndarray, model: CharModel) -> tuple[list[str], list[int]]:
+    """Restored words of texts, and the text of each.
+
+    Texts with letters set apart are read whole (see ``restored``); of others only the tokens that hold a hit.
+    """
+    raw, words, owner, whole = data.tobytes(), [], [], []
+    places, alone = _hits(data, off)
+    for k in alone.tolist():
+        text = raw[off[k] : off[k + 1]].decode()
+        if any(re.search(_LETTER, m[1]) for m in SPACED.finditer(text)):
+            found = restored(model, text)
+            words += found
+            owner += [k] * len(found)
+            whole.append(k)
+    s, e, _ = tb.word_bounds(data, off)
+    if len(s) and len(places):
+        token = np.unique(np.searchsorted(s, places, "right") - 1)
+        token = token[token >= 0]
+        text = np.searchsorted(off, s[token], "right") - 1
+        rest = ~np.isin(text, np.array(whole, np.int64))
+        for a, b, k in zip(s[token[rest]].tolist(), e[token[rest]].tolist(), text[rest].tolist()):
+            found = restored(model, raw[a:b].decode())
+            words += found
+            owner += [k] * len(found)
+    return words, owner
 
 
 def word_features(data: np.ndarray, off: np.ndarray, model: CharModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts, plain and restored: text, first 3 bytes, and their hashes' ingredients."""
-    extra, owner = [], []
-    raw = data.tobytes()
-    for k in _flagged(data, off).tolist():
-        words = restored(model, raw[off[k] : off[k + 1]].decode())
-        extra += words
-        owner += [k] * len(words)
+    extra, owner = hidden_words(data, off, model)
+    n = len(data)
     if extra:
         more = np.frombuffer(("\n" + "\n".join(extra) + "\n").encode(), np.uint8)
         s2, _, _ = tb.word_bounds(more, np.array([0, len(more)]), tb.APART)
         data = np.concatenate([data, more])
-        n = len(raw)
         off = np.append(off, len(data))
     s, e, before = tb.word_bounds(data, off, tb.APART)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(before))
@@ -403,13 +434,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if toxic and other:
         model = language_model(docs)
         kept = table(judged(known, model, toxic, other), "lexicon")
+        every = table(evidence(texts, kept, model), "evidence")  # of all rows once; training rows are among them
         bin_, size = (F.rint(x / STEP).cast("int") for x in (F.least("evidence", F.lit(CEILING)), F.log1p("words")))
-        bins = evidence(known, kept, model).groupBy(bin_.alias("bin"), size.alias("size")).agg(F.sum(1 - F.col("key")), F.sum("key")).collect()
+        trained = every.join(train.withColumnRenamed("id", "key"), "key")
+        bins = trained.groupBy(bin_.alias("bin"), size.alias("size")).agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()
         x, n_words, n0, n1 = (np.array(v, float) for v in zip(*bins))  # some thousand rows at most: both are clipped or logarithms
         curve = logistic(design(x * STEP, np.expm1(n_words * STEP)), n0, n1).tolist()
         e, w = F.col("evidence"), F.log1p("words") - 5.0
         z = e * curve[0] + w * curve[1] + e * w * curve[2] + curve[3]
-        out = evidence(texts, kept, model).select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
+        out = every.select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
     else:
         out = texts.select(F.col("id").alias("doc_id"), F.lit(toxic / (toxic + other) if toxic + other else 0.5).alias("score"))
     held = F.expr(f"pmod(crc32(cast(doc_id as string)), {FOLDS}) = {HELD}")
