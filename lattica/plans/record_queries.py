@@ -279,7 +279,7 @@ def _sources(t: Tables) -> DataFrame:
     files = [
         file("pkg/mod@.py", 'LIMIT = @\n\ndef run@(x, *, y=1):\n    """mod@ words"""\n    def inner(z):\n        return help@(z)\n    if x:\n        for z in x:\n            inner(z)\n    return LIMIT\n\ndef help@(z):\n    return z\n'),
         file("tests/test_mod@.py", "from pkg.mod@ import run@\n\ndef test_run():\n    assert run@([]) == @\n"),
-        file("conf@/settings.py", "import pkg.mod@.missing\n"),
+        file("conf@/settings.py", "import pkg.mod@\nimport pkg.none@.missing\n\ndef late():\n    import pkg.port@\n"),
         file("pkg/port@.py", "from typing import Protocol\n\nclass Port@(Protocol):\n    def put@(self, key: str, n: int) -> bool: ...\n    def _hidden(self): ...\n"),
         file("pkg/disk@.py", "class Disk@:\n    def put@(self, key: str, n: int) -> bool:\n        return mod@_known(key)\n\nclass Wrong@:\n    def put@(self, key: bytes, n: int) -> bool:\n        return False\n\nclass Short@:\n    def put@(self, key: str) -> bool:\n        return True\n"),
     ]
@@ -291,11 +291,11 @@ def _(t: Tables) -> DataFrame:
     return python_code.derived_edges(table(python_code.parse(_sources(t)), "rows"))
 
 
-@query("reference_edges", "with k as (select cast(s_suppkey as varchar) as k from supplier) select 'pkg.mod'||k||'.run'||k||'.inner' as src, 'pkg.mod'||k||'.help'||k as dst, 'CALLS' as edge_type from k union all select 'tests.test_mod'||k||'.test_run', 'pkg.mod'||k||'.run'||k, 'CALLS' from k")
+@query("reference_edges", "with k as (select cast(s_suppkey as varchar) as k from supplier) select 'pkg.mod'||k||'.run'||k||'.inner' as src, 'pkg.mod'||k||'.help'||k as dst, 'CALLS' as edge_type from k union all select 'tests.test_mod'||k||'.test_run', 'pkg.mod'||k||'.run'||k, 'CALLS' from k union all select 'pkg.mod'||k||'.run'||k||'.inner', 'pkg.mod'||k||'.help'||k, 'REFERENCES' from k union all select 'tests.test_mod'||k||'.test_run', 'pkg.mod'||k||'.run'||k, 'REFERENCES' from k")
 def _(t: Tables) -> DataFrame:
     rows = table(python_code.parse(_sources(t)), "rows")
     calls = python_code.call_edges(rows).select("src", "dst", F.lit("CALLS").alias("edge_type"))
-    return calls.where("dst not like '%inner'").unionByName(python_code.reference_edges(rows).select("src", "dst", F.lit("REFERENCES").alias("edge_type")))
+    return calls.where("dst not like '%inner'").unionByName(python_code.reference_edges(rows).where("dst not like '%inner'").select("src", "dst", F.lit("REFERENCES").alias("edge_type")))
 
 
 @query("parsed_conformance", "select 'pkg.disk'||s_suppkey||'.Disk'||s_suppkey as class, 'pkg.port'||s_suppkey||'.Port'||s_suppkey as interface, cast(1 as bigint) as operations, cast(3 as bigint) as agreements from supplier")
@@ -325,3 +325,20 @@ def _(t: Tables) -> DataFrame:
 @query("package_nodes", "select 'pkg' as package, cast(null as varchar) as parent union all select 'tests', null union all select 'conf'||s_suppkey, null from supplier")
 def _(t: Tables) -> DataFrame:
     return python_code.packages(_sources(t))
+
+
+@query("parsed_constants", "select 'pkg.mod'||s_suppkey as module, 'LIMIT' as name, substr(sha256(cast(s_suppkey as varchar)), 1, 16) as fingerprint, 1 as line from supplier")
+def _(t: Tables) -> DataFrame:
+    return python_code.constants(python_code.parse(_sources(t)))
+
+
+@query("parsed_imports", "with k as (select cast(s_suppkey as varchar) as k from supplier) select 'tests.test_mod'||k as src, 'pkg.mod'||k as dst from k union all select 'conf'||k||'.settings', 'pkg.mod'||k from k")
+def _(t: Tables) -> DataFrame:
+    return python_code.import_edges(table(python_code.parse(_sources(t)), "rows"))
+
+
+@query("last_edges", "select edge_id, emit_seq, confidence from (select l_suppkey || '>' || l_partkey as edge_id, l_orderkey * 1000000 + l_linenumber * 100000 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_shipdate) as emit_seq, l_discount as confidence from lineitem) qualify row_number() over (partition by edge_id order by emit_seq desc) = 1")
+def _(t: Tables) -> DataFrame:
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    seq = F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.row_number().over(same)
+    return python_code.last_edge(t.lineitem.select(F.concat_ws(">", "l_suppkey", "l_partkey").alias("edge_id"), seq.alias("emit_seq"), F.col("l_discount").alias("confidence")))

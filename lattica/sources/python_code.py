@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import ship
@@ -59,14 +59,17 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+
 def _own(node: ast.AST) -> Iterator[ast.AST]:
-    """What a body holds itself: definitions in it are given, their bodies are not entered."""
-    todo = list(ast.iter_child_nodes(node))
+    """What a body holds itself: definitions in it are given, but not entered; a definition's own head is none of its body."""
+    todo = list(node.body) if isinstance(node, (ast.Module, *_DEFINITIONS)) else list(ast.iter_child_nodes(node))
     while todo:
-        n = todo.pop(0)
+        n = todo.pop()
         yield n
-        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
-            todo = [*ast.iter_child_nodes(n), *todo]
+        if not isinstance(n, _DEFINITIONS):
+            todo += ast.iter_child_nodes(n)
 
 
 def _nesting(node: ast.AST) -> int:
@@ -128,19 +131,23 @@ def rows_of(path: str, source: str) -> list[tuple]:
     def add(kind: str, node: ast.AST, node_type: str | None, qualified: str | None, parent: str | None, name: str, value: str | None = None, public: bool | None = None) -> None:
         out.append((path, module, kind, node_type, qualified, parent, name, node.lineno, node.end_lineno, public, value))
 
+    def source_of(n: ast.ImportFrom) -> str:
+        if not n.level:
+            return n.module or ""
+        up = module.split(".")[: len(module.split(".")) - n.level + path.endswith("__init__.py")]
+        return ".".join([*up, *([n.module] if n.module else [])])
+
     for n in ast.walk(tree):
+        if isinstance(n, ast.Import):
+            aliases |= {a.asname or a.name.partition(".")[0]: a.name if a.asname else a.name.partition(".")[0] for a in n.names}
+        elif isinstance(n, ast.ImportFrom):
+            aliases |= {a.asname or a.name: f"{source_of(n)}.{a.name}" for a in n.names}
+    for n in tree.body:  # what a body imports when it runs is no dependency of the module
         if isinstance(n, ast.Import):
             for a in n.names:
-                aliases[a.asname or a.name.partition(".")[0]] = a.name if a.asname else a.name.partition(".")[0]
                 add("import", n, None, None, module, a.name)
         elif isinstance(n, ast.ImportFrom):
-            base = n.module or ""
-            if n.level:
-                up = module.split(".")[: len(module.split(".")) - n.level + path.endswith("__init__.py")]
-                base = ".".join([*up, *([n.module] if n.module else [])])
-            for a in n.names:
-                aliases[a.asname or a.name] = f"{base}.{a.name}"
-                add("import", n, None, None, module, base, a.name)
+            add("import", n, None, None, module, source_of(n))
 
     def abstract(c: ast.ClassDef) -> bool:
         bases = [aliases.get((d := _dotted(b.value if isinstance(b, ast.Subscript) else b) or "").partition(".")[0], d) for b in c.bases]
@@ -155,7 +162,8 @@ def rows_of(path: str, source: str) -> list[tuple]:
                 add("symbol", s, "INTERFACE" if abstract(s) else "CLASS", name, parent, s.name, None, not s.name.startswith("_"))
                 for b in s.bases:
                     if d := _dotted(b.value if isinstance(b, ast.Subscript) else b):
-                        add("base", s, None, name, parent, resolved(d))
+                        add("base", s, None, name, parent, resolved(d), d)
+                used(s, name, parent)
                 visit(s.body, name, True)
                 measured(s, name)
             elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -179,16 +187,12 @@ def rows_of(path: str, source: str) -> list[tuple]:
                         add("constant", s, None, None, module, t.id, mark)
 
     def used(node: ast.AST, name: str, owner: str | None) -> None:
-        """Calls and loaded names of a body, without those of definitions inside it."""
-        called = set()
+        """Calls and loaded names of a body as they are written and with aliases put in, without those of definitions inside it."""
         for c in _own(node):
             if isinstance(c, ast.Call) and (d := _dotted(c.func)):
-                called.add(id(c.func))
-                add("call", c, None, name, owner, f"{owner}.{d[5:]}" if owner and d.startswith("self.") else resolved(d))
-        inner = {id(c.value) for c in _own(node) if isinstance(c, ast.Attribute)}
-        for c in _own(node):
-            if isinstance(c, (ast.Name, ast.Attribute)) and isinstance(c.ctx, ast.Load) and id(c) not in inner | called and (d := _dotted(c)) and not d.startswith("self."):
-                add("reference", c, None, name, owner, resolved(d))
+                add("call", c, None, name, owner, f"{owner}.{d[5:]}" if owner and d.startswith("self.") else resolved(d), d)
+            elif isinstance(c, ast.Name) and isinstance(c.ctx, ast.Load):
+                add("reference", c, None, name, owner, resolved(c.id), c.id)
 
     def measured(node: ast.AST, name: str) -> None:
         for k, v in (_measures(node) | {"lines": node.end_lineno - node.lineno + 1}).items():
@@ -221,17 +225,24 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def import_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst) of modules: the imported name as a module, or else the longest part from its front that is one."""
-    mods = rows.where("kind = 'module'").select(F.col("module").alias("dst"), F.col("module").alias("part"))
-    i = rows.where("kind = 'import'").select(F.col("module").alias("src"), F.split(F.concat_ws(".", "name", "value"), "[.]").alias("p"), "line").distinct()
-    parts = i.select("src", "line", F.array_join("p", ".").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", 1, k), "."))).alias("part"))
-    got = parts.join(mods, "part").groupBy("src", "line", "full").agg(F.max_by("dst", F.length("part")).alias("dst"))
-    return got.where("src <> dst").select("src", "dst").distinct()
+    """(src, dst) of modules: the imported name as a module, or else the first module below it."""
+    mods = rows.where("kind = 'module'").select("module").distinct()
+    parts = mods.select("module", F.split("module", "[.]").alias("p")).where(F.size("p") > 1)
+    above = parts.select("module", F.explode(F.expr("transform(sequence(1, size(p) - 1), k -> array_join(slice(p, 1, k), '.'))")).alias("name"))
+    below = above.groupBy("name").agg(F.min("module").alias("below"))
+    i = rows.where("kind = 'import'").select(F.col("module").alias("src"), "name").distinct()
+    got = i.join(mods.select(F.col("module").alias("name"), F.col("module").alias("exact")), "name", "left").join(below, "name", "left")
+    return got.select("src", F.coalesce("exact", "below").alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def reference_edges(rows: DataFrame) -> DataFrame:
     """(src, dst, confidence) of loaded names that are symbols of the repository."""
-    return call_edges(rows.where("kind <> 'call'").withColumn("kind", F.when(F.col("kind") == "reference", "call").otherwise(F.col("kind"))))
+    return call_edges(rows, "reference")
+
+
+def constants(rows: DataFrame) -> DataFrame:
+    """(module, name, fingerprint, line) of the constants that modules state; a value that is no literal has an empty fingerprint."""
+    return rows.where("kind = 'constant'").select("module", "name", F.col("value").alias("fingerprint"), "line")
 
 
 def derived_edges(rows: DataFrame) -> DataFrame:
@@ -252,27 +263,30 @@ def operations(rows: DataFrame, node_type: str) -> DataFrame:
     return o.select("class", "operation", F.col("v.async").alias("is_async"), "v.arity", "v.annotations")
 
 
-def call_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst, confidence): exact name, name in the own module, or the only symbol with that dotted tail."""
+def _resolved(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` (module, name, value, ...) with dst and confidence: the symbol of that name with aliases put in,
+    of the own module, or (0.7) the only one with what is written as its dotted tail."""
     s = rows.where("kind = 'symbol'").select("qualified").distinct()
-    c = rows.where("kind = 'call'").select(F.col("qualified").alias("src"), "module", "name")
-    tails = s.select("qualified", F.split("qualified", "[.]").alias("p")).select("qualified", F.explode(F.expr("transform(sequence(2, size(p)), i -> array_join(slice(p, i, size(p)), '.'))")).alias("name"))
-    only = tails.groupBy("name").agg(F.count("*").alias("n"), F.min("qualified").alias("by_tail")).where("n = 1").select("name", "by_tail")
+    tails = s.select("qualified", F.split("qualified", "[.]").alias("p")).select("qualified", F.explode(F.expr("transform(sequence(2, size(p)), i -> array_join(slice(p, i, size(p)), '.'))")).alias("value"))
+    only = tails.groupBy("value").agg(F.count("*").alias("n"), F.min("qualified").alias("by_tail")).where("n = 1").select("value", "by_tail")
     exact = s.select(F.col("qualified").alias("name"), F.col("qualified").alias("by_name"))
     own = s.select(F.col("qualified").alias("local"), F.col("qualified").alias("by_module"))
-    c = c.withColumn("local", F.concat_ws(".", "module", "name")).join(exact, "name", "left").join(own, "local", "left").join(only, "name", "left")
-    dst = F.coalesce("by_name", "by_module", "by_tail")
+    c = named.withColumn("local", F.concat_ws(".", "module", "value")).join(exact, "name", "left").join(own, "local", "left").join(only, "value", "left")
     sure = F.when(F.col("by_name").isNotNull() | F.col("by_module").isNotNull(), 1.0).otherwise(0.7)
-    return c.select("src", dst.alias("dst"), sure.alias("confidence")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    return c.withColumn("dst", F.coalesce("by_name", "by_module", "by_tail")).withColumn("confidence", sure).where("dst is not null")
+
+
+def call_edges(rows: DataFrame, kind: str = "call") -> DataFrame:
+    """(src, dst, confidence) of calls, or of loaded names, that are symbols of the repository (see ``_resolved``)."""
+    c = _resolved(rows, rows.where(F.col("kind") == kind).select(F.col("qualified").alias("src"), "module", "name", "value"))
+    return c.where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
 
 
 def inherit_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst, edge_type): INHERITS, and IMPLEMENTS where the base is an interface."""
-    s = rows.where("kind = 'symbol' and node_type in ('CLASS', 'INTERFACE')").select("qualified", "node_type")
-    b = rows.where("kind = 'base'").select(F.col("qualified").alias("src"), "module", "name").withColumn("local", F.concat_ws(".", "module", "name"))
-    exact = s.select(F.col("qualified").alias("name"), F.col("qualified").alias("d1"), F.col("node_type").alias("t1"))
-    own = s.select(F.col("qualified").alias("local"), F.col("qualified").alias("d2"), F.col("node_type").alias("t2"))
-    e = b.join(exact, "name", "left").join(own, "local", "left").select("src", F.coalesce("d1", "d2").alias("dst"), F.coalesce("t1", "t2").alias("t")).where("dst is not null").distinct()
+    """(src, dst, edge_type): INHERITS, and IMPLEMENTS where the base is an interface; bases are found like calls."""
+    b = _resolved(rows, rows.where("kind = 'base'").select(F.col("qualified").alias("src"), "module", "name", "value"))
+    kind = rows.where("kind = 'symbol'").select(F.col("qualified").alias("dst"), F.col("node_type").alias("t")).distinct()
+    e = b.select("src", "dst").join(kind, "dst").distinct()
     return e.select("src", "dst", F.lit("INHERITS").alias("edge_type")).unionByName(e.where("t = 'INTERFACE'").select("src", "dst", F.lit("IMPLEMENTS").alias("edge_type")))
 
 
@@ -301,6 +315,7 @@ def excerpt(files: DataFrame, path: str, start: int, end: int, context: int = 3,
 
 
 def last_edge(edges: DataFrame) -> DataFrame:
-    """One row per edge_id: the last one emitted (emit_seq)."""
-    w = Window.partitionBy("edge_id").orderBy(F.col("emit_seq").desc())
-    return edges.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row per edge_id: the last one emitted (emit_seq); partial maxima, so a frequent edge meets nowhere whole."""
+    rest = [c for c in edges.columns if c != "edge_id"]
+    last = edges.groupBy("edge_id").agg(F.max_by(F.struct(*rest), "emit_seq").alias("e"))
+    return last.select("edge_id", "e.*").select(*edges.columns)

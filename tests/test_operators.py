@@ -113,6 +113,32 @@ def test_parse_and_resolve(spark):
     assert code.excerpt(files, "pkg/util.py", 1, 1, 1).orderBy("line").first().text == "    1 | def clean(x):"
 
 
+def test_names_resolve_as_written_or_by_alias(spark):
+    files = [
+        ("pkg/a.py", "import sub.deep\nfrom pkg import b as other\nfrom . import c\n\nclass Base: ...\n\ndef only_here(): ...\n\nif True:\n    import pkg.late\n"),
+        ("pkg/b.py", "from lib import only_here\nfrom pkg.a import Base as B\n\ndef f(x: only_here = only_here()):\n    import pkg.late\n    return [only_here for y in x] or (lambda z: only_here(z))\n\nclass C(B, Mixed):\n    made = only_here()\n    def g(self):\n        return self.h(), self.missing()\n    def h(self): ...\n"),
+        ("pkg/c.py", "class Mixed: ...\nclass Twice: ...\n"),
+        ("pkg/late.py", "class Twice: ...\nclass D(Twice): ...\nclass E(c.Twice): ...\n"),
+        ("sub/deep/z.py", "X = 1\n"),
+        ("sub/deep/y.py", "Y = [1]\nY2 = call()\n"),
+    ]
+    rows = code.parse(spark.createDataFrame(files, "path string, source string"))
+    # the first module below a folder; what a body imports later is no dependency
+    assert {(r.src, r.dst) for r in code.import_edges(rows).collect()} == {("pkg.a", "sub.deep.y"), ("pkg.b", "pkg.a")}
+    calls = {(r.src, r.dst, r.confidence) for r in code.call_edges(rows).collect()}
+    assert calls == {("pkg.b.f", "pkg.a.only_here", 0.7), ("pkg.b.C", "pkg.a.only_here", 0.7), ("pkg.b.C.g", "pkg.b.C.h", 1.0)}
+    assert {(r.src, r.dst) for r in code.reference_edges(rows).collect()} == {("pkg.b.f", "pkg.a.only_here"), ("pkg.b.C", "pkg.a.only_here")}
+    bases = {(r.src, r.dst) for r in code.inherit_edges(rows).collect()}
+    assert bases == {("pkg.b.C", "pkg.a.Base"), ("pkg.b.C", "pkg.c.Mixed"), ("pkg.late.D", "pkg.late.Twice"), ("pkg.late.E", "pkg.c.Twice")}
+    constants = {(r.module, r.name, r.fingerprint) for r in code.constants(rows).collect()}
+    assert {c[:2] for c in constants} == {("sub.deep.z", "X"), ("sub.deep.y", "Y"), ("sub.deep.y", "Y2")} and ("sub.deep.y", "Y2", "") in constants
+
+
+def test_last_edge_wins(spark):
+    e = spark.createDataFrame([("x", 1, 1.0), ("x", 3, 0.7), ("x", 2, 1.0), ("y", 1, None)], "edge_id string, emit_seq int, confidence double")
+    assert {(r.edge_id, r.emit_seq, r.confidence) for r in code.last_edge(e).collect()} == {("x", 3, 0.7), ("y", 1, None)}
+
+
 def test_scan_reads_a_tree(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.py").write_bytes(b"A = 1 # \xff\n")
