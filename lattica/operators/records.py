@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import table
+
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; a total order makes it unique."""
@@ -100,12 +102,13 @@ def eviction(files: DataFrame, size: str, age: str, reserve: int, cap: int, keep
 def daily_admission(events: DataFrame, at: str, user: str, order: list[str], user_limit: int, global_limit: int) -> DataFrame:
     """Events with whether they are admitted: below both caps of their UTC day, counted on admission.
 
-    Per user and day at most ``user_limit`` can count, so the day's order is taken over those only.
+    Per user and day at most ``user_limit`` can count, and of those the day's first ``global_limit``
+    do. Both are limits of a rank, so tasks pass on no more rows of a day than the limit; the others
+    are told by their absence.
     """
-    day = F.to_date(at).alias("day")
-    own = Window.partitionBy("day", user).orderBy(at, *order)
-    rows = events.select("*", day).withColumn("_own", F.row_number().over(own))
-    within = rows.where(F.col("_own") <= user_limit)
-    all_ = Window.partitionBy("day").orderBy(at, *order)
-    admitted = within.withColumn("_all", F.row_number().over(all_)).withColumn("admitted", F.col("_all") <= global_limit).drop("_own", "_all")
-    return admitted.unionByName(rows.where(F.col("_own") > user_limit).drop("_own").withColumn("admitted", F.lit(False)))
+    rows = table(events.select("*", F.to_date(at).alias("day"), F.monotonically_increasing_id().alias("_row")), "events")
+    key = rows.select("_row", "day", user, at, *order)
+    own = key.withColumn("_n", F.row_number().over(Window.partitionBy("day", user).orderBy(at, *order, "_row"))).where(F.col("_n") <= user_limit)
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("day").orderBy(at, *order, "_row"))).where(F.col("_n") <= global_limit)
+    found = first.select("_row", F.lit(True).alias("admitted"))
+    return rows.join(found, "_row", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False))).drop("_row")

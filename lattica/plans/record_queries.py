@@ -11,7 +11,7 @@ from lattica.operators.quantiles import quantiles
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 from lattica.sources import python_code
-from lattica.streaming import budget
+from lattica.streaming import admission, budget
 
 QUERIES, ORACLES, query = registry()
 
@@ -243,6 +243,14 @@ def _(t: Tables) -> DataFrame:
     return records.daily_admission(t.events, "ts", "user_id", ["event_id"], 2, 25).select("event_id", "admitted")
 
 
+@query("admission_stream", """with r as (select event_id, user_id, cast(ts as date) as day, row_number() over (partition by cast(ts as date), user_id order by ts, event_id) as own, ts from events),
+ w as (select *, row_number() over (partition by day order by ts, event_id) as all_ from r where own <= 2)
+ select event_id, all_ <= 25 as admitted from w union all select event_id, false from r where own > 2""")
+def _(t: Tables) -> DataFrame:
+    out = admission.run(budget.stream(t.spark, t.dir), "ts", "user_id", "event_id", 2, 25)
+    return out.select(F.col("id").alias("event_id"), "admitted")
+
+
 @query("daily_counts_stream", "select cast(ts as date) as day, count(*) as n from events group by 1")
 def _(t: Tables) -> DataFrame:
     return budget.daily_counts(t.spark, t.dir)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.storage import shared_dir, table
+from lattica.functions.storage import session_dir, table
 from lattica.operators import detectors, atlas, graph, policies, report, structure
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
@@ -309,7 +309,7 @@ def _(t: Tables) -> DataFrame:
 @query("result_files", "select c_mktsegment as variant, count(*) as cases, round(avg(c_acctbal), 3) as score, 'csv' as kind from customer group by 1 union all select c_mktsegment, count(*), round(avg(c_acctbal), 3), 'json' from customer group by 1")
 def _(t: Tables) -> DataFrame:
     rows = t.customer.groupBy(F.col("c_mktsegment").alias("variant")).agg(F.count("*").alias("cases"), F.round(F.avg("c_acctbal"), 3).alias("score"))
-    at = f"{shared_dir(t.spark)}/lattica-results-{uuid.uuid4().hex}"
+    at = f"{session_dir(t.spark)}/lattica-results-{uuid.uuid4().hex}"
     for kind in ("csv", "json"):
         report.write_results(rows, f"{at}/{kind}", kind)
     schema = "variant string, cases long, score double"
@@ -319,7 +319,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("atlas_store", with_("nodes", "follows", "deps", body="select 'nodes' as part, count(*) as n, min(node) as least from nodes union all select 'edges', count(*), min(src) from deps union all select 'versions', 2, 'v1'"))
 def _(t: Tables) -> DataFrame:
-    at = f"{shared_dir(t.spark)}/lattica-atlas-{uuid.uuid4().hex}"
+    at = f"{session_dir(t.spark)}/lattica-atlas-{uuid.uuid4().hex}"
     parts = {"nodes": t.nodes(), "edges": t.deps()}
     assert atlas_store.save(at, "v1", parts) and atlas_store.save(at, "v2", {"nodes": t.nodes().limit(5), "edges": t.deps()}) and not atlas_store.save(at, "v1", parts)
     one = lambda part, key: atlas_store.load(t.spark, at, "v1", part).agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.min(key).alias("least"))
