@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.plans import corpus_queries, graph_queries, record_queries, request_queries, structure_queries
+from lattica.plans import corpus_queries, graph_queries, policy_queries, record_queries, request_queries, structure_queries
 
-PARTS = (graph_queries, corpus_queries, record_queries, structure_queries, request_queries)
+PARTS = (graph_queries, corpus_queries, record_queries, structure_queries, request_queries, policy_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
