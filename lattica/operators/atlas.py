@@ -145,6 +145,28 @@ def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, target
     return out.withColumn("neighbourhood", F.col("forward_reach") + F.col("reverse_reach") - both).drop("_test")
 
 
+def inherited(owners: DataFrame, profile: DataFrame) -> DataFrame:
+    """(node, ...): every node (node, owner) with the measures (node, ...) of the module that owns it; zeros without one."""
+    names = [c for c in profile.columns if c != "node"]
+    own = profile.select(F.col("node").alias("owner"), *names)
+    return owners.select("node", "owner").join(own, "owner", "left").select("node", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
+def described(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Metric rows (node, metric, value) with nature, scope, definition and limitations.
+
+    metadata: metric, definition, limitations; a metric that has none gets a definition made of its name.
+    Nature and scope follow from the group, and of two cognitive measures from the chain that they count.
+    """
+    group, field = F.split_part("metric", F.lit("."), F.lit(1)), F.split_part("metric", F.lit("."), F.lit(2))
+    chain = (group == "cognitive_scope") & field.isin("bounded_resolved_call_chain_nodes", "abstraction_boundaries")
+    scope = F.when(group == "local", "lexical_node").when(group == "dependency", "owning_module").when(chain, "bounded_resolved_call_chain").otherwise("reverse_static_impact_neighbourhood")
+    nature = F.when(group.isin("local", "dependency"), "measurement").otherwise("structural_proxy")
+    plain = F.concat(F.lit("Static value of "), F.replace(F.replace(F.col("metric"), F.lit("_"), F.lit(" ")), F.lit("."), F.lit(" / ")), F.lit("."))
+    out = rows.join(metadata.select("metric", "definition", "limitations"), "metric", "left")
+    return out.select("node", "metric", "value", nature.alias("nature"), scope.alias("scope"), F.coalesce("definition", plain).alias("definition"), F.coalesce("limitations", F.lit("")).alias("limitations"))
+
+
 def review_context(edges: DataFrame, anchors: list[str], limit: int) -> DataFrame:
     """(anchor, node, edge_id): neighbours of the anchors in edge order, ``limit`` new ones each.
 

@@ -74,3 +74,12 @@ def stale(verdict: Column, decided: Column) -> Column:
 
 def needs_attention(verdict: Column, decided: Column) -> Column:
     return stale(verdict, decided) | ((verdict != "cleared") & decided.isNull())
+
+
+def completed_answers(questions: DataFrame, answers: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., status, value, actor): every question with its answer, or SKIPPED by the user; an answer to no question is an error."""
+    unknown = answers.join(questions.select(*key), key, "left_anti").select(*key).limit(5).collect()
+    if unknown:
+        raise ValueError(f"answers name unknown questions: {', '.join(sorted(str(tuple(r)) for r in unknown))}")
+    a = answers.select(*key, "status", "value", "actor")
+    return questions.select(*key).join(a, key, "left").select(*key, F.coalesce("status", F.lit("SKIPPED")).alias("status"), "value", F.coalesce("actor", F.lit("user")).alias("actor"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.columns import ordered_fingerprint
 from lattica.operators.overlap import overlap_pairs
 from lattica.operators.structure import foreign_owners
 
@@ -102,9 +101,30 @@ def excluded(files: DataFrame, path: str, prefixes: list[str]) -> DataFrame:
     return files
 
 
+#: folders that a review can often do without (fixed values)
+SUGGESTED = ["tests", "test", "testing", "docs", "doc", "examples", "example", "benchmarks", "benchmark", "samples", "sample", "demos", "demo"]
+
+
+def folder_tree(files: DataFrame, path: str, size: str, levels: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(folder, files, bytes, suggested) in order of folders, and the totals (files, bytes) of all files, each once."""
+    rows = folder_rollup(files, path, size, levels)
+    named = F.element_at(F.split("folder", "/"), -1).isin(SUGGESTED)
+    totals = files.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    return rows.withColumn("suggested", named).orderBy("folder"), totals
+
+
 def content_fingerprint(files: DataFrame, path: str, content: Column) -> DataFrame:
-    """One row: a hash over the files' hashes in path order."""
-    return files.select(F.col(path).alias("p"), F.sha2(content, 256).alias("h")).agg(ordered_fingerprint(F.concat_ws("\0", "p", "h"), F.col("p"), F.col("h")).alias("fingerprint"))
+    """One row: a hash of all paths and contents, whatever the order of rows.
+
+    A tree of hashes: files go to 65,536 leaves by a hash of their path, these to 256 branches, so
+    a row holds the hashes of a small share of the files.
+    """
+    at = F.sha2(F.col(path).cast("string"), 256)
+    rows = files.select(at.alias("at"), F.sha2(F.concat_ws("\0", F.col(path).cast("string"), F.sha2(content, 256)), 256).alias("h"))
+    for digits in (4, 2, 0):
+        group = F.substring("at", 1, digits) if digits else F.lit("")
+        rows = rows.groupBy(group.alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\0"), 256).alias("h"))
+    return rows.select(F.col("h").alias("fingerprint"))
 
 
 def visible(nodes: DataFrame, edges: DataFrame, kinds: list[str], tests: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +139,11 @@ def visible(nodes: DataFrame, edges: DataFrame, kinds: list[str], tests: bool, k
 
 
 def cycle_signals(component: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per member of a component of two or more: its members in order, and its first edge inside by id."""
-    w = Window.partitionBy("component")
-    big = component.withColumn("size", F.count("*").over(w)).where("size >= 2")
-    names = big.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"), F.count("*").alias("size"))
+    """(node, component, size, first_edge) of the members of components of two or more: the first edge by id that stays inside.
+
+    The members' names are those of the component, one row each, in ``structure.cycle_members``.
+    """
+    big = component.join(component.groupBy("component").agg(F.count("*").alias("size")).where("size >= 2"), "component")
     inside = edges.join(big.select(F.col("node").alias("src"), "component"), "src").join(big.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
     first = inside.groupBy(F.col("src").alias("node")).agg(F.min("edge_id").alias("first_edge"))
-    return big.select("node", "component").join(names, "component").join(first, "node", "left")
+    return big.join(first, "node", "left").select("node", "component", "size", "first_edge")

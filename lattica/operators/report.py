@@ -23,6 +23,13 @@ def report_order(findings: DataFrame) -> DataFrame:
     return findings.withColumn("position", F.row_number().over(w))
 
 
+def docket(findings: DataFrame, limit: int) -> DataFrame:
+    """The first rows of findings (finding, moved, verdict, summary) with a place: what moved, then by verdict, then summaries as people sort them, whatever their case and accents."""
+    order = [F.col("moved").desc(), place_in(F.col("verdict"), VERDICTS), F.collate("summary", "UNICODE"), F.col("finding")]
+    top = findings.orderBy(*order).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over limit rows
+
+
 def limited_lines(rows: DataFrame, key: str, line: Column, *order: Column, most: int = MOST_ROWS) -> DataFrame:
     """(key, position, line): the first lines of each key, cut at ``MOST_CHARS``, and one that says how many more there are.
 
@@ -71,3 +78,66 @@ def write_results(rows: DataFrame, path: str, kind: str) -> None:
         rows.write.option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(kind)
+
+
+#: what each verdict of a report means
+MEANING = {"material": "Evidence supports a concern worth acting on.", "held": "Waits on what the sources cannot tell.", "cleared": "Looked at and found to be no problem."}
+
+
+def counted(n: Column, one: str) -> Column:
+    """3 findings, but 1 finding."""
+    return F.concat(n, F.lit(f" {one}"), F.when(n == 1, "").otherwise("s"))
+
+
+def review_sections(reviews: DataFrame, findings: DataFrame, moves: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(repository, ordinal, heading, position, line) of the nine sections of each review.
+
+    reviews: repository, name, sequence, previous (null for the first), waiting, sources (array). findings:
+    repository, finding, verdict, summary, limits (array). moves: repository, state (new, changed,
+    addressed, unchanged), finding, causes. questions: repository, question, facet. answers: repository, question,
+    value (null: skipped), actor. Sections of a verdict, and open questions, are there only where they
+    have lines; limits are told once, with the verdicts they bear on. A section's lines are rows,
+    in the order of their position.
+    """
+
+    def lines(rows: DataFrame, ordinal: int, heading: str | Column, position: Column, line: Column) -> DataFrame:
+        head = F.lit(heading) if isinstance(heading, str) else heading
+        return rows.select("repository", F.lit(ordinal).alias("ordinal"), head.alias("heading"), position.cast("string").alias("position"), line.alias("line"))
+
+    known = reviews.select("repository", "name", "sequence", "previous", "waiting", "sources")
+    n = findings.groupBy("repository").agg(F.count("*").alias("all"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+    m = moves.groupBy("repository").agg(F.count_if(F.col("state").isin("new", "changed")).alias("moved"), F.count_if(F.col("state") == "addressed").alias("addressed"))
+    head = known.join(n, "repository", "left").join(m, "repository", "left").fillna(0, ["all", *VERDICTS, "moved", "addressed"])
+    judged = F.concat(counted(F.col("all"), "candidate"), F.lit(" judged: "), F.concat_ws(", ", *[F.concat(F.col(v), F.lit(f" {v}")) for v in VERDICTS]), F.lit("."))
+    since = F.concat(F.lit(" "), F.col("moved"), F.lit(" moved since review "), F.col("previous"), F.lit(", "), F.col("addressed"), F.lit(" addressed."))
+    none = F.lit("No candidates were found here; that says nothing about what was not looked for.")
+    opening = F.array(
+        F.concat("name", F.lit(", review "), "sequence"), F.when(F.col("waiting"), F.lit("Not final: it waits for answers.")), F.when(F.col("all") > 0, F.concat(judged, F.coalesce(since, F.lit("")))).otherwise(none)
+    )
+    parts = [lines(head.select("repository", F.posexplode(opening).alias("k", "text")).where("text is not null"), 1, "Review", F.col("k"), F.col("text"))]
+    by_name = F.concat(F.lower("finding"), F.lit("\0"), "finding")
+    for k, v in enumerate(VERDICTS):
+        own = findings.where(F.col("verdict") == v).join(n.select("repository", F.col(v).alias("many")), "repository")
+        title = F.concat(F.lit(f"{v.capitalize()} ("), "many", F.lit(")"))
+        parts.append(lines(own, 2 + k, title, F.concat(F.lit("1"), by_name), F.concat("finding", F.lit(": "), "summary")))
+        parts.append(lines(own.select("repository", "many").distinct(), 2 + k, title, F.lit("0"), F.lit(MEANING[v])))
+    seen = findings.select("repository", "verdict", F.explode("limits").alias("limit")).groupBy("repository", "limit").agg(F.array_join(F.array_sort(F.collect_set("verdict")), ", ").alias("verdicts"))
+    parts.append(lines(known, 5, "What could not be seen", F.lit(""), F.lit(None).cast("string")))
+    parts.append(lines(seen, 5, "What could not be seen", F.concat("verdicts", F.lit("\0"), "limit"), F.concat("verdicts", F.lit(": "), "limit")))
+    order = F.when(F.col("state") == "new", "0").when(F.col("state") == "changed", "1").otherwise("2")
+    shown = moves.where("state <> 'unchanged'").join(known.select("repository", "previous"), "repository").where("previous is not null")
+    moved = F.concat("state", F.lit(": "), "finding", F.coalesce(F.concat(F.lit(" ("), "causes", F.lit(")")), F.lit("")))
+    parts.append(lines(shown, 6, "What moved", F.concat(order, by_name), moved))
+    first = F.when(F.col("previous").isNull(), F.lit("The first review: all is new, and there is nothing to compare it with."))
+    parts.append(lines(known, 6, "What moved", F.lit(""), first))
+    asked = questions.join(known.select("repository", "waiting"), "repository")
+    parts.append(lines(asked, 7, F.when(F.col("waiting"), "Open questions").otherwise("Left unanswered"), F.col("question"), F.concat("question", F.lit(" ("), "facet", F.lit(")"))))
+    said = F.concat("question", F.lit(": "), F.coalesce("value", F.lit("skipped")), F.lit(" ("), "actor", F.lit(")"))
+    parts.append(lines(known, 8, "Judged against", F.lit(""), F.lit(None).cast("string")))
+    parts.append(lines(answers, 8, "Judged against", F.col("question"), said))
+    parts.append(lines(known, 9, "Where this comes from", F.lit(""), F.lit(None).cast("string")))
+    parts.append(lines(known.select("repository", F.explode(F.array_distinct("sources")).alias("source")), 9, "Where this comes from", F.col("source"), F.col("source")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

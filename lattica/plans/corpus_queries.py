@@ -159,9 +159,12 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("long").alias("position"), F.length("part").cast("long").alias("size"))
 
 
-@query("heading_chunks")
+@query("heading_chunks", """with s as (select doc_id, unnest(string_split(chr(10) || text, chr(10) || 'The ')) as part, generate_subscripts(string_split(chr(10) || text, chr(10) || 'The '), 1) as k from documents),
+ p as (select doc_id, k, case when k > 1 then 'The ' || part else part end as part from s)
+ select doc_id, row_number() over (partition by doc_id order by k) as position, 'Document ' || doc_id || chr(10) || chr(10) || regexp_replace(regexp_replace(part, '^\\s+', ''), '\\s+$', '') as text from p where regexp_matches(part, '\\S')""")
 def _(t: Tables) -> DataFrame:
-    return retrieval.heading_chunks(t.documents, "doc_id", "text", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+    chunks = retrieval.heading_chunks(t.documents, "doc_id", "text", F.concat(F.lit("Document "), F.col("doc_id").cast("string")), "The ")
+    return chunks.select("doc_id", F.col("position").cast("long").alias("position"), "text")
 
 
 @query("chunk_report", "select count(*) as chunks, round(avg(length(text)), 4) as mean_size, max(length(text)) as longest, arg_max(doc_id, length(text) * 1000000 + doc_id) as longest_id, cast(sum((length(text) + 3) // 4) as bigint) as tokens from documents")

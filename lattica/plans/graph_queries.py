@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import table
-from lattica.operators import atlas, detectors, graph
+from lattica.operators import atlas, detectors, graph, structure
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
 
@@ -64,14 +64,13 @@ def _(t: Tables) -> DataFrame:
     return graph.components(t.deps(), t.modules())
 
 
-@query("cycle_listing", with_("nodes", "modules", "follows", "deps", "reach", body="", recursive=True) + SCC + "select component, count(*) as size, string_agg(node, ',' order by node) as members from scc group by component having count(*) >= 2")
+@query("cycle_listing", with_("nodes", "modules", "follows", "deps", "reach", body="", recursive=True) + SCC + "select component, row_number() over (partition by component order by node) as position, node, count(*) over (partition by component) as size from scc qualify count(*) over (partition by component) >= 2")
 def _(t: Tables) -> DataFrame:
-    c = table(graph.components(t.deps(), t.modules()), "scc")
-    return c.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).where("size >= 2")
+    return structure.cycle_members(table(graph.components(t.deps(), t.modules()), "scc"))
 
 
-@query("cycle_signals", with_("nodes", "modules", "follows", "deps", "reach", body="", recursive=True) + SCC + """, big as (select component, count(*) as size, string_agg(node, ',' order by node) as members from scc group by component having count(*) >= 2)
- select s.node, s.component, b.members, b.size, (select min(d.src || '>' || d.dst) from deps d join scc o on o.node = d.dst where d.src = s.node and o.component = s.component) as first_edge from scc s join big b on b.component = s.component""")
+@query("cycle_signals", with_("nodes", "modules", "follows", "deps", "reach", body="", recursive=True) + SCC + """, big as (select component, count(*) as size from scc group by component having count(*) >= 2)
+ select s.node, s.component, b.size, (select min(d.src || '>' || d.dst) from deps d join scc o on o.node = d.dst where d.src = s.node and o.component = s.component) as first_edge from scc s join big b on b.component = s.component""")
 def _(t: Tables) -> DataFrame:
     e = table(t.deps(), "deps")
     return detectors.cycle_signals(table(graph.components(e, t.modules()), "scc"), e.withColumn("edge_id", F.concat("src", F.lit(">"), "dst")))
@@ -106,7 +105,14 @@ def _(t: Tables) -> DataFrame:
     return graph.top_container(t.nodes(), ["PACKAGE_ROOT"])
 
 
-@query("representative_path")
+#: breadth-first trees of all starts, of at most 20 nodes
+CHAINS = """, walk as (select node as start, node, 0 as depth, [node] as path from modules where node in (select src from deps) union all
+  select w.start, d.dst, w.depth + 1, list_append(w.path, d.dst) from walk w join deps d on d.src = w.node where w.depth < 19 and not list_contains(w.path, d.dst)),
+ near as (select start, node, min(depth) as depth from walk group by start, node), best as (select start, node, w.depth, min(path) as path from walk w join near n using (start, node) where w.depth = n.depth group by start, node, w.depth),
+ chains as (select start, min(path) as path from best b where depth = (select max(depth) from best x where x.start = b.start) group by start)"""
+
+
+@query("representative_path", with_("nodes", "modules", "follows", "deps", body="", recursive=True) + CHAINS + "select start, array_to_string(path, ',') as path from chains")
 def _(t: Tables) -> DataFrame:
     e = table(t.deps(), "deps")
     return graph.representative_paths(e, e.select(F.col("src").alias("start")).distinct()).select("start", F.array_join("path", ",").alias("path"))
@@ -128,6 +134,15 @@ def _(t: Tables) -> DataFrame:
     return graph.crossings(paths, owner).select(both[0].alias("start"), both[1].alias("stop"), F.col("crossings").cast("long").alias("crossings"))
 
 
+@query("chain_crossings", with_("nodes", "modules", "follows", "deps", body="", recursive=True) + CHAINS + """, hops as (select start, unnest(path[:-2]) as a, unnest(path[2:]) as b from chains)
+ select start, cast(coalesce(sum(cast(x.s_nationkey is distinct from y.s_nationkey as int)), 0) as bigint) as crossings from chains left join hops using (start) left join supplier x on 's:' || x.s_suppkey = a left join supplier y on 's:' || y.s_suppkey = b group by start""")
+def _(t: Tables) -> DataFrame:
+    e = table(t.deps(), "deps")
+    owner = t.supplier.select(F.concat(F.lit("s:"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("owner"))
+    chains = graph.representative_paths(e, e.select(F.col("src").alias("start")).distinct())
+    return graph.crossings(table(chains, "chains"), owner).select("start", F.col("crossings").cast("long").alias("crossings"))
+
+
 @query("branch_chain", with_("c as (select o_orderkey as branch, o_orderkey as here, 0 as step from orders union all select c.branch, a.o_orderkey - 1, c.step + 1 from c join orders a on a.o_orderkey = c.here join orders b on b.o_orderkey = c.here - 1 where a.o_orderkey % 7 <> 0)", body="select branch, here as ancestor, step as distance from c where step > 0", recursive=True))
 def _(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey").distinct()
@@ -169,6 +184,18 @@ def _(t: Tables) -> DataFrame:
     return atlas.metric_rows(i.join(o, "node", "full_outer"), {"dependency": ["fan_in", "fan_out"]})
 
 
+@query("described_metrics", with_("follows", "deps", body="""select node, metric, value, nature, scope, definition, limitations from (
+ select dst as node, 'dependency.fan_in' as metric, cast(count(*) as double) as value, 'measurement' as nature, 'owning_module' as scope, 'Modules that depend on it.' as definition, 'Static only.' as limitations from deps group by dst union all
+ select src, 'change_amplification.fan_out_of', cast(count(*) as double), 'structural_proxy', 'reverse_static_impact_neighbourhood', 'Static value of change amplification / fan out of.', '' from deps group by src)"""))
+def _(t: Tables) -> DataFrame:
+    e = t.deps()
+    i = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
+    o = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out_of"))
+    rows = atlas.metric_rows(i.join(o, "node", "full_outer"), {"dependency": ["fan_in"], "change_amplification": ["fan_out_of"]})
+    said = t.spark.createDataFrame([("dependency.fan_in", "Modules that depend on it.", "Static only.")], "metric string, definition string, limitations string")
+    return atlas.described(rows, said)
+
+
 @query("induced_subgraph", with_("nodes", "follows", "deps", body="select src, dst from deps where src in (select node from nodes where parent in ('n:1', 'n:2', 'n:3', 'n:7')) and dst in (select node from nodes where parent in ('n:1', 'n:2', 'n:3', 'n:7'))"))
 def _(t: Tables) -> DataFrame:
     return atlas.induced(t.deps(), t.nodes().where(F.col("parent").isin("n:1", "n:2", "n:3", "n:7")))
@@ -230,6 +257,21 @@ def _(t: Tables) -> DataFrame:
     return detectors.visible(t.nodes(), t.contains(), ["CLASS", "PACKAGE"], False, ["s:1"])[0].select("node")
 
 
+@query("visible_edges", with_("nodes", "contains", body="""select src, dst from contains where src in (select node from shown) and dst in (select node from shown)""").replace("select src, dst", "select src, dst", 1).replace("contains as (", "shown as (select node from nodes where (node_type in ('CLASS', 'PACKAGE') and is_public is distinct from false) or node = 's:1'),\n contains as (", 1))
+def _(t: Tables) -> DataFrame:
+    return detectors.visible(t.nodes(), t.contains(), ["CLASS", "PACKAGE"], False, ["s:1"])[1].select("src", "dst")
+
+
+@query("inherited_profile", with_("nodes", "follows", "deps", "impl", body="""select n.node, coalesce(f.fan_in, 0) as fan_in, coalesce(f.fan_out, 0) as fan_out from (select 'p:' || p_partkey as node, (select min(src) from impl where dst = 'p:' || p_partkey) as owner from part union all select node, case when node_type = 'MODULE' then node end from nodes) n
+ left join (select node, (select count(*) from deps where dst = node) as fan_in, (select count(*) from deps where src = node) as fan_out from nodes where node_type = 'MODULE') f on f.node = n.owner"""))
+def _(t: Tables) -> DataFrame:
+    own = t.nodes().select("node", F.when(F.col("node_type") == "MODULE", F.col("node")).alias("owner"))
+    parts = t.part.select(F.concat(F.lit("p:"), "p_partkey").alias("node")).join(t.impl().groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("owner")), "node", "left")
+    e = table(t.deps(), "deps")
+    profile = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in")).join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out")), "node", "full_outer")
+    return atlas.inherited(own.unionByName(parts), profile)
+
+
 @query("sole_implementation", with_("impl", body="select dst as node, min(src) as implementation, (select count(*) from lineitem where 'p:'||l_partkey = dst) as dependants from impl group by dst having count(*) = 1"))
 def _(t: Tables) -> DataFrame:
     nodes = t.part.select(F.concat(F.lit("p:"), "p_partkey").alias("node"), F.lit("INTERFACE").alias("node_type")).unionByName(t.modules().withColumn("node_type", F.lit("MODULE")))
@@ -299,6 +341,12 @@ def _(t: Tables) -> DataFrame:
     return detectors.folder_rollup(_files(t), "path", "bytes")
 
 
+@query("folder_tree", with_(FILES, "parts as (select string_split(path, '/') as p, bytes from files)", "rows_ as (select array_to_string(p[1:k], '/') as folder, bytes from (select p, bytes, unnest(range(1, least(len(p) - 1, 2) + 1)) as k from parts))", body="select folder, count(*) as files, cast(sum(bytes) as bigint) as bytes, regexp_extract(folder, '[^/]*$') in ('docs', 'tests', 'test', 'doc', 'examples', 'samples') as suggested from rows_ group by folder union all select null, count(*), cast(sum(bytes) as bigint), null from files"))
+def _(t: Tables) -> DataFrame:
+    rows, totals = detectors.folder_tree(_files(t), "path", "bytes")
+    return rows.unionByName(totals.select(F.lit(None).cast("string").alias("folder"), "files", "bytes", F.lit(None).cast("boolean").alias("suggested")))
+
+
 @query("exclude_scope", with_(FILES, body="select path, count(*) as n from files where not (starts_with(path, 'tiontion.example.net/') or path = 'tiontion.example.net') group by path"))
 def _(t: Tables) -> DataFrame:
     return detectors.excluded(_files(t), "path", ["tiontion.example.net"]).groupBy("path").agg(F.count("*").alias("n"))

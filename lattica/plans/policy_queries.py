@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import table_functions
+from lattica.operators import report
 from lattica.plans.fixtures import Tables
 from lattica.plans.record_queries import _sources
 from lattica.plans.registry import registry
@@ -77,3 +78,44 @@ def _(t: Tables) -> DataFrame:
     text = F.concat(F.lit("# labels\ncases:\n"), case, F.when((c % 10 == 1) & (c % 7 != 0), case).otherwise(""))
     rows = policy_text.label_lists(t.orders.select("o_custkey").distinct().select(text.alias("text")))
     return rows.select("repository", *[F.array_join(x, by).alias(x) for x, by in (("participants", "|"), ("bearing", ","), ("supporting", ","))], "error")
+
+
+REPORT = """with o as (select o_custkey as r, 'f' || o_orderkey as finding, case o_orderstatus when 'F' then 'material' when 'O' then 'held' else 'cleared' end as verdict, o_orderpriority as p, o_orderkey, cast(floor(o_totalprice) as bigint) as price, c_name, c_mktsegment, c_nationkey
+   from orders join customer on c_custkey = o_custkey),
+ v as (select r, any_value(c_name) as name, any_value(c_mktsegment) as segment, any_value(c_nationkey) as nation, count(*) as n, count(*) filter (verdict = 'material') as material, count(*) filter (verdict = 'held') as held, count(*) filter (verdict = 'cleared') as cleared,
+   count(*) filter (p in ('1-URGENT', '2-HIGH')) as moved, count(*) filter (p = '3-MEDIUM') as addressed, case when r % 3 = 0 then null else r % 7 + 1 end as previous from o group by r),
+ lines as (
+  select r, 1 as ordinal, 'Review' as heading, '0' as position, name || ', review ' || (coalesce(previous, 0) + 1) as line from v
+  union all select r, 1, 'Review', '1', 'Not final: it waits for answers.' from v where r % 2 = 0
+  union all select r, 1, 'Review', '2', n || case when n = 1 then ' candidate' else ' candidates' end || ' judged: ' || material || ' material, ' || held || ' held, ' || cleared || ' cleared.' || coalesce(' ' || moved || ' moved since review ' || previous || ', ' || addressed || ' addressed.', '') from v
+  union all select r, 2, 'Material (' || material || ')', '0', 'Evidence supports a concern worth acting on.' from v where material > 0
+  union all select r, 2, 'Material (' || material || ')', '1' || finding, finding || ': ' || price from o join v using (r) where verdict = 'material'
+  union all select r, 3, 'Held (' || held || ')', '0', 'Waits on what the sources cannot tell.' from v where held > 0
+  union all select r, 3, 'Held (' || held || ')', '1' || finding, finding || ': ' || price from o join v using (r) where verdict = 'held'
+  union all select r, 4, 'Cleared (' || cleared || ')', '0', 'Looked at and found to be no problem.' from v where cleared > 0
+  union all select r, 4, 'Cleared (' || cleared || ')', '1' || finding, finding || ': ' || price from o join v using (r) where verdict = 'cleared'
+  union all select r, 5, 'What could not be seen', verdicts || chr(0) || lim, verdicts || ': ' || lim from (select r, lim, array_to_string(list_sort(list(distinct verdict)), ', ') as verdicts from (select r, verdict, unnest(['static only', p]) as lim from o) group by r, lim)
+  union all select r, 6, 'What moved', case when p in ('1-URGENT') then '0' when p = '2-HIGH' then '1' else '2' end || finding, case p when '1-URGENT' then 'new' when '2-HIGH' then 'changed' else 'addressed' end || ': ' || finding || case when p = '2-HIGH' then ' (SHAPE)' else '' end from o join v using (r) where p < '4' and previous is not null
+  union all select r, 6, 'What moved', '', case when previous is null then 'The first review: all is new, and there is nothing to compare it with.' end from v
+  union all select r, 7, case when r % 2 = 0 then 'Open questions' else 'Left unanswered' end, 'why ' || finding, 'why ' || finding || ' (intent)' from o where p = '4-NOT SPECIFIED'
+  union all select r, 8, 'Judged against', 'who ' || finding, 'who ' || finding || ': ' || case when o_orderkey % 2 = 0 then 'team' else 'skipped' end || ' (user)' from o where p = '5-LOW'
+  union all select r, 9, 'Where this comes from', s, s from (select r, unnest([segment, 'nation ' || nation]) as s from v)),
+ every as (select r, ordinal, heading, position, line from lines union all select r, k, case k when 5 then 'What could not be seen' when 8 then 'Judged against' else 'Where this comes from' end, '', null from v, (select unnest([5, 8, 9]) as k)),
+ parts as (select r, ordinal, '## ' || heading || chr(10) || chr(10) || coalesce(string_agg('- ' || line, chr(10) order by position, line) filter (line is not null), 'None.') as text from every group by r, ordinal, heading)
+ select r as repository, '# Report' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by ordinal, text) || chr(10) as report from parts group by r"""
+
+
+@query("review_report", REPORT)
+def _(t: Tables) -> DataFrame:
+    o = t.orders.select(F.col("o_custkey").alias("repository"), F.concat(F.lit("f"), "o_orderkey").alias("finding"), "o_orderkey", F.col("o_orderpriority").alias("p"), F.when(F.col("o_orderstatus") == "F", "material").when(F.col("o_orderstatus") == "O", "held").otherwise("cleared").alias("verdict"), F.floor("o_totalprice").cast("string").alias("summary"))
+    r = F.col("repository")
+    previous = F.when(r % 3 != 0, r % 7 + 1)
+    sources = F.array("c_mktsegment", F.concat(F.lit("nation "), "c_nationkey"))
+    reviews = t.customer.select(F.col("c_custkey").alias("repository"), F.col("c_name").alias("name"), sources.alias("sources")).join(o.select("repository").distinct(), "repository", "left_semi")
+    reviews = reviews.select("*", (F.coalesce(previous, F.lit(0)) + 1).alias("sequence"), previous.alias("previous"), (r % 2 == 0).alias("waiting"))
+    state = F.when(F.col("p") == "1-URGENT", "new").when(F.col("p") == "2-HIGH", "changed").when(F.col("p") == "3-MEDIUM", "addressed").otherwise("unchanged")
+    moves = o.select("repository", "finding", state.alias("state"), F.when(F.col("p") == "2-HIGH", "SHAPE").alias("causes"))
+    findings = o.select("repository", "finding", "verdict", "summary", F.array(F.lit("static only"), F.col("p")).alias("limits"))
+    questions = o.where("p = '4-NOT SPECIFIED'").select("repository", F.concat(F.lit("why "), "finding").alias("question"), F.lit("intent").alias("facet"))
+    answers = o.where("p = '5-LOW'").select("repository", F.concat(F.lit("who "), "finding").alias("question"), F.when(F.col("o_orderkey") % 2 == 0, "team").alias("value"), F.lit("user").alias("actor"))
+    return report.markdown_report(report.review_sections(reviews, findings, moves, questions, answers))

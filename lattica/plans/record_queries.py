@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.columns import name_tokens
 from lattica.functions.storage import table
-from lattica.operators import delta, records, structure
+from lattica.operators import delta, detectors, documents, records, report, structure
 from lattica.operators.quantiles import quantiles
 from lattica.plans.fixtures import Tables, with_
 from lattica.plans.registry import registry
@@ -157,11 +158,51 @@ def _(t: Tables) -> DataFrame:
     return _attention(t).select("doc_id", delta.stale(v, d).alias("stale"), delta.needs_attention(v, d).alias("attention"))
 
 
-@query("docket_order", with_(ATTENTION, body="select doc_id, verdict, row_number() over (order by case verdict when 'material' then 0 when 'held' then 1 else 2 end, doc_id) as place from j order by place limit 100"))
+@query("docket_order", with_(ATTENTION, body="select doc_id, decided is null as moved, verdict, row_number() over (order by decided is null desc, case verdict when 'material' then 0 when 'held' then 1 else 2 end, lpad(cast(1000000 - doc_id as varchar), 7, '0')) as place from j order by place limit 100"))
 def _(t: Tables) -> DataFrame:
-    rank = F.when(F.col("verdict") == "material", 0).when(F.col("verdict") == "held", 1).otherwise(2)
-    top = _attention(t).orderBy(rank, "doc_id").limit(100)
-    return top.select("doc_id", "verdict", F.row_number().over(Window.orderBy(rank, "doc_id")).alias("place"))
+    summary = F.concat(F.when(F.col("doc_id") % 2 == 0, "finding ").otherwise("Finding "), F.lpad((1000000 - F.col("doc_id")).cast("string"), 7, "0"))
+    summary = F.concat(F.lit("s "), F.lpad((1000000 - F.col("doc_id")).cast("string"), 7, "0"), F.lit(" "), summary)
+    rows = _attention(t).select(F.col("doc_id").alias("finding"), F.col("decided").isNull().alias("moved"), "verdict", summary.alias("summary"))
+    return report.docket(rows, 100).select(F.col("finding").alias("doc_id"), "moved", "verdict", "place")
+
+
+@query("review_tallies", """select o_custkey as review, cast(count(*) filter (o_orderstatus = 'P') as int) as answers, cast(count(*) as int) as findings, cast(0 as int) as questions, cast(count(*) filter (o_orderstatus = 'F') as int) as material, cast(count(*) filter (o_orderstatus = 'O') as int) as held,
+ cast(count(*) filter (o_orderstatus = 'P') as int) as cleared, cast(0 as int) as unchanged, cast(count(*) filter (o_totalprice > 100000) as int) as changed, cast(0 as int) as "new", cast(0 as int) as addressed from orders group by o_custkey""")
+def _(t: Tables) -> DataFrame:
+    verdict = F.when(F.col("o_orderstatus") == "F", "material").when(F.col("o_orderstatus") == "O", "held").otherwise("cleared")
+    finding = F.struct(F.col("o_orderkey").alias("id"), verdict.alias("verdict"))
+    some = lambda rule: F.collect_list(F.when(rule, F.col("o_orderkey")))
+    body = t.orders.groupBy(F.col("o_custkey").alias("review")).agg(F.collect_list(finding).alias("findings"), some(F.col("o_orderstatus") == "P").alias("answers"), some(F.col("o_totalprice") > 100000).alias("changed"))
+    text = F.to_json(F.struct("findings", F.struct("answers").alias("case"), F.struct("changed", F.array().cast("array<int>").alias("unchanged")).alias("delta")))
+    return documents.tallies(body.select("review", text.alias("body")), "body").drop("body")
+
+
+@query("fill_once_documents", """select c_custkey as branch, case when c_custkey % 3 = 0 then 'b0' when c_custkey % 4 <> 0 then 'n' || c_nationkey end as base,
+ case when c_custkey % 3 = 0 then '{"id":' || c_custkey || ',"base":"b0"}' when c_custkey % 4 <> 0 then '{"base":"n' || c_nationkey || '","id":' || c_custkey || '}' else '{"id":' || c_custkey || ',"base":null}' end as document from customer""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    has = k % 3 == 0
+    text = F.concat(F.lit('{"id":'), k, F.when(has, ',"base":"b0"}').otherwise(',"base":null}'))
+    rows = t.customer.select(k.alias("branch"), F.when(has, "b0").alias("base"), text.alias("document"))
+    values = t.customer.where(k % 4 != 0).select(k.alias("branch"), F.concat(F.lit("n"), "c_nationkey").alias("base"))
+    return documents.fill_once(rows, values, ["branch"], "base", "document")
+
+
+@query("canonical_props", """select event_id, '{"a":[1,{"y":2,"z":' || user_id || '}],"props":' || replace(props, ' ', '') || '}' as document from events""")
+def _(t: Tables) -> DataFrame:
+    text = F.concat(F.lit('{ "props": '), "props", F.lit(', "a": [1, {"z": '), "user_id", F.lit(', "y": 2}]}'))
+    return t.events.select("event_id", documents.canonical(text).alias("document"))
+
+
+@query("content_fingerprint", """with f as (select sha256(path) as leaf, sha256(path || chr(0) || sha256(text)) as h from (select cast(doc_id as varchar) as path, text from documents)),
+ l as (select substr(leaf, 1, 4) as leaf, sha256(string_agg(h, chr(0) order by h)) as h from f group by 1), b as (select substr(leaf, 1, 2) as leaf, sha256(string_agg(h, chr(0) order by h)) as h from l group by 1) select sha256(string_agg(h, chr(0) order by h)) as fingerprint from b""")
+def _(t: Tables) -> DataFrame:
+    return detectors.content_fingerprint(t.documents, "doc_id", F.col("text"))
+
+
+@query("name_parts", "select page_id, part, count(*) as n from (select page_id, unnest(regexp_extract_all(url, '[a-z]+|[0-9]+')) as part from pages) group by all")
+def _(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.explode(name_tokens(F.col("url"))).alias("part")).groupBy("page_id", "part").agg(F.count("*").alias("n"))
 
 
 SNAP = """cur as (select user_id as candidate, min(event_type) as signature, cast(count(*) as varchar) as content, cast(max(event_id) as varchar) as evidence from events where event_id % 4 in (0, 1) and user_id % 9 <> 0 group by user_id),
@@ -219,11 +260,12 @@ def _(t: Tables) -> DataFrame:
     return g.groupBy("role", key.alias("key")).agg(F.count("*").alias("questions"))
 
 
-@query("answer_completion", "select q.conv_id, q.turn, coalesce(a.role, 'SKIPPED') as answered_by from conversations q left join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user'")
+@query("answer_completion", "select q.conv_id, q.turn, case when a.role is null then 'SKIPPED' else 'ANSWERED' end as status, coalesce(a.role, 'user') as actor, length(a.text) as size from conversations q left join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user'")
 def _(t: Tables) -> DataFrame:
-    c = t.conversations
-    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("by"))
-    return c.where("role = 'user'").join(a, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("by", F.lit("SKIPPED")).alias("answered_by"))
+    c, key = t.conversations, ["conv_id", "turn"]
+    q = c.where("role = 'user'").select(*key)
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit("ANSWERED").alias("status"), F.col("text").alias("value"), F.col("role").alias("actor")).join(q, key, "left_semi")
+    return delta.completed_answers(q, a, key).select(*key, "status", "actor", F.length("value").cast("long").alias("size"))
 
 
 @query("blind_spots", "select lang, string_agg(distinct source, ',' order by source) as sources, count(*) as n from documents group by lang")

@@ -263,3 +263,71 @@ def test_nested_bodies_scan_and_config(spark, tmp_path):
     assert sorted(r.path for r in code.scan(spark, str(tmp_path), max_files=2).collect()) == ["a.py", "b.py"]
     assert [r.path for r in code.scan(spark, str(tmp_path), config=True).collect()] == ["venv/x.yaml"]
     assert sorted(r.path for r in code.scan(spark, str(tmp_path), exclude=["a.py"], max_bytes=5).collect()) == ["b.py", "c.py"]
+
+
+def test_answers_to_no_question_are_an_error(spark):
+    q = spark.createDataFrame([(1,), (2,)], "id int")
+    a = spark.createDataFrame([(2, "ANSWERED", "yes", "ann")], "id int, status string, value string, actor string")
+    got = {tuple(r) for r in delta.completed_answers(q, a, ["id"]).collect()}
+    assert got == {(1, "SKIPPED", None, "user"), (2, "ANSWERED", "yes", "ann")}
+    with pytest.raises(ValueError):
+        delta.completed_answers(q, a.withColumn("id", F.lit(3)), ["id"])
+
+
+def test_docket_sorts_as_people_do(spark):
+    from lattica.operators import report
+
+    rows = [(1, False, "material", "b"), (2, True, "cleared", "Zebra"), (3, True, "cleared", "apple"), (4, True, "cleared", "Äpfel"), (5, True, "odd", "a"), (6, False, "held", "a"), (7, True, "cleared", "apple")]
+    df = spark.createDataFrame(rows, "finding int, moved boolean, verdict string, summary string")
+    got = report.docket(df, 6)
+    assert [r.finding for r in got.orderBy("place").collect()] == [4, 3, 7, 2, 5, 1] and got.count() == 6
+
+
+def test_documents(spark):
+    from lattica.operators import documents
+
+    rows = [('{"b": {"y": 1, "x": [2, {"d": 1, "c": null}]}, "a": "ü"}', None), ("[1]", "n"), (None, None), ('{"base": "old"}', "old")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, doc string, base string")
+    assert [r.c for r in df.select(documents.canonical(F.col("doc")).alias("c")).collect()] == ['{"a":"ü","b":{"x":[2,{"c":null,"d":1}],"y":1}}', "[1]", None, '{"base":"old"}']
+    values = spark.createDataFrame([(0, "new"), (1, "new"), (2, "new"), (3, "new")], "id int, base string")
+    got = {r.id: (r.base, r.doc) for r in documents.fill_once(df, values, ["id"], "base", "doc").collect()}
+    assert got[0] == ("new", '{"a":"ü","b":{"x":[2,{"c":null,"d":1}],"y":1},"base":"new"}') and got[1] == ("n", "[1]") and got[2] == ("new", None) and got[3] == ("old", '{"base": "old"}')
+    review = '{"findings": [{"verdict": "held", "x": 1}, {"verdict": "held"}, {}], "case": {"answers": []}, "delta": {"new": [1, 2]}}'
+    t = documents.tallies(spark.createDataFrame([(review,), (None,), ("{}",)], "doc string"), "doc").collect()
+    assert (t[0].findings, t[0].held, t[0].material, t[0].answers, t[0].new, t[0].changed) == (3, 2, 0, 0, 2, 0) and t[1].findings == t[2].held == 0
+
+
+def test_fingerprint_and_folders(spark):
+    files = spark.createDataFrame([(f"src/tests/f{k}.py", f"x = {k}", k) for k in range(50)] + [("top.py", "", 7)], "path string, text string, size long")
+    whole = lambda df: detectors.content_fingerprint(df, "path", F.col("text")).first().fingerprint
+    assert whole(files) == whole(files.repartition(7).orderBy(F.col("path").desc())) != whole(files.where("path <> 'top.py'"))
+    assert whole(files) != whole(files.withColumn("text", F.when(F.col("path") == "top.py", " ").otherwise(F.col("text"))))
+    rows, totals = detectors.folder_tree(files, "path", "size")
+    assert [tuple(r) for r in rows.collect()] == [("src", 50, 1225, False), ("src/tests", 50, 1225, True)] and tuple(totals.first()) == (51, 1232)
+    assert tuple(detectors.folder_tree(files.limit(0), "path", "size")[1].first()) == (0, 0)
+
+
+def test_measures_of_owners_and_their_metadata(spark):
+    owners = spark.createDataFrame([("f", "m"), ("g", None), ("h", "gone")], "node string, owner string")
+    profile = spark.createDataFrame([("m", 3, None)], "node string, fan_in int, depth int")
+    assert {tuple(r) for r in atlas.inherited(owners, profile).collect()} == {("f", 3, 0), ("g", 0, 0), ("h", 0, 0)}
+    rows = spark.createDataFrame([("a", "local.branch_count", 1.0), ("a", "cognitive_scope.abstraction_boundaries", 2.0), ("a", "cognitive_scope.other", 2.0)], "node string, metric string, value double")
+    said = spark.createDataFrame([("local.branch_count", "Branches.", "Static.")], "metric string, definition string, limitations string")
+    got = {r.metric: tuple(r)[3:] for r in atlas.described(rows, said).collect()}
+    assert got["local.branch_count"] == ("measurement", "lexical_node", "Branches.", "Static.")
+    assert got["cognitive_scope.abstraction_boundaries"][:2] == ("structural_proxy", "bounded_resolved_call_chain")
+    assert got["cognitive_scope.other"] == ("structural_proxy", "reverse_static_impact_neighbourhood", "Static value of cognitive scope / other.", "")
+
+
+def test_first_and_empty_reports(spark):
+    from lattica.operators import report
+
+    reviews = spark.createDataFrame([("r", "Shop", 1, None, False, ["x"]), ("s", "Mill", 4, 3, True, [])], "repository string, name string, sequence int, previous int, waiting boolean, sources array<string>")
+    findings = spark.createDataFrame([("r", "b", "held", "s", ["no types"]), ("r", "A", "held", "t", ["no types"])], "repository string, finding string, verdict string, summary string, limits array<string>")
+    moves = spark.createDataFrame([("r", "new", "b", None), ("s", "addressed", "c", None)], "repository string, state string, finding string, causes string")
+    questions = spark.createDataFrame([("s", "Why?", "intent")], "repository string, question string, facet string")
+    answers = spark.createDataFrame([("r", "Who?", None, "user")], "repository string, question string, value string, actor string")
+    got = {r.repository: r.report for r in report.markdown_report(report.review_sections(reviews, findings, moves, questions, answers)).collect()}
+    assert "2 candidates judged: 0 material, 2 held, 0 cleared.\n" in got["r"] and "## Held (2)\n\n- Waits on what the sources cannot tell.\n- A: t\n- b: s\n" in got["r"] and "new: b" not in got["r"]
+    assert "- held: no types\n" in got["r"] and "Who?: skipped (user)" in got["r"] and "question" not in got["r"]
+    assert "No candidates were found" in got["s"] and "- addressed: c\n" in got["s"] and "## Open questions\n\n- Why? (intent)" in got["s"] and "## What could not be seen\n\nNone." in got["s"]
