@@ -15,20 +15,33 @@ def _sets(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(held, [*group, "feature"]).groupBy(*group, "item").agg(F.array_sort(F.collect_list(F.struct("held", "feature"))).alias("members"))
 
 
-def candidates(sets: DataFrame, group: list[str], need: Column) -> DataFrame:
+def _keyed(sets: DataFrame, group: list[str], upto: Column, together: int) -> DataFrame:
+    """(group..., item, size, need, key, last): every ``together`` of a set's first ``upto`` members, and the place of the last of them."""
+    head = sets.withColumn("head", F.transform(F.slice("members", 1, F.greatest(upto, F.lit(0))), lambda m: m["feature"]))
+    one = "transform(sequence(0, size(head) - 1), i -> struct(array(head[i]) as key, i as last))"
+    two = "flatten(transform(sequence(0, size(head) - 2), i -> transform(sequence(i + 1, size(head) - 1), k -> struct(array(head[i], head[k]) as key, k as last))))"
+    rows = head.where(F.size("head") >= together).select(*group, "item", "size", "need", F.explode(F.expr(one if together == 1 else two)).alias("k"))
+    return rows.select(*group, "item", "size", "need", "k.key", "k.last")
+
+
+def candidates(sets: DataFrame, group: list[str], need: Column, least: int) -> DataFrame:
     """(group..., x, y): pairs of sets (x the smaller, of equal ones the lesser) that may share ``need`` members of x.
 
-    In the order of ``members``, so many shared ones can't all lie in x's last ``need`` - 1, so x
-    meets others on its first size - need + 1 only: its rarest. A feature that many sets hold is
-    among those only of sets that hold little else. From the places of the first shared member, what
-    may still follow in both bounds what is shared.
+    ``need`` is ``least`` at least. Of what two sets share, the first two in the order of members have
+    need - 2 more behind them in both, so they lie in x's first size - need + 2 and in y's first size -
+    least + 2, the rarest of each: sets meet on two of these at once. A feature that many sets hold is
+    among them only of sets that hold little else, and a pair of such features is rarer than
+    either. From the places of the two, what may still follow bounds what is shared.
     """
+    together = min(2, least)
     sized = sets.withColumn("size", F.size("members")).withColumn("need", need).where(F.col("size") >= F.col("need"))
-    at = sized.select(*group, "item", "size", "need", F.posexplode("members").alias("place", "member")).withColumn("feature", F.col("member.feature")).drop("member")
-    x = at.where(F.col("place") <= F.col("size") - F.col("need")).select(*group, "feature", F.col("item").alias("x"), F.col("size").alias("nx"), "need", F.col("place").alias("px"))
-    y = at.select(*group, "feature", F.col("item").alias("y"), F.col("size").alias("ny"), F.col("place").alias("py"))
-    met = x.join(y, [*group, "feature"]).where("ny > nx or ny = nx and y > x")
-    return met.where(F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= F.col("need")).select(*group, "x", "y").distinct()
+    x = _keyed(sized, group, F.col("size") - F.col("need") + together, together)
+    x = x.select(*group, "key", F.col("item").alias("x"), F.col("size").alias("nx"), "need", F.col("last").alias("px"))
+    y = _keyed(sized, group, F.col("size") - least + together, together)
+    y = y.select(*group, "key", F.col("item").alias("y"), F.col("size").alias("ny"), F.col("last").alias("py"))
+    met = x.join(y, [*group, "key"]).where("ny > nx or ny = nx and y > x")
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1 + together
+    return met.where(left >= F.col("need")).select(*group, "x", "y").distinct()
 
 
 def overlap_pairs(rows: DataFrame, least: int, share: float, group: list[str] | None = None) -> DataFrame:
@@ -40,7 +53,7 @@ def overlap_pairs(rows: DataFrame, least: int, share: float, group: list[str] |
     group = group or []
     sets = table(_sets(rows, group), "sets")
     need = F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("size") - F.lit(1e-9)).cast("int"))
-    pairs = table(candidates(sets, group, need), "pairs")
+    pairs = table(candidates(sets, group, need, least), "pairs")
     features = F.transform("members", lambda m: m["feature"])
     own = [sets.select(*group, F.col("item").alias(k), features.alias(f"{k}_set")) for k in ("x", "y")]
     out = pairs.join(own[0], [*group, "x"]).join(own[1], [*group, "y"]).withColumn("shared", F.array_intersect("x_set", "y_set"))

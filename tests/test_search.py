@@ -44,7 +44,7 @@ def test_hot_features_make_no_pairs(spark):
     rows = spark.range(n).select(F.col("id").alias("item"), F.explode(F.array(F.lit(-1), F.lit(-2), F.col("id") * 2 + 100, F.col("id") * 2 + 101, F.floor(F.col("id") / 2) + 10_000)).alias("feature"))
     sets = table(overlap._sets(rows, []), "sets")
     need = F.greatest(F.lit(3), F.ceil(F.lit(0.6) * F.col("size")).cast("int"))
-    assert overlap.candidates(sets, [], need).count() <= n
+    assert overlap.candidates(sets, [], need, 3).count() <= n
     assert overlap.overlap_pairs(rows, 3, 0.6).count() == n // 2
 
 
