@@ -84,9 +84,11 @@ def write(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4) -> N
 
     Rows go to a shard's files by a hash of key and text and a salt of the scan, so equal keys don't meet in one.
     """
+    docs = docs.drop("shard")
     salt = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(files))
-    rows = with_shards(docs.drop("shard"), "doc_id", shards, grown="_grown").drop("_grown").withColumn("_file", salt)
-    rows.repartition(shards * files, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), salt.alias("file"))
+    rows = with_shards(rows, "key", shards).repartition(shards * files, "shard", "file")
+    rows.select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
