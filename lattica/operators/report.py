@@ -70,12 +70,14 @@ def excerpts(spans: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_results(rows: DataFrame, path: str, kind: str) -> None:
-    """Result rows as csv (with a header) or json files; nested columns as JSON text in csv."""
+    """Result rows as csv (with a header), json or yaml files; nested columns as JSON text in csv, an entry of a list a line in yaml."""
     if kind == "csv":
         rows = rows.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in rows.schema])
         rows.write.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
         rows.write.option("ignoreNullFields", False).json(path)
+    elif kind == "yaml":  # flow style: JSON is YAML
+        rows.select(F.concat(F.lit("- "), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})).alias("value")).write.text(path)
     else:
         raise ValueError(kind)
 

@@ -18,20 +18,25 @@ def conformance(wanted: DataFrame, offered: DataFrame, known: DataFrame) -> Data
 
     wanted: interface, operation, is_async, arity, annotations (array, "" where none; the last is
     the return's). offered: class, operation and the same columns. known: class, interface that
-    already are implementations. Relational division: classes meet interfaces on operation names
-    only, and as many as the interface has must match. Two built-in annotations that differ
-    contradict; with a single operation, two annotations must agree.
+    already are implementations. A class must have all operations, so it meets an interface on the one
+    of these that fewest classes offer in that shape, and what met is held against the others: a name
+    that all classes share brings none together unless an interface has nothing else. Two
+    built-in annotations that differ contradict; with a single operation, two annotations must agree.
     """
+    shape = ["operation", "is_async", "arity"]
     wanted = wanted.dropDuplicates(["interface", "operation"])
-    total = wanted.groupBy("interface").agg(F.count("*").alias("operations"))
-    o = offered.dropDuplicates(["class", "operation"]).select("class", "operation", *[F.col(c).alias(f"own_{c}") for c in ("is_async", "arity", "annotations")])
+    offered = offered.dropDuplicates(["class", "operation"]).select("class", *shape, F.col("annotations").alias("own_annotations"))
+    often = wanted.select("interface", *shape).join(offered.groupBy(*shape).agg(F.count("*").alias("n")), shape, "left")
+    total = often.groupBy("interface").agg(F.count("*").alias("operations"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), *shape)).alias("rare"))
+    rare = total.where("rare.n > 0").select("interface", "operations", *[F.col(f"rare.{c}").alias(c) for c in shape])
+    met = rare.join(offered.select("class", *shape), shape).select("interface", "operations", "class")
+    met = met.join(known.select("class", "interface"), ["class", "interface"], "left_anti")
     both = F.arrays_zip(F.col("annotations").alias("x"), F.col("own_annotations").alias("y"))
     against = F.exists(both, lambda p: (p["x"] != "") & (p["y"] != "") & (p["x"] != p["y"]) & p["x"].isin(BUILTINS) & p["y"].isin(BUILTINS))
     agree = F.size(F.filter(both, lambda p: (p["x"] != "") & (p["x"] == p["y"])))
-    met = wanted.join(o, "operation").where((F.col("is_async") == F.col("own_is_async")) & (F.col("arity") == F.col("own_arity")) & ~against)
-    found = met.groupBy("class", "interface").agg(F.count("*").alias("matched"), F.sum(agree).alias("agreements")).join(total, "interface")
-    found = found.where("matched = operations and (operations >= 2 or agreements >= 2)")
-    return found.join(known.select("class", "interface"), ["class", "interface"], "left_anti").select("class", "interface", "operations", "agreements")
+    all_ = met.join(wanted.select("interface", *shape, "annotations"), "interface").join(offered, ["class", *shape]).where(~against)
+    found = all_.groupBy("class", "interface", "operations").agg(F.count("*").alias("matched"), F.sum(agree).alias("agreements"))
+    return found.where("matched = operations and (operations >= 2 or agreements >= 2)").select("class", "interface", "operations", "agreements")
 
 
 def conformance_questions(interfaces: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:

@@ -306,15 +306,17 @@ def _(t: Tables) -> DataFrame:
     return report.excerpts(spans.unionByName(outside), files)
 
 
-@query("result_files", "select c_mktsegment as variant, count(*) as cases, round(avg(c_acctbal), 3) as score, 'csv' as kind from customer group by 1 union all select c_mktsegment, count(*), round(avg(c_acctbal), 3), 'json' from customer group by 1")
+@query("result_files", "select c_mktsegment as variant, count(*) as cases, round(avg(c_acctbal), 3) as score, 'csv' as kind from customer group by 1 union all select c_mktsegment, count(*), round(avg(c_acctbal), 3), 'json' from customer group by 1 union all select c_mktsegment, count(*), round(avg(c_acctbal), 3), 'yaml' from customer group by 1")
 def _(t: Tables) -> DataFrame:
     rows = t.customer.groupBy(F.col("c_mktsegment").alias("variant")).agg(F.count("*").alias("cases"), F.round(F.avg("c_acctbal"), 3).alias("score"))
     at = f"{session_dir(t.spark)}/lattica-results-{uuid.uuid4().hex}"
-    for kind in ("csv", "json"):
+    for kind in ("csv", "json", "yaml"):
         report.write_results(rows, f"{at}/{kind}", kind)
     schema = "variant string, cases long, score double"
     csv = t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{at}/csv").withColumn("kind", F.lit("csv"))
-    return csv.unionByName(t.spark.read.schema(schema).json(f"{at}/json").withColumn("kind", F.lit("json")))
+    entry = F.from_json(F.expr("substring(value, 3)"), schema).alias("r")
+    yaml = t.spark.read.text(f"{at}/yaml").select(entry).select("r.*", F.lit("yaml").alias("kind"))
+    return csv.unionByName(t.spark.read.schema(schema).json(f"{at}/json").withColumn("kind", F.lit("json"))).unionByName(yaml)
 
 
 @query("atlas_store", with_("nodes", "follows", "deps", body="select 'nodes' as part, count(*) as n, min(node) as least from nodes union all select 'edges', count(*), min(src) from deps union all select 'versions', 2, 'v1'"))

@@ -331,3 +331,25 @@ def test_first_and_empty_reports(spark):
     assert "2 candidates judged: 0 material, 2 held, 0 cleared.\n" in got["r"] and "## Held (2)\n\n- Waits on what the sources cannot tell.\n- A: t\n- b: s\n" in got["r"] and "new: b" not in got["r"]
     assert "- held: no types\n" in got["r"] and "Who?: skipped (user)" in got["r"] and "question" not in got["r"]
     assert "No candidates were found" in got["s"] and "- addressed: c\n" in got["s"] and "## Open questions\n\n- Why? (intent)" in got["s"] and "## What could not be seen\n\nNone." in got["s"]
+
+
+def test_yaml_results_are_yaml(spark, tmp_path):
+    from lattica.operators import report
+
+    yaml = pytest.importorskip("yaml")
+    rows = spark.createDataFrame([(1, "a: b\n#c", ["x"]), (2, None, [])], "id int, note string, tags array<string>")
+    report.write_results(rows.coalesce(1), f"file://{tmp_path}/y", "yaml")
+    (part,) = (tmp_path / "y").glob("part-*")
+    assert yaml.safe_load(part.read_text()) == [{"id": 1, "note": "a: b\n#c", "tags": ["x"]}, {"id": 2, "note": None, "tags": []}]
+    with pytest.raises(ValueError):
+        report.write_results(rows, f"file://{tmp_path}/z", "xml")
+
+
+def test_conformance_meets_on_the_rarest_operation(spark):
+    from lattica.operators import structure
+
+    w = [("I", "close", False, 0, [""]), ("I", "rare", False, 1, ["int", ""]), ("J", "close", False, 0, [""]), ("K", "gone", False, 0, [""]), ("L", "rare", False, 1, ["int", "str"])]
+    o = [(f"c{k}", "close", False, 0, [""]) for k in range(30)] + [("c1", "rare", False, 1, ["int", "str"]), ("c2", "rare", False, 1, ["str", ""]), ("c3", "rare", True, 1, ["int", ""]), ("d", "rare", False, 1, ["int", "str"])]
+    cols = "operation string, is_async boolean, arity int, annotations array<string>"
+    got = structure.conformance(spark.createDataFrame(w, f"interface string, {cols}"), spark.createDataFrame(o, f"class string, {cols}"), spark.createDataFrame([("d", "L")], "class string, interface string"))
+    assert {tuple(r) for r in got.collect()} == {("c1", "I", 2, 1), ("c1", "L", 1, 2)}
