@@ -246,7 +246,13 @@ def _(t: Tables) -> DataFrame:
     return atlas.signals(t.events.select("event_id", "event_type"), "event_type", ["CLICK", "View"]).orderBy("event_id").limit(40)
 
 
-@query("review_context")
+@query("review_context", with_("follows", "deps", body=""", touch as (select anchor, node, min(edge_id) as edge_id from (select src as anchor, dst as node, src || '>' || dst as edge_id from deps union all select dst, src, src || '>' || dst from deps) group by anchor, node),
+ anchors as (select unnest(['s:2', 's:1', 's:5', 'none']) as anchor, unnest([1, 2, 3, 4]) as k),
+ lists as (select k, list({'node': node, 'edge_id': edge_id} order by edge_id) as l from anchors join touch using (anchor) group by k),
+ greedy as (select 0 as k, ['s:2', 's:1', 's:5', 'none'] as inside, [{'node': '', 'edge_id': ''}][2:] as shown union all
+  select g.k + 1, list_concat(inside, list_transform(list_filter(coalesce(l, []), lambda x: not list_contains(inside, x.node))[1:3], lambda x: x.node)),
+   list_concat(list_filter(coalesce(l, []), lambda x: list_contains(inside, x.node)), list_filter(coalesce(l, []), lambda x: not list_contains(inside, x.node))[1:3]) from greedy g left join lists on lists.k = g.k + 1 where g.k < 4),
+ rows_ as (select k, unnest(shown) as x from greedy) select anchor, x.node as node, x.edge_id as edge_id from rows_ join anchors using (k)""", recursive=True))
 def _(t: Tables) -> DataFrame:
     e = t.deps().withColumn("edge_id", F.concat_ws(">", "src", "dst"))
     return atlas.review_context(e, ["s:2", "s:1", "s:2", "s:5", "none"], 3)

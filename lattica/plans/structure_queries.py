@@ -126,7 +126,25 @@ def _(t: Tables) -> DataFrame:
     return detectors.scattered_concepts(owners.withColumn("package", F.col("abstraction")), words, mentions, 3)
 
 
-@query("centre_clusters")
+def _centres(most: int = 6) -> str:
+    """SQL that seeds and assigns one centre after the other, ``most`` steps written out."""
+    parts = [
+        "both_ as (select src, dst from calls union select dst, src from calls)",
+        "w as (select node as a, node as b, 0 as d from modules union select w.a, e.dst, d + 1 from w join both_ e on e.src = w.b where d < 12)",
+        "dist as (select a, b, min(d) as d from w group by a, b)",
+        f"k as (select least(greatest(cast(round_even(sqrt(count(*) / 4.0), 0) as int), 1), {most}) as k from modules)",
+        "seed1 as (select m.node as seed from modules m left join (select src, count(*) as n from both_ group by src) g on g.src = m.node order by coalesce(n, 0) desc, m.node limit 1)",
+        "near1 as (select m.node, seed, coalesce(d, 1000) as distance from modules m cross join seed1 left join dist on a = seed and b = m.node)",
+    ]
+    for i in range(2, most + 1):
+        parts += [
+            f"seed{i} as (select node as seed from near{i - 1} where {i} <= (select k from k) and (select max(distance) from near{i - 1}) > 0 order by distance desc, node limit 1)",
+            f"near{i} as (select n.node, case when coalesce(d, 1000) < n.distance then s.seed else n.seed end as seed, case when s.seed is null then n.distance else least(n.distance, coalesce(d, 1000)) end as distance from near{i - 1} n left join seed{i} s on true left join dist on a = s.seed and b = n.node)",
+        ]
+    return with_("nodes", "modules", "follows", "calls", *parts, body=f"select node, seed, distance from near{most}", recursive=True)
+
+
+@query("centre_clusters", _centres())
 def _(t: Tables) -> DataFrame:
     return structure.centre_clusters(table(t.calls(), "calls"), t.modules())
 
