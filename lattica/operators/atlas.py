@@ -106,7 +106,7 @@ def resolve_metric(name: str, groups: dict[str, list[str]]) -> str:
 
 
 def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, targets: DataFrame, links: DataFrame) -> DataFrame:
-    """Measures per module (node, is_test); 0 where none.
+    """Measures per module (node, is_test), 0 where none, and the component of a module on a cycle, named by its least member.
 
     ``deps`` and ``calls`` are edges between different modules, ``targets`` (node, target) the public
     symbols of a module that some module calls, ``links`` edges (src, dst, edge_type) of the kinds
@@ -131,7 +131,7 @@ def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, target
     for part in (
         count(deps, "dst", "fan_in"),
         count(deps, "src", "fan_out"),
-        reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size"),
+        reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size", "component"),
         graph.depths(deps, modules.select("node"), parts).select("node", F.col("depth").cast("long").alias("depth")),
         impact,
         calls.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers")),

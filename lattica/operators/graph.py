@@ -113,7 +113,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def reach_counts(edges: DataFrame, parts: Condensed | None = None) -> DataFrame:
-    """(node, forward, reverse, scc_size): how many nodes each reaches and is reached by, itself left out."""
+    """(node, forward, reverse, scc_size, component): how many nodes each reaches and is reached by, itself left out; size 0 and no component without a cycle."""
     member, between = parts or condense(edges)
     words = table(_words(_placed(member.select("node", "component")), "component"), "words")
     sides = (("reverse", between), ("forward", reverse(between)))
@@ -121,7 +121,8 @@ def reach_counts(edges: DataFrame, parts: Condensed | None = None) -> DataFrame:
     for name, along in sides:
         n = spread_bits(along, words).groupBy(F.col("node").alias("component")).agg((F.sum(F.bit_count("bits")) - 1).alias(name))
         out = out.join(n, "component")
-    return out.select("node", "forward", "reverse", F.when(F.col("size") > 1, F.col("size")).otherwise(0).alias("scc_size"))
+    on_cycle = F.col("size") > 1
+    return out.select("node", "forward", "reverse", F.when(on_cycle, F.col("size")).otherwise(0).alias("scc_size"), F.when(on_cycle, F.col("component")).alias("component"))
 
 
 def reach_sums(edges: DataFrame, values: DataFrame, parts: Condensed | None = None) -> DataFrame:

@@ -156,14 +156,14 @@ PROFILE = f"""{DEPTH}, both_ as (select src, dst from deps union select src, dst
  fi as (select dst as node, count(*) as n from deps group by dst), fo as (select src as node, count(*) as n from deps group by src),
  fr as (select start as node, count(*) as n from reach where start <> node group by start), rr as (select node, count(*) as n from reach where start <> node group by node),
  ne as (select node, count(distinct other) as n from (select start as node, node as other from reach where start <> node union all select node, start from reach where start <> node) group by node),
- sc as (select a.start as node, count(*) as n from reach a join reach b on b.start = a.node and b.node = a.start group by a.start),
+ sc as (select a.start as node, count(*) as n, min(a.node) as component from reach a join reach b on b.start = a.node and b.node = a.start group by a.start),
  de as (select node, max(depth) as n from walk group by node union all select node, (select count(*) from modules) from endless),
  hit as (select node, start as who from reach2 where start <> node),
  af as (select node, count(*) as n, count(*) filter (cast(substr(who, 3) as bigint) % 5 = 0) as tests from hit group by node),
  cr as (select h.node, count(distinct target) as n from (select node, who from hit union select node, node from modules) h join targets t on t.node = h.who group by h.node),
  ca as (select dst as node, count(distinct src) as n from calls group by dst),
  li as (select dst as node, count(distinct src) filter (edge_type = 'IMPLEMENTS') as implementors, count(distinct src) filter (edge_type = 'TESTS') as tests, count(distinct src) filter (edge_type = 'CONFIGURES') as configurations from links group by dst)
- select m.node, coalesce(fi.n, 0) as fan_in, coalesce(fo.n, 0) as fan_out, coalesce(fr.n, 0) as forward_reach, coalesce(rr.n, 0) as reverse_reach, coalesce(ne.n, 0) as neighbourhood, coalesce(sc.n, 0) as scc_size, coalesce(de.n, 0) as depth,
+ select m.node, coalesce(fi.n, 0) as fan_in, coalesce(fo.n, 0) as fan_out, coalesce(fr.n, 0) as forward_reach, coalesce(rr.n, 0) as reverse_reach, coalesce(ne.n, 0) as neighbourhood, coalesce(sc.n, 0) as scc_size, sc.component as component, coalesce(de.n, 0) as depth,
  coalesce(af.n, 0) as affected, coalesce(af.tests, 0) as affected_tests, coalesce(cr.n, 0) as crossed_interfaces, coalesce(ca.n, 0) as callers, coalesce(li.implementors, 0) as implementors, coalesce(li.tests, 0) as tests, coalesce(li.configurations, 0) as configurations
  from modules m left join fi using (node) left join fo using (node) left join fr using (node) left join rr using (node) left join ne using (node) left join sc using (node) left join de using (node) left join af using (node) left join cr using (node) left join ca using (node) left join li using (node)"""
 

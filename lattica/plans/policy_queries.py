@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import table_functions
+from lattica.functions.storage import session_dir
 from lattica.operators import report
 from lattica.plans.fixtures import Tables
 from lattica.plans.record_queries import _sources
 from lattica.plans.registry import registry
-from lattica.sources import policy_text
+from lattica.sources import policy_text, python_code, tree
 
 QUERIES, ORACLES, query = registry()
 
@@ -80,6 +84,33 @@ def _(t: Tables) -> DataFrame:
     return rows.select("repository", *[F.array_join(x, by).alias(x) for x, by in (("participants", "|"), ("bearing", ","), ("supporting", ","))], "error")
 
 
+def _written(files: DataFrame, root: str) -> None:
+    """Files (path, source) in a folder that driver and executors share, one task per part of the rows."""
+
+    def write(rows) -> None:
+        for r in rows:
+            at = os.path.join(root, r.path)
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(at, "w", encoding="utf-8") as f:
+                f.write(r.source)
+
+    files.foreachPartition(write)
+
+
+@query("tree_symbols", """with k as (select s_suppkey as k from supplier), s as (select 'pkg/mod' || k || '.py' as path, 'FUNCTION' as node_type, 3 as symbols from k union all select 'pkg/port' || k || '.py', 'INTERFACE', 1 from k union all select 'pkg/port' || k || '.py', 'METHOD', 2 from k
+ union all select 'pkg/disk' || k || '.py', 'CLASS', 3 from k union all select 'pkg/disk' || k || '.py', 'METHOD', 3 from k) select * from s where path < 'pkg/port5'""")
+def _(t: Tables) -> DataFrame:
+    base = session_dir(t.spark)
+    if not base.startswith("file:") and "://" in base:
+        raise ValueError("a tree is read from a folder that all machines mount")
+    root = os.path.join("/" + base.removeprefix("file:").lstrip("/"), f"tree-{uuid.uuid4().hex}")
+    _written(_sources(t), root)
+    tree.register(t.spark)
+    files = t.spark.read.format("source_tree").option("exclude", "tests").load(root).where(F.col("path").startswith("pkg/") & (F.col("path") < "pkg/port5"))
+    symbols = python_code.parse(files).where("kind = 'symbol'")
+    return symbols.groupBy("path", "node_type").agg(F.count("*").cast("int").alias("symbols"))
+
+
 REPORT = """with o as (select o_custkey as r, 'f' || o_orderkey as finding, case o_orderstatus when 'F' then 'material' when 'O' then 'held' else 'cleared' end as verdict, o_orderpriority as p, o_orderkey, cast(floor(o_totalprice) as bigint) as price, c_name, c_mktsegment, c_nationkey
    from orders join customer on c_custkey = o_custkey),
  v as (select r, any_value(c_name) as name, any_value(c_mktsegment) as segment, any_value(c_nationkey) as nation, count(*) as n, count(*) filter (verdict = 'material') as material, count(*) filter (verdict = 'held') as held, count(*) filter (verdict = 'cleared') as cleared,

@@ -200,7 +200,9 @@ def test_metric_profile_of_small_graph(spark):
     assert got["t"] == dict.fromkeys(names, 0)
     assert got["d"] == dict.fromkeys(names, 0) | {"crossed_interfaces": 1}
     none = atlas.metric_profile(modules.limit(0), deps.limit(0), calls.limit(0), targets.limit(0), links.limit(0))
-    assert none.columns == ["node", *(c for c in none.columns if c in names)] and none.count() == 0
+    assert none.columns == ["node", *(c for c in none.columns if c in [*names, "component"])] and none.count() == 0
+    rows = atlas.metric_profile(modules, deps, calls, targets, links).select("node", "component").collect()
+    assert {r.node: r.component for r in rows} == {"a": "a", "b": "a", "c": None, "t": None, "d": None}
 
 
 def test_representative_paths_against_search(spark):
