@@ -110,6 +110,19 @@ def build(docs: DataFrame) -> Index:
     return Index(table(rows.mapInArrow(partial(_index, documents=documents, terms=terms), INDEX), "index"), documents, terms)
 
 
+def save(index: Index, path: str) -> None:
+    """Writes an index to a folder, its totals last: a folder without them is none."""
+    index.blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    spark = index.blocks.sparkSession
+    spark.createDataFrame([(index.documents, index.terms)], "documents long, terms long").write.parquet(f"{path}/totals")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index of a folder, for searches of other sessions."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    return Index(spark.read.schema(INDEX).parquet(f"{path}/blocks"), totals[0], totals[1])
+
+
 class Items:
     """Items and their terms: sorted term hashes, and per term the items that hold it."""
 

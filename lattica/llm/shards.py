@@ -79,6 +79,12 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def balance(placed: DataFrame) -> DataFrame:
+    """(shard, rows, bytes, leaving) of each shard that has rows, from ``place``: ``leaving`` go to the new one where one is added."""
+    leaves = F.count_if(F.col("grown_shard") != F.col("shard"))
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), leaves.alias("leaving"))
+
+
 def write(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4) -> None:
     """Whole rows in folders ``shard=0``, ``shard=1``... of Parquet, each shard in up to ``files`` files.
 

@@ -106,6 +106,16 @@ def test_written_shards_hold_every_row(spark, odd, tmp_path):
     assert all(r.shard == plain_jump(r.doc_id or 0, 5) for r in back.collect())
 
 
+def test_growing_moves_no_more_than_needed(spark):
+    """From n to n + 1 shards about 1 in n + 1 rows moves, all of them into the new one; shards stay even."""
+    docs = spark.range(48_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))
+    rows = shards.balance(shards.place(docs, 24)).collect()
+    assert len(rows) == 24 and sum(r["rows"] for r in rows) == 48_000 and all(r.bytes == 10 * r["rows"] for r in rows)
+    assert all(1_700 < r["rows"] < 2_300 for r in rows)
+    assert 0.9 * 48_000 / 25 < sum(r.leaving for r in rows) < 1.1 * 48_000 / 25
+    assert shards.balance(shards.place(docs.limit(0))).count() == 0
+
+
 # -- ranked search
 
 
@@ -151,6 +161,40 @@ def test_search_against_every_document(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == plain_search(docs, items)
 
 
+def test_an_index_is_kept(spark, odd, tmp_path):
+    items = spark.createDataFrame([(1, "one two short")], "item_id long, text string")
+    index = lexical.build(odd)
+    lexical.save(index, f"file://{tmp_path}/index")
+    again = lexical.load(spark, f"file://{tmp_path}/index")
+    assert (again.documents, again.terms) == (index.documents, index.terms)
+    for k in (1, 3, 50):
+        assert sorted(map(tuple, lexical.search(again, items, k).collect())) == sorted(map(tuple, lexical.search(index, items, k).collect()))
+
+
+def test_few_documents_reach_the_bar(spark, monkeypatch):
+    """Bounds leave most documents unscored, and tasks pass on no more than k rows an item."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(20, 200)))) for k in range(3000)]
+    index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    items = lexical.Items([(1, w) for w in words[:12]])
+    cells, scored = 0, 0
+    df = np.zeros(len(items.terms), np.int64)
+    rows = index.blocks.toArrow().to_batches()
+    for batch in rows:
+        for out in lexical._df(iter([batch]), items):
+            df[out.column(0).to_numpy()] += out.column(1).to_numpy()
+    items.weigh(df, index.documents)
+    bars = sorted((b for batch in lexical._lower(iter(rows), items, 10) for b in batch.column(1).to_pylist()), reverse=True)[:10]
+    for batch in rows:
+        for r, n in enumerate(lexical._sizes(batch)):
+            upper, lower = lexical._Block(batch, r, items, n).bounds(lexical._array(batch, "impacts", r, np.uint8))
+            exact = lexical._Block(batch, r, items, n).scores(upper >= 0, lexical._array(batch, "tfs", r, np.int32), lexical.norms(lexical._array(batch, "lengths", r, np.int64), index.documents, index.terms))
+            assert (lower <= exact).all() and (exact <= upper).all()
+            cells, scored = cells + upper.size, scored + int((upper >= bars[-1]).sum())
+    assert cells == 3000 and 10 <= scored <= 60
+
+
 def test_bounds_enclose_scores(spark):
     rng = np.random.default_rng(2)
     tf, n = rng.integers(1, 200, 5000), rng.integers(1, 100_000, 5000)
@@ -225,3 +269,13 @@ def test_least_keys(spark):
     df = spark.createDataFrame(rows, "a long, b long, c long")
     for k in (0, 1, 37, 100, 199, 200):
         assert sorted(map(tuple, df.where(resample.least_keys(df, ["a", "b", "c"], k)).collect())) == sorted(rows)[:k]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_drawn_documents_are_nearer_to_the_target(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    target = docs.where("lang = 'de'").select("text").limit(60)
+    langs = docs.select(F.col("doc_id").alias("i"), "lang")
+    got = resample.resample(docs, target, (10, 100)).join(langs, F.col("doc_id") == F.col("i"))
+    share = {r.drawn: r.de for r in got.groupBy(F.col("rank").isNotNull().alias("drawn")).agg(F.avg((F.col("lang") == "de").cast("double")).alias("de")).collect()}
+    assert share[True] > 0.8 > 0.4 > share[False]
