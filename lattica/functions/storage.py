@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_ONE = threading.Lock()  # operators may run side by side
 _SESSION = f"lattica-{uuid.uuid4().hex}"
 
 
@@ -19,8 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="lattica-"))
+        with _ONE:
+            if not _OWN:
+                _OWN.append("file://" + tempfile.mkdtemp(prefix="lattica-"))
         at = _OWN[0]
     return at.rstrip("/")
 
@@ -46,15 +49,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per context, so that tasks import it anywhere."""
     sc = spark.sparkContext
-    if getattr(sc, "_lattica_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(), "lattica.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("lattica", os.path.relpath(full, top)))
-    sc.addPyFile(out)
-    sc._lattica_shipped = True
+    with _ONE:
+        if getattr(sc, "_lattica_shipped", False):
+            return
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        out = os.path.join(tempfile.mkdtemp(), "lattica.zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for folder, _, names in os.walk(top):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("lattica", os.path.relpath(full, top)))
+        sc.addPyFile(out)
+        sc._lattica_shipped = True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,15 +126,21 @@ def metric_profile(modules: DataFrame, deps: DataFrame, calls: DataFrame, target
     test = F.coalesce(F.col("is_test"), F.lit(False)).cast("int")
     owned = modules.join(count(targets.select("node", "target").distinct(), "node", "crossed_interfaces"), "node", "left")
     owned = owned.select("node", F.lit(1).alias("affected"), test.alias("affected_tests"), "crossed_interfaces")
-    impact = graph.reach_sums(graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))), owned)
-    parts = graph.condense(deps)
-    reach = graph.reach_counts(deps, parts)
+
+    def of_deps() -> tuple[DataFrame, DataFrame]:
+        parts = graph.condense(deps)
+        return graph.reach_counts(deps, parts), graph.depths(deps, modules.select("node"), parts)
+
+    with ThreadPoolExecutor(2) as both_graphs:  # rounds of the two graphs leave each other room
+        first = both_graphs.submit(of_deps)
+        impact = both_graphs.submit(graph.reach_sums, graph.reverse(deps.select("src", "dst").unionByName(calls.select("src", "dst"))), owned).result()
+        reach, depth = first.result()
     out = modules.withColumn("_test", test).drop("is_test")
     for part in (
         count(deps, "dst", "fan_in"),
         count(deps, "src", "fan_out"),
         reach.select("node", F.col("forward").alias("forward_reach"), F.col("reverse").alias("reverse_reach"), "scc_size", "component"),
-        graph.depths(deps, modules.select("node"), parts).select("node", F.col("depth").cast("long").alias("depth")),
+        depth.select("node", F.col("depth").cast("long").alias("depth")),
         impact,
         calls.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers")),
         sources("IMPLEMENTS", "implementors"),
