@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lattica.functions.storage import table
 from lattica.operators import graph
 
 
@@ -138,3 +139,33 @@ def test_empty_graphs(spark):
     assert [tuple(r) for r in graph.depths(e, n).collect()] == [("a", 0)]
     loop = frame(spark, [("a", "a")])
     assert [tuple(r) for r in graph.components(loop, n).collect()] == [("a", "a")]
+
+
+def _shuffled_rings(spark, rings, size):
+    """Rings of nodes whose names say nothing of the ring."""
+    name = lambda r, k: f"m:{(k * rings + r) * 7919 % 100003}"
+    return spark.createDataFrame([(name(r, k), name(r, (k + 1) % size)) for r in range(rings) for k in range(size)], "src string, dst string")
+
+
+def test_representative_paths_write_words_and_one_path_a_start(spark, monkeypatch):
+    e, wrote = _shuffled_rings(spark, 20, 12), []
+
+    def counted(df, name):
+        out = table(df, name)
+        wrote.append((out.count(), "path" in out.columns))
+        return out
+
+    monkeypatch.setattr(graph, "table", counted)
+    got = {r["start"]: r["path"] for r in graph.representative_paths(e, e.selectExpr("src as start")).collect()}
+    to = {r["src"]: r["dst"] for r in e.collect()}
+    for start, path in got.items():
+        assert path[0] == start and len(path) == 12 and all(to[a] == b for a, b in zip(path, path[1:]))
+    assert len(got) == 240 and max(n for n, paths in wrote if paths) == 240
+
+
+def test_representative_paths_with_ties_and_ends(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "e"), ("c", "d"), ("d", "a"), ("e", "e"), ("c", "c"), ("x", "a")], "src string, dst string")
+    starts = spark.createDataFrame([(x,) for x in "aexz"], "start string")
+    got = {r["start"]: r["path"] for r in graph.representative_paths(e, starts).collect()}
+    assert got == {"a": ["a", "b", "e"], "e": ["e"], "x": ["x", "a", "b", "e"], "z": ["z"]}
+    assert {r["start"]: r["path"] for r in graph.representative_paths(e, starts, 2).collect()} == {"a": ["a", "b"], "e": ["e"], "x": ["x", "a"], "z": ["z"]}
