@@ -169,3 +169,12 @@ def test_representative_paths_with_ties_and_ends(spark):
     got = {r["start"]: r["path"] for r in graph.representative_paths(e, starts).collect()}
     assert got == {"a": ["a", "b", "e"], "e": ["e"], "x": ["x", "a", "b", "e"], "z": ["z"]}
     assert {r["start"]: r["path"] for r in graph.representative_paths(e, starts, 2).collect()} == {"a": ["a", "b"], "e": ["e"], "x": ["x", "a"], "z": ["z"]}
+
+
+def test_chain_crossings_hold_one_path_a_start(spark):
+    e = _shuffled_rings(spark, 10, 9)
+    owner = e.selectExpr("src as node", "cast(substr(src, 3) as int) % 2 as owner")
+    chains = graph.representative_paths(e, e.selectExpr("src as start"))
+    own = {r["node"]: r["owner"] for r in owner.collect()}
+    want = {r["start"]: sum(own[a] != own[b] for a, b in zip(r["path"], r["path"][1:])) for r in chains.collect()}
+    assert {r["start"]: r["crossings"] for r in graph.crossings(chains, owner).collect()} == want and len(want) == 90
