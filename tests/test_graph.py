@@ -147,6 +147,14 @@ def _shuffled_rings(spark, rings, size):
     return spark.createDataFrame([(name(r, k), name(r, (k + 1) % size)) for r in range(rings) for k in range(size)], "src string, dst string")
 
 
+def test_places_of_a_component_share_blocks(spark):
+    e = _shuffled_rings(spark, 40, 30)
+    place = graph._placed(e.selectExpr("src as node").distinct(), e, "node")
+    words = graph.spread_bits(e, graph._words(place, "node"))
+    assert words.count() < 36_000 // 5  # pairs
+    assert graph.closure(e).count() == 40 * 30 * 29
+
+
 def test_representative_paths_write_words_and_one_path_a_start(spark, monkeypatch):
     e, wrote = _shuffled_rings(spark, 20, 12), []
 
