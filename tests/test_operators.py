@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import name_tokens, slug, stable_id
-from lattica.operators import atlas, delta, detectors, graph, records, retrieval
+from lattica.operators import atlas, delta, detectors, graph, records, retrieval, structure
 from lattica.sources import python_code as code
 
 
@@ -355,3 +355,10 @@ def test_conformance_meets_on_the_rarest_operation(spark):
     cols = "operation string, is_async boolean, arity int, annotations array<string>"
     got = structure.conformance(spark.createDataFrame(w, f"interface string, {cols}"), spark.createDataFrame(o, f"class string, {cols}"), spark.createDataFrame([("d", "L")], "class string, interface string"))
     assert {tuple(r) for r in got.collect()} == {("c1", "I", 2, 1), ("c1", "L", 1, 2)}
+
+
+def test_cycle_signals_name_all_members(spark):
+    component = spark.createDataFrame([("b", "a"), ("a", "a"), ("c", "a"), ("d", "d")], "node string, component string")
+    e = spark.createDataFrame([("a", "b", "1"), ("b", "c", "2"), ("c", "a", "3"), ("c", "d", "0")], "src string, dst string, edge_id string")
+    got = {tuple(r) for r in detectors.cycle_signals(component, e).select("node", "component", "members", "size", "first_edge").collect()}
+    assert got == {("a", "a", "a,b,c", 3, "1"), ("b", "a", "a,b,c", 3, "2"), ("c", "a", "a,b,c", 3, "3")}
