@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lattica.functions.storage import ship
 
 ROW = "path string, module string, kind string, node_type string, qualified string, parent string, name string, line int, end_line int, is_public boolean, value string"
+TASKS = 4  # of the parser, a core
 CONFIG_STEMS = {"config", "settings", "configuration"}
 #: folders that hold no source, and endings of configuration files (fixed values)
 IGNORED = [".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages"]
@@ -114,8 +115,12 @@ def _tokens(tree: ast.AST) -> list[tuple[str, int]]:
     return sorted(found)
 
 
-def rows_of(path: str, source: str) -> list[tuple]:
-    """Tagged rows of one file; a file that doesn't parse gives its module and a signal."""
+def rows_of(path: str, source: str, kinds: frozenset[str] | None = None) -> list[tuple]:
+    """Tagged rows of one file, of all kinds or of those asked for; a file that doesn't parse gives its module and a signal."""
+
+    def asked(*some: str) -> bool:
+        return kinds is None or not kinds.isdisjoint(some)
+
     module = path.removesuffix(".py").replace("/", ".").removesuffix(".__init__")
     stem = module.rpartition(".")[2]
     test = stem.startswith("test_") or path.startswith("tests/") or "/tests/" in path
@@ -125,7 +130,8 @@ def rows_of(path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
-        return [*out, (path, module, "signal", None, module, None, "parse-error", 1, 1, None, None)]
+        out.append((path, module, "signal", None, module, None, "parse-error", 1, 1, None, None))
+        return [r for r in out if asked(r[2])]
     aliases: dict[str, str] = {}
 
     def add(kind: str, node: ast.AST, node_type: str | None, qualified: str | None, parent: str | None, name: str, value: str | None = None, public: bool | None = None) -> None:
@@ -170,7 +176,7 @@ def rows_of(path: str, source: str) -> list[tuple]:
                 name = f"{parent}.{s.name}"
                 node_type = "TEST_FUNCTION" if s.name.startswith("test") and test else "METHOD" if in_class else "FUNCTION"
                 add("symbol", s, node_type, name, parent, s.name, None if ast.get_docstring(s) is None else "documented", not s.name.startswith("_"))
-                if in_class:
+                if in_class and asked("operation"):
                     own = [*s.args.posonlyargs, *s.args.args][1:]
                     add("operation", s, None, name, parent, s.name, json.dumps({"async": isinstance(s, ast.AsyncFunctionDef), "arity": len(own) + len(s.args.kwonlyargs), "annotations": [*(_spelled(x.annotation) for x in [*own, *s.args.kwonlyargs]), _spelled(s.returns)]}), not s.name.startswith("_"))
                 used(s, name, parent if in_class else None)
@@ -188,6 +194,8 @@ def rows_of(path: str, source: str) -> list[tuple]:
 
     def used(node: ast.AST, name: str, owner: str | None) -> None:
         """Calls and loaded names of a body as they are written and with aliases put in, without those of definitions inside it."""
+        if not asked("call", "reference"):
+            return
         for c in _own(node):
             if isinstance(c, ast.Call) and (d := _dotted(c.func)):
                 add("call", c, None, name, owner, f"{owner}.{d[5:]}" if owner and d.startswith("self.") else resolved(d), d)
@@ -195,6 +203,8 @@ def rows_of(path: str, source: str) -> list[tuple]:
                 add("reference", c, None, name, owner, resolved(c.id), c.id)
 
     def measured(node: ast.AST, name: str) -> None:
+        if not asked("metric"):
+            return
         for k, v in (_measures(node) | {"lines": node.end_lineno - node.lineno + 1}).items():
             add("metric", node, None, name, None, k, str(v))
 
@@ -203,25 +213,35 @@ def rows_of(path: str, source: str) -> list[tuple]:
         full = aliases.get(head, head)
         return f"{full}.{tail}" if tail else full
 
-    visit(tree.body, module, False)
-    used(tree, module, None)
-    out += [(path, module, "metric", None, module, None, k, 1, lines, None, str(v)) for k, v in (_measures(tree) | {"lines": lines}).items()]
-    out += [(path, module, "token", None, module, None, t, line, line, None, None) for t, line in _tokens(tree)]
-    return out
+    if asked("symbol", "base", "operation", "call", "reference", "metric", "constant"):
+        visit(tree.body, module, False)
+        used(tree, module, None)
+    if asked("metric"):
+        out += [(path, module, "metric", None, module, None, k, 1, lines, None, str(v)) for k, v in (_measures(tree) | {"lines": lines}).items()]
+    if asked("token"):
+        out += [(path, module, "token", None, module, None, t, line, line, None, None) for t, line in _tokens(tree)]
+    return [r for r in out if asked(r[2])]
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Tagged rows of all files (path, source)."""
+def parse(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Tagged rows of all files (path, source), or those of the kinds.
+
+    Files are dealt to several tasks a core first: a small table of them may be one split, and parsing takes
+    far longer than reading.
+    """
+    only = None if kinds is None else frozenset(kinds)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ROW.split(", ")]
         for b in batches:
-            rows = [r for p, s in zip(b["path"], b["source"]) for r in rows_of(p, s or "")]
+            rows = [r for p, s in zip(b["path"], b["source"]) for r in rows_of(p, s or "", only)]
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"line": "Int32", "end_line": "Int32", "is_public": "boolean"})
 
-    ship(files.sparkSession)
-    return files.select("path", "source").mapInPandas(work, ROW)
+    spark = files.sparkSession
+    ship(spark)
+    dealt = files.select("path", "source").repartition(TASKS * max(spark.sparkContext.defaultParallelism, 1), "path")
+    return dealt.mapInPandas(work, ROW)
 
 
 def import_edges(rows: DataFrame) -> DataFrame:

@@ -113,3 +113,15 @@ def test_table_functions(spark):
     rows = spark.sql("select f.path, r.kind, r.name from some_files f, lateral parse_python(f.path, f.source) r where r.kind in ('symbol', 'signal')").collect()
     assert sorted(map(tuple, rows)) == [("m.py", "symbol", "f"), ("n.py", "signal", "parse-error")]
     assert spark.sql("select count(*) from lateral read_labels('cases: [{repository: r, participants: [a], bearing: [x]}]')").first()[0] == 1
+
+
+def test_files_of_one_split_are_parsed_by_many_tasks(spark):
+    from lattica.sources import python_code as code
+
+    files = spark.createDataFrame([(f"pkg/m{k}.py", f"import os\nK = {k}\n\nclass C:\n    def f(self, x: int) -> int:\n        return g(x)\n") for k in range(40)] + [("pkg/bad.py", "def")], "path string, source string").coalesce(1)
+    rows = code.parse(files)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    all_ = sorted(map(repr, rows.collect()))
+    for kinds in (["import"], ["constant", "module"], ["metric"], ["operation", "symbol"], ["call", "reference"], ["token", "signal"]):
+        some = sorted(map(repr, code.parse(files, kinds).collect()))
+        assert some == [r for r in all_ if any(f"kind='{k}'" in r for k in kinds)] and some
