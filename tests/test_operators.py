@@ -362,3 +362,20 @@ def test_cycle_signals_name_all_members(spark):
     e = spark.createDataFrame([("a", "b", "1"), ("b", "c", "2"), ("c", "a", "3"), ("c", "d", "0")], "src string, dst string, edge_id string")
     got = {tuple(r) for r in detectors.cycle_signals(component, e).select("node", "component", "members", "size", "first_edge").collect()}
     assert got == {("a", "a", "a,b,c", 3, "1"), ("b", "a", "a,b,c", 3, "2"), ("c", "a", "a,b,c", 3, "3")}
+
+
+def test_conforming_groups_hold_every_pair(spark):
+    ops = {"one": [("put", False, 2, ["str", "int", "bool"])], "two": [("get", False, 1, ["str", "str"]), ("put", False, 2, ["str", "int", "bool"])], "bad": [("put", False, 2, ["bytes", "int", "bool"])]}
+    rows = lambda named: [(n, *o) for n, kind in named for o in ops[kind]]
+    form = "operation string, is_async boolean, arity int, annotations array<string>"
+    wanted = spark.createDataFrame(rows([("P1", "one"), ("P2", "one"), ("P3", "one"), ("P4", "two")]), "interface string, " + form)
+    offered = spark.createDataFrame(rows([("C1", "one"), ("C2", "one"), ("C3", "two"), ("C4", "two"), ("C5", "bad"), ("C6", "one")]), "class string, " + form)
+    known = spark.createDataFrame([("C2", "P2"), ("C3", "P4")], "class string, interface string")
+    want = {tuple(r) for r in structure.conformance(wanted, offered, known).collect()}
+    got = structure.conforming_groups(wanted, offered, known).collect()
+    of = {role: {} for role in ("class", "interface")}
+    for r in got:
+        if r["role"] != "pair":
+            of[r["role"]].setdefault(r["of"], []).append(r["name"])
+    assert {(c, i, r["operations"], r["agreements"]) for r in got if r["role"] == "pair" for c in of["class"][r["name"]] for i in of["interface"][r["of"]]} == want
+    assert sorted(of["class"]["C1"]) == ["C1", "C6"]
