@@ -56,10 +56,15 @@ def _(t: Tables) -> DataFrame:
     return _said(policy_text.policies(_texts(t)))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """``files`` in several parts a core: a small table may be one split, and table functions take long for each row."""
+    return files.repartition(python_code.TASKS * max(files.sparkSession.sparkContext.defaultParallelism, 1), "path")
+
+
 @query("lateral_policies", POLICIES)
 def _(t: Tables) -> DataFrame:
     table_functions.register(t.spark)
-    _texts(t).createOrReplaceTempView("policy_files")
+    _dealt(_texts(t)).createOrReplaceTempView("policy_files")
     return _said(policy_text.with_duplicates(t.spark.sql("select f.path, p.* from policy_files f, lateral read_policy(f.path, f.text) p")))
 
 
@@ -68,7 +73,7 @@ def _(t: Tables) -> DataFrame:
  union all select 'pkg/disk' || k || '.py', 'CLASS', 3, 1 from k union all select 'pkg/disk' || k || '.py', 'METHOD', 3, 2 from k union all select 'conf' || k || '/settings.py', 'FUNCTION', 1, 4 from k""")
 def _(t: Tables) -> DataFrame:
     table_functions.register(t.spark)
-    _sources(t).createOrReplaceTempView("source_files")
+    _dealt(_sources(t)).createOrReplaceTempView("source_files")
     return t.spark.sql("""select f.path, r.node_type, cast(count(*) as int) as symbols, min(r.line) as first_line
       from source_files f, lateral parse_python(f.path, f.source) r where r.kind = 'symbol' group by f.path, r.node_type""")
 
