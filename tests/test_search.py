@@ -56,6 +56,27 @@ def test_parallel_preparation_stays_in_its_operation(spark):
     assert detectors.parallel_pairs(spark.createDataFrame([], "item int, feature int")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_groups_hold_all_pairs(spark, monkeypatch, most):
+    """Pairs of representatives and membership give every pair back, whatever the number of members that meet at once; copies add none."""
+    monkeypatch.setattr(overlap, "MOST_TOGETHER", most)
+    sets = zipf_sets(11, 60, 40)
+    rows = [(c * 100 + i, f) for c in range(4) for i, s in sets.items() for f in s]
+    df = spark.createDataFrame(rows, "item int, feature int")
+    got = detectors.parallel_groups(df, 3, 0.5).collect()
+    of = {r.a: r.b for r in got if r.role == "member"}
+    pairs = {(r.a, r.b): r.shared for r in got if r.role == "pair"}
+    want = {(r.a, r.b): r.shared for r in detectors.parallel_pairs(df, 3, 0.5).collect()}
+    back = {}
+    for a in of:
+        for b in of:
+            key = tuple(sorted((of[a], of[b])))
+            if a < b and key in pairs:
+                back[a, b] = pairs[key]
+    assert back == want and len(want) > 10 * len(pairs)
+    assert all(of[i] == min(of[i], i) for i in of) and set(of.values()) <= set(range(60))
+
+
 def test_scattered_concepts(spark):
     owners = spark.createDataFrame([("o1", "pkg", "ledger", "Account"), ("o2", "pkg", "account_db", "Account"), ("o3", "other", "ledger", "Account")], "owner string, package string, stem string, abstraction string")
     words = spark.createDataFrame([("Account", "account"), ("Account", "ab")], "abstraction string, word string")
