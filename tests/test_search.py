@@ -77,6 +77,14 @@ def test_groups_hold_all_pairs(spark, monkeypatch, most):
     assert all(of[i] == min(of[i], i) for i in of) and set(of.values()) <= set(range(60))
 
 
+def test_preparation_groups_write_no_row_per_pair_of_copies(spark):
+    methods = [("p", "o", f"m{c:02}") for c in range(20)] + [("p", "x", "m99")]
+    features = [(m, "path", f) for _, _, m in methods for f in "1234"]
+    got = structure.preparation_groups(spark.createDataFrame(methods, "port string, operation string, method string"), spark.createDataFrame(features, "method string, kind string, feature string")).collect()
+    assert [tuple(r) for r in got if r.role == "pair"] == [("pair", "p", "o", "m00", "m00", 4, 0)]
+    assert sorted((r.operation, r.a, r.b) for r in got if r.role == "member") == [("o", m, "m00") for _, o, m in methods if o == "o"] + [("x", "m99", "m99")]
+
+
 def test_scattered_concepts(spark):
     owners = spark.createDataFrame([("o1", "pkg", "ledger", "Account"), ("o2", "pkg", "account_db", "Account"), ("o3", "other", "ledger", "Account")], "owner string, package string, stem string, abstraction string")
     words = spark.createDataFrame([("Account", "account"), ("Account", "ab")], "abstraction string, word string")
