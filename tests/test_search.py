@@ -160,6 +160,34 @@ def test_bars_leave_frequent_terms_unread(spark):
     assert retrieval._scores(index, bars).count() == 5
 
 
+def test_only_what_reaches_a_bar_leaves_its_task(spark):
+    """Many hold a term that alone may reach the bar, one reaches it; a term that only shares a checksum with an asked one has no weight."""
+    docs = [(k, k, "rare" + " filler" * (k + 1) * 50) for k in range(200)] + [(200, 200, "rare rare rare"), (201, 201, None), (202, None, "rare")]
+    index = retrieval.bm25_index(spark.createDataFrame(docs, "chunk int, document int, text string"), spark.createDataFrame([(1, "rare")], "query int, text string"))
+    top = retrieval.bm25(index, 1).first()
+    assert top.document == 200
+    assert retrieval._scores(index, spark.createDataFrame([(1, top.score)], "query int, bar double")).count() == 1
+
+
+def test_blocks_of_queries_and_cells(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(c, c, " ".join(rng.choices([f"w{k}" for k in range(30)], k=rng.randrange(1, 40)))) for c in range(120)]
+    queries = [(q, " ".join(rng.choices([f"w{k}" for k in range(30)], k=4))) for q in range(15)]
+    full = plain_bm25(docs, queries)
+    monkeypatch.setattr(retrieval, "PAIRS", 7)
+    monkeypatch.setattr(retrieval, "CELLS", 5)
+    index = retrieval.bm25_index(spark.createDataFrame(docs, "chunk int, document int, text string"), spark.createDataFrame(queries, "query int, text string"))
+    got = {(r["query"], r["rank"]): r.document for r in retrieval.bm25(index, 3).collect()}
+    assert got == {(q, i + 1): d for q, rows in full.items() for i, (_, d) in enumerate(rows[:3])}
+
+
+def test_holders_of_runs(spark):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "a b"), (3, None), (4, "b c d a b c a b c"), (None, "a b c"), (5, "a  b c")], "document int, text string")
+    seeds = spark.createDataFrame([(10, "a b c"), (11, "b c d"), (12, "a b c")], "query int, seed string")
+    got = sorted(((r.document or 0, r["query"]) for r in retrieval.holders(docs, seeds).collect()))
+    assert got == [(0, 10), (0, 12), (1, 10), (1, 12), (4, 10), (4, 11), (4, 12)]
+
+
 def test_quantiles_against_sorted_values(spark):
     rng = random.Random(2)
     groups = {
