@@ -45,3 +45,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     want = sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert rows == want
+
+
+def test_lines_are_gone_through_once_for_all_views(spark):
+    from lattica.plans.fixtures import Tables
+
+    t = Tables(spark, SF)
+    rows = t.deps().unionByName(t.calls()).unionByName(t.links().drop("edge_type"))
+    assert not any("lineitem" in path for path in rows.inputFiles()) and t.deps().count() > 0
