@@ -1,15 +1,17 @@
 """Admission under daily caps as a stateful stream (an extension): what is below both caps of its UTC day gets in.
 
-Two stateful steps. The first holds, per day and user, how many have counted; the second, per day,
-how many all together have, and sees only what a user's cap lets through; other rows pass it in
-lanes of their own. A timer at the end of the day, UTC, drops a day's state. Within a micro-batch a
-key's rows are taken in order of time; a step holds no more of them than its cap.
+Two stateful steps. The first holds, per day and lane of users, whose rows have counted, until a
+lane has sent as many as get in on a day: of the later ones none can. The second, per day, holds how
+many of those that were sent have counted; the ids of other rows pass it in blocks, in lanes of
+their own. A timer at the end of the day, UTC, drops a day's state. Within a micro-batch rows are
+taken in order of time; a step holds no more of them than the cap of the day.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
+from bisect import insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -19,12 +21,56 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lattica.functions.storage import session_dir, ship
 
 DAY_MS = 86_400_000
-LANES = 64  # of rows that a user's cap keeps out
+LANES = 64  # of a day's users
+BLOCK = 4096  # ids of rows that don't count, in a row
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Capped(StatefulProcessor):
-    """Counts up to a cap; a row is passed on with what ``mark`` says of whether it counts."""
+class _Own(StatefulProcessor):
+    """Sends a lane's rows that count for their users to lane -1 of their day, and the ids of others on in blocks."""
+
+    def __init__(self, user_limit: int, limit: int) -> None:
+        self.user_limit, self.limit = user_limit, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getValueState("sent", "users array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.sent.get()
+        if known is None:
+            self.handle.registerTimer((int(key[0]) + 1) * DAY_MS)
+        users = list(known[0]) if known else []
+        room = self.limit - len(users)
+        first: list[tuple[int, int, int, Row]] = []  # the earliest rows that count, in order
+        rest: list[int] = []
+        for k, row in enumerate(rows):
+            new, out = (row.at, row.id, k, row), row
+            if room > 0 and (len(first) < room or new < first[-1]):
+                insort(first, new)
+                own = [x for x in first if x[-1].user == row.user]
+                over = own[-1] if len(own) + users.count(row.user) > self.user_limit else first[-1] if len(first) > room else None
+                out = over and over[-1]
+                if over:
+                    first.remove(over)
+            if out:
+                rest.append(out.id)
+                if len(rest) == BLOCK:
+                    yield Row(day=out.day, lane=key[1], id=None, at=None, ts=row.ts, rest=rest)
+                    rest = []
+        if rest:
+            yield Row(day=row.day, lane=key[1], id=None, at=None, ts=row.ts, rest=rest)
+        for at, ident, _, x in first:
+            yield Row(day=x.day, lane=-1, id=ident, at=at, ts=x.ts, rest=None)
+        self.sent.update((users + [x[-1].user for x in first],))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.sent.clear()
+        yield from ()
+
+
+class _All(StatefulProcessor):
+    """Counts a day's rows of lane -1 up to the cap; rows of other lanes go by."""
 
     def __init__(self, cap: int) -> None:
         self.cap = cap
@@ -33,17 +79,10 @@ class _Capped(StatefulProcessor):
         self.handle = handle
         self.count = handle.getValueState("count", "n long")
 
-    def passes(self, key: tuple) -> bool:
-        """Whether the key's rows go by uncounted."""
-        return False
-
-    def mark(self, row: Row, counts: bool) -> Row:
-        raise NotImplementedError
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.passes(key):
+        if key[1] >= 0:
             for row in rows:
-                yield self.mark(row, False)
+                yield Row(ids=row.rest, day=row.day, admitted=False)
             return
         known = self.count.get()
         if known is None:
@@ -53,9 +92,10 @@ class _Capped(StatefulProcessor):
         for k, row in enumerate(rows):
             heapq.heappush(first, (-row.at, -row.id, -k, row))
             if len(first) > self.cap - spent:
-                yield self.mark(heapq.heappop(first)[-1], False)
+                out = heapq.heappop(first)[-1]
+                yield Row(ids=[out.id], day=out.day, admitted=False)
         for *_, row in first:
-            yield self.mark(row, True)
+            yield Row(ids=[row.id], day=row.day, admitted=True)
         self.count.update((spent + len(first),))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -63,21 +103,6 @@ class _Capped(StatefulProcessor):
         yield from ()
 
 
-class _Own(_Capped):
-    """A row that counts goes to its day's lane, -1; another to one of the lanes that pass."""
-
-    def mark(self, row: Row, counts: bool) -> Row:
-        return Row(day=row.day, lane=-1 if counts else row.id % LANES, id=row.id, at=row.at, ts=row.ts)
-
-
-class _All(_Capped):
-    def passes(self, key: tuple) -> bool:
-        return key[1] >= 0
-
-    def mark(self, row: Row, counts: bool) -> Row:
-        return Row(id=row.id, day=row.day, admitted=counts)
-
-
 def admitted(events: DataFrame, at: str, user: str, ident: str, user_limit: int, global_limit: int, delay: str = "1 day") -> DataFrame:
     """The stream (id, day, admitted) of a stream of events; ``day`` is the number of the UTC day.
 
@@ -89,8 +114,10 @@ def admitted(events: DataFrame, at: str, user: str, ident: str, user_limit: int,
     ts = F.col(at).cast("timestamp")
     rows = events.select(F.unix_date(F.to_date(ts)).cast("long").alias("day"), F.col(user).cast("string").alias("user"), F.col(ident).cast("long").alias("id"), F.unix_micros(ts).alias("at"), ts.alias("ts"))
     rows = rows.where("id is not null and at is not null").withWatermark("ts", delay)
-    own = rows.groupBy("day", "user").transformWithState(_Own(user_limit), "day long, lane long, id long, at long, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts")
-    return own.groupBy("day", "lane").transformWithState(_All(global_limit), "id long, day long, admitted boolean", "Append", "EventTime")
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("user"), F.lit(LANES)).cast("long"))
+    own = rows.groupBy("day", "lane").transformWithState(_Own(user_limit, global_limit), "day long, lane long, id long, at long, ts timestamp, rest array<long>", "Append", "EventTime", eventTimeColumnName="ts")
+    each = own.groupBy("day", "lane").transformWithState(_All(global_limit), "ids array<long>, day long, admitted boolean", "Append", "EventTime")
+    return each.select(F.explode("ids").alias("id"), "day", "admitted")
 
 
 def run(events: DataFrame, at: str, user: str, ident: str, user_limit: int, global_limit: int, delay: str = "1 day") -> DataFrame:
