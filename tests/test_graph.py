@@ -1,8 +1,10 @@
 """Graph operators against plain searches on random graphs, long chains and cycles."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.functions.storage import table
 from lattica.operators import graph
@@ -155,6 +157,18 @@ def test_places_of_a_component_share_blocks(spark):
     assert graph.closure(e).count() == 40 * 30 * 29
 
 
+def test_closure_deals_pairs_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LARGE", 10)
+    ring = lambda name, n: [(f"{name}{k}", f"{name}{(k + 1) % n}") for k in range(n)]
+    e = spark.createDataFrame([*ring("a", 60), *ring("b", 30), ("a7", "b3"), ("x", "a0"), ("b9", "y"), *ring("c", 3)], "src string, dst string")
+    rows = graph.closure(e).withColumn("task", F.spark_partition_id()).collect()
+    a, b, c = ([f"{name}{k}" for k in range(n)] for name, n in (("a", 60), ("b", 30), ("c", 3)))
+    want = {(s, t) for s in ["x", *a] for t in [*a, *b, "y"]} | {(s, t) for s in b for t in [*b, "y"]} | {(s, t) for s in c for t in c}
+    assert sorted((r["start"], r["node"]) for r in rows) == sorted((s, t) for s, t in want if s != t)
+    tasks = Counter(r["task"] for r in rows)
+    assert max(tasks.values()) < len(rows) / 2  # the pairs of a component with itself came from one task
+
+
 def test_representative_paths_write_words_and_one_path_a_start(spark, monkeypatch):
     e, wrote = _shuffled_rings(spark, 20, 12), []
 
