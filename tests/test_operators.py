@@ -364,6 +364,22 @@ def test_cycle_signals_name_all_members(spark):
     assert got == {("a", "a", "a,b,c", 3, "1"), ("b", "a", "a,b,c", 3, "2"), ("c", "a", "a,b,c", 3, "3")}
 
 
+def test_cycle_signals_shuffle_names_by_lists_not_by_rows(spark, monkeypatch, tmp_path):
+    """400 members of 3,000 letters each: all names in every row are 480 MB, a shuffle of them is what failed."""
+    monkeypatch.setattr(detectors, "LARGE", 50)
+    name = F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.repeat(F.lit("x"), 3000))
+    nodes = spark.range(400).select(name.alias("node"))
+    component = nodes.select("node", F.lit("c").alias("component"))
+    e = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.substring("node", 1, 4).alias("edge_id"))
+    df = detectors.cycle_signals(component, e)
+    rows = df.select("size", "first_edge", F.length("members").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["size"], r["first_edge"], r["n"]) for r in rows) == [(400, f"{k:04d}", 400 * 3004 + 399) for k in range(400)]
+    tasks = [r["task"] for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < 400  # rows of a component came from one task
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().split("\n")[1].strip(" +-").startswith("Generate explode")  # rows are put out after the last join
+
+
 def test_conforming_groups_hold_every_pair(spark):
     ops = {"one": [("put", False, 2, ["str", "int", "bool"])], "two": [("get", False, 1, ["str", "str"]), ("put", False, 2, ["str", "int", "bool"])], "bad": [("put", False, 2, ["bytes", "int", "bool"])]}
     rows = lambda named: [(n, *o) for n, kind in named for o in ops[kind]]
