@@ -169,6 +169,16 @@ def test_closure_deals_pairs_of_large_components(spark, monkeypatch):
     assert max(tasks.values()) < len(rows) / 2  # the pairs of a component with itself came from one task
 
 
+def test_closure_puts_out_pairs_after_the_last_join(spark, monkeypatch):
+    """Pairs of nodes were made by a join on the component alone, sorted in one task; now lists meet and are put out last."""
+    monkeypatch.setattr(graph, "LARGE", 10)
+    e = spark.createDataFrame([(f"a{k}", f"a{(k + 1) % 60}") for k in range(60)], "src string, dst string")
+    df = graph.closure(e)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(lefts") < plan.index("Join") and plan.index("Generate explode(rights") < plan.index("Join")
+    assert df.count() == 60 * 59
+
+
 def test_representative_paths_write_words_and_one_path_a_start(spark, monkeypatch):
     e, wrote = _shuffled_rings(spark, 20, 12), []
 
