@@ -56,6 +56,24 @@ def test_parallel_preparation_stays_in_its_operation(spark):
     assert detectors.parallel_pairs(spark.createDataFrame([], "item int, feature int")).count() == 0
 
 
+@pytest.mark.parametrize("words", [0, 4])
+def test_pairs_are_put_out_once_without_a_table_or_broadcast_of_them(spark, monkeypatch, words):
+    """Pairs were written as a table and shuffled, their sets joined by a broadcast that outgrew the driver."""
+    monkeypatch.setattr(overlap, "WORDS", words)
+    wrote = []
+    monkeypatch.setattr(overlap, "table", lambda df, name: wrote.append(name) or table(df, name))
+    sets = zipf_sets(5, 80, 60)
+    rows = spark.createDataFrame([(i, f) for i, s in sets.items() for f in s], "item int, feature int")
+    pairs, members = overlap.overlap_groups(rows, 3, 0.5, counts={"odd": lambda f: f % 2 == 1})
+    of = {r["item"]: r["of"] for r in members.collect()}
+    want = {(a, b): (len(sets[a] & sets[b]), sum(f % 2 for f in sets[a] & sets[b])) for a in set(of.values()) for b in set(of.values()) if a < b and len(sets[a] & sets[b]) >= max(3, 0.5 * min(len(sets[a]), len(sets[b])))}
+    got = [(r["a"], r["b"], r["n_shared"], r["odd"]) for r in pairs.where("a < b").collect()]
+    assert sorted(got) == sorted((*k, *v) for k, v in want.items()) and want
+    assert wrote == ["numbered", "looks", "classes"]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 1
+
+
 @pytest.mark.parametrize("most", [1, 2, 3, 4])
 def test_groups_hold_all_pairs(spark, monkeypatch, most):
     """Pairs of representatives and membership give every pair back, whatever the number of members that meet at once; copies add none."""
