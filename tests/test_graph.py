@@ -195,6 +195,34 @@ def test_representative_paths_write_words_and_one_path_a_start(spark, monkeypatc
     assert len(got) == 240 and max(n for n, paths in wrote if paths) == 240
 
 
+@pytest.mark.parametrize("whole", [0, 500_000])
+def test_representative_paths_of_a_connected_graph(spark, monkeypatch, whole):
+    """Depths of all pairs were written whatever the graph; a small one is gone through inside tasks, with the same paths."""
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    rng, wrote = random.Random(4), []
+    monkeypatch.setattr(graph, "table", lambda df, name: wrote.append(name) or table(df, name))
+    pairs = sorted({(f"n{rng.randrange(70)}", f"n{rng.randrange(70)}") for _ in range(110)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    want = {}
+    for start in [*near, "alone"]:
+        seen, front, best = {start}, {start: (start,)}, (start,)
+        while front and len(best) < 6:
+            step = {}
+            for node, path in front.items():
+                for b in near.get(node, ()):
+                    if b not in seen:
+                        step[b] = min(step.get(b, path + (b,)), path + (b,))
+            seen |= set(step)
+            front, best = step, min(step.values()) if step else best
+        want[start] = best
+    starts = spark.createDataFrame([(s,) for s in want], "start string")
+    got = graph.representative_paths(spark.createDataFrame(pairs, "src string, dst string"), starts, 6)
+    assert {r["start"]: tuple(r["path"]) for r in got.collect()} == want
+    assert not whole or wrote == ["edges", "chain"]
+
+
 def test_representative_paths_with_ties_and_ends(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "e"), ("c", "d"), ("d", "a"), ("e", "e"), ("c", "c"), ("x", "a")], "src string, dst string")
     starts = spark.createDataFrame([(x,) for x in "aexz"], "start string")
