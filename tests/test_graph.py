@@ -223,6 +223,15 @@ def test_representative_paths_of_a_connected_graph(spark, monkeypatch, whole):
     assert not whole or wrote == ["edges", "chain"]
 
 
+def test_chain_crossings_write_no_depths_of_pairs(spark, monkeypatch):
+    from lattica.plans import graph_queries
+
+    wrote = []
+    monkeypatch.setattr(graph, "table", lambda df, name: wrote.append(name) or table(df, name))
+    assert graph_queries.QUERIES["chain_crossings"](spark, "/root/testdata/sf0.001").count() > 0
+    assert wrote == ["edges", "chain"]  # were levels and marks of all pairs too
+
+
 def test_representative_paths_with_ties_and_ends(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "e"), ("c", "d"), ("d", "a"), ("e", "e"), ("c", "c"), ("x", "a")], "src string, dst string")
     starts = spark.createDataFrame([(x,) for x in "aexz"], "start string")
